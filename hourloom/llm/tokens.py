@@ -22,7 +22,7 @@ def pieces(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def encode_pieces(texts: list[str], memo: dict, encode_many, limit: int = 300_000) -> list[list]:
+def encode_pieces(texts: list[str], memo: dict, encode_many, limit: int = 600_000) -> list[list]:
     """The remembered or newly encoded value of every piece of every text; what is missing is encoded in one call."""
     cut = [pieces(x) for x in texts]
     new = list({p for ps in cut for p in ps if p not in memo})
