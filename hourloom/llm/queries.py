@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, pii, quality, token_counts, token_files
+from . import byte_bpe, decontaminate, language_id, line_dedup, ngram_join, pii, quality, token_counts, token_files
 from .common import table
 
 
@@ -14,6 +14,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.evaluate(table(spark, sf_dir, "documents"))
 
@@ -45,6 +53,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op10_line_dedup": op10_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op6_quality_rules": op6_quality_rules,
