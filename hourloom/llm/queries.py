@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, line_dedup, ngram_join, pii, quality, token_counts, token_files
+from . import byte_bpe, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, token_counts, token_files
 from .common import table
 
 
@@ -14,6 +14,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, lm.held_out("doc_id"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -53,6 +59,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_ngram_join": op2_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op3_language_id": op3_language_id,
