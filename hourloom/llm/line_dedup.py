@@ -41,7 +41,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = found.where("k is not null").select("doc_id", "h", "line", "k")
     first = written(lines.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line")).alias("w"), F.count("*").alias("copies")))
     block = blocks(rows, line_units, frequent_arrays(counts), least)
-    sets = sets_of(rows, lines, block, line_units)
     order = first.select("k", "w")
 
     def later(links: DataFrame) -> DataFrame:
@@ -49,20 +48,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         a, b = [order.select(F.col("k").alias(c), F.col("w").alias(f"w{c}")) for c in "ab"]
         return links.join(a, "a").join(b, "b").select(F.when(F.col("wa") > F.col("wb"), F.col("a")).otherwise(F.col("b")).alias("k")).distinct()
 
-    star = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct()
-    decided = written(later(verified(star, sets)))
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct())
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+        return verified(pairs, sets_of(rows, lines, nodes, line_units))
+
+    star = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"))
+    decided = written(later(checked(star)))
     # lines that are not decided meet the others of their blocks, tile by tile
-    members = written(block.select("t", "k", "n", "p").distinct().join(decided.withColumn("gone", F.lit(True)), "k", "left").join(order, "k"))
+    members = written(block.select("t", "k", "n", "p", "s1", "s2").distinct().join(decided.withColumn("gone", F.lit(True)), "k", "left").join(order, "k"))
     open_blocks = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
     open_blocks = written(open_blocks.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
     there = members.join(open_blocks, "t")
-    x = there.where("gone is null").select("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("w").alias("wa"))
-    y = there.select("t", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int").alias("tile"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("w").alias("wb"))
-    share = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    x = there.where("gone is null").select("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("w").alias("wa"), F.col("s1").alias("s1a"), F.col("s2").alias("s2a"))
+    y = there.select("t", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int").alias("tile"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("w").alias("wb"), F.col("s1").alias("s1b"), F.col("s2").alias("s2b"))
+    def missing(x: str, y: str):
+        """Bits of one bitmap that the other lacks: as many tokens at least are not shared."""
+        return sum(F.bit_count(F.col(f"{s}{x}").bitwiseAND(F.bitwise_not(F.col(f"{s}{y}")))) for s in ("s1", "s2"))
+
+    share = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
     near = (100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na"))
     enough = 100 * share >= PERCENT * (F.col("na") + F.col("nb") - share)
-    pairs = x.join(y, ["t", "tile"]).where((F.col("wb") < F.col("wa")) & near & enough).select("a", "b").distinct()
-    near_copies = decided.unionByName(later(verified(pairs, sets))).distinct().withColumn("all", F.lit(True))
+    pairs = x.join(y, ["t", "tile"]).where((F.col("wb") < F.col("wa")) & near & enough).select("a", "b")
+    near_copies = decided.unionByName(later(checked(pairs))).distinct().withColumn("all", F.lit(True))
     fate = written(first.where("copies > 1").select("k", "w").join(near_copies, "k", "full"))
     out = lines.join(fate, "k").where(F.coalesce("all", F.lit(False)) | (F.struct("doc_id", "h", "line") > F.col("w")))
     return lines, out.select("doc_id", "h", "line")

@@ -182,15 +182,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found, counts = signatures(rows, shingle_units)
     found = found.withColumnRenamed("n", "n_shingles")
     block = blocks(rows, shingle_units, frequent_arrays(counts))
-    sets = sets_of(rows, found, block, shingle_units)
-    star = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = written(verified(star, sets))
+    star = written(block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = written(verified(star, sets_of(rows, found, star.select(F.explode(F.array("a", "b")).alias("k")), shingle_units)))
     labels = components(links)
     # what is left: blocks that still hold several components
     labelled = block.select("t", "k", "n").distinct().join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     labelled = written(labelled)
     several = written(labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t"))
-    rest = labelled.join(several, "t", "left_semi").join(bitmaps(sets), "k")
+    rest = written(labelled.join(several, "t", "left_semi"))
+    sets = sets_of(rows, found, rest, shingle_units)
+    rest = rest.join(bitmaps(sets), "k")
     more = written(verified(tree_pairs(rest), sets))
     if not more.isEmpty():
         labels = components(links.unionByName(more))

@@ -23,7 +23,7 @@ from .common import text_runs, written
 
 PERCENT = 80
 #: Frequent tokens that tasks hold to order by: the most frequent ones, at most so many. Others count as rare.
-MAX_FREQUENT = 200_000
+MAX_FREQUENT = 400_000
 #: Count from which a token is frequent; below, its block is small.
 FREQUENT = 64
 #: Parts of the block of a frequent token.
@@ -74,6 +74,11 @@ class Sets:
         self.start = starts_of(self.size)
         total = np.zeros(n + 1, np.uint64)
         np.add.at(total, self.owner, mix(self.token * PRIME_A))
+        bit = mix(self.token)
+        self.bits = np.zeros((2, n + 1), np.uint64)  # a token sets one of 128 bits
+        for half in (0, 1):
+            mine = (bit >> np.uint64(9)) % np.uint64(2) == half
+            np.bitwise_or.at(self.bits[half], self.owner[mine], np.uint64(1) << ((bit[mine] >> np.uint64(20)) % np.uint64(64)))
         self.node = mix(total[:n] + self.size.astype(np.uint64) * PRIME_A).view(np.int64)
 
     def prefix(self, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +96,14 @@ class Sets:
         return self.owner[kept], self.token[order], place[kept], rank[order] > 0
 
 
+def may_match(n1, n2, p1, p2, bits1, bits2) -> np.ndarray:
+    """Length, positional and bitmap filters: False where sets that first share tokens at these places cannot be linked."""
+    most = np.minimum(n1 - p1, n2 - p2)
+    for a, b, n in ((bits1, bits2, n1), (bits2, bits1, n2)):
+        most = np.minimum(most, n - sum(np.bitwise_count(x & ~y).astype(np.int64) for x, y in zip(a, b, strict=True)))
+    return (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1) & (100 * most >= PERCENT * (n1 + n2 - most))
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, h (hash of the text: with the id it names the row) and text."""
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
@@ -140,7 +153,7 @@ def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> tuple[np.nd
 
 
 def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray], least: int = 1) -> DataFrame:
-    """t, part, k, n, p and pivot for the nodes of each block that has several or is in parts."""
+    """t, k, n, p, s1, s2 (bitmap) and pivot for the nodes of each block that has several or is in parts; pivot is the node itself where the filters exclude a link."""
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT pairs at most
 
@@ -162,34 +175,36 @@ def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray
                 unit, token, place, often = unit[kept], token[kept], place[kept], often[kept]
                 o = order.slice(low, len(texts)).to_numpy(zero_copy_only=False)[s.text[unit]]
                 part = np.where(often, s.node[unit] % PARTS, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(o.astype(np.int64)), pa.array(s.node[unit]), pa.array(s.size[unit].astype(np.int32)), pa.array(place.astype(np.int32))], names=["t", "part", "o", "k", "n", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(o.astype(np.int64)), pa.array(s.node[unit]), pa.array(s.size[unit].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(b[unit].view(np.int64)) for b in s.bits]], names=["t", "part", "o", "k", "n", "p", "s1", "s2"])
 
     def gather(batches):
         last = None  # token and part of the block that is open
-        pivot = waiting = None
+        head = waiting = None  # its first row; the same if no other has come yet
 
         def of(a: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in a], names=["t", "part", "k", "n", "p", "pivot"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in a], names=["t", "k", "n", "p", "s1", "s2", "pivot"])
 
         for batch in batches:
-            t, part, _, k, n, p = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            t, part, _, *cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
             if not len(t):
                 continue
             new = np.append(last != (int(t[0]), int(part[0])), (t[1:] != t[:-1]) | (part[1:] != part[:-1]))
             first = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            piv = np.where(first >= 0, k[first], 0 if pivot is None else pivot)
+            k, n, p, s1, s2 = cols
+            pk, pn, pp, p1, p2 = [np.where(first >= 0, x[first], y) for x, y in zip(cols, head or [0] * 5, strict=True)]
+            linked = may_match(n.astype(np.int64), pn.astype(np.int64), p, pp, [s1.view(np.uint64), s2.view(np.uint64)], [p1.astype(np.int64).view(np.uint64), p2.astype(np.int64).view(np.uint64)])
+            pivot = np.where(linked, pk, k)
             alone = new & np.append(new[1:], True) & (part < 0)
             if waiting is not None and not new[0]:
                 yield of(waiting)
-            ends_open = bool(alone[-1])  # the next batch may hold more of this block
             kept = ~alone
-            yield of([t[kept], part[kept], k[kept], n[kept], p[kept], piv[kept]])
-            waiting = [x[-1:] for x in (t, part, k, n, p, piv)] if ends_open else None
-            last, pivot = (int(t[-1]), int(part[-1])), int(piv[-1])
+            yield of([x[kept] for x in (t, *cols, pivot)])
+            waiting = [x[-1:] for x in (t, *cols, pivot)] if alone[-1] else None  # the next batch may hold more of this block
+            last, head = (int(t[-1]), int(part[-1])), [int(x[-1]) for x in (pk, pn, pp, p1, p2)]
 
-    emitted = rows.mapInArrow(emit, "t long, part int, o long, k long, n int, p int")
+    emitted = rows.mapInArrow(emit, "t long, part int, o long, k long, n int, p int, s1 long, s2 long")
     dealt = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "t", "part").sortWithinPartitions("t", "part", "o", "k")
-    return written(dealt.mapInArrow(gather, "t long, part int, k long, n int, p int, pivot long"))
+    return written(dealt.mapInArrow(gather, "t long, k long, n int, p int, s1 long, s2 long, pivot long"))
 
 
 def sets_of(rows: DataFrame, found: DataFrame, needed: DataFrame, units: Units) -> DataFrame:
