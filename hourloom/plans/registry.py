@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import cleaning, forecasting, gridding, serving
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for part in (gridding, cleaning, forecasting, serving):
+    QUERIES |= part.QUERIES
+    ORACLE_SQL |= part.ORACLE_SQL

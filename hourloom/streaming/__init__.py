@@ -1 +1 @@
-
+"""The engine has no streaming operators: its data are historical batches."""
