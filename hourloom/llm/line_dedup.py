@@ -3,7 +3,8 @@
 Lines are sets of words (A-Z lowered, split at white space), ordered by rarity; blocks of lines that share a token of their
 prefixes come from ``setjoin``. A line with an earlier line of Jaccard similarity 0.8 or more is removed, whether or not that earlier
 line is removed itself, so the result does not depend on any order of work. Earlier means a smaller (doc_id, hash of the text,
-line number). In a block, lines that the pivot does not decide meet the other lines of the block, cut by the length filter
+line number). In a small block all pairs are
+looked at; in a large one, lines that the pivot does not decide meet the other lines of the block, cut by the length filter
 and the positional filter; what remains is verified on whole sets.
 
 Lines of fewer than MIN_TOKENS different words are left alone. Null texts have no lines and stay null. Rows that are equal in
@@ -40,7 +41,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found, counts = signatures(rows, line_units, least)
     lines = found.where("k is not null").select("doc_id", "h", "line", "k")
     first = written(lines.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line")).alias("w"), F.count("*").alias("copies")))
-    block = blocks(rows, line_units, frequent_arrays(counts), least)
+    block = blocks(rows, line_units, frequent_arrays(counts), least, direct=True)
     order = first.select("k", "w")
 
     def later(links: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"))
     decided = written(later(checked(star)))
     # lines that are not decided meet the others of their blocks, tile by tile
-    members = written(block.select("t", "k", "n", "p", "s1", "s2").distinct().join(decided.withColumn("gone", F.lit(True)), "k", "left").join(order, "k"))
+    members = written(block.where("t is not null").select("t", "k", "n", "p", "s1", "s2").join(decided.withColumn("gone", F.lit(True)), "k", "left").join(order, "k"))
     open_blocks = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
     open_blocks = written(open_blocks.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
     there = members.join(open_blocks, "t")

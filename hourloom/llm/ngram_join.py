@@ -186,7 +186,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = written(verified(star, sets_of(rows, found, star.select(F.explode(F.array("a", "b")).alias("k")), shingle_units)))
     labels = components(links)
     # what is left: blocks that still hold several components
-    labelled = block.select("t", "k", "n").distinct().join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    labelled = block.select("t", "k", "n").join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     labelled = written(labelled)
     several = written(labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t"))
     rest = written(labelled.join(several, "t", "left_semi"))

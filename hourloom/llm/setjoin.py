@@ -31,6 +31,9 @@ PARTS = 32
 #: Tokens counted together in a task, and the least count there that is sent on.
 COUNT_RUN, COUNT_LEAST = 3_000_000, 4
 
+#: Rows of a block of which all pairs are looked at, and rows that are held until a block is complete; larger ones go on as rows.
+SMALL, HELD = 96, 8_192
+
 PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -152,8 +155,11 @@ def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> tuple[np.nd
     return keys[order], (np.arange(len(keys)) + 1)[order]
 
 
-def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray], least: int = 1) -> DataFrame:
-    """t, k, n, p, s1, s2 (bitmap) and pivot for the nodes of each block that has several or is in parts; pivot is the node itself where the filters exclude a link."""
+def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray], least: int = 1, direct: bool = False) -> DataFrame:
+    """t, k, n, p, s1, s2 (bitmap) and pivot for the nodes of each block that has several or is in parts; pivot is the node itself where the filters exclude a link.
+
+    direct: of a block of SMALL rows or fewer all pairs that pass the filters come instead, as k and pivot, with null for t.
+    """
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT pairs at most
 
@@ -177,30 +183,66 @@ def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray
                 part = np.where(often, s.node[unit] % PARTS, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(o.astype(np.int64)), pa.array(s.node[unit]), pa.array(s.size[unit].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(b[unit].view(np.int64)) for b in s.bits]], names=["t", "part", "o", "k", "n", "p", "s1", "s2"])
 
-    def gather(batches):
-        last = None  # token and part of the block that is open
-        head = waiting = None  # its first row; the same if no other has come yet
-
-        def of(a: list[np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in a], names=["t", "k", "n", "p", "s1", "s2", "pivot"])
+    def of(a: list[np.ndarray], t: bool = True) -> pa.RecordBatch:
+        rows = [pa.array(x) for x in a]
+        return pa.RecordBatch.from_arrays(rows if t else [pa.nulls(len(a[1]), pa.int64()), *rows[1:]], names=["t", "k", "n", "p", "s1", "s2", "pivot"])
+
+    def match(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        """The filters, on columns k, n, p, s1, s2."""
+        return may_match(a[1].astype(np.int64), b[1].astype(np.int64), a[2], b[2], [x.astype(np.int64).view(np.uint64) for x in a[3:]], [x.astype(np.int64).view(np.uint64) for x in b[3:]])
+
+    def whole(t: np.ndarray, cols: list[np.ndarray]):
+        """Blocks that are complete: pairs of the small ones, rows of the others."""
+        start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        size = np.diff(np.append(start, len(t)))
+        block_size, first = np.repeat(size, size), np.repeat(start, size)
+        large = block_size > (SMALL if direct else 1)
+        pivot = np.where(match(cols, [x[first] for x in cols]), cols[0][first], cols[0])
+        yield of([x[large] for x in (t, *cols, pivot)])
+        at, place = np.flatnonzero(~large & (block_size > 1)), np.arange(len(t)) - first
+        for d in range(1, SMALL):  # rows d apart in a block
+            at = at[place[at] + d < block_size[at]]
+            if not len(at):
+                break
+            x, y = [c[at] for c in cols], [c[at + d] for c in cols]
+            hit = match(x, y) & (x[0] != y[0])
+            if hit.any():
+                yield of([t[at][hit], *[c[hit] for c in x], y[0][hit]], False)
 
+    def gather(batches):
+        last = head = None  # the open block in parts: token and part, first row
+        carry: list[np.ndarray] | None = None  # rows of the open block of a rare token
+        huge = None  # its token, if its rows are no longer held
         for batch in batches:
             t, part, _, *cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            if not len(t):
-                continue
-            new = np.append(last != (int(t[0]), int(part[0])), (t[1:] != t[:-1]) | (part[1:] != part[:-1]))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            k, n, p, s1, s2 = cols
-            pk, pn, pp, p1, p2 = [np.where(first >= 0, x[first], y) for x, y in zip(cols, head or [0] * 5, strict=True)]
-            linked = may_match(n.astype(np.int64), pn.astype(np.int64), p, pp, [s1.view(np.uint64), s2.view(np.uint64)], [p1.astype(np.int64).view(np.uint64), p2.astype(np.int64).view(np.uint64)])
-            pivot = np.where(linked, pk, k)
-            alone = new & np.append(new[1:], True) & (part < 0)
-            if waiting is not None and not new[0]:
-                yield of(waiting)
-            kept = ~alone
-            yield of([x[kept] for x in (t, *cols, pivot)])
-            waiting = [x[-1:] for x in (t, *cols, pivot)] if alone[-1] else None  # the next batch may hold more of this block
-            last, head = (int(t[-1]), int(part[-1])), [int(x[-1]) for x in (pk, pn, pp, p1, p2)]
+            often = part >= 0
+            if often.any():
+                bt, bp, bc = t[often], part[often], [x[often] for x in cols]
+                new = np.append(last != (int(bt[0]), int(bp[0])), (bt[1:] != bt[:-1]) | (bp[1:] != bp[:-1]))
+                first = np.maximum.accumulate(np.where(new, np.arange(len(bt)), -1))
+                piv = [np.where(first >= 0, x[first], y) for x, y in zip(bc, head or [0] * 5, strict=True)]
+                yield of([bt, *bc, np.where(match(bc, piv), piv[0], bc[0])])
+                last, head = (int(bt[-1]), int(bp[-1])), [int(x[-1]) for x in piv]
+            if not often.all():
+                rare = [x[~often] for x in (t, *cols)]
+                if huge is not None:
+                    n = int((rare[0] == huge).sum())  # they come first
+                    yield of([*[x[:n] for x in rare], rare[1][:n]])
+                    rare = [x[n:] for x in rare]
+                    if not len(rare[0]):
+                        continue
+                    huge = None
+                if carry is not None:
+                    rare = [np.concatenate([a, b]) for a, b in zip(carry, rare, strict=True)]
+                n = int(np.flatnonzero(np.append(True, rare[0][1:] != rare[0][:-1]))[-1])
+                if n:
+                    yield from whole(rare[0][:n], [x[:n] for x in rare[1:]])
+                carry = [x[n:] for x in rare]
+                if len(carry[0]) > HELD:
+                    yield of([*carry, carry[1]])
+                    huge, carry = int(carry[0][0]), None
+        if carry is not None:
+            yield from whole(carry[0], carry[1:])
 
     emitted = rows.mapInArrow(emit, "t long, part int, o long, k long, n int, p int, s1 long, s2 long")
     dealt = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "t", "part").sortWithinPartitions("t", "part", "o", "k")
