@@ -148,9 +148,9 @@ def signatures(rows: DataFrame, units: Units, least: int = 1) -> tuple[DataFrame
 
 def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens ascending, and their ranks from 1 (the rarest of them)."""
-    top = counts.orderBy(F.desc("c"), "t").limit(limit).toPandas()  # limit rows at most
-    top = top.sort_values(["c", "t"])
-    keys = top["t"].to_numpy(np.int64).view(np.uint64)
+    top = counts.orderBy(F.desc("c"), "t").limit(limit).toArrow()  # limit rows at most
+    t, c = [top.column(x).to_numpy() for x in ("t", "c")]
+    keys = t[np.lexsort((t, c))].view(np.uint64)
     order = np.argsort(keys)
     return keys[order], (np.arange(len(keys)) + 1)[order]
 
