@@ -241,6 +241,45 @@ def test_line_dedup_is_brute_force(spark):
         assert kept.get(i, "") == "\n".join(left)
 
 
+def test_line_dedup_in_tiles_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TILE", 40)
+    r = random.Random(11)
+    base = [f"common{i}" for i in range(24)]
+    lines = []
+    for i in range(400):  # one large block: variants with up to five words of their own, some of them copies
+        words = list(base)
+        for at in r.sample(range(24), r.randint(0, 5)):
+            words[at] = f"own{r.randint(0, 60)}"
+        lines.append((i, " ".join(words)))
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    sets = [set(t.split()) for _, t in lines]
+    expected = {i for i, s in enumerate(sets) if any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i])}
+    _, gone = line_dedup.removed_lines(docs)
+    assert {x.doc_id for x in gone.collect()} == expected and 0 < len(expected) < 400
+
+
+def test_words_and_sets_are_pythons():
+    from hourloom.llm import setjoin
+
+    texts = ["", " ", "A b\tc\x0bA", "ü Ünï x" + "y" * 300, "abcdefgh abcdefghi abcdefghij", "x" * 700 + " z", *mixed(200, 3, "abAB \n\x1cé")]
+    h, sizes = setjoin.word_hashes(texts)
+    words = [w for t in texts for w in t.encode().lower().split()]
+    assert sizes.tolist() == [len(t.encode().split()) for t in texts]
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert [len(x) for x in setjoin.word_hashes([])] == [0, 0]
+    for units in (line_dedup.line_units, ngram_join.shingle_units):
+        s = setjoin.Sets(units, texts)
+        assert all((np.diff(s.token[a : a + n].astype(object)) > 0).all() for a, n in zip(s.start.tolist(), s.size.tolist(), strict=True))
+        keys = np.unique(s.token)[::2]
+        rank = dict(zip(keys.tolist(), (np.arange(len(keys)) + 1).tolist(), strict=True))
+        unit, token, place, often = s.prefix((keys, np.arange(len(keys)) + 1))
+        for u in range(len(s.size)):
+            own = sorted(s.token[s.start[u] : s.start[u] + s.size[u]].tolist(), key=lambda x: (rank.get(x, 0), x))
+            n = len(own) - -(-80 * len(own) // 100) + 1 if own else 0
+            assert token[unit == u].tolist() == own[:n] and place[unit == u].tolist() == list(range(n))
+            assert often[unit == u].tolist() == [x in rank for x in own[:n]]
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     got = language_id.evaluate(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
