@@ -4,8 +4,9 @@ Lines are sets of words (A-Z lowered, split at white space), ordered by rarity;
 prefixes come from ``setjoin``. A line with an earlier line of Jaccard similarity 0.8 or more is removed, whether or not that earlier
 line is removed itself, so the result does not depend on any order of work. Earlier means a smaller (doc_id, hash of the text,
 line number). In a small block all pairs are
-looked at; in a large one, lines that the pivot does not decide meet the other lines of the block, cut by the length filter
-and the positional filter; what remains is verified on whole sets.
+looked at; in a large one, lines that the pivot does not decide meet the other lines of the block, cut by the length filter,
+the positional filter and a bitmap. Of what remains, each line's most promising partners are verified first on whole sets, which decides
+most copies; then, for lines still open, all partners.
 
 Lines of fewer than MIN_TOKENS different words are left alone. Null texts have no lines and stay null. Rows that are equal in
 id and text are the same document: equal lines of both stay or go together. A document that loses lines keeps the others, joined by \\n; an
@@ -15,14 +16,16 @@ empty table gives an empty result. Extra columns are untouched.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .setjoin import PERCENT, blocks, distinct, frequent_arrays, scan, sets_of, signatures, verified, word_hashes
+from .setjoin import blocks, distinct, frequent_arrays, may_match, scan, sets_of, signatures, verified, word_hashes
 
 MIN_TOKENS = 5
-TILE = 500
+#: Lines of a tile of a large block, and how many partners in each tile are tried first.
+TILE, FIRST = 500, 2
 
 
 def line_units(texts: list[str]):
@@ -35,6 +38,63 @@ def line_units(texts: list[str]):
     return text, line, owner, token
 
 
+def tile_pairs(members: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) that pass the filters: lines that are not gone, with earlier lines of their block, tile by tile.
+
+    members: t, tiles, k, n, p, s1, s2, gone, w (place in the order). most: only so many for each line and tile, those that may share most.
+    """
+    cols = ["t", "tile", "side", "k", "n", "p", "s1", "s2", "w.doc_id", "w.h", "w.line"]
+    all_lines = members.withColumn("side", F.lit(0)).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
+    open_lines = members.where("gone is null").withColumn("side", F.lit(1)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    dealt = all_lines.select(*cols).unionByName(open_lines.select(*cols)).repartition(parts, "t", "tile").sortWithinPartitions("t", "tile", "side")
+
+    def order_of(table: pa.Table) -> np.ndarray:
+        """Dense ranks of the rows in the order of lines."""
+        d = pa.compute.rank(table.column("doc_id"), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        h, line = [table.column(c).to_numpy() for c in ("h", "line")]
+        order = np.lexsort((line, h, d))
+        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (d, h, line)], axis=0))
+        out = np.empty(len(d), np.int64)
+        out[order] = np.cumsum(new)
+        return out
+
+    def partners(x: np.ndarray, y: np.ndarray, rank: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n, p, s1, s2 = cols
+        i, j = np.nonzero((rank[y] < rank[x][:, None]) & may_match(n[x][:, None], n[y], p[x][:, None], p[y], [s1[x][:, None], s2[x][:, None]], [s1[y], s2[y]]))
+        i, j = x[i], y[j]
+        if most is not None and len(i):
+            apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+            best = np.lexsort((rank[j], apart, i))
+            i, j = i[best], j[best]
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            there = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
+            i, j = i[there], j[there]
+        return i, j
+
+    def run(batches):
+        held = None  # lines of the open tile; the open lines that come after them pass by
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            rank = order_of(table)
+            t, tile, side, k, n, p, s1, s2 = [table.column(c).to_numpy() for c in ("t", "tile", "side", "k", "n", "p", "s1", "s2")]
+            cols = [n.astype(np.int64), p.astype(np.int64), s1.view(np.uint64), s2.view(np.uint64)]
+            edge = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (tile[1:] != tile[:-1])))
+            for low, high in zip(edge.tolist(), [*edge[1:].tolist(), len(t)], strict=True):
+                middle = low + int((side[low:high] == 0).sum())
+                y = np.arange(low, middle)
+                for at in range(middle, high, 256):
+                    i, j = partners(np.arange(at, min(at + 256, high)), y, rank, cols)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j])], names=["a", "b"])
+            low = int(edge[-1])
+            held = table.slice(low, int((side[low:] == 0).sum())).combine_chunks()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(all lines: doc_id, h, line, k), (the removed ones: doc_id, h, line)."""
     rows = scan(docs, id_col, text_col)
@@ -58,20 +118,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decided = written(later(checked(star)))
     # lines that are not decided meet the others of their blocks, tile by tile
     members = written(block.where("t is not null").select("t", "k", "n", "p", "s1", "s2").join(decided.withColumn("gone", F.lit(True)), "k", "left").join(order, "k"))
-    open_blocks = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
-    open_blocks = written(open_blocks.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-    there = members.join(open_blocks, "t")
-    x = there.where("gone is null").select("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("w").alias("wa"), F.col("s1").alias("s1a"), F.col("s2").alias("s2a"))
-    y = there.select("t", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int").alias("tile"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("w").alias("wb"), F.col("s1").alias("s1b"), F.col("s2").alias("s2b"))
-    def missing(x: str, y: str):
-        """Bits of one bitmap that the other lacks: as many tokens at least are not shared."""
-        return sum(F.bit_count(F.col(f"{s}{x}").bitwiseAND(F.bitwise_not(F.col(f"{s}{y}")))) for s in ("s1", "s2"))
-
-    share = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"), F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
-    near = (100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na"))
-    enough = 100 * share >= PERCENT * (F.col("na") + F.col("nb") - share)
-    pairs = x.join(y, ["t", "tile"]).where((F.col("wb") < F.col("wa")) & near & enough).select("a", "b")
-    near_copies = decided.unionByName(later(checked(pairs))).distinct().withColumn("all", F.lit(True))
+    for most in (FIRST, None):
+        open_blocks = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
+        open_blocks = written(open_blocks.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+        found_now = written(later(checked(tile_pairs(members.join(open_blocks, "t"), most))))
+        decided = decided.unionByName(found_now).distinct()
+        if most is not None:
+            more = found_now.withColumn("now", F.lit(True))
+            members = written(members.join(more, "k", "left").withColumn("gone", F.coalesce("gone", "now")).drop("now"))
+    near_copies = decided.withColumn("all", F.lit(True))
     fate = written(first.where("copies > 1").select("k", "w").join(near_copies, "k", "full"))
     out = lines.join(fate, "k").where(F.coalesce("all", F.lit(False)) | (F.struct("doc_id", "h", "line") > F.col("w")))
     return lines, out.select("doc_id", "h", "line")
