@@ -20,11 +20,18 @@ RUN_CHARS = 2_000_000
 _state: dict = {}
 
 
-def worker_state(key, build: Callable[[], object]):
-    """What ``build`` gives, kept for as long as this Python worker lives."""
-    if key not in _state:
-        _state[key] = build()
-    return _state[key]
+def worker_state(key: tuple, build: Callable[[], object]):
+    """What ``build`` gives, kept for as long as this Python worker lives, or until another of its kind (key[0]) is asked for."""
+    kept = _state.get(key[0])
+    if kept is None or kept[0] != key:
+        _state.pop(key[0], None)
+        kept = _state[key[0]] = (key, build())
+    return kept[1]
+
+
+def forget() -> None:
+    """Give back what other operators have left in this worker."""
+    _state.clear()
 
 
 class Memo(dict):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs, written
+from .common import forget, text_runs, written
 
 PERCENT = 80
 #: Frequent tokens that tasks hold to order by: the most frequent ones, at most so many. Others count as rare.
@@ -153,6 +153,7 @@ def signatures(rows: DataFrame, units: Units, least: int = 1) -> tuple[DataFrame
     doc_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        forget()
         held, size = [], 0
 
         def counted():
@@ -210,7 +211,7 @@ def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray
                     if k not in seen:
                         seen.add(k)
                         fresh[i] = s.size[i] >= least
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 unit, token, place, often = s.prefix(sent.value)
                 kept = fresh[unit]
