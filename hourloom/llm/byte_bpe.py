@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import Memo, map_texts
-from .tokens import encode_pieces
+from .tokens import LONG_PIECE, encode_pieces
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,6 +53,8 @@ class BacktrackingBPE:
                         self.joined[left, right] = rank
                         break
         self.may_meet.clear()
+        #: short pre-token -> its ids
+        self.known = Memo(lambda word: self.encode_pretoken(word.encode("utf-8")), 250_000)
         #: token -> its longest proper prefix that is a token that merging can reach
         self.shorter: dict[int, int | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -110,8 +112,9 @@ class BacktrackingBPE:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        known = self.known
         for word in self.find(text):
-            out += self.encode_pretoken(word.encode("utf-8"))
+            out += known[word] if len(word) <= LONG_PIECE else self.encode_pretoken(word.encode("utf-8"))
         return out
 
     def decode(self, ids) -> bytes:
@@ -124,11 +127,14 @@ class PieceEncoder:
     def __init__(self, path: str, pattern: str):
         self.bpe, self.memo = BacktrackingBPE(load_ranks(path), pattern), {}
 
-    def many(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(self.bpe.encode(p), "<u4").tobytes() for p in pieces]
+    def others(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.bpe.encode(t), "<u4").tobytes() for t in texts]
+
+    def after_space(self, words: list[str]) -> list[bytes]:
+        return self.others([" " + w for w in words])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.many)]
+        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.after_space, self.others)]
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

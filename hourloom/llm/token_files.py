@@ -34,7 +34,7 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2
 #: Ids of a frame, at least, unless the file ends.
 FRAME_IDS = 65_536
 NO_ID = -(1 << 63)
-#: Pieces that are encoded as one text.
+#: Words that are encoded as one text.
 JOINED = 2_000
 
 
@@ -136,25 +136,25 @@ class LibraryEncoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def many(self, pieces: list[str]) -> list[bytes]:
-        """Pieces of a space and other characters are encoded side by side in one text, as they may stand in one; the bytes of the ids tell where each ends."""
-        lone = [p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in pieces]
-        joined, others = [p for p, x in zip(pieces, lone, strict=True) if x], [p for p, x in zip(pieces, lone, strict=True) if not x]
-        runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
-        side: list[bytes] = []
-        for run, ids in zip(runs, self._encode(["".join(r) for r in runs]), strict=True):
-            ends = np.cumsum([len(p.encode("utf-8")) for p in run])
+    def after_space(self, words: list[str]) -> list[bytes]:
+        """Words are encoded side by side in one text, as they may stand in one; the bytes of the ids tell where each ends."""
+        runs = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for run, ids in zip(runs, self._encode(runs), strict=True):
+            raw = np.frombuffer(run.encode("utf-8"), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
             cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1)
             data, low = ids.tobytes(), 0
             for high in cuts.tolist():
-                side.append(data[low:high])
+                out.append(data[low:high])
                 low = high
-        apart = iter([x.tobytes() for x in self._encode(others)])
-        together = iter(side)
-        return [next(together) if x else next(apart) for x in lone]
+        return out
+
+    def others(self, texts: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self._encode(texts)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.many)]
+        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.after_space, self.others)]
 
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"

@@ -1,35 +1,52 @@
-"""What the three tokenizing operators share: cutting texts into pieces that can be encoded apart."""
+"""What the two byte-level tokenizing operators share: cutting texts into pieces that can be encoded apart."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from itertools import chain
 
-#: A plain space that touches other white space. Elsewhere a space always begins a new pre-token, so the text may be cut there.
-CLUMPED = re.compile(r" \s|\s ")
+#: White space other than the plain space; none is beyond U+3000.
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 #: Longer pieces are encoded each time instead of being remembered.
 LONG_PIECE = 80
 
 
+def clumped(text: str) -> bool:
+    """Whether a plain space touches other white space, or white space starts or ends the text."""
+    if text[0].isspace() or text[-1].isspace() or "  " in text:
+        return True
+    return any(c in text and (f" {c}" in text or f"{c} " in text) for c in OTHER_SPACE)
+
+
 def pieces(text: str) -> list[str]:
-    """Cut before every space, keeping the space; the whole text where spaces touch other white space or start or end it.
+    """Keys of the pieces of a text, cut before every space; the whole text where it is clumped.
+
+    A piece after a space has the characters after that space as its key; other pieces have a space before them as a mark.
 
     In the byte-level pattern a space is the first character of its match or part of a white-space run, so with lone
     spaces between other characters each piece is matched as it would be inside the text.
     """
-    if " " not in text or text[0].isspace() or text[-1].isspace() or CLUMPED.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    if " " not in text or clumped(text):
+        return [" " + text]
+    cut = text.split(" ")
+    cut[0] = " " + cut[0]
+    return cut
 
 
-def encode_pieces(texts: list[str], memo: dict, encode_many, limit: int = 600_000) -> list[list]:
-    """The remembered or newly encoded value of every piece of every text; what is missing is encoded in one call."""
+def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: Callable, limit: int = 600_000) -> list[list]:
+    """The remembered or newly encoded value of every piece of every text; what is missing is encoded in one call of each kind.
+
+    after_space: values of words without white space at their ends, each as after a space; others: values of texts.
+    """
     cut = [pieces(x) for x in texts]
-    new = list({p for ps in cut for p in ps if p not in memo})
+    found = set(chain.from_iterable(cut))
+    new = [p for p in found if p not in memo]
     if len(memo) + len(new) > limit:
         memo.clear()
-        new = list({p for ps in cut for p in ps})
-    memo.update(zip(new, encode_many(new), strict=True))
+        new = list(found)
+    words, rest = [p for p in new if p[0] != " "], [p for p in new if p[0] == " "]
+    memo.update(zip(words, after_space(words), strict=True))
+    memo.update(zip(rest, others([p[1:] for p in rest]), strict=True))
     out = [list(map(memo.__getitem__, ps)) for ps in cut]
     for p in new:
         if len(p) > LONG_PIECE:
