@@ -7,7 +7,7 @@ windows of LENGTH ids that overlap; a window scores the ids that the window befo
 in masked batches.
 
 What is learned: counts of words, of ids and of what stands before them, over all training documents; the attention model by stochastic
-gradient steps on blocks of words of every training document (its first block, and each other with a chance of TRAIN_SHARE).
+gradient steps on every block of words of every training document.
 Every task trains a copy for one pass and the copies are averaged, weighted by the ids they saw; ROUNDS times. What is gathered
 grows with the corpus; only sums over the vocabulary (bounded), parameters and the MAX_COMMON most frequent words (bounded) are sent to workers.
 Counts of all other words are joined.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import remainder, text_runs, worker_state, written
 
 LENGTH, STRIDE = 32, 24
-WIDTH, OWN_CLASSES, GROUPS, KINDS = 16, 96, 32, 1_024
+WIDTH, OWN_CLASSES, GROUPS, KINDS = 16, 160, 32, 1_024
 BUCKETS = 24  # of what stands before an id; 0 is the start of a word
-BLOCK_WORDS, TRAIN_SHARE, ROUNDS, BATCH, RATE = 24, 16, 2, 32, 0.015
+BLOCK_WORDS, ROUNDS, BATCH, RATE = 24, 1, 32, 0.015
 #: Windows scored at once: few enough that their logits stay in the processor's cache.
 SCORED_AT_ONCE = 64
 #: Words whose counts every worker holds.
@@ -319,13 +319,8 @@ def train(rows: DataFrame, make, tables: dict, rounds: int = ROUNDS) -> np.ndarr
             model = Attention(params)
             trainer, seen = Trainer(model, RATE / (1 + k)), 0
             for batch in batches:
-                for low, texts in text_runs(batch.column(1)):
-                    marks = batch.column(0).slice(low, len(texts)).to_pylist()
-                    blocks = []
-                    for mark, words in zip(marks, lower_words(texts), strict=True):
-                        n = max(1, -(-len(words) // BLOCK_WORDS))
-                        chosen = np.flatnonzero((np.arange(n) * 40503 + mark + k * 7) % TRAIN_SHARE == 0) if n > 1 else ()
-                        blocks += [words[i * BLOCK_WORDS : (i + 1) * BLOCK_WORDS] for i in {0, *chosen}]
+                for _, texts in text_runs(batch.column(0)):
+                    blocks = [words[i : i + BLOCK_WORDS] for words in lower_words(texts) for i in range(0, max(1, len(words)), BLOCK_WORDS)]
                     blocks = [blocks[i] for i in np.random.default_rng(len(blocks)).permutation(len(blocks))]
                     ids, sizes = sequences(blocks, subwords)
                     for _, z, target, valid in batches_of(ids, sizes, tables, BATCH):
@@ -334,7 +329,7 @@ def train(rows: DataFrame, make, tables: dict, rounds: int = ROUNDS) -> np.ndarr
             flat = np.concatenate([model.p[n].ravel() for n in Attention.SHAPES]).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "x", "w"])
 
-        summed = rows.select(F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), "text").mapInArrow(run, "i long, x double, w double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
+        summed = rows.select("text").mapInArrow(run, "i long, x double, w double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
         got = summed.where("w > 0").toArrow()  # a row for each parameter
         if len(got):
             i, x, w = [got.column(c).to_numpy() for c in ("i", "x", "w")]

@@ -337,6 +337,19 @@ def test_lm_base_is_exact_and_windows_score_once(spark):
         assert scored == list(range(size))
 
 
+def test_attention_is_trained_on_every_block(spark):
+    make = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    subwords = lm.Subwords(*make)
+    pairs = np.zeros((subwords.size, lm.BUCKETS), np.int64)
+    for w in (b"one", b"two"):
+        pairs[subwords([w])[0], 0] = 10
+    tables = lm.classes(pairs, 1, subwords.size)
+    blocks = [["one"] * lm.BLOCK_WORDS] * 9
+    texts = [" ".join(" ".join(["two"] * lm.BLOCK_WORDS if k == j else b) for k, b in enumerate(blocks)) for j in range(10)]
+    plain, *other = [lm.train(spark.createDataFrame([(t,)], "text string"), make, tables) for t in reversed(texts)]  # the last is without a "two"
+    assert all(np.abs(x - plain).max() > 1e-6 for x in other)
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(0)
     model = lm.Attention(lm.Attention.start(np.zeros(lm.OWN_CLASSES + lm.GROUPS)))
