@@ -2,7 +2,8 @@
 
 The model is a modified Kneser-Ney model of the characters of words, one for each language: n-grams of ORDER characters in
 padded, lower-cased words are counted by Spark over the whole corpus, the counts of lower orders and the discounts are worked
-out from them, and workers get probabilities and back-off weights as sorted arrays of 64-bit hashes. A document's perplexity
+out from them, and joins give each counted n-gram its probability. Workers get those of the MAX_GRAMS most frequent n-grams as sorted
+arrays of 64-bit hashes; those of all others are joined to the documents, so no count is dropped at any size. A document's perplexity
 is that of all characters of its words; each language has a lower and an upper bound, taken from the quartiles of the logarithms of the
 perplexities of its documents, and a document outside is rejected, as is one that fails the base rules.
 
@@ -12,18 +13,18 @@ MIN_DOCS documents, and documents with fewer than MIN_WORDS words, are judged by
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs, worker_state, written
+from .common import text_runs, written
 
 ORDER = 4
-#: Hashed n-grams that workers hold, over all languages; rarer n-grams are left to the back-off if there are more.
+#: Hashed n-grams that workers hold, over all languages; the others are joined.
 MAX_GRAMS = 3_000_000
 MIN_DOCS, MIN_WORDS = 50, 10
 #: Half the width of a band in distances between the quartiles: BAND, and SHORT over the root of the words, as short texts vary more.
@@ -32,6 +33,9 @@ BAND, SHORT = 3.5, 24.0
 SPACES, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
 # Private marks around words.
 START, END = "\x02", "\x03"
+BETWEEN = END + START * (ORDER - 1)
+#: Logarithms are summed as whole numbers of this unit, so in any order alike.
+UNIT = 1e-6
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,6 +61,11 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return c, np.flatnonzero(c != ord(START))
 
 
+def owners(units: list[str], at: np.ndarray) -> np.ndarray:
+    """Number of the unit that each position belongs to."""
+    return np.repeat(np.arange(len(units)), [len(u) + ORDER for u in units])[at]
+
+
 def window_hashes(c: np.ndarray, at: np.ndarray, n: int, end: int = 0) -> np.ndarray:
     """Hashes of the n characters up to ``end`` before each position."""
     h = np.zeros(len(at), np.uint64)
@@ -65,12 +74,6 @@ def window_hashes(c: np.ndarray, at: np.ndarray, n: int, end: int = 0) -> np.nda
     return h
 
 
-def word_of(c: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Number of the word that each position belongs to."""
-    end = c == ord(END)
-    return np.cumsum(end)[at] - end[at]
-
-
 def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A position of each different hash, and the number of each hash among them."""
     order = np.argsort(h)
@@ -80,8 +83,10 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], back
 
 
-def fold(word: bytes) -> str:
-    return word.decode("utf-8").lower().replace(START, "").replace(END, "")
+def unit(words: list[bytes]) -> str:
+    """A text for ``codes``: its words, lower-cased, each between marks."""
+    text = b" ".join(words).decode("utf-8").lower().replace(START, "").replace(END, "")
+    return text.replace(" ", BETWEEN)
 
 
 def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -98,12 +103,12 @@ def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             for low, texts in text_runs(batch.column(1)):
                 by_lang: dict = {}
                 for lang, text in zip(batch.column(0).slice(low, len(texts)).to_pylist(), texts, strict=True):
-                    by_lang.setdefault(lang, Counter()).update(text.encode().split())
-                for lang, words in by_lang.items():
-                    c, at = codes([fold(w) for w in words])
-                    times = np.fromiter(words.values(), np.int64, len(words))[word_of(c, at)]
+                    if words := text.encode().split():
+                        by_lang.setdefault(lang, []).append(unit(words))
+                for lang, units in by_lang.items():
+                    c, at = codes(units)
                     first, back = grouped(window_hashes(c, at, ORDER))
-                    n = np.bincount(back, times).astype(np.int64).tolist()
+                    n = np.bincount(back).tolist()
                     to = sums.setdefault(lang, Counter())
                     for p, k in zip(at[first].tolist(), n, strict=True):
                         to["".join(map(chr, c[p - ORDER + 1 : p + 1].tolist()))] += k
@@ -116,7 +121,7 @@ def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def kneser_ney(grams: DataFrame) -> DataFrame:
     """lang, size (n-gram length), gram, part (discounted share), for contexts: back (weight of the shorter context). Rows of one language and size are discounted alike."""
     out = None
     level = grams.select("lang", "gram", "n")
@@ -141,15 +146,33 @@ def kneser_ney(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
         out = both if out is None else out.unionByName(both)
         # the next order counts in how many contexts a shorter n-gram stands
         level = level.groupBy("lang", F.substring("gram", 2, size - 1).alias("gram")).agg(F.count("*").alias("n"))
-    model = written(out)
-    least = 1
-    while model.where(F.col("n") >= least).count() > max_grams:
-        least *= 2
-    return model.where((F.col("n") >= least) | (F.abs("size") == 1))
+    return written(out)
+
+
+def gram_logs(model: DataFrame) -> DataFrame:
+    """lang, h, n, log (log10 probability in UNITs) of every counted n-gram of ORDER characters; level by level, as each needs the next shorter one."""
+    alphabet = model.where("size = 1").groupBy(F.col("lang").alias("pl")).agg((1.0 / (F.count("*") + 1)).alias("lower"))  # a row for each language
+    shorter = None
+    for size in range(1, ORDER + 1):
+        rows = model.where(F.col("size") == size).select("lang", "gram", "n", "part")
+        backs = model.where(F.col("size") == -size).select(F.col("lang").alias("bl"), F.col("gram").alias("bg"), F.col("part").alias("back"))
+        rows = rows.join(backs, F.col("lang").eqNullSafe(F.col("bl")) & (F.substring("gram", 1, size - 1) == F.col("bg")))
+        same = F.col("lang").eqNullSafe(F.col("pl"))
+        rows = rows.join(F.broadcast(alphabet), same) if size == 1 else rows.join(shorter, same & (F.substring("gram", 2, size - 1) == F.col("pg")))
+        rows = rows.select("lang", "gram", "n", (F.col("part") + F.col("back") * F.col("lower")).alias("p"))
+        shorter = rows.select(F.col("lang").alias("pl"), F.col("gram").alias("pg"), F.col("p").alias("lower"))
+
+    def hashed(batches):
+        for batch in batches:
+            h = hashes_of(batch.column(1).to_pylist(), ORDER)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h.view(np.int64)), *batch.columns[2:]], names=["lang", "h", "n", "log"])
+
+    log = F.round(F.log10("p") / UNIT).cast("long")
+    return written(rows.select("lang", "gram", "n", log.alias("log")).mapInArrow(hashed, "lang string, h long, n long, log long"))
 
 
 class Model:
-    """The probabilities of one language."""
+    """The probabilities of one language, from all of its model at one place; what ``gram_logs`` is held against."""
 
     def __init__(self, parts: dict[int, tuple[np.ndarray, np.ndarray]], alphabet: int):
         self.parts, self.uniform = parts, 1.0 / alphabet
@@ -161,20 +184,18 @@ class Model:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return np.where(keys[at] == h, values[at], missing)
 
-    def log10(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability and number of predicted characters of each word."""
-        c, at = codes([fold(w) for w in words])
-        first, back = grouped(window_hashes(c, at, ORDER))  # all of a probability follows from the n-gram
-        once = at[first]
-        p = np.full(len(once), self.uniform)
+    def log10(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability and number of predicted characters of each unit."""
+        c, at = codes(units)
+        p = np.full(len(at), self.uniform)
         for size in range(1, ORDER + 1):
-            p = self._find(size, window_hashes(c, once, size), 0.0) + self._find(-size, window_hashes(c, once, size - 1, 1), 1.0) * p
-        owner = word_of(c, at)
-        return np.bincount(owner, np.log10(p)[back], len(words)), np.bincount(owner, minlength=len(words))
+            p = self._find(size, window_hashes(c, at, size), 0.0) + self._find(-size, window_hashes(c, at, size - 1, 1), 1.0) * p
+        owner = owners(units, at)
+        return np.bincount(owner, np.log10(p), len(units)), np.bincount(owner, minlength=len(units))
 
 
 def arrays_of(model: DataFrame) -> dict:
-    """By language and size: sorted hashes and parts. Hashes are made on the executors; MAX_GRAMS n-grams at most come to the driver, as arrays."""
+    """By language and size: sorted hashes and parts; for a model that fits in one place."""
 
     def hashed(batches):
         for batch in batches:
@@ -232,46 +253,89 @@ def repeated(words: list[bytes], window: int = 5) -> int:
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
 
 
-def score(df: DataFrame, model: DataFrame, keep: list[str], lang_col: str, text_col: str) -> DataFrame:
+def common_logs(logs: DataFrame, max_grams: int) -> tuple[dict, bool]:
+    """By language: sorted hashes and logs of the ``max_grams`` most frequent n-grams; whether there are others."""
+    others = logs.count() > max_grams
+    top = (logs.orderBy(F.desc("n"), "lang", "h").limit(max_grams) if others else logs).select("lang", "h", "log").toArrow()
+    h, log = top.column("h").to_numpy().view(np.uint64), top.column("log").to_numpy()
+    lang = np.array(top.column("lang").to_pylist(), object)
+    out = {}
+    for name in set(lang.tolist()):
+        mine = np.flatnonzero(np.equal(lang, name))
+        order = mine[np.argsort(h[mine])]
+        out[name] = (h[order], log[order])
+    return out, others
+
+
+def score(df: DataFrame, logs: DataFrame, keep: list[str], lang_col: str, text_col: str, max_grams: int = MAX_GRAMS) -> DataFrame:
     """The ``keep`` columns with SCORED; log_ppl (base 10) is null where there is nothing to score."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    sent = df.sparkSession.sparkContext.broadcast(arrays_of(model))  # MAX_GRAMS n-grams at most
-    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *T.StructType.fromDDL(SCORED)])
-    arrow, key, n = to_arrow_schema(schema), ("kneser ney", uuid.uuid4().hex), len(keep)
+    common, others = common_logs(logs, max_grams)
+    sent = df.sparkSession.sparkContext.broadcast(common)  # MAX_GRAMS n-grams at most
+    sums = "__r long, __log long, __chars long, __g string, __h long, __m long"
+    base = SCORED.removesuffix(", log_ppl double")
+    schema = T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in keep), *T.StructType.fromDDL(f"{base}, {sums}")])
+    arrow, n, nothing = to_arrow_schema(schema), len(keep), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def run(batches):
-        models = worker_state(key, lambda: {lang: Model(parts, len(parts.get(1, ((),))[0]) + 1) for lang, parts in sent.value.items()})
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low, texts in text_runs(batch.column(n + 1)):
                 langs = batch.column(n).slice(low, len(texts)).to_pylist()
                 lists = [t.encode().split() for t in texts]
-                logs: list = [None] * len(texts)
-                for lang, m in models.items():
-                    mine = [i for i, x in enumerate(langs) if x == lang and lists[i]]
-                    words = list({w for i in mine for w in lists[i]})
-                    p, chars = m.log10(words)
-                    known = dict(zip(words, (p + 1j * chars).tolist(), strict=True))  # both sums in one
-                    for i in mine:
-                        total = sum(map(known.__getitem__, lists[i]))
-                        logs[i] = -total.real / total.imag
-                cols = [*zip(*map(base_counts, texts, lists), strict=True), logs]
+                log, chars = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+                rare = []
+                for lang in set(langs):
+                    mine = np.array([i for i, x in enumerate(langs) if x == lang and lists[i]], np.int64)
+                    units = [unit(lists[i]) for i in mine]
+                    c, at = codes(units)
+                    owner = owners(units, at)
+                    h = window_hashes(c, at, ORDER)
+                    first, back = grouped(h)
+                    keys, values = sent.value.get(lang, nothing)
+                    place = np.minimum(np.searchsorted(keys, h[first]), max(len(keys) - 1, 0))
+                    there = keys[place] == h[first] if len(keys) else np.zeros(len(first), bool)
+                    value = np.where(there, values[place] if len(keys) else 0, 0)
+                    chars[mine] = np.bincount(owner, minlength=len(mine))
+                    log[mine] = np.rint(np.bincount(owner, value[back], len(mine))).astype(np.int64)  # whole numbers, so exact
+                    left = np.flatnonzero(~there[back])
+                    pair, m = np.unique(owner[left] * max(len(first), 1) + back[left], return_counts=True)
+                    rare.append((row + mine[pair // max(len(first), 1)], [lang] * len(pair), h[first][pair % max(len(first), 1)].view(np.int64), m))
                 kept = [batch.column(i).slice(low, len(texts)).cast(arrow.field(i).type) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x, arrow.field(n + i).type) for i, x in enumerate(cols)]], schema=arrow)
-
-    return df.select(*keep, F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+                counts = [pa.array(x, pa.int64()) for x in zip(*map(base_counts, texts, lists), strict=True)]
+                cols = [*kept, *counts, pa.array(row + np.arange(len(texts))), pa.array(log), pa.array(chars)]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(texts), f.type) for f in list(arrow)[len(cols) :]]], schema=arrow)
+                row += len(texts)
+                for r, lang, h, m in rare:
+                    if len(r):
+                        gap = [pa.nulls(len(r), f.type) for f in arrow]
+                        gap[n + 5], gap[n + 8], gap[n + 9], gap[n + 10] = pa.array(r), pa.array(lang, pa.string()), pa.array(h), pa.array(m.astype(np.int64))
+                        yield pa.RecordBatch.from_arrays(gap, schema=arrow)
+
+    both = df.select(*keep, F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    out, log = both, F.col("__log")
+    if others:  # what no worker holds is joined, exactly
+        both = written(both)
+        of = logs.select(F.col("lang").alias("__l2"), F.col("h").alias("__h2"), "log")
+        rest = both.where("__h is not null").select("__r", "__g", "__h", "__m").join(of, F.col("__g").eqNullSafe(F.col("__l2")) & (F.col("__h") == F.col("__h2")))
+        rest = rest.groupBy(F.col("__r").alias("__r2")).agg(F.sum(F.col("__m") * F.col("log")).alias("__more"))
+        out = both.where("__h is null").join(rest, F.col("__r") == F.col("__r2"), "left")
+        log = log + F.coalesce("__more", F.lit(0))
+    ppl = F.when(F.col("__chars") > 0, -UNIT * log / F.col("__chars"))
+    return out.select(*keep, *[x.split()[0] for x in base.split(", ")], ppl.alias("log_ppl"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judge(df: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text", band: float = BAND) -> DataFrame:
+def judge(df: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text", band: float = BAND, max_grams: int = MAX_GRAMS) -> DataFrame:
     """The ``keep`` columns of every row with SCORED, base_failed and kept."""
-    model = kneser_ney(gram_counts(df, lang_col, text_col))
+    logs = gram_logs(kneser_ney(gram_counts(df, lang_col, text_col)))
     rows = df.withColumn("__l", F.col(lang_col).cast("string"))
-    scored = written(score(rows, model, [*keep, "__l"], lang_col, text_col))
+    scored = written(score(rows, logs, [*keep, "__l"], lang_col, text_col, max_grams))
     judged = (F.col("n_words") >= MIN_WORDS) & F.col("log_ppl").isNotNull()
     q = F.percentile(F.round("log_ppl", 4), [0.25, 0.75])  # exact, so the same for every partitioning; rounded values are few
     bands = scored.where(judged).groupBy("__l").agg(q.alias("q"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)

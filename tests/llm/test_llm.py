@@ -318,6 +318,18 @@ def test_kneser_ney_sums_to_one(spark):
     assert abs(total + m.uniform * np.prod([m._find(-n, quality.window_hashes(codes, at, n - 1, 1), 1.0)[1] for n in range(1, quality.ORDER + 1)]) - 1) < 1e-6
 
 
+def test_rare_ngrams_count_beyond_what_workers_hold(spark):
+    r = random.Random(12)
+    texts = [(i, " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(30)), [None, "x", "y"][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (99, "", "x"), (100, None, None)], "doc_id long, text string, lang string")
+    whole, few = [{x.doc_id: x for x in quality.judge(docs, ["doc_id"], max_grams=k).collect()} for k in (10**6, 5)]
+    assert whole == few and whole[99].log_ppl is None
+    models = quality.arrays_of(quality.kneser_ney(quality.gram_counts(docs, "lang", "text")))
+    for i, t, lang in texts:
+        p, n = quality.Model(models[lang], len(models[lang][1][0]) + 1).log10([quality.unit(t.encode().split())])
+        assert abs(whole[i].log_ppl + p[0] / n[0]) < 2e-6
+
+
 def test_lm_base_is_exact_and_windows_score_once(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
