@@ -1,10 +1,10 @@
 """Quality rules with n-gram perplexity (operator 6).
 
-The model is a modified Kneser-Ney model of the characters of words, one for each language: n-grams of ORDER characters in
-padded, lower-cased words are counted by Spark over the whole corpus, the counts of lower orders and the discounts are worked
+The model is a modified Kneser-Ney model of the characters of word sequences, one for each language: n-grams of ORDER characters of
+the lower-cased words of a text, one after another with a mark at each border, are counted by Spark over the whole corpus, the counts of lower orders and the discounts are worked
 out from them, and joins give each counted n-gram its probability. Workers get those of the MAX_GRAMS most frequent n-grams as sorted
 arrays of 64-bit hashes; those of all others are joined to the documents, so no count is dropped at any size. A document's perplexity
-is that of all characters of its words; each language has a lower and an upper bound, taken from the quartiles of the logarithms of the
+is that of all characters of its words and of their borders; each language has a lower and an upper bound, taken from the quartiles of the logarithms of the
 perplexities of its documents, and a document outside is rejected, as is one that fails the base rules.
 
 Null texts have no words: they fail the base rules. A null language is a language of its own. Languages with fewer than
@@ -28,12 +28,12 @@ ORDER = 4
 MAX_GRAMS = 3_000_000
 MIN_DOCS, MIN_WORDS = 50, 10
 #: Half the width of a band in distances between the quartiles: BAND, and SHORT over the root of the words, as short texts vary more.
-BAND, SHORT = 3.5, 24.0
+#: Set by what labelled documents lose (README).
+BAND, SHORT = 1.0, 12.0
 # Fixed values of the base rules: white space between words, symbols.
 SPACES, SYMBOLS = " \t\n\r\x0b\x0c", "#*$%&|<>"
-# Private marks around words.
+# Private marks before a text and after each word.
 START, END = "\x02", "\x03"
-BETWEEN = END + START * (ORDER - 1)
 #: Logarithms are summed as whole numbers of this unit, so in any order alike.
 UNIT = 1e-6
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -54,9 +54,9 @@ def hashes_of(grams: list[str], n: int) -> np.ndarray:
     return h
 
 
-def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of START * (ORDER-1) + word + END of all words, end to end; where predicted characters stand."""
-    text = "".join([f"{START * (ORDER - 1)}{w}{END}" for w in words])
+def codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of START * (ORDER-1) + unit + END of all units, end to end; where predicted characters stand."""
+    text = "".join([f"{START * (ORDER - 1)}{u}{END}" for u in units])
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     return c, np.flatnonzero(c != ord(START))
 
@@ -84,9 +84,9 @@ def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unit(words: list[bytes]) -> str:
-    """A text for ``codes``: its words, lower-cased, each between marks."""
+    """A text for ``codes``: its words, lower-cased, with END between them."""
     text = b" ".join(words).decode("utf-8").lower().replace(START, "").replace(END, "")
-    return text.replace(" ", BETWEEN)
+    return text.replace(" ", END)
 
 
 def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:

@@ -330,6 +330,17 @@ def test_rare_ngrams_count_beyond_what_workers_hold(spark):
         assert abs(whole[i].log_ppl + p[0] / n[0]) < 2e-6
 
 
+def test_word_order_and_separators_count(spark):
+    r = random.Random(13)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(300)]
+    texts = [words[k : k + 100] for k in (r.randrange(200) for _ in range(120))]
+    planted = ["\n".join(reversed(texts[0])), " | ".join(texts[0]), " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(100))]
+    rows = [(i, " ".join(t), "x") for i, t in enumerate(texts)] + [(1000 + i, t, "x") for i, t in enumerate(planted)]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert got[1000].log_ppl > got[0].log_ppl + 0.01  # the same words in another order
+    assert not any(got[i].kept for i in (1000, 1001, 1002)) and sum(got[i].kept for i in range(120)) >= 114
+
+
 def test_lm_base_is_exact_and_windows_score_once(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
