@@ -8,7 +8,7 @@ looked at; in a large one, lines that the pivot does not decide meet the other l
 the positional filter and a bitmap. Of what remains, each line's most promising partners are verified first on whole sets, which decides
 most copies; then, for lines still open, all partners.
 
-Lines of fewer than MIN_TOKENS different words are left alone. Null texts have no lines and stay null. Rows that are equal in
+Lines of fewer than ``least`` different words are left alone; with 1, as in the query and the pipeline, only lines without words are. Null texts have no lines and stay null. Rows that are equal in
 id and text are the same document: equal lines of both stay or go together. A document that loses lines keeps the others, joined by \\n; an
 empty table gives an empty result. Extra columns are untouched.
 """
@@ -24,6 +24,8 @@ from .common import written
 from .setjoin import blocks, distinct, frequent_arrays, may_match, scan, sets_of, signatures, verified, word_hashes
 
 MIN_TOKENS = 5
+#: Smaller sets have no similarity of 0.8 with any other set, so only equal ones go, by their key.
+PAIRED = 4
 #: Lines of a tile of a large block, and how many partners in each tile are tried first.
 TILE, FIRST = 500, 2
 
@@ -101,7 +103,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found, counts = signatures(rows, line_units, least)
     lines = found.where("k is not null").select("doc_id", "h", "line", "k")
     first = written(lines.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line")).alias("w"), F.count("*").alias("copies")))
-    block = blocks(rows, line_units, frequent_arrays(counts), least, direct=True)
+    block = blocks(rows, line_units, frequent_arrays(counts), max(least, PAIRED), direct=True)
     order = first.select("k", "w")
 
     def later(links: DataFrame) -> DataFrame:
@@ -140,11 +142,11 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.join(lists, there, "left").drop("__d", "__h")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers, comma-joined) and text_sha256 (of what is left) of every row."""
     lines = F.split("text", "\n", -1)
     left = kept_text("text")
-    return drop_lines(docs.select("doc_id", "text")).select(
+    return drop_lines(docs.select("doc_id", "text"), least=least).select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.concat_ws(",", F.col("__removed").cast("array<string>")), F.lit("")).alias("removed"),
         F.sha2(F.coalesce(left, F.lit("")), 256).alias("text_sha256"),

@@ -25,7 +25,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), least=1)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

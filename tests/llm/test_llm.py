@@ -241,6 +241,16 @@ def test_line_dedup_is_brute_force(spark):
         assert kept.get(i, "") == "\n".join(left)
 
 
+def test_short_lines_go_too(spark, tmp_path):
+    r = random.Random(12)
+    lines = [" ".join(r.choice("abcdef") for _ in range(r.randint(0, 8))) for _ in range(120)] + ["x y z w " * 15, "w z y x"]
+    rows = [(i, t, "en", None, None) for i, t in enumerate(lines)]
+    sets = [set(t.split()) for t in lines]
+    expected = {i for i, s in enumerate(sets) if s and any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i])}
+    got = queries.op10_line_dedup(spark, put(spark, tmp_path, spark.createDataFrame(rows, DOCS))).where("n_removed > 0").collect()
+    assert {x.doc_id for x in got} == expected and any(len(sets[i]) == 1 for i in expected)
+
+
 def test_line_dedup_in_tiles_is_brute_force(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "TILE", 40)
     r = random.Random(11)
