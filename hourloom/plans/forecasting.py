@@ -9,11 +9,13 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..llm.common import written
 from ..operators import forecast as fc
 from ..operators import keyed
 from . import sql
 from .gridding import featured, shown
 
+DEPTHS = (8, 12)
 START, CUT, END = fc.TEST.train_start, fc.TEST.start, fc.TEST.end
 
 
@@ -53,6 +55,21 @@ def candidates(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def rf_candidate_ranking(s: SparkSession, d: str) -> DataFrame:
+    """Naive and the forest, fitted for every fold, history and depth (12 fits), ranked by pooled error."""
+    frame = written(featured(s, d))
+    parts = []
+    for fold in fc.FOLDS:
+        for h, start in fc.HISTORIES.items():
+            train = fc.labelled(frame, start, fold.start)
+            rows = fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), fold.start, fold.end)
+            scored = [("naive", 0, rows.withColumn("prediction", F.col("baseline")))]
+            scored += [("random_forest", depth, fc.forest_predictions(rows, fc.fit_forest(fc.warmed(train, start), depth))) for depth in DEPTHS]
+            for model, depth, both in scored:
+                parts.append(both.agg(*fc.error_sums()).select(F.lit(model).alias("model"), F.lit(h).alias("history"), F.lit(depth).alias("depth"), "*"))
+    return fc.rank_candidates(fc.pool(reduce(DataFrame.unionByName, parts), "model", "history", "depth"))
+
+
 def ranking(s: SparkSession, d: str) -> DataFrame:
     pooled = fc.pool(candidates(s, d), "model", "history", "depth")
     ranked = fc.rank_candidates(pooled)
@@ -136,6 +153,7 @@ QUERIES = {
     "rf_metrics": rf_metrics,
     "rf_reload_equal": rf_reload_equal,
     "rf_importances": rf_importances,
+    "rf_candidate_ranking": rf_candidate_ranking,
 }
 ORACLE_SQL = {
     "label_split_counts": f"WITH {sql.DENSE} " + " UNION ALL ".join([split_sql(f.name, f.start, f.end, "-") for f in (*fc.FOLDS, fc.TEST)] + [split_sql(f"train_{f.name}", start, f.start, h) for f in fc.FOLDS for h, start in fc.HISTORIES.items()]),

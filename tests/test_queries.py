@@ -46,3 +46,10 @@ def test_forest_beats_nothing_and_reloads(spark):
     assert registry.QUERIES["rf_reload_equal"](spark, D).first().differing == 0
     m = {r.model: r.mae for r in registry.QUERIES["rf_metrics"](spark, D).collect()}
     assert m["random_forest"] < m["naive"]
+
+
+def test_forests_are_ranked_over_folds(spark):
+    rows = registry.QUERIES["rf_candidate_ranking"](spark, D).collect()
+    kinds = {("naive", h, 0) for h in "AB"} | {("random_forest", h, k) for h in "AB" for k in (8, 12)}
+    assert {(r.model, r.history, r.depth) for r in rows} == kinds and len({r.n for r in rows}) == 1
+    assert [r.mae for r in rows] == sorted(r.mae for r in rows) and len({r.mae for r in rows if r.model == "random_forest"}) == 4
