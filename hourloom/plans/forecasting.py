@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..llm.common import written
 from ..operators import forecast as fc
 from ..operators import keyed
+from ..sources.shared import shared_dir, written
 from . import sql
 from .gridding import featured, shown
 
@@ -104,7 +103,7 @@ def rf_metrics(s: SparkSession, d: str) -> DataFrame:
 def rf_reload_equal(s: SparkSession, d: str) -> DataFrame:
     """Rows on which a saved and reloaded model differs from the fitted one: none."""
     model, rows = forest(s, d)
-    path = f"{(s.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints').rstrip('/')}/forest-{uuid.uuid4().hex}"
+    path = shared_dir(s, "forest")
     model.write().save(path)
     again = PipelineModel.load(path)
     a, b = [fc.forest_predictions(rows, m).select("zone", "hour", "prediction") for m in (model, again)]

@@ -10,7 +10,7 @@ classed AS (
          WHEN zone IN (23, 24) THEN 'excluded_zone_' || zone WHEN dropoff < pickup THEN 'negative_duration' WHEN dropoff = pickup THEN 'zero_duration' END AS reason
   FROM trip)"""
 
-SPARSE = """raw AS (SELECT cast(user_id % 12 AS BIGINT) AS zone, ts AS pickup, date_trunc('hour', ts) AS hour FROM events WHERE user_id < 30),
+SPARSE = """raw AS (SELECT cast(user_id % 12 AS BIGINT) AS zone, ts AS pickup, date_trunc('hour', ts) AS hour FROM events),
 inside AS (SELECT * FROM raw WHERE pickup >= TIMESTAMP '2024-01-02' AND pickup < TIMESTAMP '2024-01-29'),
 covered AS (SELECT DISTINCT hour FROM inside),
 counts AS (SELECT zone, hour, count(*) AS trips FROM inside WHERE zone NOT IN (10, 11) GROUP BY ALL),

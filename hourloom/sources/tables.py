@@ -96,8 +96,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events").where("user_id < 30")
-    return events.select(F.pmod("user_id", F.lit(12)).cast("long").alias("zone"), F.col("ts").alias("pickup"), floor_hour(F.col("ts")).alias("hour"))
+    return read(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(12)).cast("long").alias("zone"), F.col("ts").alias("pickup"), floor_hour(F.col("ts")).alias("hour"))
 
 
 def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
