@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts are taken from an Arrow batch in runs of about this many characters, so memory follows one run, not the batch.
 RUN_CHARS = 2_000_000
+#: A table is sent to every task only if its rows were counted and are no more than this; beyond, joins shuffle.
+SMALL_ROWS = 1_000_000
 
 _state: dict = {}
 

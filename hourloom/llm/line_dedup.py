@@ -3,12 +3,11 @@
 Lines are sets of words (A-Z lowered, split at white space), ordered by rarity; blocks of lines that share a token of their
 prefixes come from ``setjoin``. A line with an earlier line of Jaccard similarity 0.8 or more is removed, whether or not that earlier
 line is removed itself, so the result does not depend on any order of work. Earlier means a smaller (doc_id, hash of the text,
-line number). In a small block all pairs are
-looked at; in a large one, lines that the pivot does not decide meet the other lines of the block, cut by the length filter,
-the positional filter and a bitmap. Of what remains, each line's most promising partners are verified first on whole sets, which decides
-most copies; then, for lines still open, all partners.
+line number). In a block the length filter, the positional filter and a bitmap choose pairs. Each line's first and most promising
+partners are verified on whole sets before others, which decides most copies; in blocks where some line had more, lines still open then
+meet all others of the block, in tiles: the best of each tile, then, for lines still open, all that pass.
 
-Lines of fewer than ``least`` different words are left alone; with 1, as in the query and the pipeline, only lines without words are. Null texts have no lines and stay null. Rows that are equal in
+Lines of fewer than ``least`` different words are left alone; with 1 only lines without words are. Null texts have no lines and stay null. Rows that are equal in
 id and text are the same document: equal lines of both stay or go together. A document that loses lines keeps the others, joined by \\n; an
 empty table gives an empty result. Extra columns are untouched.
 """
@@ -21,9 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .setjoin import blocks, distinct, frequent_arrays, may_match, scan, sets_of, signatures, verified, word_hashes
+from .setjoin import best_of, blocks, distinct, frequent_arrays, may_match, scan, sets_of, signatures, small, verified, word_hashes
 
-MIN_TOKENS = 5
 #: Smaller sets have no similarity of 0.8 with any other set, so only equal ones go, by their key.
 PAIRED = 4
 #: Lines of a tile of a large block, and how many partners in each tile are tried first.
@@ -41,37 +39,23 @@ def line_units(texts: list[str]):
 
 
 def tile_pairs(members: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) that pass the filters: lines that are not gone, with earlier lines of their block, tile by tile.
+    """Pairs (a, b) that pass the filters: lines that are not gone, with other lines of their block, tile by tile.
 
-    members: t, tiles, k, n, p, s1, s2, gone, w (place in the order). most: only so many for each line and tile, those that may share most.
+    members: t, tiles, k, n, p, s, gone. most: only so many for each line and tile, those that may share most.
     """
-    cols = ["t", "tile", "side", "k", "n", "p", "s1", "s2", "w.doc_id", "w.h", "w.line"]
+    cols = ["t", "tile", "side", "k", "n", "p", "s"]
     all_lines = members.withColumn("side", F.lit(0)).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
     open_lines = members.where("gone is null").withColumn("side", F.lit(1)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     dealt = all_lines.select(*cols).unionByName(open_lines.select(*cols)).repartition(parts, "t", "tile").sortWithinPartitions("t", "tile", "side")
 
-    def order_of(table: pa.Table) -> np.ndarray:
-        """Dense ranks of the rows in the order of lines."""
-        d = pa.compute.rank(table.column("doc_id"), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
-        h, line = [table.column(c).to_numpy() for c in ("h", "line")]
-        order = np.lexsort((line, h, d))
-        new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (d, h, line)], axis=0))
-        out = np.empty(len(d), np.int64)
-        out[order] = np.cumsum(new)
-        return out
-
-    def partners(x: np.ndarray, y: np.ndarray, rank: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        n, p, s1, s2 = cols
-        i, j = np.nonzero((rank[y] < rank[x][:, None]) & may_match(n[x][:, None], n[y], p[x][:, None], p[y], [s1[x][:, None], s2[x][:, None]], [s1[y], s2[y]]))
+    def partners(x: np.ndarray, y: np.ndarray, k: np.ndarray, cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n, p, s = cols
+        i, j = np.nonzero((k[y] != k[x][:, None]) & may_match(n[x][:, None], n[y], p[x][:, None], p[y], s[x][:, None], s[y]))
         i, j = x[i], y[j]
         if most is not None and len(i):
-            apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-            best = np.lexsort((rank[j], apart, i))
-            i, j = i[best], j[best]
-            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            there = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < most
-            i, j = i[there], j[there]
+            kept, _ = best_of(i, j, np.bitwise_count(s[i] ^ s[j]).astype(np.int64), most)
+            i, j = i[kept], j[kept]
         return i, j
 
     def run(batches):
@@ -80,69 +64,67 @@ def tile_pairs(members: DataFrame, most: int | None) -> DataFrame:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            rank = order_of(table)
-            t, tile, side, k, n, p, s1, s2 = [table.column(c).to_numpy() for c in ("t", "tile", "side", "k", "n", "p", "s1", "s2")]
-            cols = [n.astype(np.int64), p.astype(np.int64), s1.view(np.uint64), s2.view(np.uint64)]
+            t, tile, side, k, n, p, s = [table.column(c).to_numpy() for c in ("t", "tile", "side", "k", "n", "p", "s")]
+            cols = [n.astype(np.int64), p.astype(np.int64), s.view(np.uint64)]
             edge = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (tile[1:] != tile[:-1])))
             for low, high in zip(edge.tolist(), [*edge[1:].tolist(), len(t)], strict=True):
                 middle = low + int((side[low:high] == 0).sum())
                 y = np.arange(low, middle)
                 for at in range(middle, high, 256):
-                    i, j = partners(np.arange(at, min(at + 256, high)), y, rank, cols)
+                    i, j = partners(np.arange(at, min(at + 256, high)), y, k, cols)
                     if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(k[i]), pa.array(k[j])], names=["a", "b"])
+                        pair = np.unique(np.stack([np.maximum(k[i], k[j]), np.minimum(k[i], k[j])]), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "b"])
             low = int(edge[-1])
             held = table.slice(low, int((side[low:] == 0).sum())).combine_chunks()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """(all lines: doc_id, h, line, k), (the removed ones: doc_id, h, line)."""
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """doc_id, h and line of the lines that go."""
     rows = scan(docs, id_col, text_col)
     found, counts = signatures(rows, line_units, least)
     lines = found.where("k is not null").select("doc_id", "h", "line", "k")
     first = written(lines.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line")).alias("w"), F.count("*").alias("copies")))
-    block = blocks(rows, line_units, frequent_arrays(counts), max(least, PAIRED), direct=True)
+    block = blocks(rows, line_units, frequent_arrays(counts), max(least, PAIRED), parity=True, few=FIRST)
     order = first.select("k", "w")
 
-    def later(links: DataFrame) -> DataFrame:
-        """The later node of each link."""
-        a, b = [order.select(F.col("k").alias(c), F.col("w").alias(f"w{c}")) for c in "ab"]
-        return links.join(a, "a").join(b, "b").select(F.when(F.col("wa") > F.col("wb"), F.col("a")).otherwise(F.col("b")).alias("k")).distinct()
-
-    def checked(pairs: DataFrame) -> DataFrame:
+    def later(pairs: DataFrame) -> DataFrame:
+        """The later line of each pair that is linked."""
         pairs = written(pairs.distinct())
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("k"))
-        return verified(pairs, sets_of(rows, lines, nodes, line_units))
-
-    star = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"))
-    decided = written(later(checked(star)))
-    # lines that are not decided meet the others of their blocks, tile by tile
-    members = written(block.where("t is not null").select("t", "k", "n", "p", "s1", "s2").join(decided.withColumn("gone", F.lit(True)), "k", "left").join(order, "k"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        place = written(order.join(nodes, "k"))
+        links = verified(pairs, sets_of(rows, place.select("w.doc_id", "w.h", "w.line"), line_units))
+        a, b = [place.select(F.col("k").alias(c), F.col("w").alias(f"w{c}")) for c in "ab"]
+        return written(links.join(a, "a").join(b, "b").select(F.when(F.col("wa") > F.col("wb"), F.col("a")).otherwise(F.col("b")).alias("k")).distinct())
+
+    decided = later(block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")))
+    # of blocks with more pairs, lines that are not decided meet the others, tile by tile
+    members = block.where("t is not null").select("t", "k", "n", "p", "s").join(decided.withColumn("gone", F.lit(True)), "k", "left")
     for most in (FIRST, None):
-        open_blocks = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
-        open_blocks = written(open_blocks.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-        found_now = written(later(checked(tile_pairs(members.join(open_blocks, "t"), most))))
-        decided = decided.unionByName(found_now).distinct()
-        if most is not None:
-            more = found_now.withColumn("now", F.lit(True))
-            members = written(members.join(more, "k", "left").withColumn("gone", F.coalesce("gone", "now")).drop("now"))
+        members = written(members)
+        wide = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
+        wide = written(wide.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
+        members = members.join(wide, "t")
+        now = later(tile_pairs(members, most))
+        decided = decided.unionByName(now).distinct()
+        members = members.drop("tiles").join(now.withColumn("now", F.lit(True)), "k", "left").withColumn("gone", F.coalesce("gone", "now")).drop("now")
     near_copies = decided.withColumn("all", F.lit(True))
     fate = written(first.where("copies > 1").select("k", "w").join(near_copies, "k", "full"))
-    out = lines.join(fate, "k").where(F.coalesce("all", F.lit(False)) | (F.struct("doc_id", "h", "line") > F.col("w")))
-    return lines, out.select("doc_id", "h", "line")
+    out = lines.join(small(fate), "k").where(F.coalesce("all", F.lit(False)) | (F.struct("doc_id", "h", "line") > F.col("w")))
+    return out.select("doc_id", "h", "line")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> DataFrame:
+def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
     """``docs`` with __removed: the ascending numbers of the lines that go; null where none goes."""
-    _, gone = removed_lines(docs, id_col, text_col, least)
+    gone = removed_lines(docs, id_col, text_col, least)
     lists = written(gone.distinct().groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.array_sort(F.collect_list("line")).alias("__removed")))
     there = F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text_col) == F.col("__h"))
-    return docs.join(lists, there, "left").drop("__d", "__h")
+    return docs.join(small(lists, "__removed"), there, "left").drop("__d", "__h")
 
 
-def report(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
+def report(docs: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers, comma-joined) and text_sha256 (of what is left) of every row."""
     lines = F.split("text", "\n", -1)
     left = kept_text("text")
@@ -159,7 +141,7 @@ def kept_text(text_col: str):
     return F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
     """``docs`` without the removed lines; documents that lose all their lines go."""
     marked = drop_lines(docs, id_col, text_col, least)
     lost = F.col("__removed").isNotNull() & (F.trim(F.regexp_replace(kept_text(text_col), r"[\s]+", "")) == "")

@@ -1,7 +1,7 @@
 """N-gram Jaccard join with signature trees (operator 2).
 
 Documents are sets of distinct shingles of five words. Blocks of documents that share a token of their prefixes come from
-``setjoin``; copies are linked to pivots there. The rest of a block goes into a signature tree: leaves hold documents, nodes the OR of
+``setjoin``; in a block that would be a leaf or few, its pairs are bounded directly there, in a larger one copies are linked to pivots. The rest of a larger block goes into a signature tree: leaves hold documents, nodes the OR of
 their bitmaps, the range of their sizes and, where it is one, their component. Two nodes are walked together; a pair of nodes
 is pruned when their components are the same, when their sizes are too far apart, or when the most that any two documents below
 them may share is less than the least they must. Pairs of documents that remain are verified on their whole sets.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .setjoin import PERCENT, PRIME_A, blocks, components, distinct, frequent_arrays, mix, scan, sets_of, signatures, starts_of, verified, word_hashes
+from .setjoin import PERCENT, PRIME_A, blocks, components, distinct, frequent_arrays, mix, scan, sets_of, signatures, small, starts_of, verified, word_hashes
 
 SHINGLE = 5
 BITS = 1024
@@ -181,27 +181,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = scan(docs, id_col, text_col)
     found, counts = signatures(rows, shingle_units)
     found = found.withColumnRenamed("n", "n_shingles")
+    first = written(found.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("m"), F.min(F.struct("doc_id", "h", "line")).alias("w")))
     block = blocks(rows, shingle_units, frequent_arrays(counts))
-    star = written(block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = written(verified(star, sets_of(rows, found, star.select(F.explode(F.array("a", "b")).alias("k")), shingle_units)))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return sets_of(rows, first.join(nodes.select("k").distinct(), "k").select("w.doc_id", "w.h", "w.line"), shingle_units)
+
+    pairs = written(block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = written(verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("k")))))
     labels = components(links)
-    # what is left: blocks that still hold several components
-    labelled = block.select("t", "k", "n").join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    # what is left: large blocks that still hold several components
+    labelled = block.where("t is not null").select("t", "k", "n").join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     labelled = written(labelled)
     several = written(labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t"))
-    rest = written(labelled.join(several, "t", "left_semi"))
-    sets = sets_of(rows, found, rest, shingle_units)
-    rest = rest.join(bitmaps(sets), "k")
-    more = written(verified(tree_pairs(rest), sets))
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    least = found.where("k is not null and n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("m"))
-    placed = least.join(labels.select(F.col("node").alias("k"), "label"), "k", "left").select("k", "m", F.coalesce("label", "k").alias("label"))
-    placed = written(placed)
-    heads = written(placed.groupBy("label").agg(F.min("m").alias("component_id")))
-    of = written(placed.join(heads, "label").select("k", "component_id"))
+    rest = written(labelled.join(small(several), "t", "left_semi"))
+    if not rest.isEmpty():
+        whole = sets(rest)
+        more = written(verified(tree_pairs(rest.join(bitmaps(whole), "k")), whole))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    ends = labels.select(F.col("node").alias("k"), "label").unionByName(labels.select(F.col("label").alias("k"), "label")).distinct()  # a component's head has no label of its own
+    placed = written(first.select("k", "m").join(ends, "k").select("k", "m", "label"))
+    heads = placed.groupBy("label").agg(F.min("m").alias("component_id"))
+    linked = placed.join(heads, "label").select("k", "component_id")
+    alone = first.select("k", F.col("m").alias("own"))
+    of = alone.join(small(written(linked)), "k", "left").select(F.col("k").alias("kk"), F.coalesce("component_id", "own").alias("component_id"))
     empty = F.when(F.col("n_shingles") > 0, F.col("k"))  # no key: never joined
-    out = found.withColumn("kk", empty).join(of.withColumnRenamed("k", "kk"), "kk", "left")
+    out = found.withColumn("kk", empty).join(of, "kk", "left")
     return out.select("doc_id", "h", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -5,8 +5,9 @@ the set. Tokens are ordered by rarity: those that the corpus-wide count finds fr
 by hash. Two sets of Jaccard similarity t or more share one of the first n - ceil(t n) + 1 tokens of each, so rows of a node
 for each of these tokens (a block) meet all links. The order is the same everywhere, which is all that correctness needs.
 
-In each block, or part of a large one, every node is first paired with the earliest (its pivot) only. Groups of copies come
-together that way in linear work. What is left to compare is then few rows, and each join has its own way with them.
+A block that one task can hold is compared there: pairs that pass the length, positional and bitmap filters leave it, all of
+them or for each node a few, as the join asks. Of a larger block, or one cut in parts, every node is first paired with the earliest (its pivot)
+only, so groups of copies come together in linear work; its rows leave too, and each join has its own way with what is then still open.
 """
 
 from __future__ import annotations
@@ -19,20 +20,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, text_runs, written
+from .common import SMALL_ROWS, forget, text_runs, written
 
 PERCENT = 80
 #: Frequent tokens that tasks hold to order by: the most frequent ones, at most so many. Others count as rare.
 MAX_FREQUENT = 400_000
 #: Count from which a token is frequent; below, its block is small.
 FREQUENT = 64
-#: Parts of the block of a frequent token.
-PARTS = 32
+#: Rows for each part of the block of a frequent token, and most parts.
+PART_ROWS, MAX_PARTS = 4_096, 32_767
 #: Tokens counted together in a task, and the least count there that is sent on.
 COUNT_RUN, COUNT_LEAST = 3_000_000, 4
 
-#: Rows of a block of which all pairs are looked at, and rows that are held until a block is complete; larger ones go on as rows.
-SMALL, HELD = 96, 8_192
+#: Rows of a block that are compared side by side with other blocks, and rows that are held until a block is complete; larger ones go on as rows.
+SMALL, HELD = 64, 4_096
+#: Sizes and places in a packed row; larger ones are held to pass the filters.
+FIELD = 24
+MOST = (1 << FIELD) - 1
 
 PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -95,6 +99,10 @@ def distinct(owner: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarr
 Units = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
+#: tokens ascending, ranks, parts
+Frequent = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class Sets:
     """The sets of a run of texts, ragged: sizes, nodes and tokens."""
 
@@ -103,24 +111,27 @@ class Sets:
         n = len(self.text)
         self.size = np.bincount(self.owner, minlength=n)
         self.start = starts_of(self.size)
-        full = np.flatnonzero(self.size)
-        first = self.start[full]
-        total, self.bits = np.zeros(n, np.uint64), np.zeros((2, n), np.uint64)  # a token sets one of 128 bits
-        if len(full):
-            total[full] = np.add.reduceat(mix(self.token * PRIME_A), first)
-            bit = mix(self.token)
-            half, one = (bit >> np.uint64(9)) & np.uint64(1), np.uint64(1) << ((bit >> np.uint64(20)) % np.uint64(64))
-            for k in (0, 1):
-                self.bits[k][full] = np.bitwise_or.reduceat(np.where(half == k, one, np.uint64(0)), first)
+        self.full = np.flatnonzero(self.size)
+        total = np.zeros(n, np.uint64)
+        if len(self.full):
+            total[self.full] = np.add.reduceat(mix(self.token * PRIME_A), self.start[self.full])
         self.node = mix(total + self.size.astype(np.uint64) * PRIME_A).view(np.int64)
 
-    def prefix(self, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """unit, token, place and whether it is frequent for the tokens of every unit's prefix."""
-        keys, ranks = frequent
-        rank = np.zeros(len(self.token), np.int64)
+    def parities(self) -> np.ndarray:
+        """For each set 64 bits: whether an odd number of its tokens falls on each. Two sets differ in at least as many tokens as bits."""
+        out = np.zeros(len(self.size), np.uint64)
+        if len(self.full):
+            out[self.full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(self.token) >> np.uint64(58)), self.start[self.full])
+        return out
+
+    def prefix(self, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """unit, token, place and number of parts of the token's block for the tokens of every unit's prefix."""
+        keys, ranks, parts = frequent
+        rank, cut = np.zeros(len(self.token), np.int64), np.ones(len(self.token), np.int64)
         if len(keys):
             at = np.minimum(np.searchsorted(keys, self.token), len(keys) - 1)
-            rank = np.where(keys[at] == self.token, ranks[at], 0)
+            there = keys[at] == self.token
+            rank, cut = np.where(there, ranks[at], 0), np.where(there, parts[at], 1)
         place = np.arange(len(rank)) - self.start[self.owner]
         if not rank.any():
             order = np.arange(len(rank))
@@ -132,15 +143,17 @@ class Sets:
         length = self.size - (PERCENT * self.size + 99) // 100 + 1
         kept = place < length[self.owner]
         order = order[kept]
-        return self.owner[kept], self.token[order], place[kept], rank[order] > 0
+        return self.owner[kept], self.token[order], place[kept], cut[order]
 
 
-def may_match(n1, n2, p1, p2, bits1, bits2) -> np.ndarray:
+def may_match(n1, n2, p1, p2, s1=None, s2=None) -> np.ndarray:
     """Length, positional and bitmap filters: False where sets that first share tokens at these places cannot be linked."""
     most = np.minimum(n1 - p1, n2 - p2)
-    for a, b, n in ((bits1, bits2, n1), (bits2, bits1, n2)):
-        most = np.minimum(most, n - sum(np.bitwise_count(x & ~y).astype(np.int64) for x, y in zip(a, b, strict=True)))
-    return (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1) & (100 * most >= PERCENT * (n1 + n2 - most))
+    total = n1 + n2
+    if s1 is not None:
+        most = np.minimum(most, (total - np.bitwise_count(s1 ^ s2)) // 2)
+    near = (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1) & (100 * most >= PERCENT * (total - most))
+    return near | (np.maximum(n1, n2) == MOST)  # a size that did not fit
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,24 +196,45 @@ def signatures(rows: DataFrame, units: Units, least: int = 1) -> tuple[DataFrame
     return both.where("t is null").drop("t", "c"), both.where("t is not null").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
 
 
-def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens ascending, and their ranks from 1 (the rarest of them)."""
+def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> Frequent:
+    """The most frequent tokens ascending, their ranks from 1 (the rarest of them) and the parts of their blocks."""
     top = counts.orderBy(F.desc("c"), "t").limit(limit).toArrow()  # limit rows at most
     t, c = [top.column(x).to_numpy() for x in ("t", "c")]
-    keys = t[np.lexsort((t, c))].view(np.uint64)
+    up = np.lexsort((t, c))
+    keys = t[up].view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], (np.arange(len(keys)) + 1)[order]
-
-
-def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray], least: int = 1, direct: bool = False) -> DataFrame:
-    """t, k, n, p, s1, s2 (bitmap) and pivot for the nodes of each block that has several or is in parts; pivot is the node itself where the filters exclude a link.
-
-    direct: of a block of SMALL rows or fewer all pairs that pass the filters come instead, as k and pivot, with null for t.
+    return keys[order], (np.arange(len(keys)) + 1)[order], np.minimum(-(-c[up] // PART_ROWS), MAX_PARTS)[order]
+
+
+def best_of(i: np.ndarray, j: np.ndarray, apart: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of each i (rows in order) the one with the first j, and those least apart, ``few`` in all; which i have more."""
+    if not len(i):
+        return np.zeros(0, bool), i
+    by_place = np.lexsort((j, i))
+    first = by_place[np.append(True, i[by_place][1:] != i[by_place][:-1])]
+    apart = apart.copy()
+    apart[first] = -1
+    order = np.lexsort((j, apart, i))
+    start = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
+    size = np.diff(np.append(start, len(i)))
+    kept = np.zeros(len(i), bool)
+    kept[order[np.arange(len(i)) - np.repeat(start, size) < few]] = True
+    return kept, i[order][start][size > few]
+
+
+def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, parity: bool = False, few: int | None = None) -> DataFrame:
+    """Pairs of nodes that may be linked (k and pivot, with null for t), and rows t, k, n, p, s, pivot of blocks that have more to compare.
+
+    A row's pivot is the earliest node of its block or part; the node itself where the filters exclude a link.
+    few: of a block, only so many pairs of each node with earlier ones; the rows of the block come where a node has more.
+    Otherwise all pairs of blocks of SMALL rows or fewer come, and of others the rows. parity: with the bitmap filter.
     """
     spark = rows.sparkSession
-    sent = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT pairs at most
+    sent = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT tokens at most
+    made = ["t", "o", "k", "m"] + ["s"] * parity
 
     def emit(batches):
+        forget()
         seen: set[int] = set()
         for batch in batches:
             order = pa.compute.fill_null(pa.compute.cast(batch.column(0), pa.int64(), safe=False) if not pa.types.is_string(batch.column(0).type) else batch.column(1), -(1 << 63))
@@ -213,91 +247,142 @@ def blocks(rows: DataFrame, units: Units, frequent: tuple[np.ndarray, np.ndarray
                         fresh[i] = s.size[i] >= least
                 if len(seen) > 500_000:
                     seen.clear()
-                unit, token, place, often = s.prefix(sent.value)
+                unit, token, place, parts = s.prefix(sent.value)
                 kept = fresh[unit]
-                unit, token, place, often = unit[kept], token[kept], place[kept], often[kept]
+                unit, token, place, parts = unit[kept], token[kept], place[kept], parts[kept]
                 o = order.slice(low, len(texts)).to_numpy(zero_copy_only=False)[s.text[unit]]
-                part = np.where(often, s.node[unit] % PARTS, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(part.astype(np.int32)), pa.array(o.astype(np.int64)), pa.array(s.node[unit]), pa.array(s.size[unit].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(b[unit].view(np.int64)) for b in s.bits]], names=["t", "part", "o", "k", "n", "p", "s1", "s2"])
+                part = np.where(parts > 1, 1 + s.node[unit] % np.maximum(parts, 1), 0)
+                packed = (part << (2 * FIELD)) | (np.minimum(s.size[unit], MOST) << FIELD) | np.minimum(place, MOST)
+                cols = [token.view(np.int64), o.astype(np.int64), s.node[unit], packed]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, *([s.parities()[unit].view(np.int64)] if parity else []))], names=made)
 
-    def of(a: list[np.ndarray], t: bool = True) -> pa.RecordBatch:
-        rows = [pa.array(x) for x in a]
-        return pa.RecordBatch.from_arrays(rows if t else [pa.nulls(len(a[1]), pa.int64()), *rows[1:]], names=["t", "k", "n", "p", "s1", "s2", "pivot"])
+    def of(t: np.ndarray | None, cols: list[np.ndarray], pivot: np.ndarray) -> pa.RecordBatch:
+        k, n, p, s = [pa.array(x) for x in cols]
+        n, p = n.cast(pa.int32()), p.cast(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()) if t is None else pa.array(t), k, n, p, s, pa.array(pivot)], names=["t", "k", "n", "p", "s", "pivot"])
 
     def match(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        """The filters, on columns k, n, p, s1, s2."""
-        return may_match(a[1].astype(np.int64), b[1].astype(np.int64), a[2], b[2], [x.astype(np.int64).view(np.uint64) for x in a[3:]], [x.astype(np.int64).view(np.uint64) for x in b[3:]])
+        """The filters, on columns k, n, p, s."""
+        bits = [x[3].astype(np.int64).view(np.uint64) for x in (a, b)] if parity else []
+        return may_match(a[1], b[1], a[2], b[2], *bits)
+
+    def inner(cols: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (later, earlier) of rows of these blocks that pass the filters, of SMALL rows or fewer each."""
+        rows = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        place, i, j = rows - np.repeat(start, size), [], []
+        for d in range(1, int(size.max()) if len(size) else 0):  # rows d apart
+            far = rows[place >= d]
+            hit = match([c[far] for c in cols], [c[far - d] for c in cols]) & (cols[0][far] != cols[0][far - d])
+            i.append(far[hit])
+            j.append(far[hit] - d)
+        return (np.concatenate(i), np.concatenate(j)) if i else (rows[:0], rows[:0])
+
+    def wide(cols: list[np.ndarray], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one larger block: each row meets those of sizes that fit."""
+        by_size = low + np.argsort(cols[1][low:high], kind="stable")
+        n, i, j = cols[1][by_size], [], []
+        for a in range(0, high - low, 256):
+            x = by_size[a : a + 256]
+            b = int(np.searchsorted(n, -(-PERCENT * n[a] // 100))) if n[min(a + 256, len(n)) - 1] < MOST else 0
+            y = by_size[b : min(a + 256, len(n))]  # of equal size or smaller
+            hit = match([c[x][:, None] for c in cols], [c[y] for c in cols]) & (cols[0][x][:, None] != cols[0][y]) & (np.arange(a, a + len(x))[:, None] > np.arange(b, b + len(y)))
+            u, v = np.nonzero(hit)
+            i.append(np.maximum(x[u], y[v]))
+            j.append(np.minimum(x[u], y[v]))
+        return np.concatenate(i), np.concatenate(j)
 
     def whole(t: np.ndarray, cols: list[np.ndarray]):
-        """Blocks that are complete: pairs of the small ones, rows of the others."""
+        """Complete blocks."""
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         size = np.diff(np.append(start, len(t)))
-        block_size, first = np.repeat(size, size), np.repeat(start, size)
-        large = block_size > (SMALL if direct else 1)
-        pivot = np.where(match(cols, [x[first] for x in cols]), cols[0][first], cols[0])
-        yield of([x[large] for x in (t, *cols, pivot)])
-        at, place = np.flatnonzero(~large & (block_size > 1)), np.arange(len(t)) - first
-        for d in range(1, SMALL):  # rows d apart in a block
-            at = at[place[at] + d < block_size[at]]
-            if not len(at):
-                break
-            x, y = [c[at] for c in cols], [c[at + d] for c in cols]
-            hit = match(x, y) & (x[0] != y[0])
-            if hit.any():
-                yield of([t[at][hit], *[c[hit] for c in x], y[0][hit]], False)
+        small = (size > 1) & (size <= SMALL)
+        i, j = inner(cols, start[small], size[small])
+        large = np.flatnonzero(size > SMALL)
+        if few is None:
+            rows = np.repeat(start[large], size[large])
+            rows = rows + np.arange(len(rows)) - np.repeat(np.cumsum(size[large]) - size[large], size[large])
+            first = np.repeat(start[large], size[large])
+        else:
+            more = [wide(cols, start[b], start[b] + size[b]) for b in large.tolist()]
+            i, j = np.concatenate([i, *[x for x, _ in more]]), np.concatenate([j, *[x for _, x in more]])
+            apart = np.bitwise_count((cols[3][i] ^ cols[3][j]).view(np.uint64)).astype(np.int64)
+            kept, beyond = best_of(i, j, apart, few)
+            i, j = i[kept], j[kept]
+            still = np.unique(np.searchsorted(start, beyond, "right") - 1)  # blocks with more pairs
+            rows = np.repeat(start[still], size[still])
+            rows = rows + np.arange(len(rows)) - np.repeat(np.cumsum(size[still]) - size[still], size[still])
+            first = rows  # their pairs are out: no pivot
+        if len(i):
+            pair = np.unique(np.stack([np.maximum(cols[0][i], cols[0][j]), np.minimum(cols[0][i], cols[0][j])]), axis=1)
+            none = np.zeros(pair.shape[1], np.int64)
+            yield of(None, [pair[0], none, none, none], pair[1])
+        if len(rows):
+            mine, head = [c[rows] for c in cols], [c[first] for c in cols]
+            yield of(t[rows], mine, np.where(match(mine, head), head[0], mine[0]))
 
     def gather(batches):
-        last = head = None  # the open block in parts: token and part, first row
-        carry: list[np.ndarray] | None = None  # rows of the open block of a rare token
-        huge = None  # its token, if its rows are no longer held
+        last = head = None  # the open part of a block in parts: token and part, first row
+        carry: list[np.ndarray] | None = None  # rows of the open block in one part
+        huge = None  # its token and first row, if its rows are no longer held
         for batch in batches:
-            t, part, _, *cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            often = part >= 0
-            if often.any():
-                bt, bp, bc = t[often], part[often], [x[often] for x in cols]
+            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(made))]
+            t, k, m = got[0], got[2], got[3]
+            part = m >> (2 * FIELD)
+            cols = [k, (m >> FIELD) & MOST, m & MOST, got[4] if parity else np.zeros(len(k), np.int64)]
+            cut = part > 0
+            if cut.any():
+                bt, bp, bc = t[cut], part[cut], [x[cut] for x in cols]
                 new = np.append(last != (int(bt[0]), int(bp[0])), (bt[1:] != bt[:-1]) | (bp[1:] != bp[:-1]))
                 first = np.maximum.accumulate(np.where(new, np.arange(len(bt)), -1))
-                piv = [np.where(first >= 0, x[first], y) for x, y in zip(bc, head or [0] * 5, strict=True)]
-                yield of([bt, *bc, np.where(match(bc, piv), piv[0], bc[0])])
+                piv = [np.where(first >= 0, x[first], y) for x, y in zip(bc, head or [0] * 4, strict=True)]
+                yield of(bt, bc, np.where(match(bc, piv), piv[0], bc[0]))
                 last, head = (int(bt[-1]), int(bp[-1])), [int(x[-1]) for x in piv]
-            if not often.all():
-                rare = [x[~often] for x in (t, *cols)]
+            if not cut.all():
+                one = [x[~cut] for x in (t, *cols)]
                 if huge is not None:
-                    n = int((rare[0] == huge).sum())  # they come first
-                    yield of([*[x[:n] for x in rare], rare[1][:n]])
-                    rare = [x[n:] for x in rare]
-                    if not len(rare[0]):
+                    n = int((one[0] == huge[0]).sum())  # they come first
+                    more = [x[:n] for x in one[1:]]
+                    yield of(one[0][:n], more, np.where(match(more, huge[1]), huge[1][0], more[0]))
+                    one = [x[n:] for x in one]
+                    if not len(one[0]):
                         continue
                     huge = None
                 if carry is not None:
-                    rare = [np.concatenate([a, b]) for a, b in zip(carry, rare, strict=True)]
-                n = int(np.flatnonzero(np.append(True, rare[0][1:] != rare[0][:-1]))[-1])
+                    one = [np.concatenate([a, b]) for a, b in zip(carry, one, strict=True)]
+                n = int(np.flatnonzero(np.append(True, one[0][1:] != one[0][:-1]))[-1])
                 if n:
-                    yield from whole(rare[0][:n], [x[:n] for x in rare[1:]])
-                carry = [x[n:] for x in rare]
+                    yield from whole(one[0][:n], [x[:n] for x in one[1:]])
+                carry = [x[n:] for x in one]
                 if len(carry[0]) > HELD:
-                    yield of([*carry, carry[1]])
-                    huge, carry = int(carry[0][0]), None
+                    head_row = [x[:1] for x in carry[1:]]
+                    yield of(carry[0], carry[1:], np.where(match(carry[1:], head_row), head_row[0], carry[1]))
+                    huge, carry = (int(carry[0][0]), head_row), None
         if carry is not None:
             yield from whole(carry[0], carry[1:])
 
-    emitted = rows.mapInArrow(emit, "t long, part int, o long, k long, n int, p int, s1 long, s2 long")
-    dealt = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "t", "part").sortWithinPartitions("t", "part", "o", "k")
-    return written(dealt.mapInArrow(gather, "t long, k long, n int, p int, s1 long, s2 long, pivot long"))
+    emitted = rows.mapInArrow(emit, ", ".join(f"{c} long" for c in made))
+    part = F.shiftright("m", 2 * FIELD)
+    dealt = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "t", part).sortWithinPartitions("t", part, "o", "k")
+    return written(dealt.mapInArrow(gather, "t long, k long, n int, p int, s long, pivot long"))
+
 
+def small(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """``df`` (written), marked to be sent to every task if it has at most SMALL_ROWS rows (and elements of the list ``weight``); else as it is, to be joined by a shuffle."""
+    n, elements = df.agg(F.count("*"), F.sum(F.size(weight)) if weight else F.lit(0)).first()
+    return F.broadcast(df) if max(n, elements or 0) <= SMALL_ROWS else df
 
-def sets_of(rows: DataFrame, found: DataFrame, needed: DataFrame, units: Units) -> DataFrame:
-    """k and tokens of the nodes of ``needed``, made anew from one row each of those in ``found``."""
-    place = found.join(needed.select("k").distinct(), "k").groupBy("k").agg(F.min(F.struct("doc_id", "h", "line")).alias("w"))
-    lines = place.select("w.doc_id", "w.h", "w.line").groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines"))  # lines of one row
+
+def sets_of(rows: DataFrame, place: DataFrame, units: Units) -> DataFrame:
+    """k and tokens of nodes, made anew from the rows at ``place`` (doc_id, h, line: one for each node)."""
+    lines = written(place.groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines")))  # lines of one row
     there = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.h") == F.col("l.h"))
-    chosen = rows.alias("r").join(written(lines).alias("l"), there).select("l.lines", "r.text")
+    chosen = rows.alias("r").join(small(lines, "lines").alias("l"), there).select("l.lines", "r.text")
 
     def run(batches):
         for batch in batches:
             for low, texts in text_runs(batch.column(1)):
                 s = Sets(units, texts)
-                wanted = batch.column(0).slice(low, len(texts)).to_pylist()
+                wanted = [set(x) for x in batch.column(0).slice(low, len(texts)).to_pylist()]
                 hit = np.flatnonzero(np.fromiter((line in wanted[t] for t, line in zip(s.text.tolist(), s.line.tolist(), strict=True)), bool, len(s.text)))
                 ends = np.cumsum(s.size[hit])
                 index = np.repeat(s.start[hit] - (ends - s.size[hit]), s.size[hit]) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -316,11 +401,11 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * same >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node and label (the least node that links lead to) of all nodes that have links, by alternating large and small stars."""
+def components(links: DataFrame) -> DataFrame:
+    """node and label (the least node that links lead to) of all nodes that have links, by alternating large and small stars until nothing changes."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(ways.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -332,6 +417,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -229,7 +229,7 @@ def test_line_dedup_is_brute_force(spark):
     for row in docs.orderBy("doc_id").collect():
         for k, line in enumerate(row.text.split("\n") if row.text is not None else ()):
             s = set(line.encode().lower().split())
-            if len(s) >= 5:
+            if s:
                 if any(100 * len(s & x) >= 80 * len(s | x) for x in before):
                     gone[row.doc_id].append(k)
                 before.append(s)
@@ -264,7 +264,7 @@ def test_line_dedup_in_tiles_is_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(lines, "doc_id long, text string")
     sets = [set(t.split()) for _, t in lines]
     expected = {i for i, s in enumerate(sets) if any(100 * len(s & o) >= 80 * len(s | o) for o in sets[:i])}
-    _, gone = line_dedup.removed_lines(docs)
+    gone = line_dedup.removed_lines(docs)
     assert {x.doc_id for x in gone.collect()} == expected and 0 < len(expected) < 400
 
 
@@ -282,12 +282,27 @@ def test_words_and_sets_are_pythons():
         assert all((np.diff(s.token[a : a + n].astype(object)) > 0).all() for a, n in zip(s.start.tolist(), s.size.tolist(), strict=True))
         keys = np.unique(s.token)[::2]
         rank = dict(zip(keys.tolist(), (np.arange(len(keys)) + 1).tolist(), strict=True))
-        unit, token, place, often = s.prefix((keys, np.arange(len(keys)) + 1))
+        unit, token, place, parts = s.prefix((keys, np.arange(len(keys)) + 1, np.full(len(keys), 3)))
         for u in range(len(s.size)):
             own = sorted(s.token[s.start[u] : s.start[u] + s.size[u]].tolist(), key=lambda x: (rank.get(x, 0), x))
             n = len(own) - -(-80 * len(own) // 100) + 1 if own else 0
             assert token[unit == u].tolist() == own[:n] and place[unit == u].tolist() == list(range(n))
-            assert often[unit == u].tolist() == [x in rank for x in own[:n]]
+            assert parts[unit == u].tolist() == [3 if x in rank else 1 for x in own[:n]]
+        odd = s.parities()
+        assert all(odd[u] == np.bitwise_xor.reduce([np.uint64(0), *(np.uint64(1) << (setjoin.mix(s.token[s.start[u] : s.start[u] + s.size[u]]) >> np.uint64(58)))]) for u in range(len(s.size)))
+
+
+@pytest.mark.parametrize("small, held, part_rows, frequent", [(64, 4096, 4096, 64), (2, 4, 4096, 10**9), (3, 6, 2, 4)])
+def test_every_way_of_comparing_a_block_finds_all_links(spark, monkeypatch, small, held, part_rows, frequent):
+    """Blocks side by side, held, too large to hold, and cut in parts give the same rows."""
+    from hourloom.llm import setjoin
+
+    for name, value in (("SMALL", small), ("HELD", held), ("PART_ROWS", part_rows), ("FREQUENT", frequent), ("COUNT_LEAST", 1)):
+        monkeypatch.setattr(setjoin, name, value)
+    monkeypatch.setattr(line_dedup, "TILE", 5)
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    test_ngram_join_is_brute_force(spark)
+    test_line_dedup_is_brute_force(spark)
 
 
 def test_language_on_held_out_documents(spark):
