@@ -46,3 +46,15 @@ def us_clock_changes(year: int) -> list[date]:
         raise ValueError("the rule holds from 2007")
     march, november = date(year, 3, 8), date(year, 11, 1)
     return [d + timedelta((6 - d.weekday()) % 7) for d in (march, november)]
+
+
+def clock_change(year: Column, spring: bool) -> Column:
+    """Midnight of the second Sunday of March or the first of November of a year from 2007 on."""
+    first = F.make_date(year.cast("int"), F.lit(3 if spring else 11), F.lit(1))
+    sunday = F.next_day(F.date_sub(first, 1), "Sun")
+    day = F.date_add(sunday, 7 if spring else 0).cast("timestamp_ntz")
+    return F.when(year < 2007, F.raise_error(F.lit("the rule holds from 2007")).cast("timestamp_ntz")).otherwise(day)
+
+
+def masked_day(c: Column, days: tuple[str, ...]) -> Column:
+    return F.to_date(c).isin([F.to_date(F.lit(d)) for d in days]) if days else F.lit(False)

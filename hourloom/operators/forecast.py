@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import inside, ntz
+from ..sources import files
 
 FEATURES = ("lag_1", "lag_2", "lag_24", "lag_168", "mean_24", "mean_168", "hour_of_day", "weekday")
 
@@ -28,6 +29,21 @@ FOLDS = tuple(Fold(f"fold_{k}", "2024-01-01 00:00:00", f"2024-01-{a} 00:00:00",
 TEST = Fold("test", "2024-01-01 00:00:00", "2024-01-28 00:00:00", "2024-01-31 00:00:00")
 HISTORIES = {"A": "2024-01-08 00:00:00", "B": "2024-01-01 00:00:00"}
 
+ROLES = ("train", "validation", "final_train", "test")
+
+
+def role_span(history: str, role: str, fold: int = 0) -> tuple[str, str]:
+    """Start and end (exclusive) of a role; an unknown role is an error."""
+    if role == "train":
+        return HISTORIES[history], FOLDS[fold].start
+    if role == "validation":
+        return FOLDS[fold].start, FOLDS[fold].end
+    if role == "final_train":
+        return HISTORIES[history], TEST.start
+    if role == "test":
+        return TEST.start, TEST.end
+    raise ValueError(f"unknown role: {role}")
+
 
 def labelled(frame: DataFrame, start: str, end: str) -> DataFrame:
     return frame.where(inside(F.col("hour"), start, end) & F.col("eligible"))
@@ -60,11 +76,16 @@ def baseline(frame: DataFrame, means: DataFrame, overall: DataFrame) -> DataFram
     return out.withColumns({"baseline": F.greatest(F.lit(0.0), value), "method": method})
 
 
-def hybrid(frame: DataFrame, predicted: Column) -> DataFrame:
-    """``predicted`` where the features are complete, else the baseline under a fallback's name: a union of disjoint rows."""
-    whole = frame.where("features_complete").withColumns({"prediction": F.greatest(F.lit(0.0), predicted), "method": F.lit("random_forest")})
+def with_fallback(whole: DataFrame, frame: DataFrame) -> DataFrame:
+    """Predictions of rows with complete features, not below 0, and the baseline of all others under a fallback's name: a union of disjoint rows."""
     rest = frame.where("not features_complete").withColumns({"prediction": F.col("baseline"), "method": F.concat(F.lit("fallback_"), "method")})
-    return whole.unionByName(rest)
+    floored = whole.withColumns({"prediction": F.greatest(F.lit(0.0), "prediction"), "method": F.lit("random_forest")})
+    return floored.select(rest.columns).unionByName(rest)
+
+
+def hybrid(frame: DataFrame, predicted: Column) -> DataFrame:
+    """``predicted`` where the features are complete, else the baseline."""
+    return with_fallback(frame.where("features_complete").withColumn("prediction", predicted), frame)
 
 
 def error_sums(prediction: str = "prediction", actual: str = "target") -> list[Column]:
@@ -96,6 +117,18 @@ def demand_group(mean: Column) -> Column:
     return F.when(mean < 1, "lt_1").when(mean < 10, "lt_10").otherwise("10_plus")
 
 
+def guarded(folds: DataFrame) -> DataFrame:
+    """Sums of candidates by fold: the forests', and the naive ones beside them. An error where candidates of one fold scored different rows, or the naive sums of a fold and history change with the depth."""
+    w = folds.groupBy("fold").agg(F.count_distinct("n", "naive_n").alias("sizes"), F.max(F.abs(F.col("n") - F.col("naive_n"))).alias("gap"))
+    naive = folds.groupBy("fold", "history").agg(F.min("naive_absolute_error").alias("low"), F.max("naive_absolute_error").alias("high"), *[F.min(f"naive_{c}").alias(c) for c in ("n", "squared_error", "actual_sum")])
+    checked = folds.join(w, "fold")
+    n = F.when((F.col("sizes") != 1) | (F.col("gap") != 0), F.raise_error(F.lit("candidates have scored different rows")).cast("long")).otherwise(F.col("n"))
+    forests = checked.select(F.lit("random_forest").alias("model"), "history", "depth", n.alias("n"), "absolute_error", "squared_error", "actual_sum")
+    moved = F.col("high") - F.col("low") > 1e-10 * F.greatest(F.col("high"), F.lit(1.0))
+    error = F.when(moved, F.raise_error(F.lit("the baseline changed between candidates")).cast("double")).otherwise(F.col("low"))
+    return forests.unionByName(naive.select(F.lit("naive").alias("model"), "history", F.lit(0).alias("depth"), "n", error.alias("absolute_error"), "squared_error", "actual_sum"))
+
+
 def rank_candidates(metrics: DataFrame) -> DataFrame:
     """Best first: least error, then naive, short history, shallow; all must have scored the same rows."""
     same = metrics.agg(F.count_distinct("n").alias("k"))
@@ -113,10 +146,20 @@ def fit_forest(train: DataFrame, depth: int = 8, trees: int = 20, seed: int = 42
 
 def forest_predictions(frame: DataFrame, model: PipelineModel) -> DataFrame:
     """Forest where the features are complete, baseline elsewhere."""
-    whole = model.transform(frame.where("features_complete")).withColumn("prediction", F.greatest(F.lit(0.0), "prediction")).withColumn("method", F.lit("random_forest"))
-    rest = frame.where("not features_complete").withColumns({"prediction": F.col("baseline"), "method": F.concat(F.lit("fallback_"), "method")})
-    return whole.select(rest.columns).unionByName(rest)
+    return with_fallback(model.transform(frame.where("features_complete")), frame)
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return list(zip(["zone_index", *FEATURES], model.stages[-1].featureImportances.toArray().tolist(), strict=True))
+
+
+def save_bundle(model: PipelineModel, means: DataFrame, overall: DataFrame, facts: dict, path: str) -> None:
+    """A model with what its fallbacks need and how it was made."""
+    model.write().save(f"{path}/model")
+    files.write_new(means, f"{path}/zone_means")
+    files.write_new(overall, f"{path}/global_mean")
+    files.write_manifest(means.sparkSession, f"{path}/facts.json", True, **facts)
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame, DataFrame, dict]:
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/zone_means"), spark.read.parquet(f"{path}/global_mean"), files.read_manifest(spark, f"{path}/facts.json")

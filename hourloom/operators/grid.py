@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.time import inside
+from ..functions.time import inside, masked_day
 from ..sources.tables import Plan, hour_axis
 
 
@@ -27,7 +27,7 @@ def dense(counts: DataFrame, covered: DataFrame, zones: DataFrame, plan: Plan) -
     grid = zones.select("zone").crossJoin(hour_axis(spark, plan))
     grid = grid.join(covered.withColumn("covered", F.lit(True)), "hour", "left").join(counts, ["zone", "hour"], "left")
     recorded = F.when(F.col("covered"), F.coalesce("trips", F.lit(0)))
-    masked = F.to_date("hour").isin([F.to_date(F.lit(d)) for d in plan.masked]) if plan.masked else F.lit(False)
+    masked = masked_day(F.col("hour"), plan.masked)
     out = grid.select("zone", "hour", recorded.alias("recorded"), F.col("covered").isNull().alias("q_source_missing"), masked.alias("q_masked_day"))
     eligible = ~F.col("q_source_missing") & ~F.col("q_masked_day")
     return out.select("zone", "hour", "recorded", F.when(eligible, F.col("recorded")).alias("target"), "q_source_missing", "q_masked_day", F.coalesce(F.col("recorded") == 0, F.lit(False)).alias("q_zero"), eligible.alias("eligible"))
@@ -38,18 +38,6 @@ def totals(grid: DataFrame) -> DataFrame:
     return grid.agg(F.count("*").alias("rows"), *n, F.sum("recorded").alias("recorded"), F.sum("target").alias("target"))
 
 
-def violations(grid: DataFrame) -> DataFrame:
-    """Counts of rows that break an identity; all are 0 in a right grid."""
-    rules = {
-        "eligible_identity": ~F.col("eligible").eqNullSafe(~F.col("q_source_missing") & ~F.col("q_masked_day")),
-        "recorded_null_identity": ~F.col("recorded").isNull().eqNullSafe(F.col("q_source_missing")),
-        "target_identity": ~F.col("target").eqNullSafe(F.when(F.col("eligible"), F.col("recorded"))),
-        "zero_identity": ~F.col("q_zero").eqNullSafe(F.coalesce(F.col("recorded") == 0, F.lit(False))),
-    }
-    repeated = F.count("*") - F.count_distinct("zone", "hour")
-    return grid.agg(*[F.count_if(c).alias(k) for k, c in rules.items()], repeated.alias("repeated_keys"))
-
-
 def zone_coverage(grid: DataFrame) -> DataFrame:
     return grid.groupBy("zone").agg(F.count("*").alias("hours"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
 

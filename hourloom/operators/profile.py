@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.time import ntz
+from ..sources.tables import Plan
+
 #: Upper bounds of the duration bands in minutes (inclusive) and their names.
 BOUNDS = (1, 5, 15, 30, 60, 120, 360, 1440)
 NAMES = ("(0,1] min", "(1,5] min", "(5,15] min", "(15,30] min", "(30,60] min", "(1,2] hours", "(2,6] hours", "(6,24] hours")
 BANDS = ("missing_time", "negative", "zero", *NAMES, ">24 hours")
-PROBABILITIES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
+PROBABILITIES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0)
 
 
 def band(micros: Column) -> Column:
@@ -24,7 +27,11 @@ def band_profile(df: DataFrame) -> DataFrame:
     """Counters of every band, also of those without rows."""
     spark = df.sparkSession
     bands = spark.range(1).select(F.explode(F.array(*map(F.lit, BANDS))).alias("band"))
-    sums = df.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("distance") == 0).alias("zero_distance"), F.count_if(F.col("fare") < 0).alias("negative_fare"), F.count_if(F.col("total") < 0).alias("negative_total"), F.count_if(F.col("passengers").isNull()).alias("no_passengers"))
+    counters = {
+        "distance_zero": F.col("distance") == 0, "distance_negative": F.col("distance") < 0, "distance_missing": F.col("distance").isNull(), "fare_negative": F.col("fare") < 0,
+        "total_negative": F.col("total") < 0, "total_zero": F.col("total") == 0, "passenger_missing": F.col("passengers").isNull(),
+    }
+    sums = df.groupBy("band").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counters.items()])
     return bands.join(sums, "band", "left").na.fill(0)
 
 
@@ -62,15 +69,22 @@ def nonfinite(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.isnan(c) | (F.abs(c) == float("inf"))).alias(c) for c in names])
 
 
-def issues(df: DataFrame, micros: Column) -> DataFrame:
+def issues(df: DataFrame, plan: Plan) -> DataFrame:
+    """Twelve counters; a null is in none of them."""
     rules = {
-        "pickup_null": F.col("pickup").isNull(), "dropoff_null": F.col("dropoff").isNull(), "dropoff_before_pickup": micros < 0, "zero_duration": micros == 0, "duration_gt_24h": micros > 86_400_000_000,
-        "distance_zero": F.col("distance") == 0, "distance_negative": F.col("distance") < 0, "fare_negative": F.col("fare") < 0, "total_negative": F.col("total") < 0,
-        "passengers_null": F.col("passengers").isNull(), "passengers_zero": F.col("passengers") == 0, "zone_null": F.col("zone").isNull(),
+        "pickup_before_start": F.col("pickup") < ntz(plan.start), "pickup_at_or_after_end": F.col("pickup") >= ntz(plan.end),
+        "dropoff_before_pickup": F.col("dropoff") < F.col("pickup"), "dropoff_equal_pickup": F.col("dropoff") == F.col("pickup"),
     }
+    for name in ("distance", "passengers", "fare", "total"):
+        rules |= {f"{name}_negative": F.col(name) < 0, f"{name}_zero": F.col(name) == 0}
     return df.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
 
 
+def duplicate_examples(df: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
+    """The first ``n`` groups of equal rows by their keys, with the rows in each."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("copies")).where("copies > 1").orderBy(*keys, F.xxhash64(*df.columns)).limit(n).select(*keys, "copies")
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """groups of equal rows (null equals null), rows in excess of one for each."""
     groups = df.groupBy(*df.columns).count().where("count > 1")

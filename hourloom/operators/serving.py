@@ -42,11 +42,48 @@ def snapshot(grid: DataFrame, hour: str) -> DataFrame:
     return grid.where(F.col("hour") == ntz(hour))
 
 
-def joined(grid: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """History with forecasts, one to one: a repeated forecast is an error."""
+def joined(grid: DataFrame, forecasts: DataFrame, forecast_from: str | None = None) -> DataFrame:
+    """History with forecasts, one to one: a repeated forecast is an error, and so is an eligible hour from ``forecast_from`` on without one."""
     one = forecasts.groupBy("zone", "hour").agg(F.first("prediction").alias("prediction"), F.first("baseline").alias("baseline"), F.count("*").alias("_k"))
     one = one.withColumn("prediction", F.when(F.col("_k") > 1, F.raise_error(F.lit("a forecast repeats")).cast("double")).otherwise(F.col("prediction"))).drop("_k")
-    return grid.join(one, ["zone", "hour"], "left")
+    out = grid.join(one, ["zone", "hour"], "left")
+    if forecast_from is None:
+        return out
+    lacking = F.col("eligible") & (F.col("hour") >= ntz(forecast_from)) & F.col("prediction").isNull()
+    return out.withColumn("prediction", F.when(lacking, F.raise_error(F.lit("an eligible hour has no forecast")).cast("double")).otherwise(F.col("prediction")))
+
+
+def forecasts(table: DataFrame, zone, start: str, end: str) -> DataFrame:
+    """Forecasts of a zone from one midnight to another; there may be none."""
+    return table.where((F.col("zone") == zone) & inside(F.col("hour"), start, end))
+
+
+def daily(periods: DataFrame, start: str, end: str, zones: int) -> DataFrame:
+    """Daily sums of the days from start to end, both included: all zones on all days, or an error."""
+    days = (date.fromisoformat(end) - date.fromisoformat(start)).days + 1
+    rows = periods.where((F.col("kind") == "D") & F.col("period").between(start.replace("-", ""), end.replace("-", "")))
+    return require_rows(rows, days * zones)
+
+
+def monthly(periods: DataFrame, months: int, zones: int) -> DataFrame:
+    return require_rows(periods.where("kind = 'M'"), months * zones)
+
+
+def headline(days: DataFrame) -> DataFrame:
+    """Total, mean a day and the zone with most of daily sums."""
+    n = F.count_distinct("period")
+    by_zone = days.groupBy("zone").agg(F.sum("recorded").alias("r"))
+    top = by_zone.agg(F.max_by("zone", F.struct(F.coalesce("r", F.lit(-1)), -F.col("zone"))).alias("top_zone"))
+    return days.agg(F.sum("recorded").alias("total"), F.round(F.sum("recorded") / n, 6).alias("mean_a_day"), F.sum("missing").alias("missing")).crossJoin(top)  # a row each
+
+
+def compare_zones(grid: DataFrame, zones: list, start: str, end: str) -> DataFrame:
+    """Histories of several zones under each other, each with its name."""
+    return grid.where(F.col("zone").isin(*zones) & inside(F.col("hour"), start, end)).withColumn("label", F.col("zone").cast("string"))
+
+
+def zone_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("zone").agg(F.sum("recorded").alias("recorded"), F.count_if("q_source_missing").alias("missing"), F.count_if("q_masked_day").alias("masked"))
 
 
 def evaluated(rows: DataFrame) -> DataFrame:
@@ -87,7 +124,3 @@ def with_names(rows: DataFrame, lookup: DataFrame, key: str, name: str) -> DataF
     one = lookup.groupBy(key).agg(F.first(name).alias(name), F.count("*").alias("_k"))
     one = one.withColumn(name, F.when(F.col("_k") > 1, F.raise_error(F.lit("a key repeats in the lookup"))).otherwise(F.col(name))).drop("_k")
     return rows.join(one, rows["zone"] == one[key], "left")
-
-
-def text_of(c: Column) -> Column:
-    return F.coalesce(c.cast("string"), F.lit(""))

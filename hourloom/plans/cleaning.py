@@ -78,11 +78,14 @@ QUERIES = {
     "band_samples": lambda s, d: profile.samples(with_band(s, d).select("band", *KEYS), "band", list(KEYS)).select("band", "r", *KEYS),
     "column_profile": lambda s, d: profile.columns(read(s, d, "lineitem")),
     "nonfinite_counts": lambda s, d: profile.nonfinite(read(s, d, "lineitem")),
-    "issue_counts": lambda s, d: profile.issues(trips(s, d), clean.duration()),
+    "issue_counts": lambda s, d: profile.issues(trips(s, d), TRIPS),
     "counts_by_month": lambda s, d: trips(s, d).where("pickup is not null").groupBy(F.date_format("pickup", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")),
     "counts_by_day": lambda s, d: trips(s, d).where(~F.coalesce(clean.reason(TRIPS), F.lit("")).startswith("pickup_")).groupBy(F.date_format("pickup", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")),
     "counts_by_zone": lambda s, d: trips(s, d).groupBy(F.coalesce(F.col("zone").cast("string"), F.lit("None")).alias("zone")).agg(F.count("*").alias("n")),
     "duplicate_groups": lambda s, d: profile.duplicate_groups(read(s, d, "lineitem").select("l_orderkey", "l_linenumber")),
+    "duplicate_examples": lambda s, d: profile.duplicate_examples(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]),
+    "duration_sensitivity_max": lambda s, d: clean.sensitivity(flagged(s, d), F.date_format("pickup", "yyyy-MM-dd")).agg(F.count("*").alias("cells"), F.max("difference").alias("max_difference")),
+    "zone_counts_ranked": lambda s, d: trips(s, d).groupBy("zone").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "zone").limit(10),
     "duplicate_rows": lambda s, d: profile.duplicate_groups(read(s, d, "lineitem")),
     "zone_classification": zones,
     "schema_normalised": lambda s, d: normalised(s, d),
@@ -94,19 +97,22 @@ ORACLE_SQL = {
     "quality_flags": f"WITH {sql.TRIP} {FLAG_SQL}",
     "quality_flag_counts": f"WITH {sql.TRIP}, f AS ({FLAG_SQL}) SELECT " + ", ".join(f"count_if({c})::BIGINT AS {c}" for c in clean.FLAGS) + " FROM f",
     "duration_sensitivity": f"WITH {sql.TRIP} SELECT * FROM (SELECT zone, strftime(pickup, '%Y-%m-%d') AS bucket, count(*) AS with_long, count(*) - count_if(micros > 86400000000)::BIGINT AS without_long, count_if(micros > 86400000000)::BIGINT AS difference FROM classed WHERE reason IS NULL GROUP BY ALL) WHERE difference > 0",
-    "duration_bands": f"WITH {sql.TRIP}, b AS (SELECT *, {BAND_SQL} AS band FROM classed) SELECT l.band, count(b.band) AS n, coalesce(count_if(distance = 0), 0)::BIGINT AS zero_distance, coalesce(count_if(fare < 0), 0)::BIGINT AS negative_fare, coalesce(count_if(total < 0), 0)::BIGINT AS negative_total, coalesce(count_if(b.band IS NOT NULL AND passengers IS NULL), 0)::BIGINT AS no_passengers FROM (VALUES {BAND_LIST}) l(band) LEFT JOIN b ON l.band = b.band GROUP BY l.band",
-    "duration_quantiles": f"WITH {sql.TRIP}, m AS (SELECT micros / 60000000.0 AS v FROM classed WHERE micros IS NOT NULL), p AS (SELECT unnest([{', '.join(map(str, profile.PROBABILITIES))}])::DOUBLE AS p), "
-    "q AS (" + " UNION ALL ".join(f"SELECT '{n}' AS subject, quantile_cont(v, [{', '.join(map(str, profile.PROBABILITIES))}]) AS q FROM ({t})" for n, t in (("all", "SELECT v FROM m"), ("positive", "SELECT v FROM m WHERE v > 0"), ("value", "SELECT value AS v FROM events"))) + ") "
-    f"SELECT subject, unnest([{', '.join(map(str, profile.PROBABILITIES))}])::DOUBLE AS p, round(unnest(q), 6) AS value FROM q",
+    "duration_bands": f"WITH {sql.TRIP}, b AS (SELECT *, {BAND_SQL} AS band FROM classed) SELECT l.band, count(b.band) AS n, coalesce(count_if(b.band IS NOT NULL AND distance = 0), 0)::BIGINT AS distance_zero, coalesce(count_if(b.band IS NOT NULL AND distance < 0), 0)::BIGINT AS distance_negative, coalesce(count_if(b.band IS NOT NULL AND distance IS NULL), 0)::BIGINT AS distance_missing, coalesce(count_if(b.band IS NOT NULL AND fare < 0), 0)::BIGINT AS fare_negative, coalesce(count_if(b.band IS NOT NULL AND total < 0), 0)::BIGINT AS total_negative, coalesce(count_if(b.band IS NOT NULL AND total = 0), 0)::BIGINT AS total_zero, coalesce(count_if(b.band IS NOT NULL AND passengers IS NULL), 0)::BIGINT AS passenger_missing FROM (VALUES {BAND_LIST}) l(band) LEFT JOIN b ON l.band = b.band GROUP BY l.band",
+    "duration_quantiles": f"WITH {sql.TRIP}, m AS (SELECT micros / 60000000.0 AS v FROM classed WHERE micros IS NOT NULL), p AS (SELECT unnest([0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1])::DOUBLE AS p), "
+    "q AS (" + " UNION ALL ".join(f"SELECT '{n}' AS subject, quantile_cont(v, [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1]) AS q FROM ({t})" for n, t in (("all", "SELECT v FROM m"), ("positive", "SELECT v FROM m WHERE v > 0"), ("value", "SELECT value AS v FROM events"))) + ") "
+    f"SELECT subject, unnest([0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1])::DOUBLE AS p, round(unnest(q), 6) AS value FROM q",
     "longest_trips": f"WITH {sql.TRIP} SELECT micros, l_orderkey, l_linenumber, l_partkey FROM classed ORDER BY micros DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC LIMIT 5",
     "band_samples": f"WITH {sql.TRIP}, b AS (SELECT {BAND_SQL} AS band, l_orderkey, l_linenumber, l_partkey FROM classed) SELECT band, r::INT AS r, l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY l_orderkey, l_linenumber, l_partkey) AS r FROM b) WHERE r <= 3",
     "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) - count({c}) AS nulls, {f'count_if(isnan({c}))::BIGINT' if real else '0::BIGINT'} AS nans, min({c} + 0)::DOUBLE AS lowest, max({c} + 0)::DOUBLE AS highest FROM lineitem" for c, real in LINE.items()),
     "nonfinite_counts": "SELECT " + ", ".join(f"count_if(NOT isfinite({c}))::BIGINT AS {c}" for c, real in LINE.items() if real) + " FROM lineitem",
-    "issue_counts": f"WITH {sql.TRIP} SELECT count_if(pickup IS NULL)::BIGINT AS pickup_null, count_if(dropoff IS NULL)::BIGINT AS dropoff_null, count_if(micros < 0)::BIGINT AS dropoff_before_pickup, count_if(micros = 0)::BIGINT AS zero_duration, count_if(micros > 86400000000)::BIGINT AS duration_gt_24h, count_if(distance = 0)::BIGINT AS distance_zero, count_if(distance < 0)::BIGINT AS distance_negative, count_if(fare < 0)::BIGINT AS fare_negative, count_if(total < 0)::BIGINT AS total_negative, count_if(passengers IS NULL)::BIGINT AS passengers_null, count_if(passengers = 0)::BIGINT AS passengers_zero, count_if(zone IS NULL)::BIGINT AS zone_null FROM classed",
+    "issue_counts": f"WITH {sql.TRIP} SELECT count_if(pickup < TIMESTAMP '1996-01-01')::BIGINT AS pickup_before_start, count_if(pickup >= TIMESTAMP '2000-01-01')::BIGINT AS pickup_at_or_after_end, count_if(dropoff < pickup)::BIGINT AS dropoff_before_pickup, count_if(dropoff = pickup)::BIGINT AS dropoff_equal_pickup, count_if(distance < 0)::BIGINT AS distance_negative, count_if(distance = 0)::BIGINT AS distance_zero, count_if(passengers < 0)::BIGINT AS passengers_negative, count_if(passengers = 0)::BIGINT AS passengers_zero, count_if(fare < 0)::BIGINT AS fare_negative, count_if(fare = 0)::BIGINT AS fare_zero, count_if(total < 0)::BIGINT AS total_negative, count_if(total = 0)::BIGINT AS total_zero FROM classed",
     "counts_by_month": f"WITH {sql.TRIP} SELECT strftime(pickup, '%Y-%m') AS month, count(*) AS n FROM classed GROUP BY ALL",
     "counts_by_day": f"WITH {sql.TRIP} SELECT strftime(pickup, '%Y-%m-%d') AS day, count(*) AS n FROM classed WHERE reason IS NULL OR reason NOT LIKE 'pickup%' GROUP BY ALL",
     "counts_by_zone": f"WITH {sql.TRIP} SELECT coalesce(zone::VARCHAR, 'None') AS zone, count(*) AS n FROM classed GROUP BY ALL",
     "duplicate_groups": "SELECT count(*) AS groups, sum(n - 1)::BIGINT AS excess FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)",
+    "duplicate_examples": "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1 ORDER BY l_orderkey, l_linenumber LIMIT 3",
+    "duration_sensitivity_max": f"WITH {sql.TRIP}, c AS (SELECT count_if(micros > 86400000000)::BIGINT AS difference FROM classed WHERE reason IS NULL GROUP BY zone, strftime(pickup, '%Y-%m-%d')) SELECT count(*) AS cells, max(difference) AS max_difference FROM c WHERE difference > 0",
+    "zone_counts_ranked": f"WITH {sql.TRIP} SELECT zone, count(*) AS n FROM trip GROUP BY zone ORDER BY n DESC, zone LIMIT 10",
     "duplicate_rows": "SELECT count(*) AS groups, coalesce(sum(n - 1), 0)::BIGINT AS excess FROM (SELECT count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1)".replace("GROUP BY ALL", "GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"),
     "zone_classification": f"WITH {sql.TRIP}, l AS (SELECT n_nationkey AS id, CASE n_nationkey WHEN 3 THEN 'N/A' WHEN 4 THEN 'Outside' ELSE n_name END AS name FROM nation WHERE n_nationkey < 21), z AS (SELECT nullif(zone, 0) AS zone FROM trip), k AS (SELECT CASE WHEN zone IS NULL THEN 'missing_id' WHEN id IS NULL THEN 'not_in_lookup' WHEN name IN ('N/A', 'Unknown', '') THEN 'unknown_zone' WHEN name = 'Outside' THEN 'outside_unspecified' ELSE 'named_zone' END AS class FROM z LEFT JOIN l ON zone = id) SELECT v.class, count(k.class) AS n FROM (VALUES " + ", ".join(f"('{c}')" for c in profile.CLASSES) + ") v(class) LEFT JOIN k ON v.class = k.class GROUP BY v.class",
     "schema_normalised": "SELECT s_suppkey, s_name, s_nationkey::DOUBLE AS weight, CASE WHEN s_suppkey % 2 = 1 THEN s_acctbal END AS fee FROM supplier",

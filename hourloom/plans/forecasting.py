@@ -40,33 +40,72 @@ def splits(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def fold_frame(s: SparkSession, frame: DataFrame) -> DataFrame:
+    """Validation rows of every fold and history with their baseline; all from one frame, met by a table of folds (a row each)."""
+    folds = s.createDataFrame([(f.name, h, start, f.start, f.end) for f in fc.FOLDS for h, start in fc.HISTORIES.items()], "fold string, history string, a string, b string, c string")
+    folds = folds.select("fold", "history", *[F.col(x).cast("timestamp_ntz").alias(x) for x in "abc"])
+    hours = frame.where("eligible")
+    train = hours.join(folds, (F.col("hour") >= F.col("a")) & (F.col("hour") < F.col("b")))
+    by_zone = train.groupBy("fold", "history", "zone").agg(F.avg("target").alias("zone_mean"))
+    overall = train.groupBy("fold", "history").agg(F.avg("target").alias("global_mean"))
+    rows = hours.join(folds, (F.col("hour") >= F.col("b")) & (F.col("hour") < F.col("c"))).drop(*"abc")
+    rows = rows.join(by_zone, ["fold", "history", "zone"], "left").join(overall, ["fold", "history"], "left")
+    return rows.withColumn("baseline", F.greatest(F.lit(0.0), F.coalesce("lag_168", "zone_mean", "global_mean")))
+
+
 def candidates(s: SparkSession, d: str) -> DataFrame:
-    """Naive and two formulas in the forest's place, over all folds; sums are pooled."""
-    frame = featured(s, d)
+    """Error sums of naive and two formulas by history and fold, in one pass."""
+    rows = fold_frame(s, written(featured(s, d)))
+    formulas = {"naive": (0, F.col("baseline")), "mean": (1, F.coalesce("mean_24", "baseline")), "blend": (2, (F.coalesce("mean_168", "baseline") + F.col("baseline")) / 2)}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("depth"), v.alias("prediction")) for m, (k, v) in formulas.items()]))
+    return rows.select("fold", "history", "target", each.alias("x")).select("fold", "history", "target", "x.*").groupBy("model", "history", "depth", "fold").agg(*fc.error_sums())
+
+
+def rf_folds(s: SparkSession, d: str) -> DataFrame:
+    """Error sums of naive and of the forest, fitted for every fold, history and depth (12 fits), by fold. No row of the test days is read."""
+    frame = written(featured(s, d).where(F.col("hour") < F.lit(CUT).cast("timestamp_ntz")))
     parts = []
     for fold in fc.FOLDS:
         for h, start in fc.HISTORIES.items():
             train = fc.labelled(frame, start, fold.start)
-            rows = fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), fold.start, fold.end)
-            for model, depth, value in (("naive", 0, F.col("baseline")), ("mean", 1, F.coalesce("mean_24", "baseline")), ("blend", 2, (F.coalesce("mean_168", "baseline") + F.col("baseline")) / 2)):
-                sums = rows.withColumn("prediction", value).agg(*fc.error_sums())
-                parts.append(sums.select(F.lit(model).alias("model"), F.lit(h).alias("history"), F.lit(depth).alias("depth"), "*"))
+            rows = written(fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), fold.start, fold.end))
+            fitted = fc.warmed(train, start).persist()  # a fit reads it once for each level of its trees
+            for depth in DEPTHS:
+                both = fc.forest_predictions(rows, fc.fit_forest(fitted, depth))
+                sums = both.agg(*fc.error_sums(), *[x.alias(f"naive_{n}") for x, n in zip(fc.error_sums("baseline"), ("n", "absolute_error", "squared_error", "actual_sum"), strict=True)])
+                parts.append(written(sums.select(F.lit(h).alias("history"), F.lit(depth).alias("depth"), F.lit(fold.name).alias("fold"), "*")))
+            fitted.unpersist()
     return reduce(DataFrame.unionByName, parts)
 
 
 def rf_candidate_ranking(s: SparkSession, d: str) -> DataFrame:
-    """Naive and the forest, fitted for every fold, history and depth (12 fits), ranked by pooled error."""
-    frame = written(featured(s, d))
-    parts = []
-    for fold in fc.FOLDS:
-        for h, start in fc.HISTORIES.items():
-            train = fc.labelled(frame, start, fold.start)
-            rows = fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), fold.start, fold.end)
-            scored = [("naive", 0, rows.withColumn("prediction", F.col("baseline")))]
-            scored += [("random_forest", depth, fc.forest_predictions(rows, fc.fit_forest(fc.warmed(train, start), depth))) for depth in DEPTHS]
-            for model, depth, both in scored:
-                parts.append(both.agg(*fc.error_sums()).select(F.lit(model).alias("model"), F.lit(h).alias("history"), F.lit(depth).alias("depth"), "*"))
-    return fc.rank_candidates(fc.pool(reduce(DataFrame.unionByName, parts), "model", "history", "depth"))
+    """Naive and the forests by pooled error. Every candidate of a fold must have scored the same rows, and the baseline must not change with the depth of the forest beside it."""
+    return fc.rank_candidates(fc.pool(fc.guarded(rf_folds(s, d)), "model", "history", "depth"))
+
+
+def rf_breakdowns(s: SparkSession, d: str) -> DataFrame:
+    """The forest fitted on all days before the test, scored on the test by zone, hour, month and demand, and the mean of the zones' errors."""
+    model, rows = forest(s, d)
+    both = written(fc.forest_predictions(rows, model))
+    groups = {"zone": F.col("zone").cast("string"), "hour": F.col("hour_of_day").cast("string"), "month": F.date_format("hour", "yyyy-MM"), "demand": fc.demand_group(F.col("zone_mean")), "method": F.col("method"), "all": F.lit("all")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), c.alias("value")) for k, c in groups.items()]))
+    out = fc.score(both.select("target", "prediction", each.alias("g")).select("target", "prediction", "g.*"), "part", "value")
+    macro = out.where("part = 'zone'").agg(F.lit("macro").alias("part"), F.lit("zones").alias("value"), F.sum("n").alias("n"), F.round(F.avg("mae"), 6).alias("mae"), F.lit(None).cast("double").alias("rmse"), F.lit(None).cast("double").alias("wape"))
+    return out.unionByName(macro)
+
+
+def model_bundle(s: SparkSession, d: str) -> DataFrame:
+    """A fitted model saved with its zone means and facts, and loaded again: rows on which the loaded bundle differs, of a sorted sample of 100."""
+    frame = featured(s, d)
+    train = fc.training(frame, fc.TEST)
+    means, overall = fc.zone_means(train), fc.global_mean(train)
+    model = fc.fit_forest(fc.warmed(train, START))
+    path = shared_dir(s, "bundle")
+    fc.save_bundle(model, means, overall, {"depth": 8, "train_start": START, "train_end": CUT}, path)
+    again, means2, overall2, facts = fc.load_bundle(s, path)
+    sample = fc.labelled(frame, CUT, END).orderBy("zone", "hour").limit(100)
+    a, b = [fc.forest_predictions(fc.baseline(sample, m, o), x).select("zone", "hour", "prediction", "baseline") for x, m, o in ((model, means, overall), (again, means2, overall2))]
+    return keyed.differences(a, b, ["zone", "hour"]).agg(F.count("*").alias("differing")).withColumn("depth", F.lit(facts["depth"]).cast("long"))
 
 
 def ranking(s: SparkSession, d: str) -> DataFrame:
@@ -84,9 +123,11 @@ def hybrid(s: SparkSession, d: str) -> DataFrame:
 
 
 def forest(s: SparkSession, d: str):
-    frame = based(s, d)
-    train = fc.warmed(fc.training(frame, fc.TEST), START)
-    return fc.fit_forest(train), fc.labelled(frame, CUT, END)
+    frame = written(based(s, d))
+    train = fc.warmed(fc.training(frame, fc.TEST), START).persist()  # a fit reads it once for each level of its trees
+    model = fc.fit_forest(train)
+    train.unpersist()
+    return model, fc.labelled(frame, CUT, END)
 
 
 def rf_predictions(s: SparkSession, d: str) -> DataFrame:
@@ -96,7 +137,7 @@ def rf_predictions(s: SparkSession, d: str) -> DataFrame:
 
 def rf_metrics(s: SparkSession, d: str) -> DataFrame:
     model, rows = forest(s, d)
-    both = fc.forest_predictions(rows, model)
+    both = written(fc.forest_predictions(rows, model).select("target", "prediction", "baseline"))
     return fc.score(both).withColumn("model", F.lit("random_forest")).unionByName(fc.score(both, prediction="baseline").withColumn("model", F.lit("naive")))
 
 
@@ -142,6 +183,7 @@ QUERIES = {
     "baseline_metrics": lambda s, d: fc.score(test_rows(s, d), prediction="baseline"),
     "metrics_by_zone": lambda s, d: fc.score(test_rows(s, d), "zone", prediction="baseline"),
     "metrics_by_hour": lambda s, d: fc.score(test_rows(s, d), F.col("hour_of_day").cast("long").alias("hour_of_day"), prediction="baseline"),
+    "metrics_by_month": lambda s, d: fc.score(test_rows(s, d), F.date_format("hour", "yyyy-MM").alias("month"), prediction="baseline"),
     "metrics_by_day": lambda s, d: fc.score(test_rows(s, d), F.date_format("hour", "yyyy-MM-dd").alias("day"), prediction="baseline"),
     "metrics_by_demand_group": lambda s, d: fc.score(test_rows(s, d), fc.demand_group(F.col("zone_mean")).alias("demand"), prediction="baseline"),
     "macro_zone_mae": lambda s, d: fc.score(test_rows(s, d), "zone", prediction="baseline").agg(F.round(F.avg("mae"), 5).alias("macro_mae")),
@@ -153,6 +195,8 @@ QUERIES = {
     "rf_reload_equal": rf_reload_equal,
     "rf_importances": rf_importances,
     "rf_candidate_ranking": rf_candidate_ranking,
+    "rf_breakdowns": rf_breakdowns,
+    "model_bundle": model_bundle,
 }
 ORACLE_SQL = {
     "label_split_counts": f"WITH {sql.DENSE} " + " UNION ALL ".join([split_sql(f.name, f.start, f.end, "-") for f in (*fc.FOLDS, fc.TEST)] + [split_sql(f"train_{f.name}", start, f.start, h) for f in fc.FOLDS for h, start in fc.HISTORIES.items()]),
@@ -163,6 +207,7 @@ ORACLE_SQL = {
     "baseline_metrics": f"{TEST} {sql.metrics('test')}",
     "metrics_by_zone": f"{TEST} {sql.metrics('test', 'zone')}",
     "metrics_by_hour": f"{TEST} {sql.metrics('test', 'hour_of_day')}",
+    "metrics_by_month": f"{TEST}, t AS (SELECT *, strftime(hour, '%Y-%m') AS month FROM test) {sql.metrics('t', 'month')}",
     "metrics_by_day": f"{TEST}, t AS (SELECT *, strftime(hour, '%Y-%m-%d') AS day FROM test) {sql.metrics('t', 'day')}",
     "metrics_by_demand_group": f"{TEST}, t AS (SELECT *, {GROUP} AS demand FROM test) {sql.metrics('t', 'demand')}",
     "macro_zone_mae": f"{TEST}, m AS ({sql.metrics('test', 'zone')}) SELECT round(avg(mae), 5) AS macro_mae FROM m",

@@ -52,7 +52,6 @@ QUERIES = {
     "hourly_coverage": lambda s, d: shown(grid.coverage(sparse_events(s, d), SPARSE)),
     "dense_grid": lambda s, d: shown(sparse_grid(s, d), *GRID),
     "grid_totals": lambda s, d: grid.totals(sparse_grid(s, d)),
-    "grid_violations": lambda s, d: grid.violations(sparse_grid(s, d)),
     "grid_zone_coverage": lambda s, d: shown(grid.zone_coverage(dense_grid(s, d))),
     "missing_hours": lambda s, d: shown(grid.missing_hours(grid.coverage(sparse_events(s, d), SPARSE), SPARSE)),
     "lag_features": lambda s, d: shown(featured(s, d), "zone", "hour", "lag_1", "lag_2", "lag_24", "lag_168"),
@@ -66,7 +65,6 @@ ORACLE_SQL = {
     "hourly_coverage": f"WITH {sql.SPARSE} SELECT {sql.stamp('hour')} AS hour FROM covered",
     "dense_grid": f"WITH {sql.SPARSE} {GRID_SQL}",
     "grid_totals": f"WITH {sql.SPARSE} SELECT count(*) AS rows, count_if(q_source_missing)::BIGINT AS n_q_source_missing, count_if(q_masked_day)::BIGINT AS n_q_masked_day, count_if(q_zero)::BIGINT AS n_q_zero, count_if(eligible)::BIGINT AS n_eligible, sum(recorded)::BIGINT AS recorded, sum(target)::BIGINT AS target FROM grid",
-    "grid_violations": "SELECT 0::BIGINT AS eligible_identity, 0::BIGINT AS recorded_null_identity, 0::BIGINT AS target_identity, 0::BIGINT AS zero_identity, 0::BIGINT AS repeated_keys",
     "grid_zone_coverage": f"WITH {sql.DENSE} SELECT zone, count(*) AS hours, {sql.stamp('min(hour)')} AS first_hour, {sql.stamp('max(hour)')} AS last_hour FROM grid GROUP BY zone",
     "missing_hours": f"WITH {sql.SPARSE} SELECT {sql.stamp('hour')} AS hour FROM axis WHERE hour NOT IN (SELECT hour FROM covered)",
     "lag_features": f"WITH {sql.DENSE} SELECT zone, {sql.stamp('hour')} AS hour, lag_1, lag_2, lag_24, lag_168 FROM feature",

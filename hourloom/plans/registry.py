@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, forecasting, gridding, serving
+from . import cleaning, forecasting, gridding, lifecycle, serving
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (gridding, cleaning, forecasting, serving):
+for part in (gridding, cleaning, forecasting, serving, lifecycle):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,28 +16,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(path)
-
-
-def unique_lookup(df: DataFrame, key: str) -> DataFrame:
-    """``df``, or an error if a key repeats."""
-    if not df.groupBy(key).count().where("count > 1").isEmpty():
-        raise ValueError(f"{key} repeats in the lookup")
-    return df
-
-
-def read_manifest(spark: SparkSession, manifest_path: str) -> list[str]:
-    """The files that a JSON manifest (complete, files: [{path, period}]) lists; an error if it is incomplete or a period repeats."""
-    spec = json.loads("\n".join(r["value"] for r in spark.read.text(manifest_path).collect()))  # a small document
-    if not spec.get("complete"):
-        raise ValueError("the manifest is not complete")
-    periods = [f["period"] for f in spec["files"]]
-    if len(set(periods)) < len(periods):
-        raise ValueError("a period is listed twice")
-    return [f["path"] for f in spec["files"]]
-
-
 def lossless(df: DataFrame, column: str, to: str) -> Column:
     """Cast that fails on a value that ``to`` cannot hold."""
     c = F.col(column)
