@@ -24,8 +24,8 @@ from .setjoin import best_of, blocks, distinct, frequent_arrays, may_match, scan
 
 #: Smaller sets have no similarity of 0.8 with any other set, so only equal ones go, by their key.
 PAIRED = 4
-#: Lines of a tile of a large block, and how many partners in each tile are tried first.
-TILE, FIRST = 500, 2
+#: Lines of a tile of a large block, how many partners of a line are tried first, and how many a block sends with its line at most; the rest meet in tiles.
+TILE, FIRST, MANY = 500, 2, 32
 
 
 def line_units(texts: list[str]):
@@ -54,7 +54,7 @@ def tile_pairs(members: DataFrame, most: int | None) -> DataFrame:
         i, j = np.nonzero((k[y] != k[x][:, None]) & may_match(n[x][:, None], n[y], p[x][:, None], p[y], s[x][:, None], s[y]))
         i, j = x[i], y[j]
         if most is not None and len(i):
-            kept, _ = best_of(i, j, np.bitwise_count(s[i] ^ s[j]).astype(np.int64), most)
+            kept = best_of(i, j, np.bitwise_count(s[i] ^ s[j]).astype(np.int64), most) < most
             i, j = i[kept], j[kept]
         return i, j
 
@@ -87,27 +87,34 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found, counts = signatures(rows, line_units, least)
     lines = found.where("k is not null").select("doc_id", "h", "line", "k")
     first = written(lines.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line")).alias("w"), F.count("*").alias("copies")))
-    block = blocks(rows, line_units, frequent_arrays(counts), max(least, PAIRED), parity=True, few=FIRST)
+    block = blocks(rows, line_units, frequent_arrays(counts), max(least, PAIRED), parity=True, few=MANY)
     order = first.select("k", "w")
 
     def later(pairs: DataFrame) -> DataFrame:
         """The later line of each pair that is linked."""
-        pairs = written(pairs.distinct())
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        place = written(order.join(nodes, "k"))
+        place = written(order.join(small(written(nodes)), "k"))
         links = verified(pairs, sets_of(rows, place.select("w.doc_id", "w.h", "w.line"), line_units))
         a, b = [place.select(F.col("k").alias(c), F.col("w").alias(f"w{c}")) for c in "ab"]
         return written(links.join(a, "a").join(b, "b").select(F.when(F.col("wa") > F.col("wb"), F.col("a")).otherwise(F.col("b")).alias("k")).distinct())
 
-    decided = later(block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")))
-    # of blocks with more pairs, lines that are not decided meet the others, tile by tile
+    pairs = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"), F.when(F.col("t").isNull(), F.col("n")).otherwise(0).alias("place"))
+    pairs = written(pairs.groupBy("a", "b").agg(F.min("place").alias("place")))
+    decided = later(written(pairs.where(F.col("place") < FIRST).select("a", "b")))
+    # of the other pairs, those of which a line is still open
+    gone = [small(decided.select(F.col("k").alias(c), F.lit(True).alias(f"g{c}"))) for c in "ab"]
+    others = pairs.where(F.col("place") >= FIRST).join(gone[0], "a", "left").join(gone[1], "b", "left").where("ga is null or gb is null")
+    decided = decided.unionByName(later(written(others.select("a", "b")))).distinct()
+    # of blocks where a line had more pairs, lines that are not decided meet the others, tile by tile
     members = block.where("t is not null").select("t", "k", "n", "p", "s").join(decided.withColumn("gone", F.lit(True)), "k", "left")
     for most in (FIRST, None):
         members = written(members)
         wide = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
         wide = written(wide.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-        members = members.join(wide, "t")
-        now = later(tile_pairs(members, most))
+        if wide.isEmpty():
+            break
+        members = members.join(small(wide), "t")
+        now = later(written(tile_pairs(members, most).distinct()))
         decided = decided.unionByName(now).distinct()
         members = members.drop("tiles").join(now.withColumn("now", F.lit(True)), "k", "left").withColumn("gone", F.coalesce("gone", "now")).drop("now")
     near_copies = decided.withColumn("all", F.lit(True))

@@ -206,10 +206,11 @@ def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> Frequent:
     return keys[order], (np.arange(len(keys)) + 1)[order], np.minimum(-(-c[up] // PART_ROWS), MAX_PARTS)[order]
 
 
-def best_of(i: np.ndarray, j: np.ndarray, apart: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of each i (rows in order) the one with the first j, and those least apart, ``few`` in all; which i have more."""
+def best_of(i: np.ndarray, j: np.ndarray, apart: np.ndarray, few: int) -> np.ndarray:
+    """Place of each pair among those of its i (rows in order): 0 for the first j, then the least apart; ``few`` for all beyond."""
+    out = np.full(len(i), few)
     if not len(i):
-        return np.zeros(0, bool), i
+        return out
     by_place = np.lexsort((j, i))
     first = by_place[np.append(True, i[by_place][1:] != i[by_place][:-1])]
     apart = apart.copy()
@@ -217,16 +218,15 @@ def best_of(i: np.ndarray, j: np.ndarray, apart: np.ndarray, few: int) -> tuple[
     order = np.lexsort((j, apart, i))
     start = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
     size = np.diff(np.append(start, len(i)))
-    kept = np.zeros(len(i), bool)
-    kept[order[np.arange(len(i)) - np.repeat(start, size) < few]] = True
-    return kept, i[order][start][size > few]
+    out[order] = np.minimum(np.arange(len(i)) - np.repeat(start, size), few)
+    return out
 
 
 def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, parity: bool = False, few: int | None = None) -> DataFrame:
     """Pairs of nodes that may be linked (k and pivot, with null for t), and rows t, k, n, p, s, pivot of blocks that have more to compare.
 
     A row's pivot is the earliest node of its block or part; the node itself where the filters exclude a link.
-    few: of a block, only so many pairs of each node with earlier ones; the rows of the block come where a node has more.
+    few: of a block only so many pairs of each node with earlier ones come, n tells their place; the rows of the block come where a node has more.
     Otherwise all pairs of blocks of SMALL rows or fewer come, and of others the rows. parity: with the bitmap filter.
     """
     spark = rows.sparkSession
@@ -306,16 +306,20 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
             more = [wide(cols, start[b], start[b] + size[b]) for b in large.tolist()]
             i, j = np.concatenate([i, *[x for x, _ in more]]), np.concatenate([j, *[x for _, x in more]])
             apart = np.bitwise_count((cols[3][i] ^ cols[3][j]).view(np.uint64)).astype(np.int64)
-            kept, beyond = best_of(i, j, apart, few)
-            i, j = i[kept], j[kept]
-            still = np.unique(np.searchsorted(start, beyond, "right") - 1)  # blocks with more pairs
+            place = best_of(i, j, apart, few)
+            still = np.unique(np.searchsorted(start, i[place == few], "right") - 1)  # blocks with more pairs
+            i, j, place = i[place < few], j[place < few], place[place < few]
             rows = np.repeat(start[still], size[still])
             rows = rows + np.arange(len(rows)) - np.repeat(np.cumsum(size[still]) - size[still], size[still])
             first = rows  # their pairs are out: no pivot
         if len(i):
-            pair = np.unique(np.stack([np.maximum(cols[0][i], cols[0][j]), np.minimum(cols[0][i], cols[0][j])]), axis=1)
-            none = np.zeros(pair.shape[1], np.int64)
-            yield of(None, [pair[0], none, none, none], pair[1])
+            a, b = np.maximum(cols[0][i], cols[0][j]), np.minimum(cols[0][i], cols[0][j])
+            place = np.zeros(len(i), np.int64) if few is None else place
+            order = np.lexsort((place, b, a))
+            a, b, place = a[order], b[order], place[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            none = np.zeros(int(new.sum()), np.int64)
+            yield of(None, [a[new], place[new], none, none], b[new])
         if len(rows):
             mine, head = [c[rows] for c in cols], [c[first] for c in cols]
             yield of(t[rows], mine, np.where(match(mine, head), head[0], mine[0]))

@@ -300,6 +300,7 @@ def test_every_way_of_comparing_a_block_finds_all_links(spark, monkeypatch, smal
     for name, value in (("SMALL", small), ("HELD", held), ("PART_ROWS", part_rows), ("FREQUENT", frequent), ("COUNT_LEAST", 1)):
         monkeypatch.setattr(setjoin, name, value)
     monkeypatch.setattr(line_dedup, "TILE", 5)
+    monkeypatch.setattr(line_dedup, "MANY", 3)
     monkeypatch.setattr(ngram_join, "TILE", 5)
     test_ngram_join_is_brute_force(spark)
     test_line_dedup_is_brute_force(spark)
