@@ -187,9 +187,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def sets(nodes: DataFrame) -> DataFrame:
         return sets_of(rows, first.join(nodes.select("k").distinct(), "k").select("w.doc_id", "w.h", "w.line"), shingle_units)
 
-    pairs = written(block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b")).distinct())
-    links = written(verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("k")))))
+    pairs = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"), F.when(F.col("t").isNull(), F.col("n")).otherwise(0).alias("place"))
+    pairs = written(pairs.groupBy("a", "b").agg(F.min("place").alias("place")))
+
+    def linked_of(chosen: DataFrame) -> DataFrame:
+        return written(verified(chosen, sets(chosen.select(F.explode(F.array("a", "b")).alias("k")))))
+
+    links = linked_of(written(pairs.where("place = 0").select("a", "b")))
     labels = components(links)
+    # of the other pairs, those that are not of one component yet
+    ends = [small(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))) for c in "ab"]
+    others = pairs.where("place > 0").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
+    others = linked_of(written(others.select("a", "b")))
+    if not others.isEmpty():
+        links = links.unionByName(others)
+        labels = components(links)
     # what is left: large blocks that still hold several components
     labelled = block.where("t is not null").select("t", "k", "n").join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     labelled = written(labelled)

@@ -227,7 +227,7 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
 
     A row's pivot is the earliest node of its block or part; the node itself where the filters exclude a link.
     few: of a block only so many pairs of each node with earlier ones come, n tells their place; the rows of the block come where a node has more.
-    Otherwise all pairs of blocks of SMALL rows or fewer come, and of others the rows. parity: with the bitmap filter.
+    Otherwise all pairs of blocks of SMALL rows or fewer come (n is 0 for those with the block's first), and of others the rows. parity: with the bitmap filter.
     """
     spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(frequent)  # MAX_FREQUENT tokens at most
@@ -299,6 +299,7 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
         i, j = inner(cols, start[small], size[small])
         large = np.flatnonzero(size > SMALL)
         if few is None:
+            place = (start[np.searchsorted(start, i, "right") - 1] < j).astype(np.int64)  # 0: with the block's first
             rows = np.repeat(start[large], size[large])
             rows = rows + np.arange(len(rows)) - np.repeat(np.cumsum(size[large]) - size[large], size[large])
             first = np.repeat(start[large], size[large])
@@ -314,7 +315,6 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
             first = rows  # their pairs are out: no pivot
         if len(i):
             a, b = np.maximum(cols[0][i], cols[0][j]), np.minimum(cols[0][i], cols[0][j])
-            place = np.zeros(len(i), np.int64) if few is None else place
             order = np.lexsort((place, b, a))
             a, b, place = a[order], b[order], place[order]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
