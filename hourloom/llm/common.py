@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,9 +34,16 @@ def worker_state(key: tuple, build: Callable[[], object]):
     return kept[1]
 
 
-def forget() -> None:
-    """Give back what other operators have left in this worker."""
-    _state.clear()
+def forget(*but: str) -> None:
+    """Give back what other operators have left in this worker: all kinds of state ``but`` these. Every task begins with this, as workers are used again by the stages of other operators."""
+    gone = [k for k in _state if k not in but]
+    for k in gone:
+        del _state[k]
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it; without it freed memory stays with the process
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Memo(dict):
@@ -72,6 +82,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, make: Callable[[],
     n = len(keep)
 
     def run(batches):
+        forget(key[0])
         work = worker_state(key, make)
         for batch in batches:
             for low, texts in text_runs(batch.column(n)):
@@ -88,8 +99,12 @@ def remainder(column: str, by: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see: under spark.checkpoint.dir, or /tmp/checkpoints where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder that the driver and all executors see: under spark.checkpoint.dir. Where that is unset, a local session (tests) gets one in /tmp; a cluster gets an error, as its machines share no local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/hourloom-{uuid.uuid4().hex}"
 
 

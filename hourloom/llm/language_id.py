@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, remainder, text_runs, written
+from .common import forget, map_texts, remainder, text_runs, written
 
 #: N-grams of a profile and of a document's list.
 PROFILE = 400
@@ -108,6 +108,7 @@ def gram_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     """lang, gram and n over all rows with a language: each task sends an n-gram once for each language."""
 
     def count(batches):
+        forget()
         sums: dict[str, Counter] = {}
 
         def emptied():

@@ -3,6 +3,8 @@
 Patterns propose spans, validators confirm them (parts of an address, lengths, Luhn, mod 97), and words near a span raise its
 score. Spans of the base kinds always stay; spans of the further kinds stay at MIN_SCORE or more.
 
+The further kinds are bank account numbers, social security numbers and secrets (long mixed strings near a word for a key).
+
 Positions are code points, ends exclusive, counted from the lengths of what lies between matches. The patterns match what the
 contract's patterns match: possessive repeats where nothing after them could make them give back, and a look behind (or the end of the match
 before) where a match could only begin with its run of characters, so no text takes quadratic time or deep recursion.
@@ -12,6 +14,8 @@ Null is as ''. Rows are independent: repeated rows, ties and other columns chang
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +27,20 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{20,200}+=?=?(?![A-Za-z0-9_+/=-])",
 }
 BASE = ("email", "ip", "card", "phone")
 # Score of a confirmed span, words that raise it.
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "secret": 0.4}
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|address|host|server", "card": "card|visa|credit|pay", "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|konto|cuenta|compte", "ssn": "ssn|social security",
+    "secret": "token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth|bearer|credential|akia[0-9a-z]{16}|gh[pousr]_|eyj",
 }
 CONTEXT_CHARS, CONTEXT_SCORE, MIN_SCORE = 40, 0.3, 0.6
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-SPAN = "array<struct<kind:string,start:long,end:long,value:string>>"
+SPAN = "array<struct<kind:string,start:long,end:long,value:string,score:double>>"
+SLICE = 256
 
 
 def luhn(digits: Column) -> Column:
@@ -63,27 +70,61 @@ def confirmed(kind: str, value: Column) -> Column:
         return mod97(F.regexp_replace(value, " ", ""))
     if kind == "ssn":
         return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "secret":
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not at each place that names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(steps: Column) -> Column:
+    """Running sums of an array. Appending to a long array copies it, so sums are run over slices of SLICE elements, and over the slices: time follows the length."""
+    none = F.array().cast("array<long>")
+
+    def run(values: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(values, state, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"])
+
+    zero = F.lit(0).cast("long")
+
+    def sliced(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / SLICE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * SLICE + 1, F.lit(SLICE)))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda a, x: a + x)
+
+    def joined(slices: Column) -> Column:
+        ends = run(F.transform(slices, total), zero)
+        return F.flatten(F.transform(F.arrays_zip(slices.alias("c"), ends.alias("e")), lambda z: run(z["c"], z["e"] - total(z["c"]))))
+
+    return F.when(F.size(steps) > 0, let(steps, lambda v: let(sliced(v), joined))).otherwise(none)
+
+
 def placed(kind: str, text: Column, found: Column) -> Column:
-    """Matches with their places, those that fail dropped."""
+    """Matches with their places and scores, those that fail dropped. What is near a match are CONTEXT_CHARS characters on both sides, as far as the next match of its kind."""
+    n = F.size(found)
     between = F.split(text, PATTERNS[kind], -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    before, after = F.slice(between, F.lit(1), n), F.slice(between, F.lit(2), n)
+    steps = F.transform(before, lambda gap, i: (F.length(gap) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0)).cast("long"))
+    rows = F.arrays_zip(found.alias("value"), running(steps).alias("start"), before.alias("before"), after.alias("after"))
 
-    def add(a: Column, x: Column) -> Column:
-        low = a["at"] + F.length(x["gap"])
-        high = low + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), low.alias("start"), high.alias("end"), x["value"].alias("value"))
-        return F.struct(high.alias("at"), F.when(confirmed(kind, x["value"]), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def span(x: Column) -> Column:
+        near = F.lower(F.concat(F.substring(x["before"], -CONTEXT_CHARS, CONTEXT_CHARS), x["value"], F.substring(x["after"], 1, CONTEXT_CHARS)))
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(rf"\b(?:{CONTEXT[kind]})"), F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0))
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), F.least(score, F.lit(1.0)).alias("score"))
 
-    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    spans = F.aggregate(pairs, start, add, lambda a: a["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+    spans = F.transform(F.filter(rows, lambda x: confirmed(kind, x["value"])), span)
+    if kind not in BASE:
+        spans = F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
+    return F.when(n > 0, spans).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with pii: array of kind, start, end, value and score, by kind in the order of PATTERNS, then by start."""
+    """``df`` with pii (in the place of a column of that name): array of kind, start, end, value and score, by kind in the order of PATTERNS, then by start."""
     text = F.col("__text")
     out = df.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     # candidates in a projection of their own, so that each pattern is searched once
@@ -94,21 +135,8 @@ def find_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     # a document without long enough digit runs needs no places of cards
     has_card = F.exists("__card", lambda v: F.length(F.regexp_replace(v, "[^0-9]", "")).between(16, 19))
     out = out.withColumn("__card", F.when(has_card, F.col("__card")).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("__spans", F.concat(*[placed(k, text, F.col(f"__{k}")) for k in PATTERNS]))
-
-    def scored(s: Column) -> Column:
-        low = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.lower(F.substr(text, (low + 1).cast("int"), (s["end"] - low + CONTEXT_CHARS).cast("int")))
-        base = words = F.lit(None)
-        for kind in PATTERNS:
-            base = F.when(s["kind"] == kind, F.lit(SCORES[kind])).otherwise(base)
-            words = F.when(s["kind"] == kind, near.rlike(rf"\b(?:{CONTEXT[kind]})")).otherwise(words)
-        score = F.least(base + F.when(words, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), F.lit(1.0))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), score.alias("score"))
-
-    out = out.withColumn("pii", F.transform("__spans", scored))
-    out = out.withColumn("pii", F.filter("pii", lambda s: s["kind"].isin(*BASE) | (s["score"] >= MIN_SCORE)))
-    return out.drop("__text", "__spans", *[f"__{k}" for k in PATTERNS])
+    spans = F.concat(*[placed(k, text, F.col(f"__{k}")) for k in PATTERNS])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != "pii"], spans.alias("pii"))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

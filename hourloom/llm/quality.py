@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs, written
+from .common import forget, text_runs, written
 
 ORDER = 4
 #: Hashed n-grams that workers hold, over all languages; the others are joined.
@@ -93,6 +93,7 @@ def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """lang, gram, n of all n-grams of ORDER characters; each task sends a gram once for each language."""
 
     def count(batches):
+        forget()
         sums: dict = {}
 
         def emptied():
@@ -280,6 +281,7 @@ def score(df: DataFrame, logs: DataFrame, keep: list[str], lang_col: str, text_c
     arrow, n, nothing = to_arrow_schema(schema), len(keep), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def run(batches):
+        forget()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for low, texts in text_runs(batch.column(n + 1)):

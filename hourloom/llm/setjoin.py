@@ -325,6 +325,7 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
             yield of(t[rows], mine, np.where(match(mine, head), head[0], mine[0]))
 
     def gather(batches):
+        forget()
         last = head = None  # the open part of a block in parts: token and part, first row
         carry: list[np.ndarray] | None = None  # rows of the open block in one part
         huge = None  # its token and first row, if its rows are no longer held
@@ -383,6 +384,7 @@ def sets_of(rows: DataFrame, place: DataFrame, units: Units) -> DataFrame:
     chosen = rows.alias("r").join(small(lines, "lines").alias("l"), there).select("l.lines", "r.text")
 
     def run(batches):
+        forget()
         for batch in batches:
             for low, texts in text_runs(batch.column(1)):
                 s = Sets(units, texts)

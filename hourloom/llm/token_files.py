@@ -6,8 +6,9 @@ holds whole documents, FRAME_IDS ids or one longer document; a reader decompress
 no other, and compares each with its checksum.
 
 Documents are dealt by ranges of their id, one file a range, so files in order hold ids in ascending order (null first; equal
-ids by text). A file has a new name for each attempt of its task and counts only once it is in the manifest, so a lost
-executor leaves at most a stray file. Null and '' have the end id alone. An empty table gives files without documents or
+ids by a hash of the text). A file has a new name for each attempt of its task and counts only once it is in the manifest, so a lost
+executor leaves at most a stray file. There are more files where the corpus is larger. Null and '' have the end id alone; a very long text is a frame of its own.
+Ids that are no whole numbers are an error. An empty table gives files without documents or
 none. Repeated rows are all written; other columns are not read.
 """
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_runs, worker_state, written
+from .common import forget, shared_dir, text_runs, worker_state, written
 from .tokens import encode_pieces
 
 # Fixed values of the public seekable format.
@@ -34,6 +35,8 @@ SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2
 #: Ids of a frame, at least, unless the file ends.
 FRAME_IDS = 65_536
 NO_ID = -(1 << 63)
+#: Rows of a file, at most but for rows of equal id and text.
+FILE_ROWS = 1_000_000
 #: Words that are encoded as one text.
 JOINED = 2_000
 
@@ -164,12 +167,13 @@ ROWS = "part int, position long, doc_id long, start long, n_tokens long, ids bin
 def write_tokens(df: DataFrame, out_dir: str, path: str, end_id: int, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every row with the vocabulary file at ``path``, append ``end_id``, write files under ``out_dir``; gives the manifest (MANIFEST)."""
     spark = df.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // FILE_ROWS))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(files, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches):
+        forget("token_files")
         encoder = worker_state(("token_files", path), lambda: LibraryEncoder(path))
         part = TaskContext.get().partitionId()
         fs, folder = open_fs(out_dir)
@@ -195,6 +199,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     placed = manifest.select("part", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).repartition(files)
 
     def read(batches):
+        forget()
         for batch in batches:
             for row in batch.to_pylist():
                 fs, name = open_fs(row["path"])

@@ -33,7 +33,27 @@ def pieces(text: str) -> list[str]:
     return cut
 
 
-def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: Callable, limit: int = 600_000) -> list[list]:
+#: Marks that the byte-level pattern parts from a letter or digit before them when white space or nothing follows.
+TAIL = ".,;:!?"
+
+
+def without_tail(word: str) -> str:
+    """The word without marks at its end, where these are pre-tokens of their own; else the whole word."""
+    core = word.rstrip(TAIL)
+    return core if core and len(core) < len(word) and (core[-1].isalpha() or core[-1].isdecimal()) else word
+
+
+def learn(memo: dict, words: list[str], after_space: Callable, others: Callable) -> None:
+    """Values of words that are not in ``memo``; each is encoded once, without the marks at its end."""
+    cores = [without_tail(w) for w in words]
+    new = [w for w in dict.fromkeys(cores) if w not in memo]
+    memo.update(zip(new, after_space(new), strict=True))
+    tails = {w[len(c) :] for w, c in zip(words, cores, strict=True)} - {""}
+    tail = dict(zip(tails, others(list(tails)), strict=True))
+    memo.update((w, memo[c] + tail[w[len(c) :]]) for w, c in zip(words, cores, strict=True) if len(c) < len(w))
+
+
+def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: Callable, limit: int = 500_000) -> list[list]:
     """The remembered or newly encoded value of every piece of every text; what is missing is encoded in one call of each kind.
 
     after_space: values of words without white space at their ends, each as after a space; others: values of texts.
@@ -45,10 +65,11 @@ def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: C
         memo.clear()
         new = list(found)
     words, rest = [p for p in new if p[0] != " "], [p for p in new if p[0] == " "]
-    memo.update(zip(words, after_space(words), strict=True))
+    learn(memo, words, after_space, others)
     memo.update(zip(rest, others([p[1:] for p in rest]), strict=True))
     out = [list(map(memo.__getitem__, ps)) for ps in cut]
     for p in new:
         if len(p) > LONG_PIECE:
-            del memo[p]
+            memo.pop(p, None)
+            memo.pop(without_tail(p), None)
     return out
