@@ -150,7 +150,7 @@ def test_decontamination_is_brute_force():
                     if doc[j : j + n] == item[i : i + n]:
                         hit.update(range(j, j + n))
                         named.add(k)
-        spans, found = decontaminate.SuffixAutomaton(items, 5).hits(doc)
+        spans, found = decontaminate.Matcher(*decontaminate.matcher_parts(items, 5)).hits(doc)
         assert {i for a, b in spans for i in range(a, b)} == hit and found == named
 
 
@@ -162,6 +162,20 @@ def test_decontamination_in_shards_and_cutting(spark):
     assert one == many
     left = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items).collect()}
     assert set(left) == {1, 3, 4} and left[1].startswith("Clean words here. and after") and left[3] == "nothing"
+    assert left == {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, shard_words=5).collect()}
+
+
+def test_cutting_goes_on_until_nothing_is_hit_and_leaves_other_columns(spark):
+    """Passages nested four deep: each cut brings the next together; columns with the names of results stay as they are."""
+    item = [f"w{i}" for i in range(12)]
+    nested = list(item)
+    for _ in range(4):
+        nested = [*item[:6], *nested, *item[6:]]
+    text = " ".join(["clean"] * 200 + nested + ["tail"] * 200)
+    rows = [(1, text, 7, ["mine"], "s"), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, items array<string>, spans string")
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert got[1].text.split() == ["clean"] * 200 + ["tail"] * 200 and (got[1].n_words, got[1]["items"], got[1].spans) == (7, ["mine"], "s") and got[2].text is None
 
 
 def shingles(text):
