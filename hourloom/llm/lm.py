@@ -1,26 +1,25 @@
 """Language-model scoring with causal self-attention (operator 1).
 
-Words become subword ids of a public byte-level vocabulary. The model gives an id the probability of its class times its share of
-the class: frequent ids are classes of their own, the others are grouped by what stands before them. Classes are predicted by one head
-of causal self-attention over the ids before, with a learned weight for each distance, and by the last id itself. Texts are scored in
-windows of LENGTH ids that overlap; a window scores the ids that the window before has not, so each id is scored once, all windows of a run
-in masked batches.
-
-What is learned: counts of words, of ids and of what stands before them, over all training documents; the attention model by stochastic
-gradient steps on every block of words of every training document.
-Every task trains a copy for one pass and the copies are averaged, weighted by the ids they saw; ROUNDS times. What is gathered
-grows with the corpus; only sums over the vocabulary (bounded), parameters and the MAX_COMMON most frequent words (bounded) are sent to workers.
-Counts of all other words are joined.
-
-Null is as ''. A text without words has the end token alone. Null ids are training documents. Repeated rows count each time and
-are scored alike. Without training documents all counts are 0 and the model is uniform over classes. An empty table gives an empty result.
+A text is the subword ids of its lower-cased words, each after a space, and an end id. The model gives an id the probability of its class times its
+share of the class. Frequent ids are classes of their own, the others are grouped by what stands before them. Classes are predicted by the sum of
+two parts: logarithms of how often the class follows the last id, counted over all training documents, and one head of causal self-attention
+over the ids before, with a learned weight for each distance. An id's share of its class is counted by what stands before it too. Texts are scored in windows of
+LENGTH ids that overlap; a window scores the ids that the window before has not, so each id is scored once, all windows of a run in masked batches.
+
+What is learned: counts of words and of pairs of ids over all training documents, and the attention by stochastic gradient steps on every id of every
+training document, once. For that the documents are dealt by hash of id and text into shards of about SHARD_IDS ids, whose number follows from the counts, so a shard has the same
+rows in the same order however the table is partitioned. The first shard trains a common start; each other shard trains a copy of it, and the copies are
+averaged in whole numbers, so in any order alike. What is gathered grows with the corpus; only sums over the vocabulary (bounded), parameters and the
+MAX_COMMON most frequent words (bounded) are sent to workers. Counts of all other words are joined.
+
+Null is as ''. A text without words has the end token alone. Very long texts take memory in proportion to themselves. Null ids are training documents. Repeated rows count
+each time and are scored alike. Other columns are not read. Without training documents all counts are 0 and the model is uniform over ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,152 +28,171 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, text_runs, worker_state, written
+from .common import forget, remainder, text_runs, worker_state, written
+from .setjoin import word_hashes
 
-LENGTH, STRIDE = 32, 24
-WIDTH, OWN_CLASSES, GROUPS, KINDS = 16, 160, 32, 1_024
-BUCKETS = 24  # of what stands before an id; 0 is the start of a word
-BLOCK_WORDS, ROUNDS, BATCH, RATE = 24, 1, 32, 0.015
+LENGTH, STRIDE = 64, 56
+WIDTH, OWN_CLASSES, GROUPS, KINDS = 16, 128, 32, 1_024
+BUCKETS = 64  # of what stands before an id: the most frequent ids, and all others
+CLASSES, INPUTS = OWN_CLASSES + GROUPS, KINDS + GROUPS
+SHARD_IDS, BATCH, RATE, WARM_UP = 2_000_000, 32, 0.01, 50
 #: Windows scored at once: few enough that their logits stay in the processor's cache.
-SCORED_AT_ONCE = 64
+SCORED_AT_ONCE = 32
 #: Words whose counts every worker holds.
 MAX_COMMON = 200_000
-SMOOTH = 0.5
+#: Added to the count of an id, of an id's share and of a class after an id: an id, its share of the class, the class's share.
+SMOOTH, SHARE_SMOOTH, CLASS_SMOOTH = 0.5, 4.0, 2.0
+#: Different keys that a task holds before it sends its counts on.
+HELD_KEYS = 1_500_000
 
 
 class Subwords:
-    """ids of words (lower-case bytes), each as after a space; remembered."""
+    """ids of texts."""
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encode = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size = max(ranks.values()) + 2
         self.end = self.size - 1
-        self.id_bytes = np.zeros(self.size, np.int64)
-        for token, i in ranks.items():
-            self.id_bytes[i] = len(token)
-        self.memo: dict[bytes, np.ndarray] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> list[np.ndarray]:
-        memo = self.memo
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > self.limit:
-            memo.clear()
-            new = words
-        text = [w.decode("utf-8") for w in new]
-        plain = [not (t[0].isspace() or t[-1].isspace()) for t in text]
-        together = [(w, t) for w, t, p in zip(new, text, plain, strict=True) if p]
-        for low in range(0, len(together), 5_000):  # words side by side, told apart by the bytes of the ids
-            run = together[low : low + 5_000]
-            ids = np.array(self.encoding.encode_ordinary("".join([" " + t for _, t in run])), np.int32)
-            cuts = np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum([len(w) + 1 for w, _ in run])) + 1
-            memo.update(zip([w for w, _ in run], np.split(ids, cuts[:-1]), strict=True))
-        for w, t, p in zip(new, text, plain, strict=True):
-            if not p:
-                memo[w] = np.array(self.encoding.encode_ordinary(" " + t), np.int32)
-        return [memo[w] for w in words]
-
-
-def numbered(lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
-    """Different words, and the number of each word of all lists, end to end."""
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for ws in lists for w in ws), np.int64, sum(map(len, lists)))
-    return list(number), ids
-
-
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... size[i] of them, for all i."""
-    ends = np.cumsum(size)
-    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def sequences(lists: list[list[bytes]], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all texts, each with the end id, end to end; their numbers."""
-    words, at = numbered(lists)
-    parts = subwords(words)
-    size = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate([*parts, np.array([subwords.end], np.int32)])
-    starts = np.append(np.cumsum(size) - size, len(flat) - 1)
-    size = np.append(size, 1)
-    n = np.array([len(ws) for ws in lists], np.int64)
-    order = np.insert(at, np.cumsum(n), len(words))  # the end after each text's words
-    ids = flat[ragged(starts[order], size[order])]
-    owner = np.repeat(np.arange(len(lists)), n + 1)
-    return ids, np.bincount(owner, size[order], len(lists)).astype(np.int64)
-
-
-def lower_words(texts: list[str]) -> list[list[bytes]]:
-    return [t.encode("utf-8").lower().split() for t in texts]
-
-
-def count(rows: DataFrame, make) -> DataFrame:
-    """kind, key, c: words by hash (0), ids with the bucket of the id before (1), documents (2); each task adds up first."""
+        self.stored = "<u2" if self.size <= 1 << 16 else "<u4"
+
+    def __call__(self, text: str) -> np.ndarray:
+        words = text.encode("utf-8").lower().split()
+        ids = self.encode(" " + b" ".join(words).decode("utf-8")) if words else []
+        return np.array([*ids, self.end], self.stored)
+
+
+class Sums:
+    """Counts of 64-bit keys, kept in arrays."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.held.append(np.unique(keys, return_counts=True))
+        self.size += len(self.held[-1][0])
+        if self.size > HELD_KEYS:
+            self.held = [self.total()]
+            self.size = len(self.held[0][0])
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, back = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([c for _, c in self.held]), len(keys)).astype(np.int64)
+
+
+def encoded(rows: DataFrame, make) -> tuple[DataFrame, DataFrame]:
+    """(id, held_out, text and ids of every row), (kind, key, c of the training rows: words by hash (0), pairs of ids (1), documents (2)); each text is encoded once, each task adds up first."""
+    id_type = rows.schema["id"].dataType
 
     def run(batches):
+        forget("subwords")
         subwords = worker_state(("subwords", *make), lambda: Subwords(*make))
-        words, pairs, docs = Counter(), np.zeros(subwords.size * BUCKETS, np.int64), 0
+        words, pairs, docs = Sums(), Sums(), 0
+        names = ["id", "held_out", "text", "ids", "kind", "key", "c"]
 
-        def sent(kind, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(counts)], names=["kind", "key", "c"])
+        def sent(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            n = len(keys)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, arrow_id), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(np.full(n, kind, np.int32)), pa.array(keys), pa.array(counts)], names=names)
 
-        def emptied():
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
-            return sent(0, h, np.fromiter(words.values(), np.int64, len(words)))
+        arrow_id = None
+        for batch in batches:
+            arrow_id = batch.column(0).type
+            for low, texts in text_runs(batch.column(2)):
+                there, n = [batch.column(i).slice(low, len(texts)) for i in (0, 1)], len(texts)
+                ids = [subwords(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([*there, pa.array(texts, pa.string()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+                training = [k for k, out in enumerate(there[1].to_pylist()) if not out]
+                if training:
+                    docs += len(training)
+                    words.add(word_hashes([texts[k] for k in training])[0].view(np.int64))
+                    end = np.array([subwords.end], subwords.stored)
+                    flat = np.concatenate([end, *[ids[k] for k in training]]).astype(np.int64)  # each text ends with the id that the next begins after
+                    pairs.add(flat[:-1] * subwords.size + flat[1:])
+                for kind, sums in ((0, words), (1, pairs)):
+                    if sums.size > HELD_KEYS:
+                        yield sent(kind, *sums.total())
+                        sums.held, sums.size = [], 0
+        if arrow_id is not None:
+            yield sent(0, *words.total())
+            yield sent(1, *pairs.total())
+            yield sent(2, np.zeros(1, np.int64), np.array([docs]))
+
+    both = written(rows.mapInArrow(run, f"id {id_type.simpleString()}, held_out boolean, text string, ids binary, kind int, key long, c long"))
+    counted = both.where("kind is not null").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+    return both.where("kind is null").select("id", "held_out", "text", "ids"), written(counted)
+
+
+def pair_table(pairs: DataFrame, size: int, left: np.ndarray, right: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Counts of pairs of ids by what ``left`` and ``right`` make of their first and second; no more rows than ``shape`` come."""
+    sent = pairs.sparkSession.sparkContext.broadcast((left, right))  # the vocabulary
 
+    def run(batches):
+        forget()
+        left, right = sent.value
+        sums = np.zeros(shape[0] * shape[1], np.int64)
         for batch in batches:
-            for _, texts in text_runs(batch.column(0)):
-                run_words: Counter = Counter()
-                for ws in lower_words(texts):
-                    run_words.update(ws)
-                docs += len(texts)
-                keys = list(run_words)
-                parts = subwords(keys)
-                if parts:
-                    times = np.repeat(np.fromiter(run_words.values(), np.int64, len(keys)), [len(p) for p in parts])
-                    ids = np.concatenate(parts).astype(np.int64)
-                    before = np.append(0, 1 + (ids[:-1] * 2654435761 >> 7) % (BUCKETS - 1))
-                    before[np.cumsum([0, *map(len, parts)])[:-1]] = 0
-                    pairs += np.bincount(ids * BUCKETS + before, times, len(pairs)).astype(np.int64)
-                words.update(run_words)
-                if len(words) > 400_000:
-                    yield emptied()
-                    words = Counter()
-        yield emptied()
-        hit = np.flatnonzero(pairs)
-        yield sent(1, hit, pairs[hit])
-        yield sent(2, np.zeros(1, np.int64), np.array([docs]))
-
-    return written(rows.select("text").mapInArrow(run, "kind int, key long, c long").groupBy("kind", "key").agg(F.sum("c").alias("c")))
-
-
-def classes(pairs: np.ndarray, docs: int, size: int) -> dict[str, np.ndarray]:
-    """Class of each id, log10 of its share of it, its kind (number as input), log of each class's share; from counts by id and bucket."""
-    n = pairs.sum(axis=1).astype(float)
-    n[size - 1] = docs
+            key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at = left[key // size] * shape[1] + right[key % size]
+            sums += np.bincount(at, c, len(sums)).astype(np.int64)
+        hit = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(sums[hit])], names=["k", "c"])
+
+    got = pairs.select("key", "c").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(shape[0] * shape[1], np.int64)
+    out[got.column("k").to_numpy()] = got.column("c").to_numpy()
+    return out.reshape(shape)
+
+
+def classes(n: np.ndarray, after: np.ndarray) -> dict[str, np.ndarray]:
+    """From counts of ids and counts of bucket and id: class of each id, its kind as input, log of its share of the class after each bucket."""
+    size = len(n)
     order = np.lexsort((np.arange(size), -n))
     cls = np.zeros(size, np.int64)
     own, rest = order[:OWN_CLASSES], order[OWN_CLASSES:]
-    cls[own] = np.arange(OWN_CLASSES)
-    x = np.sqrt((pairs + 0.1) / (pairs + 0.1).sum(axis=1, keepdims=True))
-    centre = x[rest[:GROUPS]]
-    weight = n[rest] + 0.1
-    for _ in range(8):
-        near = np.argmax(x[rest] @ centre.T, axis=1)
-        for b in range(x.shape[1]):
-            centre[:, b] = np.bincount(near, weight * x[rest, b], GROUPS)
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-    cls[rest] = OWN_CLASSES + near
-    total = np.bincount(cls, n, OWN_CLASSES + GROUPS)
-    members = np.bincount(cls, minlength=OWN_CLASSES + GROUPS)
-    share = np.log10((n + SMOOTH) / (total + SMOOTH * members)[cls])
-    kind = OWN_CLASSES + cls  # ids without a kind of their own have that of their class
-    kind = np.where(cls >= OWN_CLASSES, KINDS + cls - OWN_CLASSES, 0)
-    kind[order[:KINDS]] = np.arange(KINDS)
-    return {"cls": cls, "share": share, "kind": kind, "prior": np.log((total + 1) / (total + 1).sum())}
+    cls[own] = np.arange(len(own))
+    by = after.T.astype(np.float32)
+    x = np.sqrt((by + 0.1) / (by + 0.1).sum(axis=1, keepdims=True))
+    if len(rest):
+        centre = x[rest[:GROUPS]]
+        weight = n[rest] + 0.1
+        for _ in range(8):
+            near = np.argmax(x[rest] @ centre.T, axis=1)
+            centre = np.stack([np.bincount(near, weight * x[rest, b], len(centre)) for b in range(x.shape[1])], axis=1)
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+        cls[rest] = OWN_CLASSES + near
+    kind = KINDS + np.maximum(cls - OWN_CLASSES, 0)  # ids without a kind of their own have that of their class
+    kind[order[:KINDS]] = np.arange(min(KINDS, size))
+    share = (n + SMOOTH) / np.bincount(cls, n + SMOOTH, CLASSES)[cls]
+    total = np.stack([np.bincount(cls, after[b], CLASSES) for b in range(BUCKETS)], axis=1)
+    share = np.log((by + SHARE_SMOOTH * share[:, None]) / (total[cls] + SHARE_SMOOTH))
+    return {"cls": cls, "kind": kind, "share": share.astype(np.float32), "classes": np.bincount(cls, n + SMOOTH, CLASSES) / (n + SMOOTH).sum()}
+
+
+def buckets(n: np.ndarray) -> np.ndarray:
+    order = np.lexsort((np.arange(len(n)), -n))
+    out = np.full(len(n), BUCKETS - 1)
+    out[order[: BUCKETS - 1]] = np.arange(min(BUCKETS - 1, len(n)))
+    return out
+
+
+def learned_tables(counted: DataFrame, size: int) -> dict[str, np.ndarray]:
+    """All that is counted of pairs of ids, as arrays over the vocabulary."""
+    pairs = counted.where("kind = 1")
+    everything = np.zeros(size, np.int64)
+    n = pair_table(pairs, size, everything, np.arange(size), (1, size))[0]
+    bucket = buckets(n)
+    tables = classes(n, pair_table(pairs, size, bucket, np.arange(size), (BUCKETS, size))) | {"bucket": bucket}
+    follow = pair_table(pairs, size, tables["kind"], tables["cls"], (INPUTS, CLASSES))
+    shares = np.maximum(tables.pop("classes"), 1e-12)  # a class that no id is in is never a target
+    tables["prior"] = np.log((follow + CLASS_SMOOTH * shares) / (follow.sum(axis=1, keepdims=True) + CLASS_SMOOTH)).astype(np.float32)
+    tables["ids"] = n.sum()
+    return tables
 
 
 def exponentials(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,13 +219,13 @@ def log_sum(s: np.ndarray) -> np.ndarray:
 
 
 class Attention:
-    """One head of causal self-attention; kinds KINDS + GROUPS is the start."""
+    """One head of causal self-attention beside the counted logarithms ``prior``; input INPUTS is the start."""
 
-    START = KINDS + GROUPS
-    SHAPES = {"E": (KINDS + GROUPS + 1, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "R": (LENGTH,), "O": (2 * WIDTH, OWN_CLASSES + GROUPS), "b": (OWN_CLASSES + GROUPS,)}
+    START = INPUTS
+    SHAPES = {"E": (INPUTS + 1, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "R": (LENGTH,), "O": (WIDTH, CLASSES), "b": (CLASSES,)}
 
-    def __init__(self, params: np.ndarray):
-        self.p, low = {}, 0
+    def __init__(self, params: np.ndarray, prior: np.ndarray):
+        self.p, low, self.prior = {}, 0, prior
         for name, shape in self.SHAPES.items():
             n = int(np.prod(shape))
             self.p[name] = params[low : low + n].reshape(shape).astype(np.float32)
@@ -216,146 +234,170 @@ class Attention:
         self.gap, self.past = np.maximum(gap, 0), gap >= 0
 
     @classmethod
-    def start(cls, prior: np.ndarray) -> np.ndarray:
+    def start(cls) -> np.ndarray:
+        """Attention that adds nothing yet."""
         rng = np.random.default_rng(0)
-        parts = [(rng.normal(0, 0.3 if n == "E" else 0.25, s) if n in "EQKVO" else prior if n == "b" else np.zeros(s)).ravel() for n, s in cls.SHAPES.items()]
+        parts = [(rng.normal(0, 0.3 if n == "E" else 0.25, s) if n in "EQK" else np.zeros(s)).ravel() for n, s in cls.SHAPES.items()]
         return np.concatenate(parts).astype(np.float32)
 
-    def forward(self, z: np.ndarray, wanted: np.ndarray | None = None):
-        """What each step gives; the last two only for the ``wanted`` positions."""
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
+
+    def forward(self, z: np.ndarray, last: np.ndarray, wanted: np.ndarray | None = None):
+        """What each step gives; the last two only for the ``wanted`` positions. z: inputs, last: kinds of the ids before the targets."""
         p, length = self.p, z.shape[1]
         x = p["E"][z]
-        q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
+        q, k = x @ p["Q"], x @ p["K"]
         s = q @ k.transpose(0, 2, 1)
         s *= np.float32(WIDTH**-0.5)
         s += np.where(self.past, p["R"][self.gap], np.float32(-1e9))[:length, :length]
         a, total = exponentials(s)
         a /= total[..., None]
-        h = np.concatenate([x, a @ v], axis=2).reshape(-1, 2 * WIDTH)
+        y = (a @ x).reshape(-1, WIDTH)
+        last = last.ravel()
         if wanted is not None:
-            h = h[wanted.ravel()]
-        logits = h @ p["O"]
+            y, last = y[wanted.ravel()], last[wanted.ravel()]
+        logits = y @ p["O"]
         logits += p["b"]
-        return x, q, k, v, a, h, logits
+        logits += self.prior[last]
+        return x, q, k, a, y, logits
 
-    def log_prob(self, z: np.ndarray, target: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    def log_prob(self, z: np.ndarray, last: np.ndarray, target: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithm of the probability of each target class, or of those at the wanted positions, in order."""
-        logits = self.forward(z, wanted)[-1]
+        logits = self.forward(z, last, wanted)[-1]
         chosen = target.ravel() if wanted is None else target[wanted]
         p = logits[np.arange(len(logits)), chosen] - log_sum(logits)
         return p.reshape(target.shape) if wanted is None else p
 
-    def gradients(self, z: np.ndarray, target: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
-        x, q, k, v, a, h, logits = self.forward(z)
+    def gradients(self, z: np.ndarray, last: np.ndarray, target: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
+        p, n = self.p, z.shape[1]
+        x, q, k, a, y, logits = self.forward(z, last)
         d, total = exponentials(logits)
-        d /= total[:, None]
-        d[np.arange(len(d)), target.ravel()] -= 1
-        d *= (valid.ravel() / max(1, valid.sum())).astype(np.float32)[:, None]
-        dh = (d @ p["O"].T).reshape(*z.shape, 2 * WIDTH)
-        dx, dy = dh[..., :WIDTH].copy(), dh[..., WIDTH:]
-        da, dv = dy @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
+        d *= (valid.ravel() / (total * max(1, valid.sum()))).astype(np.float32)[:, None]
+        d[np.arange(len(d)), target.ravel()] -= valid.ravel() / np.float32(max(1, valid.sum()))
+        dy = (d @ p["O"].T).reshape(x.shape)
+        da, dx = dy @ x.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        n = z.shape[1]
         dr = np.bincount(self.gap[:n, :n].ravel(), (ds.sum(axis=0) * self.past[:n, :n]).ravel(), LENGTH)
-        ds = ds * np.float32(WIDTH**-0.5)
+        ds *= np.float32(WIDTH**-0.5)
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         flat = x.reshape(-1, WIDTH).T
-        out = {"Q": flat @ dq.reshape(-1, WIDTH), "K": flat @ dk.reshape(-1, WIDTH), "V": flat @ dv.reshape(-1, WIDTH), "R": dr, "O": h.T @ d, "b": d.sum(axis=0)}
-        dx += dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        dx += dq @ p["Q"].T + dk @ p["K"].T
         rows = dx.reshape(-1, WIDTH)
-        out["E"] = np.stack([np.bincount(z.ravel(), rows[:, i], len(p["E"])) for i in range(WIDTH)], axis=1)
-        return out
+        e = np.stack([np.bincount(z.ravel(), rows[:, i], len(p["E"])) for i in range(WIDTH)], axis=1)
+        return {"E": e, "Q": flat @ dq.reshape(-1, WIDTH), "K": flat @ dk.reshape(-1, WIDTH), "R": dr, "O": y.T @ d, "b": d.sum(axis=0)}
 
 
 class Trainer:
-    """Adam."""
+    """Adam, with a rate that rises over WARM_UP steps and falls to a tenth over all."""
 
-    def __init__(self, model: Attention, rate: float):
-        self.model, self.rate, self.t = model, rate, 0
+    def __init__(self, model: Attention, steps: int):
+        self.model, self.steps, self.t = model, steps, 0
         self.m = {n: np.zeros_like(x) for n, x in model.p.items()}
         self.v = {n: np.zeros_like(x) for n, x in model.p.items()}
 
-    def step(self, z, target, valid) -> None:
+    def step(self, z, last, target, valid) -> None:
         self.t += 1
-        for n, g in self.model.gradients(z, target, valid).items():
+        rate = RATE * min(1.0, self.t / WARM_UP) * max(0.1, 1 - self.t / self.steps)
+        for n, g in self.model.gradients(z, last, target, valid).items():
             self.m[n] += 0.1 * (g - self.m[n])
             self.v[n] += 0.01 * (g * g - self.v[n])
-            self.model.p[n] -= (self.rate * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.v[n] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
+            self.model.p[n] -= (rate * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.v[n] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
 
 
-def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(sizes: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First position in its text, text, and first position to score of each window."""
-    n = 1 + np.maximum(0, -(-(sizes - LENGTH) // STRIDE))
+    n = 1 + np.maximum(0, -(-(sizes - LENGTH) // stride))
     n = np.where(sizes > 0, n, 0)
     text = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return k * STRIDE, text, np.where(k > 0, k * STRIDE + LENGTH - STRIDE, 0)
+    return k * stride, text, np.where(k > 0, k * stride + LENGTH - stride, 0)
 
 
-def batches_of(ids: np.ndarray, sizes: np.ndarray, tables: dict, batch: int):
-    """Windows in batches: text, inputs, target ids, which targets are to be scored."""
-    low, text, scored = windows(sizes)
+def batches_of(ids: np.ndarray, sizes: np.ndarray, tables: dict, batch: int, stride: int = STRIDE, order: np.ndarray | None = None):
+    """Windows in batches: text, inputs, kinds and buckets of the ids before, target ids, which targets are to be scored."""
+    low, text, scored = windows(sizes, stride)
+    if order is not None:
+        low, text, scored = low[order], text[order], scored[order]
     first = np.cumsum(sizes) - sizes
+    end = ids[-1] if len(ids) else 0
     for i in range(0, len(low), batch):
         at = low[i : i + batch, None] + np.arange(LENGTH)
         t = text[i : i + batch]
         inside = at < sizes[t][:, None]
-        target = ids[np.where(inside, first[t][:, None] + at, 0)]
-        before = ids[np.maximum(first[t][:, None] + np.where(inside, at, 0) - 1, 0)]
-        z = np.where(at == 0, Attention.START, tables["kind"][before])
-        yield t, z, target, inside & (at >= scored[i : i + batch, None])
-
-
-def train(rows: DataFrame, make, tables: dict, rounds: int = ROUNDS) -> np.ndarray:
-    params = Attention.start(tables["prior"])
-    context = rows.sparkSession.sparkContext
-    for k in range(rounds):
-        sent = context.broadcast((params, tables))  # the vocabulary's size
-
-        def run(batches, sent=sent, k=k):
+        place = first[t][:, None] + np.where(inside, at, 0)
+        target = ids[np.where(inside, place, first[t][:, None])]
+        before = np.where(at == 0, end, ids[np.maximum(place - 1, 0)])  # a text begins after an end
+        last = tables["kind"][before]
+        yield t, np.where(at == 0, Attention.START, last), last, tables["bucket"][before], target, inside & (at >= scored[i : i + batch, None])
+
+
+def trained(params: np.ndarray, tables: dict, texts: list[bytes], stored: str) -> tuple[np.ndarray, int]:
+    """Parameters after one pass over every id of the texts, and the number of ids."""
+    texts = sorted(texts, key=lambda x: (xxhash.xxh64_intdigest(x), len(x)))
+    ids, sizes = np.frombuffer(b"".join(texts), stored).astype(np.int64), np.array([len(x) // np.dtype(stored).itemsize for x in texts], np.int64)
+    n = len(windows(sizes, LENGTH)[0])
+    model = Attention(params, tables["prior"])
+    trainer = Trainer(model, -(-n // BATCH))
+    for _, z, last, _, target, valid in batches_of(ids, sizes, tables, BATCH, LENGTH, np.random.default_rng(n).permutation(n)):
+        trainer.step(z, last, tables["cls"][target], valid)
+    return model.flat(), len(ids)
+
+
+FRACTION = 1 << 24  # parameters are added as whole numbers of this part, weighted by thousands of ids
+
+
+def train(rows: DataFrame, tables: dict, stored: str) -> np.ndarray:
+    """rows: id and ids of the training documents."""
+    shards = max(1, -(-int(tables["ids"]) // SHARD_IDS))
+    held = rows.select("ids", F.pmod(F.xxhash64("id", "ids"), F.lit(shards)).cast("int").alias("shard"))
+    params = Attention.start()
+    for chosen in (held.where("shard = 0"), held.where("shard > 0"))[: 1 if shards == 1 else 2]:
+        sent = rows.sparkSession.sparkContext.broadcast((params, {k: tables[k] for k in ("kind", "cls", "bucket", "prior")}))  # the vocabulary's size
+
+        def run(table):
+            forget()
             params, tables = sent.value
-            subwords = worker_state(("subwords", *make), lambda: Subwords(*make))
-            model = Attention(params)
-            trainer, seen = Trainer(model, RATE / (1 + k)), 0
-            for batch in batches:
-                for _, texts in text_runs(batch.column(0)):
-                    blocks = [words[i : i + BLOCK_WORDS] for words in lower_words(texts) for i in range(0, max(1, len(words)), BLOCK_WORDS)]
-                    blocks = [blocks[i] for i in np.random.default_rng(len(blocks)).permutation(len(blocks))]
-                    ids, sizes = sequences(blocks, subwords)
-                    for _, z, target, valid in batches_of(ids, sizes, tables, BATCH):
-                        trainer.step(z, tables["cls"][target], valid)
-                        seen += int(valid.sum())
-            flat = np.concatenate([model.p[n].ravel() for n in Attention.SHAPES]).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "x", "w"])
-
-        summed = rows.select("text").mapInArrow(run, "i long, x double, w double").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
-        got = summed.where("w > 0").toArrow()  # a row for each parameter
+            got, seen = trained(params, tables, table.column("ids").to_pylist(), stored)  # about SHARD_IDS ids
+            weight = max(1, seen >> 10)
+            return pa.table({"i": pa.array(np.arange(len(got))), "x": pa.array(np.rint(got.astype(float) * FRACTION).astype(np.int64) * weight), "w": pa.array(np.full(len(got), weight))})
+
+        summed = chosen.groupBy("shard").applyInArrow(run, "i long, x long, w long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("w").alias("w"))
+        got = summed.toArrow()  # a row for each parameter
         if len(got):
             i, x, w = [got.column(c).to_numpy() for c in ("i", "x", "w")]
             params = params.copy()
-            params[i] = x / w
+            params[i] = x / w / FRACTION
     return params
 
 
+class Scorer:
+    def __init__(self, params: np.ndarray, tables: dict):
+        self.model, self.tables = Attention(params, tables["prior"]), tables
+
+    def __call__(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each text."""
+        out, cls, share = np.zeros(len(sizes)), self.tables["cls"], self.tables["share"]
+        for t, z, last, bucket, target, valid in batches_of(ids, sizes, self.tables, SCORED_AT_ONCE):
+            p = self.model.log_prob(z, last, cls[target], valid).astype(float) + share[target[valid], bucket[valid]]
+            out += np.bincount(np.repeat(t, valid.sum(axis=1)), p, len(sizes))
+        return out / np.log(10)
+
+
 def score(docs: DataFrame, path: str, pattern: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learned from the rows that are not held out."""
     spark, make = docs.sparkSession, (path, pattern)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    training = rows.where("not held_out")
-    counted = count(training, make)
+    coded, counted = encoded(rows, make)
     words = counted.where("kind = 0").select(F.col("key").alias("w"), "c")
     n_docs = (counted.where("kind = 2").agg(F.sum("c")).first()[0]) or 0
     n_words, n_distinct = (x or 0 for x in words.agg(F.sum("c"), F.count("*")).first())
     total, distinct_tokens = n_words + n_docs, n_distinct + (n_docs > 0)
     norm = float(np.log10(total + distinct_tokens + 1))
-    size = Subwords(*make).size
-    pairs = np.zeros((size, BUCKETS), np.int64)
-    got = counted.where("kind = 1").select("key", "c").toArrow()  # vocabulary times BUCKETS at most
-    pairs.ravel()[got.column("key").to_numpy()] = got.column("c").to_numpy()
-    del got
-    tables = classes(pairs, n_docs, size)
-    params = train(training, make, tables)
+    subwords = Subwords(*make)
+    stored, tables = subwords.stored, learned_tables(counted, subwords.size)
+    del subwords
+    params = train(coded.where("not held_out").select("id", "ids"), tables, stored)
     top = words.orderBy(F.desc("c"), "w").limit(MAX_COMMON).toArrow()
     keys, c = top.column("w").to_numpy(), top.column("c").to_numpy()
     order = np.argsort(keys)
@@ -363,44 +405,39 @@ def score(docs: DataFrame, path: str, pattern: str, held_out: Column, id_col: st
     key = ("attention", uuid.uuid4().hex)
 
     def run(batches):
+        forget("attention")
         common, times, params, tables, n_docs = sent.value
-        subwords = worker_state(("subwords", *make), lambda: Subwords(*make))
-        model = worker_state(key, lambda: Attention(params))
+        scorer = worker_state(key, lambda: Scorer(params, tables))
         row = TaskContext.get().partitionId() << 40
         log_known = np.log10(np.append(times, 0) + 1.0)
         names = ["r", "id", "held_out", "n_tokens", "n_known", "base", "score", "w", "m"]
         for batch in batches:
             for low, texts in text_runs(batch.column(2)):
-                lists = lower_words(texts)
-                n = np.array([len(x) for x in lists], np.int64)
-                different, at = numbered(lists)
-                h = np.fromiter(map(xxhash.xxh64_intdigest, different), np.uint64, len(different)).view(np.int64)
-                place = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
-                is_common = common[place] == h if len(common) else np.zeros(len(h), bool)
+                k, there = len(texts), [batch.column(i).slice(low, len(texts)) for i in (0, 1)]
+                h, n = word_hashes(texts)
+                different, at = np.unique(h.view(np.int64), return_inverse=True)
+                place = np.minimum(np.searchsorted(common, different), max(len(common) - 1, 0))
+                is_common = common[place] == different if len(common) else np.zeros(len(different), bool)
                 place = np.where(is_common, place, len(common))
-                owner = np.repeat(np.arange(len(texts)), n)
-                base = np.bincount(owner, log_known[place[at]], len(texts)) + np.log10(n_docs + 1.0)
-                known = np.bincount(owner, is_common[at], len(texts)).astype(np.int64) + (n_docs > 0)
-                ids, sizes = sequences(lists, subwords)
-                scored = np.zeros(len(texts))
-                for t, z, target, valid in batches_of(ids, sizes, tables, SCORED_AT_ONCE):
-                    p = model.log_prob(z, tables["cls"][target], valid) / np.log(10) + tables["share"][target[valid]]
-                    scored += np.bincount(np.repeat(t, valid.sum(axis=1)), p, len(texts))
-                r = row + np.arange(len(texts))
-                row += len(texts)
+                owner = np.repeat(np.arange(k), n)
+                base = np.bincount(owner, log_known[place[at]], k) + np.log10(n_docs + 1.0)
+                known = np.bincount(owner, is_common[at], k).astype(np.int64) + (n_docs > 0)
+                coded = batch.column(3).slice(low, k).to_pylist()
+                ids = np.frombuffer(b"".join(coded), stored).astype(np.int64)
+                scored = scorer(ids, np.array([len(x) // np.dtype(stored).itemsize for x in coded], np.int64))
+                r = row + np.arange(k)
+                row += k
                 rare = np.flatnonzero(~is_common[at])
                 pair, m = np.unique(owner[rare] * max(len(different), 1) + at[rare], return_counts=True)
-                rare_row, rare_word = r[pair // max(len(different), 1)], h[pair % max(len(different), 1)]
-                k = len(pair)
-                there = [batch.column(i).slice(low, len(texts)) for i in (0, 1)]
+                rare_row, rare_word = r[pair // max(len(different), 1)], different[pair % max(len(different), 1)]
                 kinds = [pa.int64(), there[0].type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-                docs_part = [pa.array(r), *there, pa.array(n + 1), pa.array(known), pa.array(base), pa.array(scored), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64())]
-                word_part = [pa.array(rare_row), *[pa.nulls(k, x) for x in kinds[1:7]], pa.array(rare_word), pa.array(m.astype(np.int64))]
+                docs_part = [pa.array(r), *there, pa.array(n + 1), pa.array(known), pa.array(base), pa.array(scored), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
+                word_part = [pa.array(rare_row), *[pa.nulls(len(pair), x) for x in kinds[1:7]], pa.array(rare_word), pa.array(m.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(docs_part, names=names)
                 yield pa.RecordBatch.from_arrays(word_part, names=names)
 
     id_type = rows.schema["id"].dataType.simpleString()
-    both = written(rows.mapInArrow(run, f"r long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, w long, m long"))
+    both = written(coded.mapInArrow(run, f"r long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, w long, m long"))
     rest = both.where("w is not null").select("r", "w", "m").join(words, "w")
     rest = rest.groupBy("r").agg(F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("m").alias("found"))
     out = both.where("w is null").join(rest, "r", "left")

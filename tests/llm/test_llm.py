@@ -393,44 +393,105 @@ def test_lm_base_is_exact_and_windows_score_once(spark):
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
         g = got[i]
         assert abs(g.base_score - base) < 1e-6 * abs(base) and (g.n_tokens, g.n_known, g.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, n) and g.score < 0
-    sizes = np.array([1, 31, 32, 33, 56, 57, 200])
+    sizes = np.array([1, 63, 64, 65, 120, 121, 500])
     low, text, first = lm.windows(sizes)
     for k, size in enumerate(sizes.tolist()):
         scored = [p for a, f in zip(low[text == k].tolist(), first[text == k].tolist(), strict=True) for p in range(max(a, f), min(a + lm.LENGTH, size))]
         assert scored == list(range(size))
 
 
-def test_attention_is_trained_on_every_block(spark):
+def some_tables(rng, size=200):
+    n = np.append(rng.integers(1, 50, size - 1), 20)
+    after = rng.integers(0, 9, (lm.BUCKETS, size))
+    tables = lm.classes(n, after) | {"bucket": lm.buckets(n)}
+    prior = rng.normal(0, 1, (lm.INPUTS, lm.CLASSES)).astype(np.float32)
+    return tables | {"prior": prior}
+
+
+def test_every_id_of_a_training_text_takes_part():
+    rng = np.random.default_rng(3)
+    tables = some_tables(rng)
+    ids = rng.integers(0, 60, 600)
+    texts = [np.append(ids, 199).astype("<u2")]
+    for at in range(0, 600, 50):
+        other = ids.copy()
+        other[at] = 61
+        texts.append(np.append(other, 199).astype("<u2"))
+    plain, *others = [lm.trained(lm.Attention.start(), tables, [t.tobytes()], "<u2")[0] for t in texts]
+    assert all(np.abs(x - plain).max() > 1e-6 for x in others)
+
+
+def test_windows_in_batches_score_as_one_window_at_a_time():
+    """Brute force: each id from its own window alone, by a plain softmax; probabilities of a next id sum to one."""
+    rng = np.random.default_rng(4)
+    tables = some_tables(rng)
+    params = lm.Attention.start() + rng.normal(0, 0.2, len(lm.Attention.start())).astype(np.float32)
+    texts = [np.append(rng.integers(0, 199, n), 199) for n in (0, 1, 5, 63, 64, 65, 150, 400)]
+    sizes = np.array([len(t) for t in texts])
+    got = lm.Scorer(params, tables)(np.concatenate(texts), sizes)
+    p = {k: v.astype(float) for k, v in lm.Attention(params, tables["prior"]).p.items()}
+
+    def distribution(window, first):
+        """Of the id after ``window`` (ids before it, from where its window starts)."""
+        z = [lm.Attention.START if first else tables["kind"][window[0]], *tables["kind"][window[1:]]]
+        x = p["E"][z]
+        s = (x[-1] @ p["Q"]) @ (x @ p["K"]).T / np.sqrt(lm.WIDTH) + p["R"][np.arange(len(z))[::-1]]
+        a = np.exp(s - s.max())
+        logits = (a / a.sum()) @ x @ p["O"] + p["b"] + tables["prior"][tables["kind"][window[-1]]]
+        c = np.exp(logits - logits.max())
+        return (c / c.sum())[tables["cls"]] * np.exp(tables["share"][:, tables["bucket"][window[-1]]].astype(float))
+
+    for t, size, score in zip(texts, sizes.tolist(), got.tolist(), strict=True):
+        total = 0.0
+        low, _, first = lm.windows(np.array([size]))
+        for a, f in zip(low.tolist(), first.tolist(), strict=True):
+            for at in range(f, min(a + lm.LENGTH, size)):
+                before = [199, *t.tolist()][a : at + 1]
+                q = distribution(np.array(before), a == 0)
+                total += np.log10(q[t[at]])
+        assert abs(total - score) < 1e-3 * max(1, abs(total))
+
+
+def test_lm_is_the_same_for_any_partitioning_and_beats_pairs(spark, tmp_path, monkeypatch):
+    """Held-out documents are more likely than by counts of pairs of the same ids; shards are trained apart here."""
+    monkeypatch.setattr(lm, "SHARD_IDS", 30_000)
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
     make = (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    one, many = [{r.doc_id: r.score for r in lm.score(docs.repartition(n), *make, lm.held_out("doc_id")).collect()} for n in (1, 5)]
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-4 * abs(one[i]) for i in one)
     subwords = lm.Subwords(*make)
-    pairs = np.zeros((subwords.size, lm.BUCKETS), np.int64)
-    for w in (b"one", b"two"):
-        pairs[subwords([w])[0], 0] = 10
-    tables = lm.classes(pairs, 1, subwords.size)
-    blocks = [["one"] * lm.BLOCK_WORDS] * 9
-    texts = [" ".join(" ".join(["two"] * lm.BLOCK_WORDS if k == j else b) for k, b in enumerate(blocks)) for j in range(10)]
-    plain, *other = [lm.train(spark.createDataFrame([(t,)], "text string"), make, tables) for t in reversed(texts)]  # the last is without a "two"
-    assert all(np.abs(x - plain).max() > 1e-6 for x in other)
+    texts = [(zlib.crc32(str(r.doc_id).encode()) % 7 == 2, r.doc_id, subwords(r.text or "").astype(np.int64)) for r in docs.collect()]
+    flat = np.concatenate([[subwords.end], *[t for out, _, t in texts if not out]])
+    n, pairs = np.bincount(flat, minlength=subwords.size), Counter(zip(flat[:-1].tolist(), flat[1:].tolist(), strict=True))
+    kinds, after = Counter(a for a, _ in pairs), Counter(flat[:-1].tolist())
+    plain = mine = 0.0
+    for out, i, t in texts:
+        if out:
+            mine += one[i]
+            for a, b in zip([subwords.end, *t.tolist()], t.tolist(), strict=False):
+                lower = (n[b] + 0.5) / (n.sum() + 0.5 * len(n))  # absolute discounting
+                plain += math.log10((max(pairs[a, b] - 0.75, 0) + 0.75 * kinds[a] * lower) / after[a] if after[a] else lower)
+    assert mine > plain
 
 
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(0)
-    model = lm.Attention(lm.Attention.start(np.zeros(lm.OWN_CLASSES + lm.GROUPS)))
+    model = lm.Attention(lm.Attention.start() + rng.normal(0, 0.1, len(lm.Attention.start())), rng.normal(0, 1, (lm.INPUTS, lm.CLASSES)))
     model.p = {k: v.astype(float) for k, v in model.p.items()}
     z, y = rng.integers(0, 50, (2, 6)), rng.integers(0, 20, (2, 6))
     valid = np.ones((2, 6), bool)
-    grads = model.gradients(z, y, valid)
-    for name in ("E", "Q", "V", "R", "O"):
+    grads = model.gradients(z, z, y, valid)
+    for name in ("E", "Q", "K", "R", "O", "b"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         loss = []
         for step in (1e-5, -2e-5):
             model.p[name][at] += step
-            loss.append(-model.log_prob(z, y).mean())
+            loss.append(-model.log_prob(z, z, y).mean())
         model.p[name][at] += 1e-5
         assert abs((loss[0] - loss[1]) / 2e-5 - grads[name][at]) < 1e-3 * max(1, abs(grads[name][at]))
     other = z.copy()
     other[:, 4:] = 7
-    assert np.allclose(model.log_prob(z, y)[:, :4], model.log_prob(other, y)[:, :4])
+    assert np.allclose(model.log_prob(z, z, y)[:, :4], model.log_prob(other, other, y)[:, :4])
 
 
 def test_pipeline(spark):
