@@ -3,8 +3,8 @@
 Lines are sets of words (A-Z lowered, split at white space), ordered by rarity; blocks of lines that share a token of their
 prefixes come from ``setjoin``. A line with an earlier line of Jaccard similarity 0.8 or more is removed, whether or not that earlier
 line is removed itself, so the result does not depend on any order of work. Earlier means a smaller (doc_id, hash of the text,
-line number). In a block the length filter, the positional filter and a bitmap choose pairs. Each line's first and most promising
-partners are verified on whole sets before others, which decides most copies; in blocks where some line had more, lines still open then
+line number). In a block the length filter, the positional filter and a bitmap choose pairs. Each line's most promising
+partner is verified on whole sets before the others, which decides most copies; in blocks where some line had more, lines still open then
 meet all others of the block, in tiles: the best of each tile, then, for lines still open, all that pass.
 
 Lines of fewer than ``least`` different words are left alone; with 1 only lines without words are. Null texts have no lines and stay null. Rows that are equal in
@@ -24,8 +24,8 @@ from .setjoin import best_of, blocks, distinct, frequent_arrays, may_match, scan
 
 #: Smaller sets have no similarity of 0.8 with any other set, so only equal ones go, by their key.
 PAIRED = 4
-#: Lines of a tile of a large block, how many partners of a line are tried first, and how many a block sends with its line at most; the rest meet in tiles.
-TILE, FIRST, MANY = 500, 2, 32
+#: Lines of a tile of a large block, how many partners of a line are tried first, in its block and in each tile, and how many a block sends with its line at most; the rest meet in tiles.
+TILE, FIRST, TILE_FIRST, MANY = 500, 1, 2, 32
 
 
 def line_units(texts: list[str]):
@@ -39,13 +39,13 @@ def line_units(texts: list[str]):
 
 
 def tile_pairs(members: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) that pass the filters: lines that are not gone, with other lines of their block, tile by tile.
+    """Pairs (a, b) that pass the filters: lines that have more partners than were sent and are not gone, with the other lines of their block, tile by tile.
 
-    members: t, tiles, k, n, p, s, gone. most: only so many for each line and tile, those that may share most.
+    members: t, tiles, k, n, p, s, more, gone. most: only so many for each line and tile, those that may share most.
     """
     cols = ["t", "tile", "side", "k", "n", "p", "s"]
     all_lines = members.withColumn("side", F.lit(0)).withColumn("tile", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
-    open_lines = members.where("gone is null").withColumn("side", F.lit(1)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    open_lines = members.where("more and gone is null").withColumn("side", F.lit(1)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     dealt = all_lines.select(*cols).unionByName(open_lines.select(*cols)).repartition(parts, "t", "tile").sortWithinPartitions("t", "tile", "side")
 
@@ -106,10 +106,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     others = pairs.where(F.col("place") >= FIRST).join(gone[0], "a", "left").join(gone[1], "b", "left").where("ga is null or gb is null")
     decided = decided.unionByName(later(written(others.select("a", "b")))).distinct()
     # of blocks where a line had more pairs, lines that are not decided meet the others, tile by tile
-    members = block.where("t is not null").select("t", "k", "n", "p", "s").join(decided.withColumn("gone", F.lit(True)), "k", "left")
-    for most in (FIRST, None):
+    members = block.where("t is not null").select("t", "k", "n", "p", "s", "more").join(decided.withColumn("gone", F.lit(True)), "k", "left")
+    for most in (TILE_FIRST, None):
         members = written(members)
-        wide = members.groupBy("t").agg(F.count_if(F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
+        wide = members.groupBy("t").agg(F.count_if(F.col("more") & F.col("gone").isNull()).alias("open"), F.count("*").alias("m")).where("open > 0 and m > 1")
         wide = written(wide.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
         if wide.isEmpty():
             break

@@ -207,26 +207,21 @@ def frequent_arrays(counts: DataFrame, limit: int = MAX_FREQUENT) -> Frequent:
 
 
 def best_of(i: np.ndarray, j: np.ndarray, apart: np.ndarray, few: int) -> np.ndarray:
-    """Place of each pair among those of its i (rows in order): 0 for the first j, then the least apart; ``few`` for all beyond."""
+    """Place of each pair among those of its i, the least apart first, then the first j; ``few`` for all beyond."""
     out = np.full(len(i), few)
-    if not len(i):
-        return out
-    by_place = np.lexsort((j, i))
-    first = by_place[np.append(True, i[by_place][1:] != i[by_place][:-1])]
-    apart = apart.copy()
-    apart[first] = -1
-    order = np.lexsort((j, apart, i))
-    start = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
-    size = np.diff(np.append(start, len(i)))
-    out[order] = np.minimum(np.arange(len(i)) - np.repeat(start, size), few)
+    if len(i):
+        order = np.lexsort((j, apart, i))
+        start = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1]))
+        size = np.diff(np.append(start, len(i)))
+        out[order] = np.minimum(np.arange(len(i)) - np.repeat(start, size), few)
     return out
 
 
 def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, parity: bool = False, few: int | None = None) -> DataFrame:
-    """Pairs of nodes that may be linked (k and pivot, with null for t), and rows t, k, n, p, s, pivot of blocks that have more to compare.
+    """Pairs of nodes that may be linked (k and pivot, with null for t), and rows t, k, n, p, s, pivot, more of blocks that have more to compare.
 
     A row's pivot is the earliest node of its block or part; the node itself where the filters exclude a link.
-    few: of a block only so many pairs of each node with earlier ones come, n tells their place; the rows of the block come where a node has more.
+    few: of a block only so many pairs of each node with earlier ones come, n tells their place; where nodes have more, the rows of the block come and ``more`` marks those nodes.
     Otherwise all pairs of blocks of SMALL rows or fewer come (n is 0 for those with the block's first), and of others the rows. parity: with the bitmap filter.
     """
     spark = rows.sparkSession
@@ -256,10 +251,10 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
                 cols = [token.view(np.int64), o.astype(np.int64), s.node[unit], packed]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, *([s.parities()[unit].view(np.int64)] if parity else []))], names=made)
 
-    def of(t: np.ndarray | None, cols: list[np.ndarray], pivot: np.ndarray) -> pa.RecordBatch:
+    def of(t: np.ndarray | None, cols: list[np.ndarray], pivot: np.ndarray, more: np.ndarray | None = None) -> pa.RecordBatch:
         k, n, p, s = [pa.array(x) for x in cols]
-        n, p = n.cast(pa.int32()), p.cast(pa.int32())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()) if t is None else pa.array(t), k, n, p, s, pa.array(pivot)], names=["t", "k", "n", "p", "s", "pivot"])
+        n, p, more = n.cast(pa.int32()), p.cast(pa.int32()), pa.array(np.full(len(k), t is not None) if more is None else more)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()) if t is None else pa.array(t), k, n, p, s, pa.array(pivot), more], names=["t", "k", "n", "p", "s", "pivot", "more"])
 
     def match(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         """The filters, on columns k, n, p, s."""
@@ -269,9 +264,10 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
     def inner(cols: list[np.ndarray], start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (later, earlier) of rows of these blocks that pass the filters, of SMALL rows or fewer each."""
         rows = np.repeat(start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        place, i, j = rows - np.repeat(start, size), [], []
+        place, far, i, j = np.zeros(len(cols[0]), np.int64), rows, [], []
+        place[rows] = rows - np.repeat(start, size)
         for d in range(1, int(size.max()) if len(size) else 0):  # rows d apart
-            far = rows[place >= d]
+            far = far[place[far] >= d]
             hit = match([c[far] for c in cols], [c[far - d] for c in cols]) & (cols[0][far] != cols[0][far - d])
             i.append(far[hit])
             j.append(far[hit] - d)
@@ -308,7 +304,9 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
             i, j = np.concatenate([i, *[x for x, _ in more]]), np.concatenate([j, *[x for _, x in more]])
             apart = np.bitwise_count((cols[3][i] ^ cols[3][j]).view(np.uint64)).astype(np.int64)
             place = best_of(i, j, apart, few)
-            still = np.unique(np.searchsorted(start, i[place == few], "right") - 1)  # blocks with more pairs
+            beyond = np.zeros(len(t), bool)
+            beyond[i[place == few]] = True
+            still = np.unique(np.searchsorted(start, np.flatnonzero(beyond), "right") - 1)  # blocks with more pairs
             i, j, place = i[place < few], j[place < few], place[place < few]
             rows = np.repeat(start[still], size[still])
             rows = rows + np.arange(len(rows)) - np.repeat(np.cumsum(size[still]) - size[still], size[still])
@@ -322,15 +320,26 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
             yield of(None, [a[new], place[new], none, none], b[new])
         if len(rows):
             mine, head = [c[rows] for c in cols], [c[first] for c in cols]
-            yield of(t[rows], mine, np.where(match(mine, head), head[0], mine[0]))
+            yield of(t[rows], mine, np.where(match(mine, head), head[0], mine[0]), None if few is None else beyond[rows])
+
+    def wider(batches):
+        """Columns of several batches at once: work side by side pays for long arrays."""
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(made))])
+            size += batch.num_rows
+            if size >= 1 << 16:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+        if size:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def gather(batches):
         forget()
         last = head = None  # the open part of a block in parts: token and part, first row
         carry: list[np.ndarray] | None = None  # rows of the open block in one part
         huge = None  # its token and first row, if its rows are no longer held
-        for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(made))]
+        for got in wider(batches):
             t, k, m = got[0], got[2], got[3]
             part = m >> (2 * FIELD)
             cols = [k, (m >> FIELD) & MOST, m & MOST, got[4] if parity else np.zeros(len(k), np.int64)]
@@ -368,7 +377,7 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
     emitted = rows.mapInArrow(emit, ", ".join(f"{c} long" for c in made))
     part = F.shiftright("m", 2 * FIELD)
     dealt = emitted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "t", part).sortWithinPartitions("t", part, "o", "k")
-    return written(dealt.mapInArrow(gather, "t long, k long, n int, p int, s long, pivot long"))
+    return written(dealt.mapInArrow(gather, "t long, k long, n int, p int, s long, pivot long, more boolean"))
 
 
 def small(df: DataFrame, weight: str | None = None) -> DataFrame:
