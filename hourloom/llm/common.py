@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,11 @@ RUN_CHARS = 2_000_000
 #: A table is sent to every task only if its rows were counted and are no more than this; beyond, joins shuffle.
 SMALL_ROWS = 1_000_000
 
+#: Seconds between two collections on the driver, at least.
+CLEAN_S = 4
+
 _state: dict = {}
+_cleaned = 0.0
 
 
 def worker_state(key: tuple, build: Callable[[], object]):
@@ -110,9 +115,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage is cut and nothing is computed twice."""
-    path = shared_dir(df.sparkSession)
+    global _cleaned
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if time.monotonic() - _cleaned > CLEAN_S:
+        # shuffle files stay on the executors' disks until the driver's JVM finds that nothing refers to them; nothing does now
+        spark.sparkContext._jvm.System.gc()
+        _cleaned = time.monotonic()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
