@@ -27,10 +27,11 @@ def check_range(start: str, end: str, first: str, last: str, max_days: int = 31)
 
 
 def require_rows(df: DataFrame, n: int) -> DataFrame:
-    """``df``, failing when it has not exactly n rows; n is small, as ranges are checked first."""
+    """``df``, failing when it has not exactly n rows; n is small, as ranges are checked first. The check is a filter over the row of the count, so it holds for an empty ``df`` and whatever columns are read."""
     held = df.agg(F.count("*").alias("_n"))
-    out = df.crossJoin(held)
-    return out.withColumn("_n", F.when(F.col("_n") != n, F.raise_error(F.lit("the range is not complete")).cast("long")).otherwise(F.col("_n"))).drop("_n")
+    both = held.join(df.withColumn("_there", F.lit(True)), F.lit(True), "left")
+    wrong = F.raise_error(F.lit("the range is not complete")).cast("boolean")
+    return both.where(F.when(F.col("_n") != n, wrong).otherwise(F.col("_there"))).drop("_n", "_there")
 
 
 def history(grid: DataFrame, zone, start: str, end: str) -> DataFrame:
