@@ -8,19 +8,21 @@ partner is verified on whole sets before the others, which decides most copies;
 meet all others of the block, in tiles: the best of each tile, then, for lines still open, all that pass.
 
 Lines of fewer than ``least`` different words are left alone; with 1 only lines without words are. Null texts have no lines and stay null. Rows that are equal in
-id and text are the same document: equal lines of both stay or go together. A document that loses lines keeps the others, joined by \\n; an
-empty table gives an empty result. Extra columns are untouched.
+id and text are the same document: equal lines of both stay or go together. A document that loses lines keeps the others, joined by \\n; a very long
+text takes memory in proportion to itself; an empty table gives an empty result. Extra columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .setjoin import best_of, blocks, distinct, frequent_arrays, may_match, scan, sets_of, signatures, small, verified, word_hashes
+from .common import small, written
+from .setjoin import best_of, blocks, distinct, frequent_arrays, may_match, scan, sets_of, signatures, verified, word_hashes
 
 #: Smaller sets have no similarity of 0.8 with any other set, so only equal ones go, by their key.
 PAIRED = 4
@@ -123,33 +125,35 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "h", "line")
 
 
-def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
-    """``docs`` with __removed: the ascending numbers of the lines that go; null where none goes."""
+def drop_lines(docs: DataFrame, removed: str, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """``docs`` with the column ``removed``: the ascending numbers of the lines that go; null where none goes."""
     gone = removed_lines(docs, id_col, text_col, least)
-    lists = written(gone.distinct().groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.array_sort(F.collect_list("line")).alias("__removed")))
-    there = F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text_col) == F.col("__h"))
-    return docs.join(small(lists, "__removed"), there, "left").drop("__d", "__h")
+    d, h = f"{removed}_d", f"{removed}_h"
+    lists = written(gone.distinct().groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.array_sort(F.collect_list("line")).alias(removed)))  # lines of one document
+    there = F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(h))
+    return docs.join(small(lists, removed), there, "left").drop(d, h)
 
 
 def report(docs: DataFrame, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers, comma-joined) and text_sha256 (of what is left) of every row."""
     lines = F.split("text", "\n", -1)
-    left = kept_text("text")
-    return drop_lines(docs.select("doc_id", "text"), least=least).select(
+    return drop_lines(docs.select("doc_id", "text"), "gone", least=least).select(
         "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.concat_ws(",", F.col("__removed").cast("array<string>")), F.lit("")).alias("removed"),
-        F.sha2(F.coalesce(left, F.lit("")), 256).alias("text_sha256"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.concat_ws(",", F.col("gone").cast("array<string>")), F.lit("")).alias("removed"),
+        F.sha2(F.coalesce(kept_text("text", "gone"), F.lit("")), 256).alias("text_sha256"),
     )
 
 
-def kept_text(text_col: str):
+def kept_text(text_col: str, removed: str):
     """The lines that stay; line numbers are looked up in order, so a document takes time in proportion to its lines."""
-    kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.map_contains_key(F.map_from_arrays("__removed", "__removed"), i))
-    return F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.map_contains_key(F.map_from_arrays(removed, removed), i))
+    return F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
     """``docs`` without the removed lines; documents that lose all their lines go."""
-    marked = drop_lines(docs, id_col, text_col, least)
-    lost = F.col("__removed").isNotNull() & (F.trim(F.regexp_replace(kept_text(text_col), r"[\s]+", "")) == "")
-    return marked.where(~lost).withColumn(text_col, kept_text(text_col)).select(*docs.columns)
+    removed = f"removed_{uuid.uuid4().hex[:8]}"  # no column of the documents has this name
+    marked = drop_lines(docs, removed, id_col, text_col, least)
+    left = kept_text(text_col, removed)
+    lost = F.col(removed).isNotNull() & (F.trim(F.regexp_replace(left, r"[\s]+", "")) == "")
+    return marked.where(~lost).withColumn(text_col, left).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,13 +16,15 @@ all are null. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .setjoin import PERCENT, PRIME_A, blocks, components, distinct, frequent_arrays, mix, scan, sets_of, signatures, small, starts_of, verified, word_hashes
+from .common import small, written
+from .setjoin import PERCENT, PRIME_A, blocks, components, distinct, frequent_arrays, mix, scan, sets_of, signatures, starts_of, verified, word_hashes
 
 SHINGLE = 5
 BITS = 1024
@@ -177,7 +179,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (xxhash64 of the text), n_shingles and component_id of every row."""
+    """doc_id, h (xxhash64 of the text), n_shingles, component_id and component (a key of the component; null for empty sets) of every row."""
     rows = scan(docs, id_col, text_col)
     found, counts = signatures(rows, shingle_units)
     found = found.withColumnRenamed("n", "n_shingles")
@@ -213,19 +215,29 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     ends = labels.select(F.col("node").alias("k"), "label").unionByName(labels.select(F.col("label").alias("k"), "label")).distinct()  # a component's head has no label of its own
-    placed = written(first.select("k", "m").join(ends, "k").select("k", "m", "label"))
+    placed = written(first.select("k", "m").join(small(written(ends)), "k").select("k", "m", "label"))
     heads = placed.groupBy("label").agg(F.min("m").alias("component_id"))
-    linked = placed.join(heads, "label").select("k", "component_id")
+    linked = placed.join(heads, "label").select("k", "component_id", "label")
     alone = first.select("k", F.col("m").alias("own"))
-    of = alone.join(small(written(linked)), "k", "left").select(F.col("k").alias("kk"), F.coalesce("component_id", "own").alias("component_id"))
+    of = alone.join(small(written(linked)), "k", "left").select(F.col("k").alias("kk"), F.coalesce("component_id", "own").alias("component_id"), F.coalesce("label", "k").alias("component"))
     empty = F.when(F.col("n_shingles") > 0, F.col("k"))  # no key: never joined
     out = found.withColumn("kk", empty).join(of, "kk", "left")
-    return out.select("doc_id", "h", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the least id of each component, rows with empty sets all."""
-    joined = link(docs, id_col, text_col)
-    gone = written(joined.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct())
-    there = F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text_col) == F.col("__h"))
-    return docs.join(gone, there, "left_anti")
+    """``docs`` with one document of each component: that of the least id (null ids last), of equal ids that of the least hash of its text; of rows equal in both, one. Rows with empty sets all stay."""
+    joined = written(link(docs, id_col, text_col).where("component is not null"))
+    place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")
+    heads = joined.groupBy("component").agg(F.min(place).alias("head"))
+    mark = uuid.uuid4().hex[:8]  # no column of the documents has these names
+    d, h = f"d_{mark}", f"h_{mark}"
+    names = [F.col("doc_id").alias(d), F.col("h").alias(h)]
+    gone = written(joined.join(heads, "component").where(place != F.col("head")).select(*names).distinct())
+    twice = written(joined.groupBy("doc_id", "h").count().where("count > 1").select(*names).distinct())
+    there = F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(h))
+    left = docs.join(small(gone), there, "left_anti")
+    if twice.isEmpty():
+        return left
+    once, repeated = left.join(small(twice), there, "left_anti"), left.join(small(twice), there, "left_semi")
+    return once.unionByName(repeated.dropDuplicates([id_col, text_col]))

@@ -8,11 +8,14 @@ is that of all characters of its words and of their borders; each language has a
 perplexities of its documents, and a document outside is rejected, as is one that fails the base rules.
 
 Null texts have no words: they fail the base rules. A null language is a language of its own. Languages with fewer than
-MIN_DOCS documents, and documents with fewer than MIN_WORDS words, are judged by the base rules alone. Repeated rows are judged alike.
+MIN_DOCS documents are judged by the quartiles of all documents; documents with fewer than MIN_WORDS words fail the base rules. Repeated rows are
+judged alike, ties at a bound are kept, a very long text takes memory in proportion to itself, an empty table gives an empty result. Other columns
+are untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -21,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, text_runs, written
+from .common import forget, small, text_runs, written
 
 ORDER = 4
 #: Hashed n-grams that workers hold, over all languages; the others are joined.
 MAX_GRAMS = 3_000_000
 MIN_DOCS, MIN_WORDS = 50, 10
+#: The least distance between the quartiles that a band goes by; of pooled ones.
+LEAST, LEAST_POOLED = 0.002, 0.05
 #: Half the width of a band in distances between the quartiles: BAND, and SHORT over the root of the words, as short texts vary more.
 #: Set by what labelled documents lose (README).
 BAND, SHORT = 1.0, 12.0
@@ -138,7 +143,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         d = counts.select(F.col("lang").alias("l"), discount(1).alias("d1"), discount(2).alias("d2"), discount(3).alias("d3"))
         context = F.substring("gram", 1, size - 1)
         less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = level.join(F.broadcast(d), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "gram", "n", context.alias("context"), less.alias("less"))  # a row for each language
+        rows = level.join(small(written(d)), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "gram", "n", context.alias("context"), less.alias("less"))  # a row for each language
         totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("given"))
         t = totals.select(F.col("lang").alias("l"), F.col("context").alias("c"), "total", "given")
         parts = rows.join(t, F.col("lang").eqNullSafe(F.col("l")) & (F.col("context") == F.col("c"))).select("lang", F.lit(size).alias("size"), "gram", "n", ((F.col("n") - F.col("less")) / F.col("total")).alias("part"))
@@ -159,7 +164,7 @@ def gram_logs(model: DataFrame) -> DataFrame:
         backs = model.where(F.col("size") == -size).select(F.col("lang").alias("bl"), F.col("gram").alias("bg"), F.col("part").alias("back"))
         rows = rows.join(backs, F.col("lang").eqNullSafe(F.col("bl")) & (F.substring("gram", 1, size - 1) == F.col("bg")))
         same = F.col("lang").eqNullSafe(F.col("pl"))
-        rows = rows.join(F.broadcast(alphabet), same) if size == 1 else rows.join(shorter, same & (F.substring("gram", 2, size - 1) == F.col("pg")))
+        rows = rows.join(small(written(alphabet)), same) if size == 1 else rows.join(shorter, same & (F.substring("gram", 2, size - 1) == F.col("pg")))
         rows = rows.select("lang", "gram", "n", (F.col("part") + F.col("back") * F.col("lower")).alias("p"))
         shorter = rows.select(F.col("lang").alias("pl"), F.col("gram").alias("pg"), F.col("p").alias("lower"))
 
@@ -340,18 +345,23 @@ def judge(df: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str
     scored = written(score(rows, logs, [*keep, "__l"], lang_col, text_col, max_grams))
     judged = (F.col("n_words") >= MIN_WORDS) & F.col("log_ppl").isNotNull()
     q = F.percentile(F.round("log_ppl", 4), [0.25, 0.75])  # exact, so the same for every partitioning; rounded values are few
-    bands = scored.where(judged).groupBy("__l").agg(q.alias("q"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_DOCS)
-    wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.002))
-    bands = bands.select(F.col("__l").alias("__b"), F.col("q")[0].alias("__low"), F.col("q")[1].alias("__high"), wide.alias("__wide"))
+    # a language with few documents has the quartiles of all, and room for more
+    own, pooled = scored.where(judged).groupBy("__l").agg(q.alias("q"), F.count("*").alias("docs")), scored.where(judged).agg(q.alias("all"))
+    few = F.col("docs") < MIN_DOCS
+    bands = own.crossJoin(pooled).select(F.col("__l").alias("__b"), F.when(few, F.col("all")).otherwise(F.col("q")).alias("q"), F.when(few, LEAST_POOLED).otherwise(LEAST).alias("least"))  # one row beside each language's
+    wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.col("least"))
+    bands = written(bands.select("__b", F.col("q")[0].alias("__low"), F.col("q")[1].alias("__high"), wide.alias("__wide")))
     room = F.col("__wide") * (band + SHORT / F.sqrt("n_words"))
     outside = judged & ((F.col("log_ppl") < F.col("__low") - room) | (F.col("log_ppl") > F.col("__high") + room))
-    out = scored.join(F.broadcast(bands), F.col("__l").eqNullSafe(F.col("__b")), "left")  # a row for each language
+    out = scored.join(small(bands), F.col("__l").eqNullSafe(F.col("__b")), "left")  # a row for each language
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).drop("__l", "__b", "__low", "__high", "__wide")
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that are kept. The verdict follows from text and language alone, so rejected rows are found by their hashes."""
-    mark = [F.xxhash64(text_col).alias("__t"), F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col(lang_col).cast("string"))).alias("__i")]
-    marked = df.select("*", *mark)
-    rejected = judge(marked, ["__t", "__i"], lang_col, text_col).where(~F.col("kept")).select("__t", "__i").distinct()
-    return marked.join(rejected, ["__t", "__i"], "left_anti").select(*df.columns)
+    name = uuid.uuid4().hex[:8]  # no column of the documents has these names
+    t, i = f"t_{name}", f"i_{name}"
+    of = F.to_json(F.struct(F.col(id_col).cast("string").alias("a"), F.col(lang_col).cast("string").alias("b")), {"ignoreNullFields": "false"})  # null and text stay apart
+    marked = df.select("*", F.xxhash64(text_col).alias(t), F.md5(of).alias(i))
+    rejected = written(judge(marked, [t, i], lang_col, text_col).where(~F.col("kept")).select(t, i).distinct())
+    return marked.join(small(rejected), [t, i], "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, forget, text_runs, written
+from .common import forget, small, text_runs, written
 
 PERCENT = 80
 #: Frequent tokens that tasks hold to order by: the most frequent ones, at most so many. Others count as rare.
@@ -291,8 +291,8 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
         """Complete blocks."""
         start = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         size = np.diff(np.append(start, len(t)))
-        small = (size > 1) & (size <= SMALL)
-        i, j = inner(cols, start[small], size[small])
+        little = (size > 1) & (size <= SMALL)
+        i, j = inner(cols, start[little], size[little])
         large = np.flatnonzero(size > SMALL)
         if few is None:
             place = (start[np.searchsorted(start, i, "right") - 1] < j).astype(np.int64)  # 0: with the block's first
@@ -380,12 +380,6 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
     return written(dealt.mapInArrow(gather, "t long, k long, n int, p int, s long, pivot long, more boolean"))
 
 
-def small(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """``df`` (written), marked to be sent to every task if it has at most SMALL_ROWS rows (and elements of the list ``weight``); else as it is, to be joined by a shuffle."""
-    n, elements = df.agg(F.count("*"), F.sum(F.size(weight)) if weight else F.lit(0)).first()
-    return F.broadcast(df) if max(n, elements or 0) <= SMALL_ROWS else df
-
-
 def sets_of(rows: DataFrame, place: DataFrame, units: Units) -> DataFrame:
     """k and tokens of nodes, made anew from the rows at ``place`` (doc_id, h, line: one for each node)."""
     lines = written(place.groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines")))  # lines of one row
@@ -426,8 +420,8 @@ def components(links: DataFrame) -> DataFrame:
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct())
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        near = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(near.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

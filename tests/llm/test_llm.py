@@ -506,5 +506,87 @@ def test_pipeline(spark):
         assert docs.select("doc_id").distinct().count() == docs.count()
     items = corpus_pipeline.table(spark, D, "benchmark")
     assert decontaminate.report(docs, items).where("contaminated").isEmpty()
-    assert ngram_join.link(docs.where("doc_id is not null")).where("doc_id <> component_id").count() <= 1
-    assert corpus_pipeline.run(spark, D).count() == docs.count()
+
+
+def brute_stages(rows, items):
+    """What line dedup, the n-gram join, decontamination and encoding leave of (doc_id, text), in plain Python."""
+    import base64
+
+    import tiktoken
+
+    before, left = [], []
+    for i, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            s = set(line.encode().lower().split())
+            if not (s and any(100 * len(s & x) >= 80 * len(s | x) for x in before)):
+                kept.append(line)
+            if s:
+                before.append(s)
+        if len(kept) == text.count("\n") + 1 or "".join(kept).strip():
+            left.append((i, "\n".join(kept)))
+    sets, one = [(i, t, shingles(t)) for i, t in left], []
+    reach = {i: {i} for i, _, _ in sets}
+    for i, _, a in sets:
+        for j, _, b in sets:
+            if i < j and a and 100 * len(a & b) >= 80 * len(a | b):
+                both = reach[i] | reach[j]
+                for k in both:
+                    reach[k] = both
+    one = [(i, t) for i, t, s in sets if not s or min(reach[i]) == i]
+    wanted = [decontaminate.words_of(x) for x in items]
+    windows = {tuple(w[k : k + 10]) for w in wanted for k in range(max(1, len(w) - 9)) if w}
+    out = {}
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    for i, text in one:
+        while True:
+            words = decontaminate.words_of(text)
+            hit = sorted({p for w in windows for k in range(len(words) - len(w) + 1) if tuple(words[k : k + len(w)]) == w for p in range(k, k + len(w))})
+            if not hit:
+                ids = coder.encode_ordinary(text)
+                out[i] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+                break
+            if 2 * len(hit) > len(words):
+                break
+            spans = []
+            for p in hit:
+                if spans and spans[-1][1] == p:
+                    spans[-1][1] = p + 1
+                else:
+                    spans.append([p, p + 1])
+            text = decontaminate.cut_words(text, spans)
+    return out
+
+
+def test_pipeline_stages_are_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    passage = " ".join(f"item{k}" for k in range(15))
+    lines = near_copies(6, groups=6, size=4)
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randrange(1, 4))) for _ in range(30)]
+    texts += [f"{x} {passage} {y}" for x, y in zip(near_copies(7, 3, 2), near_copies(8, 3, 2), strict=True)] + [passage, "", "one two", "x\n\nx"]
+    d = put(spark, tmp_path, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS), [(1, passage.upper()), (2, None), (3, "...")])
+    docs = corpus_pipeline.table(spark, d, "documents")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = corpus_pipeline.written(stage(spark, docs, d))
+    assert {x.doc_id: (x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in docs.collect()} == brute_stages(list(enumerate(texts)), [passage.upper()])
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    d = put(spark, tmp_path / "none", spark.createDataFrame([], DOCS))
+    assert corpus_pipeline.run(spark, d).count() == 0
+    good = [" ".join(f"w{k * 7 + j}" for j in range(60)) for k in range(12)]
+    same = (7, good[0], "en", "s", 1)
+    extra = spark.createDataFrame([same, same, (7, good[1], "en", "s", 1), (None, good[2], None, None, None), (None, good[2] + " more", "en", None, None), (8, good[0], "de", None, None)], DOCS)
+    rows = odd_docs(spark, good[3:]).unionByName(extra).withColumns({c: F.lit("clash") for c in ("k", "t", "n_words", "items", "spans", "label", "__h", "__removed", "h")})
+    d = put(spark, tmp_path / "odd", rows, [(1, ODD[17])])
+    docs = corpus_pipeline.table(spark, d, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, d))
+        assert docs.columns == rows.columns and docs.where("k <> 'clash' or n_words <> 'clash' or __removed <> 'clash'").isEmpty(), name
+    left = Counter(x.text for x in docs.collect())
+    assert left[good[0]] == 1 and left[good[1]] == 1 and left[good[2]] + left[good[2] + " more"] == 1 and all(left[t] == 1 for t in good[3:])
