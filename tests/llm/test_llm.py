@@ -325,10 +325,51 @@ def test_language_on_held_out_documents(spark):
     got = language_id.evaluate(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 20 and sum(r.lang == r.lang_pred for r in got) / len(got) >= 0.9
     assert all(0 <= r.score <= 1 for r in got)
-    none = language_id.evaluate(odd_docs(spark)).where("text is null" if False else "doc_id in (0, 1, 2, 15)").collect()
+    none = language_id.evaluate(odd_docs(spark)).where("doc_id in (0, 1, 2, 15)").collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
 
 
+def grams_in_order(text, size):
+    """The most frequent n-grams of the runs of letters, with a pad on either side; ties by the n-gram."""
+    n = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        padded = f"_{word}_"
+        n.update(word)
+        n.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        n.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return sorted(n, key=lambda g: (-n[g], g))[:size], n
+
+
+def test_out_of_place_distances_are_brute_force(spark):
+    r = random.Random(2)
+    words = {"x": ["ab", "abc", "baa", "é"], "y": ["cd", "dce", "ab", "ü"], "z": ["zz", "z", "éz"]}
+    rows = [(i, " ".join(r.choice(words[k]) for _ in range(r.randrange(0, 30))) + r.choice(["", ".", " 1"]), k) for i, k in enumerate(r.choice("xyz") for _ in range(120))]
+    rows += [(200, None, "x"), (201, "12 .", "y"), (202, "ab abc", None), (203, "ab abc", None), (203, "ab abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    size = 9
+    profiles = language_id.learn(df, size)
+    counts = defaultdict(Counter)
+    for _, text, lang in rows:
+        if lang is not None:
+            counts[lang].update(grams_in_order(text or "", size)[1])
+    assert profiles == {k: sorted(n, key=lambda g: (-n[g], g))[:size] for k, n in sorted(counts.items())}
+    for got in language_id.identify(df, profiles, ["doc_id", "text"], size).collect():
+        own = grams_in_order(got.text or "", size)[0]
+        away = {k: sum(abs(p.index(g) - i) if g in p else size for i, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(away, key=lambda k: (away[k], k))
+        assert (got.lang_pred, round(got.score, 12)) == ((best, round(1 - away[best] / (size * len(own)), 12)) if own else ("und", 0.0))
+
+
+def test_base_counts_are_brute_force():
+    for text in ["", " \n", "\n\n", *mixed(400, 12, "ab \n\t#|é"), *mixed(100, 13, ["a b c d e ", "x ", "\n", "$"])]:
+        words = text.encode().split()
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        repeated = {i + k for i in range(len(words) - 4) for k in range(5) if windows[tuple(words[i : i + 5])] > 1}
+        lines = text.split("\n")
+        dup = sum(1 for i, x in enumerate(lines) if x.strip(quality.SPACES) and x in lines[:i])
+        assert quality.base_counts(text, words) == (len(words), sum(len(w.decode()) for w in words), sum(text.count(c) for c in "#*$%&|<>"), dup, len(repeated))
+
+
 def test_quality_base_counts(spark):
     text = "a b c d e a b c d e z\n\n#x $1\n#x $1\n  \n"
     words = text.encode().split()
