@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import forget, small, written
 from .setjoin import PERCENT, PRIME_A, blocks, components, distinct, frequent_arrays, mix, scan, sets_of, signatures, starts_of, verified, word_hashes
 
 SHINGLE = 5
@@ -171,11 +171,12 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
 def bitmaps(sets: DataFrame) -> DataFrame:
     def run(batches):
+        forget()
         for batch in batches:
             tokens = [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(x).tobytes() for x in tokens], pa.binary())], names=["k", "bits"])
 
-    return sets.mapInArrow(run, "k long, bits binary")
+    return sets.select("k", "tokens").mapInArrow(run, "k long, bits binary")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, small, text_runs, written
@@ -124,6 +124,15 @@ class Sets:
             out[self.full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(self.token) >> np.uint64(58)), self.start[self.full])
         return out
 
+    def wide_parities(self) -> np.ndarray:
+        """The same with 256 bits, in four columns."""
+        bit, out = mix(self.token * PRIME_A) >> np.uint64(56), np.zeros((4, len(self.size)), np.uint64)
+        if len(self.full):
+            one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+            for w in range(4):
+                out[w][self.full] = np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), self.start[self.full])
+        return out
+
     def prefix(self, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """unit, token, place and number of parts of the token's block for the tokens of every unit's prefix."""
         keys, ranks, parts = frequent
@@ -381,7 +390,7 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
 
 
 def sets_of(rows: DataFrame, place: DataFrame, units: Units) -> DataFrame:
-    """k and tokens of nodes, made anew from the rows at ``place`` (doc_id, h, line: one for each node)."""
+    """k, tokens and parities (q0 to q3) of nodes, made anew from the rows at ``place`` (doc_id, h, line: one for each node)."""
     lines = written(place.groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines")))  # lines of one row
     there = F.col("r.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("r.h") == F.col("l.h"))
     chosen = rows.alias("r").join(small(lines, "lines").alias("l"), there).select("l.lines", "r.text")
@@ -396,18 +405,30 @@ def sets_of(rows: DataFrame, place: DataFrame, units: Units) -> DataFrame:
                 ends = np.cumsum(s.size[hit])
                 index = np.repeat(s.start[hit] - (ends - s.size[hit]), s.size[hit]) + np.arange(int(ends[-1]) if len(ends) else 0)
                 tokens = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(s.token[index].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(s.node[hit]), tokens], names=["k", "tokens"])
+                odd = [pa.array(q[hit].view(np.int64)) for q in s.wide_parities()]
+                yield pa.RecordBatch.from_arrays([pa.array(s.node[hit]), tokens, *odd], names=["k", "tokens", "q0", "q1", "q2", "q3"])
 
-    made = chosen.mapInArrow(run, "k long, tokens array<long>")
+    made = chosen.mapInArrow(run, "k long, tokens array<long>, q0 long, q1 long, q2 long, q3 long")
     return written(made.dropDuplicates(["k"]))
 
 
+def linked(same: Column, n: Column) -> Column:
+    """Whether sets that have ``n`` tokens together and share ``same`` have a Jaccard similarity of PERCENT or more."""
+    return 100 * same >= PERCENT * (n - same)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of PERCENT or more."""
-    a, b = [sets.select(F.col("k").alias(c), F.col("tokens").alias(f"s{c}")) for c in "ab"]
+    """The pairs (a, b) whose sets have a Jaccard similarity of PERCENT or more. Whole sets move only for pairs that their sizes and parities leave open."""
+    qs = [f"q{w}" for w in range(4)]
+    sizes = small(sets.select("k", F.size("tokens").alias("n"), *qs))
+    a, b = [sizes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), *[F.col(q).alias(f"{q}{c}") for q in qs]) for c in "ab"]
     both = pairs.join(a, "a").join(b, "b")
-    same = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * same >= PERCENT * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+    n = F.col("na") + F.col("nb")
+    apart = sum((F.bit_count(F.col(f"{q}a").bitwiseXOR(F.col(f"{q}b"))) for q in qs[1:]), F.bit_count(F.col("q0a").bitwiseXOR(F.col("q0b"))))
+    left = both.where(linked(F.least(F.floor((n - apart) / 2), F.col("na"), F.col("nb")), n)).select("a", "b")
+    a, b = [sets.select(F.col("k").alias(c), F.col("tokens").alias(f"s{c}")) for c in "ab"]
+    both = written(left).join(a, "a").join(b, "b")
+    return both.where(linked(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
