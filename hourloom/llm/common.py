@@ -26,6 +26,9 @@ SMALL_ROWS = 1_000_000
 #: Seconds between two collections on the driver, at least.
 CLEAN_S = 4
 
+# Fixed values of the C library.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
+_allocator: list = []
 _state: dict = {}
 _cleaned = 0.0
 
@@ -39,8 +42,17 @@ def worker_state(key: tuple, build: Callable[[], object]):
     return kept[1]
 
 
+def keep_pages() -> None:
+    """Let this worker's allocator use memory again instead of asking the system for new pages for each array: with arrays of about a megabyte that costs more than the work on them."""
+    if not _allocator:
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            libc = ctypes.CDLL("libc.so.6")
+            _allocator.append((libc.mallopt(M_MMAP_THRESHOLD, 32 << 20), libc.mallopt(M_TRIM_THRESHOLD, 64 << 20)))
+
+
 def forget(*but: str) -> None:
     """Give back what other operators have left in this worker: all kinds of state ``but`` these. Every task begins with this, as workers are used again by the stages of other operators."""
+    keep_pages()
     gone = [k for k in _state if k not in but]
     for k in gone:
         del _state[k]
