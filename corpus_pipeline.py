@@ -1,4 +1,9 @@
-"""Documents to a clean, tokenised corpus, in stages that each read what the one before has written."""
+"""Documents to a clean, tokenised corpus, in stages that each read what the one before has written.
+
+Every stage takes documents with any further columns, whatever their names, and leaves these as they are; an empty table gives an empty table. Null texts
+and texts without words fail the quality rules. Line dedup and the join take rows that share an id and a text for one document, of which one row stays; null ids come
+after all others. Very long texts take memory in proportion to themselves. Ties go to the least id, then to the least hash of the text.
+"""
 
 from __future__ import annotations
 
@@ -44,7 +49,7 @@ STAGES = [
     ("byte-level BPE", byte_level_bpe),
 ]
 
-#: The perplexity model of the first stage is beyond SQL; tests hold the stages against brute-force versions.
+#: The perplexity model of the first stage is beyond SQL; tests hold the other stages together against a brute-force version, and the first one's model, counts and verdicts apart.
 ORACLE_SQL = None
 
 
