@@ -351,7 +351,7 @@ def judge(df: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str
     bands = own.crossJoin(pooled).select(F.col("__l").alias("__b"), F.when(few, F.col("all")).otherwise(F.col("q")).alias("q"), F.when(few, LEAST_POOLED).otherwise(LEAST).alias("least"))  # one row beside each language's
     wide = F.greatest(F.col("q")[1] - F.col("q")[0], F.col("least"))
     bands = written(bands.select("__b", F.col("q")[0].alias("__low"), F.col("q")[1].alias("__high"), wide.alias("__wide")))
-    room = F.col("__wide") * (band + SHORT / F.sqrt("n_words"))
+    room = F.col("__wide") * (band + SHORT / F.sqrt(F.greatest("n_words", F.lit(1))))
     outside = judged & ((F.col("log_ppl") < F.col("__low") - room) | (F.col("log_ppl") > F.col("__high") + room))
     out = scored.join(small(bands), F.col("__l").eqNullSafe(F.col("__b")), "left")  # a row for each language
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).drop("__l", "__b", "__low", "__high", "__wide")
