@@ -314,7 +314,7 @@ def blocks(rows: DataFrame, units: Units, frequent: Frequent, least: int = 1, pa
             apart = np.bitwise_count((cols[3][i] ^ cols[3][j]).view(np.uint64)).astype(np.int64)
             place = best_of(i, j, apart, few)
             beyond = np.zeros(len(t), bool)
-            beyond[i[place == few]] = True
+            beyond[i[place == few]] = beyond[j[place == few]] = True  # either end may be the line that is still open
             still = np.unique(np.searchsorted(start, np.flatnonzero(beyond), "right") - 1)  # blocks with more pairs
             i, j, place = i[place < few], j[place < few], place[place < few]
             rows = np.repeat(start[still], size[still])

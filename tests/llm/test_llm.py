@@ -282,6 +282,38 @@ def test_line_dedup_in_tiles_is_brute_force(spark, monkeypatch):
     assert {x.doc_id for x in gone.collect()} == expected and 0 < len(expected) < 400
 
 
+@pytest.mark.parametrize("kind, many", [("text ids", 32), ("unsorted", 32), ("text ids", 1), ("unsorted", 3)])
+def test_line_dedup_with_ids_out_of_file_order_is_brute_force(spark, monkeypatch, kind, many):
+    """Groups of 46 lines, so lines have more partners than MANY; ids are texts, or numbers that are not in file order, some rows come twice."""
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    r, lines = random.Random(21), []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(24)]
+        for _ in range(46):
+            copy = list(words)
+            for at in r.sample(range(24), r.randint(0, 2)):
+                copy[at] = f"own{r.randrange(10**6)}"
+            r.shuffle(copy)
+            lines.append(" ".join(copy))
+    r.shuffle(lines)
+    if kind == "text ids":
+        ids = [f"d{r.randrange(10**9):09d}" for _ in range(0, len(lines), 2)]
+        rows, order = [(i, "\n".join(lines[2 * k : 2 * k + 2])) for k, i in enumerate(ids)], "doc_id string, text string"
+    else:
+        rows, order = list(zip(r.sample(range(10**6), len(lines)), lines, strict=True)), "doc_id long, text string"
+        rows += rows[:12]
+        r.shuffle(rows)
+    expected, before = set(), []
+    for i, text in sorted(set(rows)):
+        for k, line in enumerate(text.split("\n")):
+            s = set(line.split())
+            if any(100 * len(s & x) >= 80 * len(s | x) for x in before):
+                expected.add((i, k))
+            before.append(s)
+    got = {(x.doc_id, x.line) for x in line_dedup.removed_lines(spark.createDataFrame(rows, order).coalesce(1)).collect()}
+    assert got == expected and len(expected) > 500
+
+
 def test_words_and_sets_are_pythons():
     from hourloom.llm import setjoin
 
