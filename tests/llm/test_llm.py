@@ -42,7 +42,7 @@ def put(spark, tmp_path, docs, items=()):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in queries.QUERIES if not q.startswith(("op11_", "op13_"))))  # those two give no row a document: their own tests
 def test_empty_and_odd_tables(spark, tmp_path, name):
     d = put(spark, tmp_path / "empty", spark.createDataFrame([], DOCS))
     assert queries.QUERIES[name](spark, d).count() == 0
