@@ -17,6 +17,7 @@ all are null. An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,17 @@ TILE = 1_000
 FAN = 8
 
 
-def shingle_units(texts: list[str]):
-    """A unit for each text."""
+def shingle_units(texts: list[str], length: int = SHINGLE):
+    """A unit for each text: its shingles of ``length`` words."""
     h, sizes = word_hashes(texts)
     first = starts_of(sizes)
-    n = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+    n = np.where(sizes >= length, sizes - length + 1, np.minimum(sizes, 1))
     owner = np.repeat(np.arange(len(texts)), n)
     at = np.arange(len(owner)) - np.repeat(starts_of(n), n) + np.repeat(first, n)
-    length = np.minimum(sizes, SHINGLE)[owner]
-    token = length.astype(np.uint64)
-    for k in range(SHINGLE):
-        inside = k < length
+    words = np.minimum(sizes, length)[owner]
+    token = words.astype(np.uint64)
+    for k in range(length):
+        inside = k < words
         token = np.where(inside, mix(token * PRIME_A + h[np.where(inside, at + k, 0)]) if len(h) else token, token)
     owner, token = distinct(owner, token)
     return np.arange(len(texts)), np.zeros(len(texts), np.int64), owner, token
@@ -226,7 +227,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select("doc_id", "h", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: Callable = link) -> DataFrame:
     """``docs`` with one document of each component: that of the least id (null ids last), of equal ids that of the least hash of its text; of rows equal in both, one. Rows with empty sets all stay."""
     joined = written(link(docs, id_col, text_col).where("component is not null"))
     place = F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "h")

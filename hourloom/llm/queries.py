@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, filter_audit, language_id, line_dedup, lm, ngram_join, pii, quality, spelling, token_counts, token_files
+from . import byte_bpe, decontaminate, filter_audit, language_id, line_dedup, lm, minhash, ngram_join, pii, quality, spelling, token_counts, token_files
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_minhash_dedup": op12_minhash_dedup,
     "op13_filter_audit": op13_filter_audit,
 }
 
