@@ -142,12 +142,6 @@ def merged(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables).orderBy("key")
 
 
-def order_violations(table: DataFrame) -> DataFrame:
-    """Keys that do not come after the key before them. Rows are in key order by the scan, so these are the repeated ones; a zone's keys are one window."""
-    w = Window.partitionBy(F.split("key", "#")[0]).orderBy("key")
-    return table.select("key", F.lag("key").over(w).alias("previous")).where("previous >= key")
-
-
 def fingerprint(table: DataFrame, by: Column | None = None) -> DataFrame:
     """rows and an order-free hash; lengths before values keep the bounds of cells apart."""
     entry = F.transform(F.array_sort(F.map_entries("cells")), lambda e: F.concat(F.length(e["key"]).cast("string"), F.lit(":"), e["key"], F.length(e["value"]).cast("string"), F.lit(":"), e["value"]))

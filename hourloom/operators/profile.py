@@ -13,6 +13,7 @@ from ..sources.tables import Plan
 BOUNDS = (1, 5, 15, 30, 60, 120, 360, 1440)
 NAMES = ("(0,1] min", "(1,5] min", "(5,15] min", "(15,30] min", "(30,60] min", "(1,2] hours", "(2,6] hours", "(6,24] hours")
 BANDS = ("missing_time", "negative", "zero", *NAMES, ">24 hours")
+#: The quantiles of a profile.
 PROBABILITIES = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999, 1.0)
 
 
@@ -35,22 +36,26 @@ def band_profile(df: DataFrame) -> DataFrame:
     return bands.join(sums, "band", "left").na.fill(0)
 
 
-def quantiles(df: DataFrame, column: str, probabilities: tuple[float, ...] = PROBABILITIES) -> DataFrame:
-    """Exact interpolated quantiles, a row each. Spark merges counts by value, so it takes memory by the distinct values."""
-    q = df.agg(F.percentile(column, list(probabilities)).alias("v"))
-    return q.select(F.explode(F.arrays_zip(F.array(*map(F.lit, probabilities)).alias("p"), "v")).alias("x")).select("x.p", F.round("x.v", 6).alias("value"))
+def longest(df: DataFrame, value: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows of the largest values of ``df`` (with file and row, its rows' places): value, then place descending.
 
+    Of rows equal to the least of these values only those count that are among the first ``n`` rows, by place, of that value or more; of them the last are taken.
+    """
+    place = ["file", "row"]
+    least = df.where(F.col(value).isNotNull()).orderBy(F.desc(value)).limit(n).agg(F.min(value).alias("_least"))
+    rows = df.crossJoin(F.broadcast(least))  # one row
+    above = rows.where(F.col(value) > F.col("_least")).drop("_least")
+    early = rows.where(F.col(value) >= F.col("_least")).orderBy(*place).limit(n)  # n rows
+    equal = early.where(F.col(value) == F.col("_least")).drop("_least")
+    return above.unionByName(equal).orderBy(F.desc(value), *map(F.desc, place)).limit(n)
 
-def longest(df: DataFrame, value: str, keys: list[str], n: int = 5) -> DataFrame:
-    """Largest values; ties by the keys, descending."""
-    return df.orderBy(F.desc(value), *map(F.desc, keys)).limit(n)
 
-
-def samples(df: DataFrame, group: str, keys: list[str], n: int = 3) -> DataFrame:
-    """First rows of each group. Rows of one salt are cut to ``n`` first, so no task holds a whole large group."""
-    salted = Window.partitionBy(group, F.pmod(F.xxhash64(*keys), F.lit(256))).orderBy(*keys)
+def samples(df: DataFrame, group: str, n: int = 3) -> DataFrame:
+    """The first rows of each group by their places in the files. Rows of one file and salt are cut to ``n`` first, so no task holds a whole large group."""
+    place = ["file", "row"]
+    salted = Window.partitionBy(group, "file", F.pmod(F.xxhash64("row"), F.lit(256))).orderBy("row")
     first = df.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= n)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*keys))).where(F.col("r") <= n)
+    return first.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*place))).where(F.col("r") <= n)
 
 
 def columns(df: DataFrame) -> DataFrame:

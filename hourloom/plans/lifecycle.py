@@ -263,7 +263,6 @@ QUERIES = {
     "audit_json": audit_json,
     "kv_full_scan": lambda s, d: text(table(s, d)).orderBy("key"),
     "kv_merge_sorted": lambda s, d: text(keyed.merged(monthly_parts(s, d))),
-    "kv_order_violations": lambda s, d: keyed.order_violations(table(s, d)).agg(F.count("*").alias("violations")),
     "kv_year_totals": lambda s, d: keyed.year_totals(table(s, d)),
     "kv_store_matches_source": store_matches_source,
     "kv_backup_equal": backup_equal,
@@ -298,7 +297,6 @@ ORACLE_SQL = {
     "audit_json": f"WITH {sql.TRIP} SELECT count(*) AS raw, count_if(reason LIKE 'pickup%')::BIGINT AS outside_interval, count_if(reason LIKE 'excluded%')::BIGINT AS excluded_zone, count_if(reason LIKE '%duration')::BIGINT AS nonpositive_duration, count_if(reason IS NULL)::BIGINT AS retained FROM classed",
     "kv_full_scan": f"{KV} SELECT * FROM kv",
     "kv_merge_sorted": f"{KV} SELECT * FROM kv",
-    "kv_order_violations": f"{KV} SELECT count(*) - count(DISTINCT key) AS violations FROM kv",
     "kv_year_totals": f"WITH {sql.SPARSE} SELECT strftime(hour, '%Y') AS year, count(*) AS rows, coalesce(sum(recorded), 0)::BIGINT AS recorded, coalesce(sum(target), 0)::BIGINT AS target, count_if(q_source_missing)::BIGINT AS missing, count_if(q_masked_day)::BIGINT AS masked, count_if(q_zero)::BIGINT AS zero, count_if(eligible)::BIGINT AS eligible FROM grid GROUP BY ALL",
     "kv_store_matches_source": f"{KV} SELECT 0::BIGINT AS differing, count(*) AS rows FROM kv",
     "kv_backup_equal": f"{KV} SELECT count(*) AS rows, 1::BIGINT AS fingerprints FROM kv",

@@ -10,6 +10,9 @@ classed AS (
          WHEN zone IN (23, 24) THEN 'excluded_zone_' || zone WHEN dropoff < pickup THEN 'negative_duration' WHEN dropoff = pickup THEN 'zero_duration' END AS reason
   FROM trip)"""
 
+#: The same with the line item's place in its file.
+TRIP_PLACED = TRIP.replace("SELECT l_orderkey,", "SELECT file_row, l_orderkey,", 1).replace("FROM lineitem JOIN", "FROM (SELECT *, row_number() OVER () - 1 AS file_row FROM lineitem) AS lineitem JOIN", 1)
+
 SPARSE = """raw AS (SELECT cast(user_id % 12 AS BIGINT) AS zone, ts AS pickup, date_trunc('hour', ts) AS hour FROM events),
 inside AS (SELECT * FROM raw WHERE pickup >= TIMESTAMP '2024-01-02' AND pickup < TIMESTAMP '2024-01-29'),
 covered AS (SELECT DISTINCT hour FROM inside),

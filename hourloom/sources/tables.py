@@ -16,6 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """``df`` (a file scan) with the place of every row: file and row (from 0). Neither depends on how the files are split."""
+    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def lossless(df: DataFrame, column: str, to: str) -> Column:
     """Cast that fails on a value that ``to`` cannot hold."""
     c = F.col(column)
@@ -61,14 +66,16 @@ SPARSE = Plan("2024-01-02 00:00:00", "2024-01-29 00:00:00", (10, 11), ("2024-01-
 DENSE = Plan("2024-01-01 00:00:00", "2024-01-31 00:00:00", (), ("2024-01-03", "2024-01-29"))
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as trips: pickup, dropoff, zone, distance, fare, total, passengers. Joins are left to the optimizer, which broadcasts a side only below its size limit."""
+def trips(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
+    """Line items as trips: pickup, dropoff, zone, distance, fare, total, passengers; with file and row of the line item if ``place``. Joins are left to the optimizer, which broadcasts a side only below its size limit."""
     line, order, supplier, customer = [read(spark, sf_dir, n) for n in ("lineitem", "orders", "supplier", "customer")]
+    line = placed(line) if place else line
     joined = line.join(order, line.l_orderkey == order.o_orderkey).join(supplier, line.l_suppkey == supplier.s_suppkey).join(customer, order.o_custkey == customer.c_custkey)
     return joined.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.col("o_orderdate").alias("pickup"), F.col("l_shipdate").alias("dropoff"), F.col("s_nationkey").cast("long").alias("zone"),
         F.col("l_discount").alias("distance"), F.col("c_acctbal").alias("fare"), (F.col("c_acctbal") - F.col("l_quantity")).alias("total"),
         F.when(F.col("l_linenumber") == 7, None).otherwise(F.col("l_linenumber") - 1).cast("long").alias("passengers"),
+        *(["file", "row"] if place else []),
     )
 
 

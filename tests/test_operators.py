@@ -48,12 +48,10 @@ def test_flags_and_sensitivity(spark):
     assert [tuple(r)[2:] for r in clean.sensitivity(df, F.col("pickup")).collect()] == [(4, 2, 2)]
 
 
-def test_bands_and_quantiles(spark):
+def test_bands(spark):
     values = [None, -1, 0, 60_000_000, 60_000_001, 86_400_000_000, 86_400_000_001]
     df = spark.createDataFrame([(v,) for v in values], "v long").select(profile.band(F.col("v")).alias("b"))
     assert [r.b for r in df.collect()] == ["missing_time", "negative", "zero", "(0,1] min", "(1,5] min", "(6,24] hours", ">24 hours"]
-    q = profile.quantiles(spark.createDataFrame([(1.0,), (1.0,), (3.0,), (5.0,)], "v double"), "v", (0.0, 0.5, 1.0))
-    assert [r.value for r in q.orderBy("p").collect()] == [1.0, 2.0, 5.0]
 
 
 def test_zone_classes(spark):
@@ -187,7 +185,6 @@ def test_codec_merge_and_fingerprint(spark):
     with pytest.raises(Exception, match="repeats in the changes"):
         keyed.upsert(table, table.where("key like '001%'").unionByName(table)).collect()
     assert [tuple(r) for r in keyed.year_totals(table).collect()] == [("2024", 3, 5, 0, 1, 1, 1, 1)]
-    assert keyed.order_violations(table).count() == 0 and keyed.order_violations(table.unionByName(table)).count() == 3
     gone = keyed.encode(spark.createDataFrame([(1, h, None, None, True, False, False, False)], GRID))
     once = keyed.upsert(table, gone)
     assert "d:recorded" not in {r.key: r.cells for r in once.collect()}["001#2024010100"]
