@@ -10,7 +10,7 @@ sketches hold whole are compared exactly. Hence
 * estimates: of pairs that meet, those stay that share LEAST_SHARED of the KEPT smallest of both sketches;
 * proof: every link is confirmed on whole sets, made anew from the texts.
 
-Nodes of a list first meet its earliest only, then, twice, those outside its largest component meet one of that; so copies come together in linear work. Then short lists
+Nodes of a list first meet its earliest only, then those outside its largest component meet one of that; so copies come together in linear work. Then short lists
 (LONG nodes or fewer) compare what is of different components yet. Long ones get the whole sets: nodes outside the largest component meet all others, tile by tile, and one
 link to each component is sent, never all pairs.
 
@@ -190,7 +190,7 @@ def proved(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The links among pairs (a, b)."""
-    found = estimated(written(pairs.distinct()), nodes)
+    found = estimated(pairs.distinct(), nodes)
     open_pairs = found.where("not sure").select("a", "b")
     links = found.where("sure").select("a", "b")
     return links if open_pairs.isEmpty() else links.unionByName(proved(open_pairs, rows, nodes))
@@ -275,43 +275,54 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(run, "i long, tokens binary"))
 
 
+def joined_up(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and label of all nodes with links, after ``links`` more: a label becomes the least of those that it is linked with, and that one's own. Nodes of one label are linked; not all that are linked need have one label yet."""
+    ends = links
+    if labels is not None:
+        la, lb = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab"]
+        ends = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    ways = ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(ways.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+    further = least.select(F.col("a").alias("m"), F.col("m").alias("beyond"))
+    moved = least.join(further, "m").select(F.col("a").alias("node"), F.col("beyond").alias("label"))
+    if labels is None:
+        return written(moved)
+    to = moved.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    kept = labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return written(kept.unionByName(moved.join(labels.select("node"), "node", "left_anti")))
+
+
 def node_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and label (the least node that links lead to) of all nodes that have links."""
     lists = in_lists(nodes)
     heads = written(lists.groupBy("t").agg(F.count("*").alias("c"), F.min("i").alias("head"), F.min_by("n", "i").alias("nh")).where("c > 1"))
     met = written(lists.join(small(heads), "t"))
-
-    def placed(labels: DataFrame) -> DataFrame:
-        return met.join(labels.select(F.col("node").alias("i"), "label"), "i", "left").withColumn("label", F.coalesce("label", "i"))
-
     links = linked(met.where((F.col("i") != F.col("head")) & fits(F.col("n"), F.col("nh"))).select(F.col("i").alias("a"), F.col("head").alias("b")), rows, nodes)
-    labels = components(links)
+    labels = joined_up(None, links)
 
-    def mixed(labels: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-        """Members with their components; lists of several: their largest one, and a node of it (another one by salt)."""
-        members = written(placed(labels).select("t", "i", "n", "c", "label"))
-        drawn = F.xxhash64("t", "i", F.lit(salt))
+    def mixed(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their labels; lists of several: their largest one, and a node of it, drawn for each list."""
+        members = met.join(labels.select(F.col("node").alias("i"), "label"), "i", "left").select("t", "i", "n", "c", F.coalesce("label", "i").alias("label"))
+        members, drawn = written(members), F.xxhash64("t", "i")
         of = members.groupBy("t", "label").agg(F.count("*").alias("m"), F.min_by("i", drawn).alias("one"), F.min_by("n", drawn).alias("n_one"), F.sum("n").alias("tokens"))
         of = of.groupBy("t").agg(F.count("*").alias("several"), F.max(F.struct("m", "label", "one", "n_one")).alias("most"), F.sum("tokens").alias("tokens"))
         return members, written(of.where("several > 1").select("t", F.col("most.label").alias("largest"), F.col("most.one").alias("one"), F.col("most.n_one").alias("n_one"), "tokens"))
 
-    for salt in (1, 2):
-        members, several = mixed(labels, salt)
-        pairs = members.join(small(several), "t").where((F.col("label") != F.col("largest")) & fits(F.col("n"), F.col("n_one")))
-        links = links.unionByName(linked(pairs.select(F.col("i").alias("a"), F.col("one").alias("b")), rows, nodes))
-        labels = components(links)
-    members, several = mixed(labels, 0)
+    members, several = mixed(labels)
+    pairs = members.join(small(several), "t").where((F.col("label") != F.col("largest")) & fits(F.col("n"), F.col("n_one")))
+    found = linked(pairs.select(F.col("i").alias("a"), F.col("one").alias("b")), rows, nodes)
+    links, labels = links.unionByName(found), joined_up(labels, found)
+    members, several = mixed(labels)
     members = written(members.join(small(several), "t"))
     short = members.where(F.col("c") <= LONG).select("t", "i", "n", "label")
     a, b = [short.toDF("t", x, f"n{x}", f"l{x}") for x in "ab"]
     pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")))
-    more = linked(pairs.select("a", "b"), rows, nodes)
+    links = links.unionByName(linked(pairs.select("a", "b"), rows, nodes))
     long = members.where(F.col("c") > LONG)
     if not long.isEmpty():
         long = long.select("t", "i", "n", "label", (F.col("label") != F.col("largest")).alias("outside"), F.ceil(F.col("tokens") / TILE_TOKENS).cast("int").alias("tiles"))
-        sets = whole_sets(texts_of(rows, nodes, long.select("i").distinct()))
-        more = more.unionByName(tile_links(long, sets))
-    return components(links.unionByName(more))
+        links = links.unionByName(tile_links(long, whole_sets(texts_of(rows, nodes, long.select("i").distinct()))))
+    return components(links)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
