@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 from collections.abc import Callable
 
@@ -66,34 +67,89 @@ def context_hash(**facts) -> str:
     return hashlib.sha256(json.dumps(facts, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def code_digest(*modules) -> str:
+    """sha256 of the source of modules."""
+    return hashlib.sha256("\0".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
+
+
+def input_digest(df: DataFrame) -> str:
+    """Of the rows of a table and the names of its columns, in any order of rows: their number and two sums of 64-bit hashes, added up where the rows are."""
+    names = sorted(df.columns)
+    sums = [F.sum(F.xxhash64(*names, F.lit(seed)).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
+    row = df.agg(F.concat_ws("-", F.count("*").cast("string"), *sums)).first()  # one row
+    return f"{','.join(names)}:{row[0]}"
+
+
 def lock(spark: SparkSession, path: str, context: str, result: dict) -> dict:
-    """The result as first locked; an error if it was locked with another context."""
-    if files.exists(spark, path):
-        prior = files.read_manifest(spark, path)
-        if prior["context"] != context:
-            raise ValueError("already locked with another context")
-        return prior
-    return files.write_manifest(spark, path, True, context=context, result=result)
+    """The result as first locked: of several writers at once the first one's, and the others get it. An error if it was locked with another context."""
+    made = json.loads(files.manifest_text({"complete": True, "context": context, "result": result}))
+    if files.create_new(spark, path, files.manifest_text(made)):
+        return made
+    return unlocked(spark, path, context)
+
+
+def unlocked(spark: SparkSession, path: str, context: str) -> dict:
+    """What is locked at ``path``; an error if it was locked with another context than this, or never."""
+    if not files.exists(spark, path):
+        raise ValueError(f"nothing is locked at {path}")
+    prior = files.read_manifest(spark, path)
+    if prior["context"] != context:
+        raise ValueError("already locked with another context")
+    return prior
 
 
 def hashes(spark: SparkSession, path: str) -> dict[str, str]:
     return {r["name"]: r["sha256"] for r in files.file_facts(spark, path).collect()}  # a row for each file of a step
 
 
+def file_changes(recorded: dict[str, dict[str, str]], present: dict[str, dict[str, str]]) -> list[tuple]:
+    """(side, name, recorded, present) of all files that are not as they were recorded; None stands for no such file."""
+    names = {(side, name) for state in (recorded, present) for side in state for name in state[side]}
+    rows = [(side, name, recorded.get(side, {}).get(name), present.get(side, {}).get(name)) for side, name in sorted(names)]
+    return [r for r in rows if r[2] != r[3]]
+
+
 def resume(spark: SparkSession, folder: str, inputs: str, run: Callable[[str], None]) -> dict:
-    """A step's report: made by ``run(folder/data)``, or as it was where inputs and outputs still have their checksums; half-written or changed files are an error."""
-    report, data = f"{folder}/report.json", f"{folder}/data"
-    if not files.exists(spark, folder):
-        run(data)
-        return files.write_manifest(spark, report, True, inputs=hashes(spark, inputs), outputs=hashes(spark, f"{data}/*.parquet"))
-    if not files.exists(spark, report):
-        raise ValueError(f"incomplete output needs review: {folder}")
-    prior = files.read_manifest(spark, report)
-    if prior["inputs"] != hashes(spark, inputs):
-        raise ValueError("an input has changed")
-    if prior["outputs"] != hashes(spark, f"{data}/*.parquet"):
-        raise ValueError("an output has changed")
-    return prior
+    """The record of a step that ``run(folder/data)`` takes once: files that it read and wrote, with their checksums.
+
+    A later call takes no step if all of them are as recorded; otherwise one error names every file that differs. A folder without a record is of a step that did not end, and stays for its owner to look at.
+    """
+    record, data = f"{folder}/record.json", f"{folder}/data"
+
+    def state() -> dict[str, dict[str, str]]:
+        return {"inputs": hashes(spark, inputs), "outputs": hashes(spark, f"{data}/*.parquet")}
+
+    if files.exists(spark, record):
+        kept = files.read_manifest(spark, record)
+        if changes := file_changes(kept["state"], state()):
+            raise ValueError("not as the step left them: " + ", ".join(f"{side}/{name} ({'gone' if now is None else 'new' if was is None else 'changed'})" for side, name, was, now in changes))
+        return kept
+    if files.exists(spark, folder):
+        raise ValueError(f"a step has begun in {folder} and has no record of an end")
+    run(data)
+    return files.write_manifest(spark, record, True, state=state())
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of rows that have exactly one partner; a key that repeats or is on one side only is an error."""
+
+    def single(df: DataFrame, mark: str) -> DataFrame:
+        values = [c for c in df.columns if c not in keys]
+        return df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in values], F.count("*").alias(mark))
+
+    both = single(left, "_l").join(single(right, "_r"), keys, "full")
+    wrong = ~(F.col("_l").eqNullSafe(F.lit(1)) & F.col("_r").eqNullSafe(F.lit(1)))
+    bad = F.raise_error(F.lit("a key has not exactly one row on either side")).cast("boolean")
+    return both.where(F.when(wrong, bad).otherwise(F.lit(True))).drop("_l", "_r")
+
+
+def reconciled(served: DataFrame, source: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """For each value of ``by`` (one of the keys): rows of both tables, of either alone, rows that are in both and differ, and both sums of recorded."""
+    values = [c for c in source.columns if c not in keys]
+    both = keyed.differences(source, served.select(*source.columns), keys)
+    kind = both.groupBy(by).agg(F.count_if(F.col("in_left").isNull()).alias("only_served"), F.count_if(F.col("in_right").isNull()).alias("only_source"), F.count_if(F.col("in_left") & F.col("in_right")).alias("differing"))
+    sums = [t.groupBy(by).agg(F.count("*").alias(f"{n}_rows"), F.sum(values[0]).alias(f"{n}_{values[0]}")) for t, n in ((served, "served"), (source, "source"))]
+    return sums[0].join(sums[1], by, "full").join(kind, by, "left").na.fill(0, ["only_served", "only_source", "differing"])
 
 
 def tables_ready(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:

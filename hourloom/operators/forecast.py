@@ -45,6 +45,12 @@ def role_span(history: str, role: str, fold: int = 0) -> tuple[str, str]:
     raise ValueError(f"unknown role: {role}")
 
 
+def before_holdout(end: str) -> None:
+    """An error where an evaluation would reach into the test days, which only the selected candidate may see."""
+    if end > TEST.start:
+        raise ValueError(f"an evaluation that ends at {end} reaches into the test days")
+
+
 def labelled(frame: DataFrame, start: str, end: str) -> DataFrame:
     return frame.where(inside(F.col("hour"), start, end) & F.col("eligible"))
 
@@ -137,10 +143,14 @@ def rank_candidates(metrics: DataFrame) -> DataFrame:
     return checked.orderBy(*order)
 
 
-def fit_forest(train: DataFrame, depth: int = 8, trees: int = 20, seed: int = 42) -> PipelineModel:
+#: The settings of the forest.
+FOREST = {"numTrees": 20, "minInstancesPerNode": 20, "maxBins": 264, "seed": 42}
+
+
+def fit_forest(train: DataFrame, depth: int = 8) -> PipelineModel:
     index = StringIndexer(inputCol="zone", outputCol="zone_index", handleInvalid="keep")
     vector = VectorAssembler(inputCols=["zone_index", *FEATURES], outputCol="features")
-    forest = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=20, maxBins=264, seed=seed)
+    forest = RandomForestRegressor(labelCol="label", featuresCol="features", maxDepth=depth, **FOREST)
     return Pipeline(stages=[index, vector, forest]).fit(train.withColumn("label", F.col("target").cast("double")))
 
 

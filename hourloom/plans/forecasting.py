@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import checks, features, grid, keyed
 from ..operators import forecast as fc
-from ..operators import keyed
+from ..sources import bucketed
 from ..sources.shared import shared_dir, written
+from ..sources.tables import read
 from . import sql
 from .gridding import featured, shown
 
+T = TypeVar("T")
 DEPTHS = (8, 12)
 START, CUT, END = fc.TEST.train_start, fc.TEST.start, fc.TEST.end
 
@@ -61,21 +69,38 @@ def candidates(s: SparkSession, d: str) -> DataFrame:
     return rows.select("fold", "history", "target", each.alias("x")).select("fold", "history", "target", "x.*").groupBy("model", "history", "depth", "fold").agg(*fc.error_sums())
 
 
-def rf_folds(s: SparkSession, d: str) -> DataFrame:
-    """Error sums of naive and of the forest, fitted for every fold, history and depth (12 fits), by fold. No row of the test days is read."""
-    frame = written(featured(s, d).where(F.col("hour") < F.lit(CUT).cast("timestamp_ntz")))
-    parts = []
-    for fold in fc.FOLDS:
-        for h, start in fc.HISTORIES.items():
-            train = fc.labelled(frame, start, fold.start)
-            rows = written(fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), fold.start, fold.end))
-            fitted = fc.warmed(train, start).persist()  # a fit reads it once for each level of its trees
-            for depth in DEPTHS:
-                both = fc.forest_predictions(rows, fc.fit_forest(fitted, depth))
-                sums = both.agg(*fc.error_sums(), *[x.alias(f"naive_{n}") for x, n in zip(fc.error_sums("baseline"), ("n", "absolute_error", "squared_error", "actual_sum"), strict=True)])
-                parts.append(written(sums.select(F.lit(h).alias("history"), F.lit(depth).alias("depth"), F.lit(fold.name).alias("fold"), "*")))
-            fitted.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+def side_by_side(s: SparkSession, tasks: list[Callable[[], T]], most: int = 4) -> list[T]:
+    """Results of ``tasks`` in order, ``most`` of them at a time, each in a pool of its own, so that the short stages of one fill the gaps of the others (with a fair scheduler, evenly)."""
+
+    def run(k: int) -> T:
+        s.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{k}")
+        try:
+            return tasks[k]()
+        finally:
+            s.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(most) as pool:
+        return list(pool.map(inheritable_thread_target(s)(run), range(len(tasks))))
+
+
+def rf_folds(s: SparkSession, d: str, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """Error sums of naive and of the forest, fitted for every fold, history and depth (12 fits, side by side), by fold. No row of the test days is read."""
+    frame = bucketed.store(featured(s, d).where(F.col("hour") < F.lit(CUT).cast("timestamp_ntz")), "zone", ["zone", "hour"], name="folds")
+
+    def fits(fold: fc.Fold, history: str, start: str) -> DataFrame:
+        fc.before_holdout(fold.end)
+        train = fc.labelled(frame, start, fold.start)
+        rows = written(fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), fold.start, fold.end))
+        fitted = fc.warmed(train, start).persist()  # a fit reads it once for each level of its trees
+        both = [fc.forest_predictions(rows, fc.fit_forest(fitted, depth)).withColumn("depth", F.lit(depth)) for depth in depths]
+        naive = [x.alias(f"naive_{n}") for x, n in zip(fc.error_sums("baseline"), ("n", "absolute_error", "squared_error", "actual_sum"), strict=True)]
+        sums = reduce(DataFrame.unionByName, both).groupBy("depth").agg(*fc.error_sums(), *naive)
+        out = written(sums.select(F.lit(history).alias("history"), "depth", F.lit(fold.name).alias("fold"), *[c for c in sums.columns if c != "depth"]))
+        fitted.unpersist()
+        return out
+
+    tasks = [functools.partial(fits, fold, h, start) for fold in fc.FOLDS for h, start in fc.HISTORIES.items()]
+    return reduce(DataFrame.unionByName, side_by_side(s, tasks))
 
 
 def rf_candidate_ranking(s: SparkSession, d: str) -> DataFrame:
@@ -83,10 +108,38 @@ def rf_candidate_ranking(s: SparkSession, d: str) -> DataFrame:
     return fc.rank_candidates(fc.pool(fc.guarded(rf_folds(s, d)), "model", "history", "depth"))
 
 
+def selection_context(s: SparkSession, d: str) -> str:
+    """What a selection stands on: code, settings and the rows of the input."""
+    settings = {"folds": [str(f) for f in fc.FOLDS], "histories": fc.HISTORIES, "depths": DEPTHS, "features": fc.FEATURES, "forest": fc.FOREST}
+    return checks.context_hash(settings=settings, code=checks.code_digest(fc, features, grid), inputs=checks.input_digest(read(s, d, "events")))
+
+
+def select_and_lock(s: SparkSession, d: str, path: str) -> dict:
+    """The first of the ranked candidates, locked at ``path`` with its context; or what was locked there before with the same context."""
+    best = written(rf_candidate_ranking(s, d)).orderBy("mae", (F.col("model") != "naive").cast("int"), (F.col("history") != "A").cast("int"), "depth").first()
+    return checks.lock(s, path, selection_context(s, d), {k: best[k] for k in ("model", "history", "depth", "n", "mae")})
+
+
+def final_rows(s: SparkSession, d: str, path: str) -> DataFrame:
+    """Test rows with the predictions of the locked winner, fitted on all days before the test; an error if nothing is locked or the context has changed since."""
+    winner = checks.unlocked(s, path, selection_context(s, d))["result"]
+    start, end = fc.role_span(winner["history"], "final_train")
+    frame = written(featured(s, d))
+    train = fc.labelled(frame, start, end)
+    rows = fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), *fc.role_span(winner["history"], "test"))
+    if winner["model"] == "naive":
+        return rows.withColumn("prediction", F.col("baseline"))
+    fitted = fc.warmed(train, start).persist()
+    model = fc.fit_forest(fitted, winner["depth"])
+    fitted.unpersist()
+    return fc.forest_predictions(rows, model)
+
+
 def rf_breakdowns(s: SparkSession, d: str) -> DataFrame:
-    """The forest fitted on all days before the test, scored on the test by zone, hour, month and demand, and the mean of the zones' errors."""
-    model, rows = forest(s, d)
-    both = written(fc.forest_predictions(rows, model))
+    """The selected candidate, locked, fitted on all days before the test and scored on the test by zone, hour, month, demand and method, and the mean of the zones' errors."""
+    path = f"{shared_dir(s, 'selected')}/selection.json"
+    select_and_lock(s, d, path)
+    both = written(final_rows(s, d, path))
     groups = {"zone": F.col("zone").cast("string"), "hour": F.col("hour_of_day").cast("string"), "month": F.date_format("hour", "yyyy-MM"), "demand": fc.demand_group(F.col("zone_mean")), "method": F.col("method"), "all": F.lit("all")}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), c.alias("value")) for k, c in groups.items()]))
     out = fc.score(both.select("target", "prediction", each.alias("g")).select("target", "prediction", "g.*"), "part", "value")

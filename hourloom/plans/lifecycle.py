@@ -175,10 +175,10 @@ def resumed(s: SparkSession, d: str) -> DataFrame:
 
 def selection_lock(s: SparkSession, d: str) -> DataFrame:
     """The best candidate, locked with its context; a second lock of the same context gives the first one back."""
-    from .forecasting import ranking
+    from .forecasting import ranking, selection_context
 
     path, best = f"{shared_dir(s, 'lock')}/selection.json", ranking(s, d).where("place = 1").first().asDict()
-    context = checks.context_hash(folds=[str(f) for f in fc.FOLDS], features=fc.FEATURES)
+    context = selection_context(s, d)
     locked = [checks.lock(s, path, context, x) for x in (best, {})]
     r = locked[1]["result"]
     return s.createDataFrame([(r["model"], r["history"], r["n"], locked[0] == locked[1])], "model string, history string, n long, same boolean")
@@ -207,7 +207,7 @@ def acceptance(s: SparkSession, d: str) -> DataFrame:
     source = hybrid(s, d).where(inside(F.col("hour"), "2024-01-28 00:00:00", "2024-01-31 00:00:00"))
     served = keyed.decode_forecasts(forecast_table(s, d))
     a = source.select("zone", "hour", "target", F.col("prediction").alias("p1"), F.col("baseline").alias("b1"))
-    both = a.join(served.select("zone", "hour", F.col("prediction").alias("p2"), F.col("baseline").alias("b2")), ["zone", "hour"], "left")
+    both = checks.one_to_one(a, served.select("zone", "hour", F.col("prediction").alias("p2"), F.col("baseline").alias("b2")), ["zone", "hour"])
     differs = ~(F.col("p1").eqNullSafe(F.col("p2")) & F.col("b1").eqNullSafe(F.col("b2")))
     day = F.date_format("hour", "yyyy-MM-dd").alias("day")
     return both.groupBy("zone", day).agg(F.count("*").alias("n"), F.count_if(differs).alias("differing"), F.round(F.avg(F.abs(F.col("p2") - F.col("target"))), 6).alias("mae"))

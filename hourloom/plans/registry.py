@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning, forecasting, gridding, lifecycle, serving, stored
+from . import acceptance, cleaning, forecasting, gridding, lifecycle, serving, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (gridding, cleaning, forecasting, serving, lifecycle, stored):
+for part in (gridding, cleaning, forecasting, serving, lifecycle, stored, acceptance):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -71,3 +71,18 @@ def metrics(rows: str, by: str = "", p: str = "baseline") -> str:
     group = f"GROUP BY {by}" if by else ""
     head = f"{by}, " if by else ""
     return f"SELECT {head}count(*) AS n, round(sum(abs({p} - target)) / count(*), 6) AS mae, round(sqrt(sum(({p} - target) * ({p} - target)) / count(*)), 6) AS rmse, round(sum(abs({p} - target)) / nullif(sum(target), 0), 6) AS wape FROM {rows} {group}"
+
+
+def grid_of(raw: str, start: str, last: str, excluded: str, masked: str) -> str:
+    """A grid over any raw table (zone, pickup): ``last`` is the interval's last hour."""
+    return f"""raw AS ({raw}),
+inside AS (SELECT *, date_trunc('hour', pickup) AS hour FROM raw WHERE pickup >= TIMESTAMP '{start}' AND pickup < TIMESTAMP '{last}' + INTERVAL 1 HOUR),
+cells AS (SELECT zone, hour FROM (SELECT DISTINCT zone FROM raw WHERE zone NOT IN ({excluded})), (SELECT unnest(generate_series(TIMESTAMP '{start}', TIMESTAMP '{last}', INTERVAL 1 HOUR)) AS hour)),
+counts AS (SELECT zone, hour, count(*) AS trips FROM inside WHERE zone NOT IN ({excluded}) GROUP BY ALL),
+base AS (SELECT c.zone, c.hour, c.hour NOT IN (SELECT hour FROM inside) AS q_source_missing, cast(c.hour AS DATE) IN ({masked}) AS q_masked_day, coalesce(trips, 0) AS trips FROM cells c LEFT JOIN counts n ON c.zone = n.zone AND c.hour = n.hour),
+grid AS (
+  SELECT zone, hour, CASE WHEN NOT q_source_missing THEN trips END AS recorded, CASE WHEN NOT q_source_missing AND NOT q_masked_day THEN trips END AS target, q_source_missing, q_masked_day,
+         NOT q_source_missing AND trips = 0 AS q_zero, NOT q_source_missing AND NOT q_masked_day AS eligible FROM base)"""
+
+
+GAPPED = grid_of("SELECT cast(c_nationkey AS BIGINT) AS zone, cast(o_orderdate AS TIMESTAMP) AS pickup FROM orders JOIN customer ON o_custkey = c_custkey", "1997-03-01 00:00:00", "1997-03-31 23:00:00", "23, 24", "DATE '1997-03-10'")

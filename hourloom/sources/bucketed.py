@@ -12,6 +12,8 @@ from .shared import shared_dir
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Spark leaves buckets unused where it sees no need for them; two tables that are read side by side need them.
 AUTO = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+#: Spark 4.1 takes a union of buckets for dealt by their key, but lays columnar ones end to end, so groups over it come out in parts.
+UNION = "spark.sql.unionOutputPartitioning"
 
 
 def store(df: DataFrame, by: str, order: list[str], buckets: int | None = None, name: str = "bucketed") -> DataFrame:
@@ -30,4 +32,5 @@ def store(df: DataFrame, by: str, order: list[str], buckets: int | None = None,
 def open_table(spark: SparkSession, table: str) -> DataFrame:
     spark.conf.set(ORDERED, "true")
     spark.conf.set(AUTO, "false")
+    spark.conf.set(UNION, "false")
     return spark.table(table)

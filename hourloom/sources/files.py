@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file if there is none of that name; whether it did. Of several writers at once one does.
+
+    A local file appears whole, under its name, by a link, which the system makes once only. Elsewhere the file system's own creation without overwriting decides.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        if system.getUri().getScheme() == "file":
+            draft = f"{path}.{uuid.uuid4().hex}"
+            write_text(spark, draft, text)
+            local = [jvm.java.io.File(jvm.org.apache.hadoop.fs.Path(p).toUri().getPath()).toPath() for p in (path, draft)]
+            try:
+                jvm.java.nio.file.Files.createLink(*local)
+            finally:
+                system.delete(jvm.org.apache.hadoop.fs.Path(draft), False)
+            return True
+        stream = system.create(target, False)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        return True
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r["value"] for r in spark.read.text(path).collect())  # a small document
 
@@ -35,10 +67,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 def write_manifest(spark: SparkSession, path: str, complete: bool, **facts) -> dict:
     """A JSON document of a run: names in order."""
     spec = {"complete": complete, **facts}
-    write_text(spark, path, json.dumps(spec, sort_keys=True, indent=2) + "\n")
+    write_text(spark, path, manifest_text(spec))
     return spec
 
 
+def manifest_text(spec: dict) -> str:
+    return json.dumps(spec, sort_keys=True, indent=2) + "\n"
+
+
 def read_manifest(spark: SparkSession, path: str) -> dict:
     """A manifest with files: [{path, period, ...}]; an error if it is incomplete or names a period twice."""
     spec = json.loads(read_text(spark, path))

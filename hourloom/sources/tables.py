@@ -64,6 +64,8 @@ class Plan:
 TRIPS = Plan("1996-01-01 00:00:00", "2000-01-01 00:00:00", (23, 24))
 SPARSE = Plan("2024-01-02 00:00:00", "2024-01-29 00:00:00", (10, 11), ("2024-01-14",))
 DENSE = Plan("2024-01-01 00:00:00", "2024-01-31 00:00:00", (), ("2024-01-03", "2024-01-29"))
+#: Orders are all of midnight, so most hours have no source: missing, zero and masked hours stand side by side.
+GAPPED = Plan("1997-03-01 00:00:00", "1997-04-01 00:00:00", (23, 24), ("1997-03-10",))
 
 
 def trips(spark: SparkSession, sf_dir: str, place: bool = False) -> DataFrame:
@@ -87,5 +89,12 @@ def dense_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_type").alias("zone"), F.col("ts").alias("pickup"), floor_hour(F.col("ts")).alias("hour"), "value")
 
 
+def gapped_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by the nation of the customer."""
+    orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    at = F.col("o_orderdate").cast("timestamp_ntz")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("zone"), at.alias("pickup"), floor_hour(at).alias("hour"))
+
+
 def hour_axis(spark: SparkSession, plan: Plan) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(ntz(plan.start), ntz(plan.end) - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))).alias("hour"))
