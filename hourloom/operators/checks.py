@@ -6,6 +6,7 @@ import hashlib
 import inspect
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,14 +154,15 @@ def reconciled(served: DataFrame, source: DataFrame, keys: list[str], by: str) -
 
 
 def tables_ready(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
-    """name and ready of tables under ``folder``; an error where one is absent or its load was not accepted."""
+    """name, ready, rows, first and last key of stored tables under ``folder``; an error where one is absent or its load was not accepted."""
     missing = [n for n in names if not files.exists(spark, f"{folder}/{n}")]
     if missing:
         raise ValueError(f"missing tables: {missing}")
     if not files.exists(spark, f"{folder}/accepted.json"):
         raise ValueError("the tables were not accepted")
-    files.read_manifest(spark, f"{folder}/accepted.json")
-    return spark.createDataFrame([(n, True) for n in names], "name string, ready boolean")
+    accepted = files.read_manifest(spark, f"{folder}/accepted.json")["complete"]
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("name"), "key") for n in names])
+    return rows.groupBy("name").agg(F.lit(accepted).alias("ready"), F.count("*").alias("rows"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
 def edge_points(grid: DataFrame, years: tuple[int, ...], zones: tuple, start: str, end: str) -> DataFrame:

@@ -63,6 +63,16 @@ def encode_forecasts(rows: DataFrame, version: str, built: str) -> DataFrame:
     return rows.select(refuse(wrong, "the origin, version or a value of the forecast is wrong", key).alias("key"), cells.alias("cells"))
 
 
+#: Cells that every stored forecast has, and no other.
+FORECAST_CELLS = ("m:built", "m:horizon", "m:method", "m:mode", "m:origin", "m:version", "p:baseline", "p:value", "q:complete")
+
+
+def require_cells(table: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``table``, failing where a row's cells are not exactly ``names``."""
+    wrong = F.array_sort(F.map_keys("cells")) != F.array(*map(F.lit, sorted(names)))
+    return table.select(refuse(wrong, "the cells of a row are not those of its table", F.col("key")).alias("key"), "cells")
+
+
 def decode_forecasts(table: DataFrame) -> DataFrame:
     part = F.split("key", "#")
 

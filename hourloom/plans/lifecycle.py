@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.time import clock_change, inside, stamp
 from ..operators import checks, clean, grid, keyed, serving
 from ..operators import forecast as fc
-from ..sources import files
+from ..sources import bucketed, files
 from ..sources.shared import shared_dir, written
 from ..sources.tables import SPARSE, TRIPS, dense_events, read, sparse_events
 from . import sql
@@ -30,16 +31,18 @@ def zones(s: SparkSession, d: str) -> DataFrame:
 
 
 def yearly_files(s: SparkSession, d: str) -> tuple[str, list[str]]:
-    """Order lines of every year as files of their own, older ones without the discount and under another name; their manifests."""
+    """Order lines in a folder for each year, older ones without the discount and under another name; their manifests. A write for each layout and one count for all."""
     home, manifests = shared_dir(s, "manifests"), []
     lines = read(s, d, "lineitem").join(read(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", F.col("o_orderdate").cast("timestamp_ntz").alias("pickup"), "l_quantity", "l_discount")
     held = written(lines.withColumn("year", F.year("pickup")))
+    layouts = {"old": held.where("year < 1996").drop("l_discount").withColumnRenamed("l_quantity", "quantity"), "new": held.where("year >= 1996")}
+    for name, rows in layouts.items():
+        files.write_new(rows, f"{home}/{name}", "year")
     for row in held.groupBy("year").agg(F.count("*").alias("n")).orderBy("year").collect():  # a row for each year
-        rows = held.where(F.col("year") == row["year"]).drop("year")
-        rows = rows.drop("l_discount").withColumnRenamed("l_quantity", "quantity") if row["year"] < 1996 else rows
-        files.write_new(rows, f"{home}/{row['year']}")
+        name = "old" if row["year"] < 1996 else "new"
+        schema = layouts[name].drop("year").schema.jsonValue()
         manifests.append(f"{home}/{row['year']}.json")
-        files.write_manifest(s, manifests[-1], True, files=[{"period": str(row["year"]), "path": f"{home}/{row['year']}", "rows": row["n"]}])
+        files.write_manifest(s, manifests[-1], True, files=[{"period": str(row["year"]), "path": f"{home}/{name}/year={row['year']}", "rows": row["n"], "schema": schema}])
     return home, manifests
 
 
@@ -53,11 +56,13 @@ def manifest_trips(s: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_extra(s: SparkSession, d: str) -> DataFrame:
-    """Files of one manifest and another file beside it; a period twice would be an error."""
+    """Rows by year of the files of all manifests but the last and, beside them, the last year's file by its path; a period twice would be an error."""
     _, manifests = yearly_files(s, d)
-    first, second = files.listed(s, manifests[:1]), files.listed(s, manifests[1:2])
-    both = files.listed(s, manifests[:1], {f["period"]: f["path"] for f in second})
-    return s.createDataFrame([(f["period"], s.read.parquet(f["path"]).count()) for f in both], "period string, n long") if first else s.createDataFrame([], "period string, n long")
+    last = files.listed(s, manifests[-1:])
+    schema = T.StructType.fromDDL("l_orderkey long, l_linenumber int, pickup timestamp_ntz")
+    both = files.listed(s, manifests[:-1], {f["period"]: f["path"] for f in last})
+    rows = [x.select(*schema.names) for x in (s.read.schema(layout).parquet(*paths) for layout, paths in files.by_layout(s, both))]
+    return reduce(DataFrame.unionByName, rows).groupBy(F.date_format("pickup", "yyyy").alias("period")).agg(F.count("*").alias("n"))
 
 
 def manifest_grid(s: SparkSession, d: str) -> DataFrame:
@@ -192,6 +197,15 @@ def status(s: SparkSession, d: str) -> DataFrame:
     return checks.tables_ready(s, home, ("hourly", "summary"))
 
 
+def forecast_store(s: SparkSession, d: str) -> DataFrame:
+    """Forecasts loaded into a stored table, twice (the second load changes nothing), checked for their cells and read back."""
+    rows = forecast_table(s, d)
+    stored = bucketed.store(rows, "key", ["key"], name="forecasts")
+    again = bucketed.store(keyed.upsert(stored, rows), "key", ["key"], name="forecasts")
+    back = keyed.decode_forecasts(keyed.require_cells(again, keyed.FORECAST_CELLS))
+    return shown(back.select("zone", "hour", "origin", "prediction", "baseline", "method", "features_complete", "model_version"))
+
+
 def preflight(s: SparkSession, d: str) -> DataFrame:
     types = {"zone": "bigint", "hour": "timestamp_ntz", "recorded": "bigint", "target": "bigint", "q_source_missing": "boolean", "q_masked_day": "boolean", "q_zero": "boolean", "eligible": "boolean"}
     return s.createDataFrame([(checks.preflight(sparse_grid(s, d), types),)], "rows long")
@@ -270,6 +284,7 @@ QUERIES = {
     "step_resumed": resumed,
     "selection_lock": selection_lock,
     "serving_status": status,
+    "kv_forecast_store": forecast_store,
     "grid_preflight": preflight,
     "worker_smoke": lambda s, d: s.createDataFrame([(checks.worker_smoke(s),)], "total long"),
     "forecast_acceptance": acceptance,
@@ -286,7 +301,7 @@ ORACLE_SQL = {
     "deterministic_sample": f"WITH {sql.DENSE}, {sql.train('2024-01-01 00:00:00', '2024-01-28 00:00:00')} SELECT zone, {sql.stamp('hour')} AS hour, target, round(baseline, 6) AS baseline FROM based WHERE eligible AND based.hour >= TIMESTAMP '2024-01-28' AND based.hour < TIMESTAMP '2024-01-31' ORDER BY zone, based.hour LIMIT 100",
     "observed_places": f"WITH {sql.SPARSE}, o AS (SELECT zone, hour, count(*) AS trips FROM raw GROUP BY ALL) SELECT zone, {sql.stamp('hour')} AS hour, trips, row_number() OVER (PARTITION BY zone ORDER BY o.hour) AS place FROM o",
     "manifest_trips": f"WITH y AS ({YEARLY}) SELECT year, count(*) AS n, CASE WHEN year < 1996 THEN 0 ELSE count(l_discount) END AS discounts, round(sum(l_quantity), 4)::DOUBLE AS quantity FROM y GROUP BY year",
-    "manifest_extra": f"WITH y AS ({YEARLY}), n AS (SELECT year, count(*) AS n FROM y GROUP BY year ORDER BY year LIMIT 2) SELECT year::VARCHAR AS period, n FROM n",
+    "manifest_extra": f"WITH y AS ({YEARLY}) SELECT year::VARCHAR AS period, count(*) AS n FROM y GROUP BY year",
     "manifest_grid": f"WITH {sql.SPARSE} {TOTALS}",
     "csv_observed": f"SELECT event_type AS zone, {sql.stamp('''date_trunc('hour', ts)''')} AS hour, count(*) AS trips FROM events GROUP BY ALL",
     "csv_lookup": "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation",
@@ -302,7 +317,8 @@ ORACLE_SQL = {
     "kv_backup_equal": f"{KV} SELECT count(*) AS rows, 1::BIGINT AS fingerprints FROM kv",
     "kv_readiness": f"WITH {sql.SPARSE} SELECT 0::BIGINT AS point_mismatches, (SELECT count(*) FROM grid WHERE zone IN (1, 7) AND hour IN (TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-28 23:00:00')) AS point_rows, 0::BIGINT AS range_mismatches, (SELECT count(*) FROM grid WHERE zone = 7 AND hour::DATE = DATE '2024-01-02') AS range_rows",
     "step_resumed": f"WITH {sql.SPARSE} SELECT 1::BIGINT AS runs, true AS same, count(DISTINCT hour::DATE) AS rows FROM grid",
-    "serving_status": "SELECT * FROM (VALUES ('hourly', true), ('summary', true)) t(name, ready)",
+    "serving_status": f"{SUMMARIES}, k AS (SELECT 'hourly' AS name, lpad(zone::VARCHAR, 3, '0') || '#' || strftime(hour, '%Y%m%d%H') AS key FROM grid UNION ALL SELECT 'summary', kind || '#' || period || '#' || lpad(zone::VARCHAR, 3, '0') FROM summary) SELECT name, true AS ready, count(*) AS rows, min(key) AS first_key, max(key) AS last_key FROM k GROUP BY name",
+    "kv_forecast_store": f"{TEST}, {HYBRID} SELECT zone, {sql.stamp('hour')} AS hour, {sql.stamp("hour - INTERVAL 1 HOUR")} AS origin, round(prediction, 6) AS prediction, round(baseline, 6) AS baseline, CASE WHEN features_complete THEN 'random_forest' ELSE 'fallback_' || method END AS method, features_complete, 'blend' AS model_version FROM hybrid",
     "grid_preflight": f"WITH {sql.SPARSE} SELECT count(*) AS rows FROM grid",
     "worker_smoke": "SELECT sum(2 * i)::BIGINT AS total FROM range(1000) t(i)",
     "forecast_acceptance": f"{TEST}, {HYBRID} SELECT zone, strftime(hour, '%Y-%m-%d') AS day, count(*) AS n, 0::BIGINT AS differing, round(avg(abs(prediction - target)), 6) AS mae FROM hybrid GROUP BY ALL",

@@ -51,9 +51,20 @@ def wanted(s: SparkSession) -> DataFrame:
 
 
 def compared(s: SparkSession, d: str) -> DataFrame:
-    grid = sparse_grid(s, d).select("zone", "hour", "recorded", "target")
-    other = grid.where("zone <> 9").withColumn("target", F.when((F.col("zone") == 1) & (F.hour("hour") == 5), F.coalesce("target", F.lit(0)) + 1).otherwise(F.col("target")))
-    return shown(keyed.differences(grid, other, ["zone", "hour"]).select("zone", "hour", F.coalesce("in_left", F.lit(False)).alias("in_left"), F.coalesce("in_right", F.lit(False)).alias("in_right"), "left_target", "right_target"))
+    """The grid against one with faults, over all its columns: keys on one side only, and the names of columns that differ."""
+    grid = sparse_grid(s, d).select(*GRID)
+
+    def fault(column: str, zone: int, hour: int, value) -> dict:
+        return {column: F.when((F.col("zone") == zone) & (F.hour("hour") == hour), value).otherwise(F.col(column))}
+
+    other = grid.where("zone <> 9").withColumns(
+        fault("target", 1, 5, F.coalesce("target", F.lit(0)) + 1) | fault("recorded", 4, 7, F.lit(None).cast("long")) | fault("q_zero", 2, 6, ~F.col("q_zero"))
+        | fault("q_source_missing", 2, 6, ~F.col("q_source_missing")) | fault("q_masked_day", 3, 8, F.lit(True)) | fault("eligible", 3, 8, F.lit(False))
+    )
+    differing = F.concat_ws(",", *[F.when(~F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")), c) for c in GRID[2:]])
+    both = keyed.differences(grid, other, ["zone", "hour"])
+    sides = [F.coalesce(f"in_{x}", F.lit(False)).alias(f"in_{x}") for x in ("left", "right")]
+    return shown(both.select("zone", "hour", *sides, F.when(F.col("in_left") & F.col("in_right"), differing).alias("differing"), "left_target", "right_target"))
 
 
 def names(s: SparkSession, d: str) -> DataFrame:
@@ -173,5 +184,7 @@ ORACLE_SQL = {
     "kv_multi_get": f"{KV} SELECT * FROM kv WHERE key LIKE '%#2024010712'",
     "kv_upsert_merge": f"WITH {sql.SPARSE} SELECT {KEY} AS key, {CHANGED} AS cells FROM grid",
     "kv_fingerprint": f"{KV}, c AS (SELECT key, list_sort(string_split(cells, ';')) AS cells FROM kv), r AS (SELECT substr(key, 1, 3) AS part, sha256(length(key) || ':' || key || array_to_string(list_transform(cells, lambda x: length(split_part(x, '=', 1)) || ':' || split_part(x, '=', 1) || length(split_part(x, '=', 2)) || ':' || split_part(x, '=', 2)), '')) AS h FROM c) SELECT part, count(*) AS rows, sum(('0x' || substr(h, 1, 14))::BIGINT)::VARCHAR || '-' || sum(('0x' || substr(h, 15, 14))::BIGINT)::VARCHAR AS fingerprint FROM r GROUP BY part",
-    "full_outer_compare": f"WITH {sql.SPARSE} SELECT zone, {sql.stamp('hour')} AS hour, true AS in_left, zone <> 9 AS in_right, target AS left_target, CASE WHEN zone = 1 THEN coalesce(target, 0) + 1 END AS right_target FROM grid WHERE zone = 9 OR (zone = 1 AND hour(grid.hour) = 5)",
+    "full_outer_compare": f"""WITH {sql.SPARSE}, g AS (SELECT *, hour(grid.hour) AS h FROM grid), o AS (SELECT *, CASE WHEN zone = 9 THEN NULL ELSE concat_ws(',', CASE WHEN zone = 4 AND h = 7 AND recorded IS NOT NULL THEN 'recorded' END, CASE WHEN zone = 1 AND h = 5 THEN 'target' END,
+        CASE WHEN zone = 2 AND h = 6 THEN 'q_source_missing' END, CASE WHEN zone = 3 AND h = 8 AND NOT q_masked_day THEN 'q_masked_day' END, CASE WHEN zone = 2 AND h = 6 THEN 'q_zero' END, CASE WHEN zone = 3 AND h = 8 AND eligible THEN 'eligible' END) END AS differing FROM g)
+        SELECT zone, {sql.stamp('hour')} AS hour, true AS in_left, zone <> 9 AS in_right, differing, target AS left_target, CASE WHEN zone = 9 THEN NULL WHEN zone = 1 AND h = 5 THEN coalesce(target, 0) + 1 ELSE target END AS right_target FROM o WHERE zone = 9 OR differing <> ''""",
 }

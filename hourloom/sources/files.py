@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -97,15 +99,38 @@ def listed(spark: SparkSession, manifests: list[str], extra: dict[str, str] | No
     return files
 
 
-def open_listed(spark: SparkSession, files: list[dict], schema: T.StructType, **rules) -> DataFrame:
-    """The rows of listed files, each made to fit ``schema`` (columns that older files lack are null); where a manifest states a file's rows, another number is an error."""
-    frames = []
+def plain_path(path: str) -> str:
+    """A path without its scheme and escapes, as listed and as Spark reports it."""
+    return "/" + re.sub(r"^\w+:", "", unquote(path)).strip("/")
+
+
+def by_layout(spark: SparkSession, files: list[dict]) -> list[tuple[T.StructType, list[str]]]:
+    """The paths of listed files by their schemas. A schema that the manifest states (as Spark's JSON) is not looked up in the file."""
+    found: dict[str, tuple[T.StructType, list[str]]] = {}
     for f in files:
-        frame = spark.read.parquet(f["path"])
-        if "rows" in f and (n := frame.count()) != f["rows"]:
-            raise ValueError(f"{f['path']} has {n} rows, not {f['rows']}")
-        frames.append(normalise(frame, schema, **rules))
-    return reduce(DataFrame.unionByName, frames)
+        schema = T.StructType.fromJson(f["schema"]) if "schema" in f else spark.read.parquet(f["path"]).schema
+        found.setdefault(schema.json(), (schema, []))[1].append(f["path"])
+    return list(found.values())
+
+
+def open_listed(spark: SparkSession, files: list[dict], schema: T.StructType, **rules) -> DataFrame:
+    """The rows of listed files or folders, each made to fit ``schema`` (columns that older files lack are null); where a manifest states a file's rows, another number is an error.
+
+    Files of one layout are one scan, and one job counts the rows of all.
+    """
+    scans = [spark.read.schema(layout).parquet(*paths) for layout, paths in by_layout(spark, files)]
+    if stated := {plain_path(f["path"]): f["rows"] for f in files if "rows" in f}:
+        places = reduce(DataFrame.unionByName, [x.select(F.col("_metadata.file_path").alias("file")) for x in scans])
+        single = [f["path"] for f in files if f["path"].endswith(".parquet")]
+        at = F.when(F.substring_index("file", "/", -1).isin([x.rsplit("/", 1)[-1] for x in single]), F.col("file")).otherwise(F.regexp_replace("file", "/[^/]*$", ""))
+        have: dict[str, int] = {}
+        for r in places.groupBy(at.alias("at")).agg(F.count("*").alias("n")).collect():  # a row for each listed file, or folder of one
+            have[plain_path(r["at"])] = r["n"]
+        for path, rows in stated.items():
+            n = sum(k for at, k in have.items() if at == path or at.startswith(f"{path}/"))
+            if n != rows:
+                raise ValueError(f"{path} has {n} rows, not {rows}")
+    return reduce(DataFrame.unionByName, [normalise(x, schema, **rules) for x in scans])
 
 
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
