@@ -100,7 +100,7 @@ def unlocked(spark: SparkSession, path: str, context: str) -> dict:
 
 
 def hashes(spark: SparkSession, path: str) -> dict[str, str]:
-    return {r["name"]: r["sha256"] for r in files.file_facts(spark, path).collect()}  # a row for each file of a step
+    return {r["name"]: r["digest"] for r in files.file_facts(spark, path).collect()}  # a row for each file of a step
 
 
 def file_changes(recorded: dict[str, dict[str, str]], present: dict[str, dict[str, str]]) -> list[tuple]:

@@ -9,10 +9,11 @@ from functools import reduce
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import written
 from .tables import normalise
 
 
@@ -133,9 +134,32 @@ def open_listed(spark: SparkSession, files: list[dict], schema: T.StructType, **
     return reduce(DataFrame.unionByName, [normalise(x, schema, **rules) for x in scans])
 
 
+#: Lines of a leaf of a file's digest.
+LEAF_LINES = 100_000
+
+
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
-    """name, size and sha256 of the files at ``path``; a file's bytes are hashed where they are read."""
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name, bytes, lines and digest of the files at ``path``, which may be larger than any task's memory.
+
+    Tasks read byte ranges of the files as lines (stretches of bytes between newlines, whatever else they hold) and hash each. Lines are numbered through the whole file by the counts of the ranges before, LEAF_LINES of them are a
+    leaf, and the digest is sha256 of the file's size and its leaves' sha256 in order, so it does not depend on how the file is cut into ranges. Spark lists no empty files.
+    """
+    there = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))  # names and sizes only
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.sha2(F.col("value").cast("binary"), 256).alias("line"))
+    lines = written(lines.withColumn("at", F.monotonically_increasing_id()))  # in order within a range
+    ranges = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = lines.join(ranges, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("number"), "line")
+    in_order = F.array_sort(F.collect_list(F.struct("number", "line")))  # LEAF_LINES at most
+    leaves = placed.groupBy("file", F.floor(F.col("number") / LEAF_LINES).alias("leaf")).agg(F.count("*").alias("n"), in_order.alias("of"))
+    leaves = leaves.select("file", "leaf", "n", F.sha2(F.array_join(F.transform("of", lambda x: x["line"]), ""), 256).alias("digest"))
+    whole = leaves.groupBy("file").agg(F.sum("n").alias("lines"), F.array_sort(F.collect_list(F.struct("leaf", "digest"))).alias("of"))
+    of = F.coalesce(F.array_join(F.transform("of", lambda x: x["digest"]), ""), F.lit(""))
+    bare = lambda c: F.regexp_replace(c, "^\\w+:/*", "")  # noqa: E731  without the scheme
+    unescaped = F.url_decode(F.regexp_replace("file", "\\+", "%2B"))
+    both = there.select("bytes", F.regexp_extract("file", "[^/]+$", 0).alias("name"), bare("file").alias("key")).join(whole.withColumn("key", bare(unescaped)), "key", "left")
+    return both.select("name", "bytes", F.coalesce("lines", F.lit(0)).alias("lines"), F.sha2(F.concat(F.col("bytes").cast("string"), F.lit(":"), of), 256).alias("digest"))
 
 
 def lookup_csv(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:

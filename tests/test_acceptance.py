@@ -1,6 +1,8 @@
 """Locks, records of steps, one-to-one joins, reconciliation and the final fit."""
 
+import hashlib
 import json
+import random
 import threading
 
 import pytest
@@ -115,3 +117,28 @@ def test_changes_of_files_are_all_named():
     now = {"inputs": {"a": "1", "b": "9"}, "outputs": {"d": "4"}}
     assert checks.file_changes(was, now) == [("inputs", "b", "2", "9"), ("outputs", "c", "3", None), ("outputs", "d", None, "4")]
     assert checks.file_changes(was, was) == []
+
+
+def test_digests_of_files_do_not_depend_on_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LEAF_LINES", 7)
+    r, folder = random.Random(3), tmp_path / "f"
+    folder.mkdir()
+    held = {"text": b"one\ntwo\n\nthree", "binary": r.randbytes(60_000), "bom": b"\xef\xbb\xbfa\r\nb\n", "none": b"", "newline": b"\n", "long line": b"x" * 70_000 + b"\ny", "swapped": b"two\none\n\nthree"}
+    for name, data in held.items():
+        (folder / name).write_bytes(data)
+
+    def plain(data):
+        lines = data.removeprefix(b"\xef\xbb\xbf").split(b"\n")  # Spark's reader leaves a byte order mark out; the size tells
+        lines = lines if lines[-1] else lines[:-1]
+        each = [hashlib.sha256(x).hexdigest() for x in lines]
+        leaves = [hashlib.sha256("".join(each[i : i + 7]).encode()).hexdigest() for i in range(0, len(each), 7)]
+        return len(data), len(lines), hashlib.sha256(f"{len(data)}:{''.join(leaves)}".encode()).hexdigest()
+
+    found = []
+    for size in ("1000", "100m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found.append({x["name"]: (x["bytes"], x["lines"], x["digest"]) for x in files.file_facts(spark, f"file://{folder}").collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == {name: plain(data) for name, data in held.items() if data} and found[0]["text"] != found[0]["swapped"]

@@ -263,7 +263,9 @@ def test_file_facts_are_checksums(spark, tmp_path):
     import hashlib
 
     (tmp_path / "f.bin").write_bytes(b"abc" * 1000)
-    assert [tuple(r) for r in files.file_facts(spark, f"{tmp_path}/f.bin").collect()] == [("f.bin", 3000, hashlib.sha256(b"abc" * 1000).hexdigest())]
+    line = hashlib.sha256(b"abc" * 1000).hexdigest()
+    digest = hashlib.sha256(b"3000:" + hashlib.sha256(line.encode()).hexdigest().encode()).hexdigest()
+    assert [tuple(r) for r in files.file_facts(spark, f"{tmp_path}/f.bin").collect()] == [("f.bin", 3000, 1, digest)]
 
 
 def test_steps_resume_only_what_is_unchanged(spark, tmp_path):
