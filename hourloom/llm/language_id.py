@@ -6,7 +6,8 @@ profile lacks it. The language at the least distance is the answer.
 
 Ties in frequency go by the n-gram, ties in distance by the language's name. Null texts and texts without a letter are `und`
 with score 0, and so is everything where nothing was learned. Null languages teach nothing; '' is a language like any other.
-Repeated rows count each time. Only text enters a prediction.
+Repeated rows count each time. Only text enters a prediction. Very long texts take memory in proportion to themselves. Further columns, of any names, are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ averaged in whole numbers, so in any order alike. What is gathered grows with th
 MAX_COMMON most frequent words (bounded) are sent to workers. Counts of all other words are joined.
 
 Null is as ''. A text without words has the end token alone. Very long texts take memory in proportion to themselves. Null ids are training documents. Repeated rows count
-each time and are scored alike. Other columns are not read. Without training documents all counts are 0 and the model is uniform over ids. An empty table gives an empty result.
+each time and are scored alike. Ties among frequent ids and words go to the smaller one. Other columns are not read. Without training documents all counts are 0 and the model is uniform over ids. An empty table gives an empty result.
 """
 
 from __future__ import annotations

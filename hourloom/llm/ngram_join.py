@@ -11,7 +11,7 @@ Large blocks are cut into tiles of TILE documents, and pairs of tiles are walked
 Null texts and texts without words have empty sets, are linked with nothing and are their own component. Texts of fewer than
 five words are one shingle of all words. Equal sets are linked. Rows that share an id are one document if their texts are equal;
 otherwise each text has its own row and links. A component's id is the least doc_id in it; null ids are never the least unless
-all are null. An empty table gives an empty result.
+all are null. Very long texts take memory in proportion to themselves. Further columns, of any names, are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ pair is merged, all its occurrences at once and all sequences together, until no
 symbols that survive are the tokens. The vocabulary file's own normalizer and pre-tokenizer cut the words.
 
 Null and '' have 0 tokens. A special string inside a text is one token, as the library has it by default. Rows are
-independent: repeated rows, ties and other columns change nothing, and an empty table gives an empty result.
+independent: repeated rows, ties and other columns change nothing, and an empty table gives an empty result. Very long texts take memory in proportion to themselves.
 """
 
 from __future__ import annotations
