@@ -282,7 +282,7 @@ def test_line_dedup_in_tiles_is_brute_force(spark, monkeypatch):
     assert {x.doc_id for x in gone.collect()} == expected and 0 < len(expected) < 400
 
 
-@pytest.mark.parametrize("kind, many", [("text ids", 32), ("unsorted", 32), ("text ids", 1), ("unsorted", 3)])
+@pytest.mark.parametrize("kind, many", [("text ids", 32), ("unsorted", 32), ("unsorted", 1)])
 def test_line_dedup_with_ids_out_of_file_order_is_brute_force(spark, monkeypatch, kind, many):
     """Groups of 46 lines, so lines have more partners than MANY; ids are texts, or numbers that are not in file order, some rows come twice."""
     monkeypatch.setattr(line_dedup, "MANY", many)
