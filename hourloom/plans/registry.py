@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import acceptance, cleaning, forecasting, gridding, lifecycle, serving, stored
+from . import acceptance, cleaning, forecasting, gridding, lifecycle, served, serving, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for part in (gridding, cleaning, forecasting, serving, lifecycle, stored, acceptance):
+for part in (gridding, cleaning, forecasting, serving, lifecycle, stored, acceptance, served):
     QUERIES |= part.QUERIES
     ORACLE_SQL |= part.ORACLE_SQL

@@ -7,14 +7,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, name: str = "hourloom") -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset, a local session gets one in /tmp; a cluster gets an error, as its machines share no local folder."""
+def shared_base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder in /tmp; a cluster gets an error, as its machines share no local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is not set")
         base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str = "hourloom") -> str:
+    """A new folder under the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
