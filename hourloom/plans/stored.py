@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,11 @@ def stored_baseline(frame: DataFrame) -> DataFrame:
     return fc.baseline(labels_between(frame, CUT, END), fc.zone_means(train), fc.global_mean(train))
 
 
+def gap(end: str, start: str) -> timedelta:
+    """From the end of a period to the start of a later one; negative where the first is not over."""
+    return datetime.fromisoformat(start) - datetime.fromisoformat(end)
+
+
 def build_period(raw: DataFrame, zones: DataFrame, plan: Plan, period: str, home: str) -> None:
     """The grid of one period (``plan`` is its interval) takes the place of what was stored for it; other periods stay."""
     kept = raw.where(inside(F.col("pickup"), plan.start, plan.end))
@@ -105,7 +112,7 @@ def period_features(spark: SparkSession, periods: dict[str, tuple[str, str]], pe
     """Features of one period from its stored grid and the CARRY hours before it; only folders of periods that reach into these hours are read."""
     start, end = periods[period]
     since = epoch_seconds(ntz(start)) - CARRY * 3600
-    near = [p for p, (_, e) in periods.items() if p <= period and spark.range(1).select(epoch_seconds(ntz(e)) > since).first()[0]]
+    near = [p for p, (_, e) in periods.items() if p <= period and gap(e, start) < timedelta(hours=CARRY)]
     held = spark.read.parquet(f"{home}/grid").where(F.col("period").isin(near) & (F.col("second") >= since) & (F.col("second") < epoch_seconds(ntz(end))))
     rows = features.add_features(held, F.col("second")).where(F.col("second") >= epoch_seconds(ntz(start)))
     files.replace_periods(rows, f"{home}/features", "period")
@@ -117,8 +124,7 @@ def refresh(raw: DataFrame, zones: DataFrame, whole: Plan, periods: dict[str, tu
     first = files.exists(spark, f"{home}/grid")
     stored = {r["period"] for r in spark.read.parquet(f"{home}/grid").select("period").distinct().collect()} if first else set()  # names of periods
     build_period(raw, zones, Plan(*periods[period], whole.excluded, whole.masked), period, home)
-    reach = ntz(periods[period][1]) + F.expr(f"INTERVAL {CARRY} HOURS")
-    after = [p for p in sorted(stored) if p > period and spark.range(1).select(ntz(periods[p][0]) < reach).first()[0]]
+    after = [p for p in sorted(stored) if p > period and gap(periods[period][1], periods[p][0]) < timedelta(hours=CARRY)]
     for p in (period, *after):
         period_features(spark, periods, p, home)
     return [period, *after]
