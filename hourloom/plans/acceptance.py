@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import epoch_seconds
 from ..operators import checks, features, grid, keyed, serving
+from ..operators import forecast as fc
 from ..sources import files
 from ..sources.shared import shared_dir, written
 from ..sources.tables import GAPPED, SPARSE, gapped_events
@@ -16,6 +17,9 @@ from .lifecycle import HOURS, zones
 from .serving import KV, SUMMARIES, table
 
 
+HALF = "1997-03-15 00:00:00"
+
+
 def gapped_grid(s: SparkSession, d: str) -> DataFrame:
     return build(gapped_events(s, d), GAPPED)
 
@@ -33,6 +37,14 @@ def transitions(s: SparkSession, d: str) -> DataFrame:
     return steps.groupBy("state", "hour_after", "day_after").agg(F.count("*").alias("n"))
 
 
+def gapped_baseline(s: SparkSession, d: str) -> DataFrame:
+    """Baselines of the second half of the month by method and demand: last week's hour is masked for one day, and one zone was not trained on, so all three levels are there."""
+    frame = features.add_features(gapped_grid(s, d))
+    train = fc.labelled(frame, GAPPED.start, HALF).where("zone <> 5")
+    rows = fc.labelled(fc.baseline(frame, fc.zone_means(train), fc.global_mean(train)), HALF, GAPPED.end)
+    return rows.groupBy("method", fc.demand_group(F.col("zone_mean")).alias("demand")).agg(F.count("*").alias("n"), F.round(F.sum("baseline"), 6).alias("baseline"), F.round(F.sum(F.abs(F.col("baseline") - F.col("target"))), 6).alias("error"))
+
+
 def faulty_grid(s: SparkSession, d: str) -> DataFrame:
     """The grid with faults: a day of zone 3 is lost, one of zone 4 is there twice, zone 5 is not masked, zone 6 counts -1 at noon, zone 7 is missing at noon but has a count, and zone 99 is unknown."""
     rows = sparse_grid(s, d)
@@ -111,6 +123,7 @@ QUERIES = {
     "gapped_missing_hours": lambda s, d: shown(grid.missing_hours(grid.coverage(gapped_events(s, d), GAPPED), GAPPED)),
     "gapped_features": lambda s, d: shown(features.add_features(gapped_grid(s, d)).select("zone", "hour", "target", "lag_1", "lag_24", "lag_168", "mean_24", "features_complete")),
     "gapped_transitions": transitions,
+    "gapped_baseline": gapped_baseline,
     "gapped_summaries": lambda s, d: serving.summaries(gapped_grid(s, d)),
     "grid_acceptance_faults": lambda s, d: checks.grid_acceptance(faulty_grid(s, d), SPARSE, zones(s, d), HOURS),
     "summary_reconciliation": lambda s, d: reconciled(s, served_summaries(s, d), d),
@@ -127,6 +140,10 @@ ORACLE_SQL = {
         SELECT zone, {sql.stamp('hour')} AS hour, target, lag_1, lag_24, lag_168, NULL::DOUBLE AS mean_24, false AS features_complete FROM lags""",
     "gapped_transitions": f"""WITH {sql.GAPPED}, t AS (SELECT zone, hour, {STATE} AS state FROM grid)
         SELECT t.state, a.state AS hour_after, b.state AS day_after, count(*) AS n FROM t LEFT JOIN t a ON a.zone = t.zone AND a.hour = t.hour + INTERVAL 1 HOUR LEFT JOIN t b ON b.zone = t.zone AND b.hour = t.hour + INTERVAL 1 DAY GROUP BY ALL""",
+    "gapped_baseline": f"""WITH {sql.GAPPED}, train AS (SELECT * FROM grid WHERE eligible AND zone <> 5 AND hour < TIMESTAMP '{HALF}'), means AS (SELECT zone, avg(target) AS zone_mean FROM train GROUP BY zone), overall AS (SELECT avg(target) AS global_mean FROM train),
+        based AS (SELECT g.target, zone_mean, w.target AS lag, greatest(0.0, coalesce(w.target, zone_mean, global_mean)) AS baseline FROM grid g LEFT JOIN grid w ON w.zone = g.zone AND w.hour = g.hour - INTERVAL 168 HOUR LEFT JOIN means m ON m.zone = g.zone, overall WHERE g.eligible AND g.hour >= TIMESTAMP '{HALF}')
+        SELECT CASE WHEN lag IS NOT NULL THEN 'weekly' WHEN zone_mean IS NOT NULL THEN 'train_zone_mean' ELSE 'train_global_mean' END AS method, CASE WHEN zone_mean < 1 THEN 'lt_1' WHEN zone_mean < 10 THEN 'lt_10' ELSE '10_plus' END AS demand,
+               count(*) AS n, round(sum(baseline), 6) AS baseline, round(sum(abs(baseline - target)), 6) AS error FROM based GROUP BY ALL""",
     "gapped_summaries": f"""WITH {sql.GAPPED}, x AS (SELECT 'D' AS kind, strftime(hour, '%Y%m%d') AS period, * FROM grid UNION ALL SELECT 'M', strftime(hour, '%Y%m'), * FROM grid)
         SELECT kind, period, zone, sum(recorded)::BIGINT AS recorded, count(*) AS hours, count_if(q_source_missing)::BIGINT AS missing, count_if(q_masked_day)::BIGINT AS masked FROM x GROUP BY ALL""",
     "grid_acceptance_faults": f"""{BAD_GRID} SELECT count(*) FILTER (zone NOT BETWEEN 0 AND 9) AS unknown_zone, 0::BIGINT AS outside_interval, 0::BIGINT AS off_the_hour, count(*) FILTER (q_masked_day <> (hour::DATE = DATE '2024-01-14')) AS wrong_mask,
