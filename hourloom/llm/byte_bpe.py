@@ -39,7 +39,7 @@ class BacktrackingBPE:
         self.halves: dict[int, tuple[int, int]] = {}
         #: tokens side by side -> what they merge to
         self.joined: dict[tuple[int, int], int] = {}
-        self.may_meet = Memo(lambda pair: self._may_meet(*pair), 1_000_000)
+        self.may_meet = Memo(lambda pair: self._may_meet(*pair), 250_000)
         by_rank = sorted(ranks.items(), key=lambda x: x[1])
         for token, rank in by_rank:
             if len(token) == 1:
