@@ -7,6 +7,7 @@ import ctypes
 import gc
 import time
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 _allocator: list = []
 _state: dict = {}
 _cleaned = 0.0
+#: Where ``written`` has put tables.
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def worker_state(key: tuple, build: Callable[[], object]):
@@ -135,7 +138,15 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
         # shuffle files stay on the executors' disks until the driver's JVM finds that nothing refers to them; nothing does now
         spark.sparkContext._jvm.System.gc()
         _cleaned = time.monotonic()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave, when all that was made of it has been written too."""
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, weight: str | None = None) -> DataFrame:

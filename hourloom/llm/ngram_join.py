@@ -4,7 +4,8 @@ Documents are sets of distinct shingles of five words. Blocks of documents that
 ``setjoin``; in a block that would be a leaf or few, its pairs are bounded directly there, in a larger one copies are linked to pivots. The rest of a larger block goes into a signature tree: leaves hold documents, nodes the OR of
 their bitmaps, the range of their sizes and, where it is one, their component. Two nodes are walked together; a pair of nodes
 is pruned when their components are the same, when their sizes are too far apart, or when the most that any two documents below
-them may share is less than the least they must. Pairs of documents that remain are verified on their whole sets.
+them may share is less than the least they must. Of all pairs, those that sizes and odd bits (as many bits as a set has tokens) leave open are
+verified on their whole sets, which are made and moved for these alone.
 
 Large blocks are cut into tiles of TILE documents, and pairs of tiles are walked in different tasks.
 
@@ -21,16 +22,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, small, written
-from .setjoin import PERCENT, PRIME_A, blocks, components, distinct, frequent_arrays, mix, scan, sets_of, signatures, starts_of, verified, word_hashes
+from .common import forget, release, small, written
+from .setjoin import PERCENT, PRIME_A, Sets, blocks, components, confirmed, distinct, frequent_arrays, mix, scan, sets_of, signatures, starts_of, word_hashes
 
 SHINGLE = 5
 BITS = 1024
 TILE = 1_000
 FAN = 8
+#: Sets whose bits are counted at once.
+MARKED = 1_000
 
 
 def shingle_units(texts: list[str], length: int = SHINGLE):
@@ -170,32 +174,82 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def bitmaps(sets: DataFrame) -> DataFrame:
+def binaries(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Bytes cut at these ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def marks(s: Sets) -> list[pa.Array]:
+    """The bitmap of each set; and of as many bits as it has tokens or more (a power of two, 64 at least) those on which an odd number of its tokens falls."""
+    t, made = mix(s.token), [np.zeros((0, BITS // 8), np.uint8)]
+    bit = (t % np.uint64(BITS // 64)) * np.uint64(64) + (t >> np.uint64(20)) % np.uint64(64)
+    for low in range(0, len(s.size), MARKED):
+        high = min(low + MARKED, len(s.size))
+        at = slice(int(s.start[low]), int(s.start[high - 1] + s.size[high - 1]))
+        there = np.zeros((high - low) * BITS, bool)
+        there[(s.owner[at] - low) * BITS + bit[at].astype(np.int64)] = True
+        made.append(np.packbits(there.reshape(-1, BITS), axis=1, bitorder="little"))
+    width = np.left_shift(1, np.ceil(np.log2(np.maximum(s.size, 64))).astype(np.int64))
+    at = starts_of(width)[s.owner] + (t & (width[s.owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(bool), bitorder="little")
+    return [binaries(np.arange(1, len(s.size) + 1) * (BITS // 8), np.concatenate(made)), binaries(np.cumsum(width) // 8, odd)]
+
+
+def odd_apart(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Odd bits in which sets differ, of the width of the narrower: a wider row is folded, its halves laid over each other."""
+    a, b = (x.cast(pa.binary()) for x in (a, b))
+    widths = np.stack([pa.compute.binary_length(x).to_numpy() for x in (a, b)], axis=1).astype(np.int64)
+    out = np.zeros(len(a), np.int64)
+    for pair in np.unique(widths, axis=0):
+        at = np.flatnonzero((widths == pair).all(axis=1))
+        x, y = [np.frombuffer(b"".join(z.take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1) for z in (a, b)]
+        while x.shape[1] != y.shape[1]:
+            if x.shape[1] < y.shape[1]:
+                x, y = y, x
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        out[at] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and odd bits leave open: two sets differ in at least as many tokens as odd bits. nodes: k, n, odd."""
+    a, b = [nodes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab"]
+    near = (100 * F.col("na") >= PERCENT * F.col("nb")) & (100 * F.col("nb") >= PERCENT * F.col("na"))
+    both = pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb", "oa", "ob")
+
     def run(batches):
         forget()
         for batch in batches:
-            tokens = [np.array(x, np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(x).tobytes() for x in tokens], pa.binary())], names=["k", "bits"])
+            if batch.num_rows:
+                n = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
+                most = (n[0] + n[1] - odd_apart(batch.column(4), batch.column(5))) // 2
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(most >= required(*n)))
 
-    return sets.select("k", "tokens").mapInArrow(run, "k long, bits binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (xxhash64 of the text), n_shingles, component_id and component (a key of the component; null for empty sets) of every row."""
     rows = scan(docs, id_col, text_col)
-    found, counts = signatures(rows, shingle_units)
+    found, counts = signatures(rows, shingle_units, marks=marks, marked=("bits", "odd"))
     found = found.withColumnRenamed("n", "n_shingles")
-    first = written(found.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("m"), F.min(F.struct("doc_id", "h", "line")).alias("w")))
+    ones = [F.first(c).alias(x) for c, x in (("n_shingles", "n"), ("bits", "bits"), ("odd", "odd"))]  # equal for all rows of a node
+    first = written(found.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("m"), F.min(F.struct("doc_id", "h", "line")).alias("w"), *ones))
     block = blocks(rows, shingle_units, frequent_arrays(counts))
 
-    def sets(nodes: DataFrame) -> DataFrame:
-        return sets_of(rows, first.join(nodes.select("k").distinct(), "k").select("w.doc_id", "w.h", "w.line"), shingle_units)
-
     pairs = block.where("k <> pivot").select(F.col("k").alias("a"), F.col("pivot").alias("b"), F.when(F.col("t").isNull(), F.col("n")).otherwise(0).alias("place"))
     pairs = written(pairs.groupBy("a", "b").agg(F.min("place").alias("place")))
 
     def linked_of(chosen: DataFrame) -> DataFrame:
-        return written(verified(chosen, sets(chosen.select(F.explode(F.array("a", "b")).alias("k")))))
+        """Whole sets are made and moved only for the pairs that their sizes and bits leave open."""
+        left = written(may_link(chosen, first))
+        nodes = left.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        place = first.select("k", "w").join(small(written(nodes)), "k")
+        sets = sets_of(rows, place.select("w.doc_id", "w.h", "w.line"), shingle_units)
+        out = written(confirmed(left, sets))
+        release(sets)
+        return out
 
     links = linked_of(written(pairs.where("place = 0").select("a", "b")))
     labels = components(links)
@@ -212,8 +266,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     several = written(labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t"))
     rest = written(labelled.join(small(several), "t", "left_semi"))
     if not rest.isEmpty():
-        whole = sets(rest)
-        more = written(verified(tree_pairs(rest.join(bitmaps(whole), "k")), whole))
+        more = linked_of(written(tree_pairs(rest.join(first.select("k", "bits"), "k"))))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     ends = labels.select(F.col("node").alias("k"), "label").unionByName(labels.select(F.col("label").alias("k"), "label")).distinct()  # a component's head has no label of its own

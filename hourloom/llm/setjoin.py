@@ -170,8 +170,11 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
 
-def signatures(rows: DataFrame, units: Units, least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, line, n, k of every unit; k is null for sets of fewer than ``least`` tokens), (t, c: frequent tokens and their counts)."""
+def signatures(rows: DataFrame, units: Units, least: int = 1, marks: Callable[[Sets], list[pa.Array]] | None = None, marked: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, line, n, k of every unit; k is null for sets of fewer than ``least`` tokens), (t, c: frequent tokens and their counts).
+
+    marks: gives binary columns of the names ``marked``, which come last.
+    """
     doc_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -184,13 +187,13 @@ def signatures(rows: DataFrame, units: Units, least: int = 1) -> tuple[DataFrame
             none = [pa.nulls(len(t), x.type) for x in example]
             return pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(c.astype(np.int64))], names=names)
 
-        names = ["doc_id", "h", "line", "n", "k", "t", "c"]
+        names = ["doc_id", "h", "line", "n", "k", *marked, "t", "c"]
         example = None
         for batch in batches:
             for low, texts in text_runs(batch.column(2)):
                 s = Sets(units, texts)
                 here = pa.array(s.text + low)
-                cols = [batch.column(0).take(here), batch.column(1).take(here), pa.array(s.line.astype(np.int32)), pa.array(s.size.astype(np.int32)), pa.array(s.node, mask=s.size < least)]
+                cols = [batch.column(0).take(here), batch.column(1).take(here), pa.array(s.line.astype(np.int32)), pa.array(s.size.astype(np.int32)), pa.array(s.node, mask=s.size < least), *(marks(s) if marks else [])]
                 example = cols
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(len(s.text), pa.int64())] * 2], names=names)
                 held.append(s.token)
@@ -201,7 +204,7 @@ def signatures(rows: DataFrame, units: Units, least: int = 1) -> tuple[DataFrame
         if size:
             yield counted()
 
-    both = written(rows.mapInArrow(run, f"doc_id {doc_type}, h long, line int, n int, k long, t long, c long"))
+    both = written(rows.mapInArrow(run, f"doc_id {doc_type}, h long, line int, n int, k long, {''.join(f'{m} binary, ' for m in marked)}t long, c long"))
     return both.where("t is null").drop("t", "c"), both.where("t is not null").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
 
 
@@ -425,9 +428,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = pairs.join(a, "a").join(b, "b")
     n = F.col("na") + F.col("nb")
     apart = sum((F.bit_count(F.col(f"{q}a").bitwiseXOR(F.col(f"{q}b"))) for q in qs[1:]), F.bit_count(F.col("q0a").bitwiseXOR(F.col("q0b"))))
-    left = both.where(linked(F.least(F.floor((n - apart) / 2), F.col("na"), F.col("nb")), n)).select("a", "b")
+    return confirmed(written(both.where(linked(F.least(F.floor((n - apart) / 2), F.col("na"), F.col("nb")), n)).select("a", "b")), sets)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of PERCENT or more; the sets of all of them move."""
     a, b = [sets.select(F.col("k").alias(c), F.col("tokens").alias(f"s{c}")) for c in "ab"]
-    both = written(left).join(a, "a").join(b, "b")
+    both = pairs.join(a, "a").join(b, "b")
     return both.where(linked(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"))).select("a", "b")
 
 

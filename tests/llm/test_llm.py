@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.llm import byte_bpe, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, token_counts, token_files
+from hourloom.llm import byte_bpe, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, setjoin, token_counts, token_files
 from hourloom.llm.common import shared_dir
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -218,6 +218,41 @@ def test_ngram_join_is_brute_force(spark):
     assert left == {i for i, s in sets.items() if root(i) == i}
 
 
+@pytest.mark.parametrize("n", [100, 3000])
+def test_whole_sets_are_made_only_for_pairs_that_bits_leave_open(spark, monkeypatch, n):
+    r, made, sets_of = random.Random(5), [], ngram_join.sets_of
+    opening = [f"w{r.randrange(3000)}" for _ in range(2 * n)]
+    texts = [opening + [f"w{r.randrange(3000)}" for _ in range(3 * n)] for _ in range(20)]  # they share prefixes, but are far from linked
+    rows = [(i, " ".join(x), None, None, None) for i, x in enumerate([*texts, [*texts[0], "more"]])]
+
+    def spy(*args):
+        out = sets_of(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "sets_of", spy)
+    got = {x.doc_id: x.component_id for x in ngram_join.link(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i % 20 for i in range(21)}
+    assert sum(made) == 2
+
+
+def test_marks_are_bitmaps_and_odd_bits(monkeypatch):
+    monkeypatch.setattr(ngram_join, "MARKED", 3)
+    s = setjoin.Sets(ngram_join.shingle_units, ["", *mixed(10, 7, "ab "), " ".join(map(str, range(700))), "one"])
+    bits, odd = ngram_join.marks(s)
+    for i, n in enumerate(s.size.tolist()):
+        tokens = s.token[s.start[i] : s.start[i] + n]
+        assert bits[i].as_py() == ngram_join.bitmap(tokens.view(np.int64)).tobytes()
+        width = max(64, 1 << max(n - 1, 0).bit_length())
+        count = Counter(int(t) % width for t in setjoin.mix(tokens))
+        assert odd[i].as_py() == sum((c & 1) << b for b, c in count.items()).to_bytes(width // 8, "little")
+    for i, j in ((0, 1), (1, 11), (11, 1), (11, 11)):
+        apart = len({*s.token[s.start[i] : s.start[i] + s.size[i]].tolist()} ^ {*s.token[s.start[j] : s.start[j] + s.size[j]].tolist()})
+        found = int(ngram_join.odd_apart(odd.take([i]), odd.take([j]))[0])
+        assert found <= apart and (apart - found) % 2 == 0 and (found > 0) == (apart > 0)
+    assert all(len(x) == 0 for x in ngram_join.marks(setjoin.Sets(ngram_join.shingle_units, [])))
+
+
 def test_signature_trees_lose_no_pair():
     r = np.random.default_rng(1)
     base = [r.choice(3000, 200, replace=False) for _ in range(8)]
