@@ -39,6 +39,8 @@ NO_ID = -(1 << 63)
 FILE_ROWS = 1_000_000
 #: Words that are encoded as one text.
 JOINED = 2_000
+#: Pieces that a worker remembers.
+REMEMBERED = 1_000_000
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -157,7 +159,7 @@ class LibraryEncoder:
         return [x.tobytes() for x in self._encode(texts)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.after_space, self.others)]
+        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.after_space, self.others, REMEMBERED)]
 
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"

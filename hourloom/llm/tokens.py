@@ -61,9 +61,10 @@ def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: C
     cut = [pieces(x) for x in texts]
     found = set(chain.from_iterable(cut))
     new = [p for p in found if p not in memo]
-    if len(memo) + len(new) > limit:
+    if len(memo) + len(new) > limit:  # what these texts have stays: frequent pieces are among it
+        kept = {p: memo[p] for p in found if p in memo}
         memo.clear()
-        new = list(found)
+        memo.update(kept)
     words, rest = [p for p in new if p[0] != " "], [p for p in new if p[0] == " "]
     learn(memo, words, after_space, others)
     memo.update(zip(rest, others([p[1:] for p in rest]), strict=True))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.llm import byte_bpe, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, setjoin, token_counts, token_files
+from hourloom.llm import byte_bpe, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, setjoin, token_counts, token_files, tokens
 from hourloom.llm.common import shared_dir
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,6 +92,19 @@ def test_token_files(spark, tmp_path):
     assert set(some) == {7, 21} and some[7][-1] == 2
 
 
+def test_full_memory_keeps_what_the_texts_have():
+    asked, memo = [], {}
+
+    def after_space(words):
+        asked.extend(words)
+        return [w.upper() for w in words]
+
+    for texts, want in ((["a b c d"], [[" A", "B", "C", "D"]]), (["x b c e f"], [[" X", "B", "C", "E", "F"]])):
+        out = tokens.encode_pieces(texts, memo, after_space, lambda ts: [f" {t.upper()}" for t in ts], limit=6)
+        assert out == want and len(memo) <= 6
+    assert sorted(asked) == ["b", "c", "d", "e", "f"]  # b and c once
+
+
 def test_reader_unpacks_only_what_is_asked_and_checks(tmp_path):
     path = str(tmp_path / "x.tok")
     with pa.OSFile(path, "wb") as sink:
