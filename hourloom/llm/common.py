@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import time
 import uuid
 import weakref
@@ -21,6 +22,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts are taken from an Arrow batch in runs of about this many characters, so memory follows one run, not the batch.
 RUN_CHARS = 2_000_000
+#: Bytes of an Arrow batch between Spark and a worker, about; Spark's own bound (64 MB) is held several times over by each task, in the JVM and in its worker.
+BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A table is sent to every task only if its rows were counted and are no more than this; beyond, joins shuffle.
 SMALL_ROWS = 1_000_000
 
@@ -80,13 +84,13 @@ class Memo(dict):
         return value
 
 
-def text_runs(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) for runs of about RUN_CHARS characters; null is empty."""
+def text_runs(texts: pa.Array, chars: int = RUN_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) for runs of about ``chars`` characters; null is empty."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
     low, size = 0, 0
     for i, n in enumerate(lengths):
         size += n
-        if size >= RUN_CHARS or i == len(lengths) - 1:
+        if size >= chars or i == len(lengths) - 1:
             yield low, [x or "" for x in texts.slice(low, i + 1 - low).to_pylist()]
             low, size = i + 1, 0
 
@@ -128,10 +132,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/hourloom-{uuid.uuid4().hex}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of this session to BATCH_BYTES; a lower bound of its own stays."""
+    value = spark.conf.get(BATCH_SETTING, "64m").lower()
+    parts = re.fullmatch(r"(-?\d+)([bkmg]?)b?", value)
+    now = int(parts[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[parts[2]] if parts else 0
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder: lineage is cut and nothing is computed twice."""
     global _cleaned
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_dir(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     if time.monotonic() - _cleaned > CLEAN_S:

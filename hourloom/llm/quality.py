@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import forget, small, text_runs, written
 
 ORDER = 4
+#: Characters that are hashed side by side: each takes about 70 bytes meanwhile.
+RUN_CHARS = 500_000
 #: Hashed n-grams that workers hold, over all languages; the others are joined.
 MAX_GRAMS = 3_000_000
 MIN_DOCS, MIN_WORDS = 50, 10
@@ -106,7 +108,7 @@ def gram_counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(grams), pa.string()), "gram": pa.array(list(grams), pa.string()), "n": pa.array(list(grams.values()), pa.int64())})
 
         for batch in batches:
-            for low, texts in text_runs(batch.column(1)):
+            for low, texts in text_runs(batch.column(1), RUN_CHARS):
                 by_lang: dict = {}
                 for lang, text in zip(batch.column(0).slice(low, len(texts)).to_pylist(), texts, strict=True):
                     if words := text.encode().split():
@@ -289,7 +291,7 @@ def score(df: DataFrame, logs: DataFrame, keep: list[str], lang_col: str, text_c
         forget()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for low, texts in text_runs(batch.column(n + 1)):
+            for low, texts in text_runs(batch.column(n + 1), RUN_CHARS):
                 langs = batch.column(n).slice(low, len(texts)).to_pylist()
                 lists = [t.encode().split() for t in texts]
                 log, chars = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)

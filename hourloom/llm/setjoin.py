@@ -170,6 +170,17 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
 
+def counted_tokens(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that occur ``least`` times or more, ascending, and their counts. Empties ``held``, so that its tokens are in memory twice at most."""
+    t = np.concatenate(held)
+    held.clear()
+    t.sort()
+    start = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
+    c = np.diff(np.append(start, len(t)))
+    kept = c >= least
+    return t[start[kept]], c[kept]
+
+
 def signatures(rows: DataFrame, units: Units, least: int = 1, marks: Callable[[Sets], list[pa.Array]] | None = None, marked: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, line, n, k of every unit; k is null for sets of fewer than ``least`` tokens), (t, c: frequent tokens and their counts).
 
@@ -182,10 +193,9 @@ def signatures(rows: DataFrame, units: Units, least: int = 1, marks: Callable[[S
         held, size = [], 0
 
         def counted():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c >= COUNT_LEAST].view(np.int64), c[c >= COUNT_LEAST]
+            t, c = counted_tokens(held, COUNT_LEAST)
             none = [pa.nulls(len(t), x.type) for x in example]
-            return pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(c.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([*none, pa.array(t.view(np.int64)), pa.array(c)], names=names)
 
         names = ["doc_id", "h", "line", "n", "k", *marked, "t", "c"]
         example = None
@@ -200,7 +210,7 @@ def signatures(rows: DataFrame, units: Units, least: int = 1, marks: Callable[[S
                 size += len(s.token)
                 if size > COUNT_RUN:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield counted()
 

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hourloom.llm import byte_bpe, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, setjoin, token_counts, token_files, tokens
+from hourloom.llm import byte_bpe, common, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, setjoin, token_counts, token_files, tokens
 from hourloom.llm.common import shared_dir
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -105,6 +106,32 @@ def test_full_memory_keeps_what_the_texts_have():
     assert sorted(asked) == ["b", "c", "d", "e", "f"]  # b and c once
 
 
+def test_workers_get_bounded_batches(spark, tmp_path):
+    docs = common.written(spark.range(0, 3_000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")))
+    size = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"m": [b.nbytes]}) for b in batches), "m long")
+    sizes = [r.m for r in size.collect()]
+    assert sum(sizes) >= 30_000_000 and max(sizes) <= common.BATCH_BYTES + 20_000
+    spark.conf.set(common.BATCH_SETTING, "1m")
+    try:
+        common.bound_batches(spark)
+        assert spark.conf.get(common.BATCH_SETTING) in ("1m", "1048576b")  # a lower bound of the session stays
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_tokens_are_counted_in_little_memory():
+    r = np.random.default_rng(3)
+    held = [r.integers(0, 200_000, 100_000).astype(np.uint64) for _ in range(10)]
+    t, c = np.unique(np.concatenate(held), return_counts=True)
+    tracemalloc.start()
+    got = setjoin.counted_tokens(held, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0].tolist() == t[c >= 4].tolist() and got[1].tolist() == c[c >= 4].tolist() and not held
+    assert peak < 2 * 8_000_000
+    assert [len(x) for x in setjoin.counted_tokens([np.zeros(0, np.uint64)], 1)] == [0, 0]
+
+
 def test_reader_unpacks_only_what_is_asked_and_checks(tmp_path):
     path = str(tmp_path / "x.tok")
     with pa.OSFile(path, "wb") as sink:
