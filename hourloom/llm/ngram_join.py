@@ -33,8 +33,8 @@ SHINGLE = 5
 BITS = 1024
 TILE = 1_000
 FAN = 8
-#: Sets whose bits are counted at once.
-MARKED = 1_000
+#: Sets whose bits are counted at once; bytes of odd bits that are compared at once.
+MARKED, COMPARED = 1_000, 16 << 20
 
 
 def shingle_units(texts: list[str], length: int = SHINGLE):
@@ -126,11 +126,11 @@ def walk(left: SignatureTree, right: SignatureTree, same: bool) -> tuple[np.ndar
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of rows t, k, n, label and bits that share t."""
+    """Candidate pairs (a, b) of rows t, k, n, label, bits and odd that share t: those that the trees and then, in the same task, the odd bits leave open."""
     sizes = members.groupBy("t").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     rows = members.join(written(sizes), "t").withColumn("c", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.select("*", other.alias("d")).select("t", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "k", "n", "label", "bits")
+    rows = rows.select("*", other.alias("d")).select("t", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "k", "n", "label", "bits", "odd")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     dealt = rows.repartition(parts, "t", "i", "j").sortWithinPartitions("t", "i", "j")
 
@@ -141,16 +141,20 @@ def tree_pairs(members: DataFrame) -> DataFrame:
             t = table.slice(low, high - low)
             c, k, n, label = [t.column(x).to_numpy() for x in ("c", "k", "n", "label")]
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(c), BITS // 64)
+            odd = pa.concat_arrays(t.column("odd").chunks)
             i = t.column("i")[0].as_py() == c
             tree = SignatureTree(n[i].astype(np.int64), bits[i], label[i]) if i.any() else None
             if t.column("i")[0].as_py() == t.column("j")[0].as_py():
-                a, b = walk(tree, tree, True)
-                return k[i][a], k[i][b]
+                return left_open(np.flatnonzero(i), np.flatnonzero(i), *walk(tree, tree, True), k, n, odd)
             if tree is None or i.all():
                 return k[:0], k[:0]
             second = SignatureTree(n[~i].astype(np.int64), bits[~i], label[~i])
-            a, b = walk(tree, second, False)
-            return k[i][a], k[~i][b]
+            return left_open(np.flatnonzero(i), np.flatnonzero(~i), *walk(tree, second, False), k, n, odd)
+
+        def left_open(left, right, a, b, k, n, odd):
+            a, b = left[a], right[b]
+            kept = odd_open(n.astype(np.int64), odd, a, b)
+            return k[a[kept]], k[b[kept]]
 
         def flush(rest: bool):
             table = pa.Table.from_batches(held)
@@ -212,6 +216,17 @@ def odd_apart(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def odd_open(n: np.ndarray, odd: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and odd bits leave pairs of rows (i, j) open."""
+    out = np.zeros(len(i), bool)
+    step = max(1, COMPARED // max(1, odd.nbytes // max(1, len(odd))))  # bounded memory
+    for low in range(0, len(i), step):
+        x, y = i[low : low + step], j[low : low + step]
+        most = (n[x] + n[y] - odd_apart(odd.take(pa.array(x)), odd.take(pa.array(y)))) // 2
+        out[low : low + step] = most >= required(n[x], n[y])
+    return out
+
+
 def may_link(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and odd bits leave open: two sets differ in at least as many tokens as odd bits. nodes: k, n, odd."""
     a, b = [nodes.select(F.col("k").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}")) for c in "ab"]
@@ -266,7 +281,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     several = written(labelled.groupBy("t").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("t"))
     rest = written(labelled.join(small(several), "t", "left_semi"))
     if not rest.isEmpty():
-        more = linked_of(written(tree_pairs(rest.join(first.select("k", "bits"), "k"))))
+        more = linked_of(written(tree_pairs(rest.join(first.select("k", "bits", "odd"), "k"))))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     ends = labels.select(F.col("node").alias("k"), "label").unionByName(labels.select(F.col("label").alias("k"), "label")).distinct()  # a component's head has no label of its own

@@ -293,6 +293,19 @@ def test_marks_are_bitmaps_and_odd_bits(monkeypatch):
     assert all(len(x) == 0 for x in ngram_join.marks(setjoin.Sets(ngram_join.shingle_units, [])))
 
 
+def test_trees_give_no_pair_that_odd_bits_exclude(spark):
+    r = random.Random(8)
+    common = [f"c{i}" for i in range(600)]
+    texts = [" ".join([*common, *[f"w{r.randrange(10**6)}" for _ in range(600)]]) for _ in range(30)]  # bitmaps alone leave all pairs open
+    texts += [" ".join([*texts[0].split()[:-5], f"x{i}"]) for i in range(3)]
+    s = setjoin.Sets(ngram_join.shingle_units, texts)
+    bits, odd = [x.to_pylist() for x in ngram_join.marks(s)]
+    rows = [(t, int(s.node[i]), int(s.size[i]), i, bits[i], odd[i]) for t in (1, 2) for i in range(len(texts))]
+    members = spark.createDataFrame(rows, "t long, k long, n int, label long, bits binary, odd binary")
+    got = {frozenset((x.a, x.b)) for x in ngram_join.tree_pairs(members).collect()}
+    assert got == {frozenset((int(s.node[i]), int(s.node[j]))) for i in (0, 30, 31, 32) for j in (0, 30, 31, 32) if i != j}
+
+
 def test_signature_trees_lose_no_pair():
     r = np.random.default_rng(1)
     base = [r.choice(3000, 200, replace=False) for _ in range(8)]
