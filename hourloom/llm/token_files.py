@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -149,10 +150,8 @@ class LibraryEncoder:
             raw = np.frombuffer(run.encode("utf-8"), np.uint8)
             ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
             cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1)
-            data, low = ids.tobytes(), 0
-            for high in cuts.tolist():
-                out.append(data[low:high])
-                low = high
+            data, cuts = ids.tobytes(), [0, *cuts.tolist()]
+            out += [data[low:high] for low, high in pairwise(cuts)]
         return out
 
     def others(self, texts: list[str]) -> list[bytes]:

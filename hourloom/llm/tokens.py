@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 #: White space other than the plain space; none is beyond U+3000.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
@@ -45,12 +44,12 @@ def without_tail(word: str) -> str:
 
 def learn(memo: dict, words: list[str], after_space: Callable, others: Callable) -> None:
     """Values of words that are not in ``memo``; each is encoded once, without the marks at its end."""
-    cores = [without_tail(w) for w in words]
-    new = [w for w in dict.fromkeys(cores) if w not in memo]
+    core = {w: c for w in words if w[-1] in TAIL and len(c := without_tail(w)) < len(w)}
+    new = [w for w in dict.fromkeys([core.get(w, w) for w in words]) if w not in memo]
     memo.update(zip(new, after_space(new), strict=True))
-    tails = {w[len(c) :] for w, c in zip(words, cores, strict=True)} - {""}
-    tail = dict(zip(tails, others(list(tails)), strict=True))
-    memo.update((w, memo[c] + tail[w[len(c) :]]) for w, c in zip(words, cores, strict=True) if len(c) < len(w))
+    tails = list({w[len(c) :] for w, c in core.items()})
+    tail = dict(zip(tails, others(tails), strict=True))
+    memo.update([(w, memo[c] + tail[w[len(c) :]]) for w, c in core.items()])
 
 
 def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: Callable, limit: int = 500_000) -> list[list]:
@@ -59,16 +58,18 @@ def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: C
     after_space: values of words without white space at their ends, each as after a space; others: values of texts.
     """
     cut = [pieces(x) for x in texts]
-    found = set(chain.from_iterable(cut))
-    new = [p for p in found if p not in memo]
+    out = [list(map(memo.get, ps)) for ps in cut]  # most are there: each is looked up once
+    open_texts = [k for k, values in enumerate(out) if None in values]
+    new = list(dict.fromkeys([p for k in open_texts for p, v in zip(cut[k], out[k], strict=True) if v is None]))
     if len(memo) + len(new) > limit:  # what these texts have stays: frequent pieces are among it
-        kept = {p: memo[p] for p in found if p in memo}
+        kept = {p: v for ps, values in zip(cut, out, strict=True) for p, v in zip(ps, values, strict=True) if v is not None}
         memo.clear()
         memo.update(kept)
     words, rest = [p for p in new if p[0] != " "], [p for p in new if p[0] == " "]
     learn(memo, words, after_space, others)
     memo.update(zip(rest, others([p[1:] for p in rest]), strict=True))
-    out = [list(map(memo.__getitem__, ps)) for ps in cut]
+    for k in open_texts:
+        out[k] = [memo[p] if v is None else v for p, v in zip(cut[k], out[k], strict=True)]
     for p in new:
         if len(p) > LONG_PIECE:
             memo.pop(p, None)

@@ -106,6 +106,30 @@ def test_full_memory_keeps_what_the_texts_have():
     assert sorted(asked) == ["b", "c", "d", "e", "f"]  # b and c once
 
 
+def test_pieces_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    memo = Counted({" a": 1, "b": 2, "c": 3})
+    assert tokens.encode_pieces(["a b c b", "a c"], memo, lambda ws: [], lambda ts: []) == [[1, 2, 3, 2], [1, 3]]
+    assert Counted.asked == 6
+    long = "y" * 100
+    out = tokens.encode_pieces([f"a z. {long} z. b"], memo, lambda ws: [f"<{w}>" for w in ws], lambda ts: [f"[{t}]" for t in ts])
+    assert out == [[1, "<z>[.]", f"<{long}>", "<z>[.]", 2]] and long not in memo and set(memo) == {" a", "b", "c", "z", "z."}
+
+
 def test_workers_get_bounded_batches(spark, tmp_path):
     docs = common.written(spark.range(0, 3_000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")))
     size = docs.coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"m": [b.nbytes]}) for b in batches), "m long")
