@@ -7,12 +7,15 @@ after all others. Very long texts take memory in proportion to themselves. Ties
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import byte_bpe, decontaminate, line_dedup, ngram_join, quality
-from hourloom.llm.common import table, written
+from hourloom.llm.common import shrink, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +44,23 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def shrunk(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, on executors whose heaps no longer hold the memory of the stage before."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shrink(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup_stage),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("byte-level BPE", byte_level_bpe),
+    ("quality rules", shrunk(quality_rules)),
+    ("line dedup", shrunk(line_dedup_stage)),
+    ("n-gram Jaccard join", shrunk(near_duplicates)),
+    ("benchmark decontamination", shrunk(benchmark_decontamination)),
+    ("byte-level BPE", shrunk(byte_level_bpe)),
 ]
 
 #: The perplexity model of the first stage is beyond SQL; tests hold the other stages together against a brute-force version, and the first one's model, counts and verdicts apart.

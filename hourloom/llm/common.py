@@ -157,6 +157,12 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def shrink(spark: SparkSession) -> None:
+    """Let the executors' JVMs collect their garbage: they give back the heap that is then free, which the Python workers beside them need. Without this a heap stays as large as any stage before has made it."""
+    tasks = 2 * spark.sparkContext.defaultParallelism  # so that each executor is likely to get one
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``written`` gave, when all that was made of it has been written too."""
     path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from hourloom.llm import byte_bpe, common, decontaminate, language_id, line_dedup, lm, ngram_join, pii, quality, queries, setjoin, token_counts, token_files, tokens
 from hourloom.llm.common import shared_dir
 
@@ -762,3 +763,17 @@ def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
         assert docs.columns == rows.columns and docs.where("k <> 'clash' or n_words <> 'clash' or __removed <> 'clash'").isEmpty(), name
     left = Counter(x.text for x in docs.collect())
     assert left[good[0]] == 1 and left[good[1]] == 1 and left[good[2]] + left[good[2] + " more"] == 1 and all(left[t] == 1 for t in good[3:])
+
+
+def test_heaps_shrink_between_stages(spark, monkeypatch):
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    spark.range(0, 3_000_000, 1, 8).groupBy(F.sha2(F.col("id").cast("string"), 256)).count().write.format("noop").mode("overwrite").save()
+    before = runtime.totalMemory() - runtime.freeMemory()
+    common.shrink(spark)
+    assert runtime.totalMemory() - runtime.freeMemory() < max(before, 1)
+    done = []
+    monkeypatch.setattr(corpus_pipeline, "shrink", done.append)
+    docs = spark.createDataFrame([(1, "a few words", "en", "s", 11)], DOCS)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, D)
+        assert len(done) == k + 1
