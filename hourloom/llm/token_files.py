@@ -113,12 +113,13 @@ class TokenReader:
     def documents(self, positions: Iterable[int] | None = None) -> Iterator[tuple[int, bytes]]:
         """(position, ids) of the documents at these ascending positions (None: all); other frames stay packed."""
         at, data = -1, b""
-        for p in range(len(self.sizes)) if positions is None else positions:
-            k = int(np.searchsorted(self.first_doc, p, "right")) - 1
+        places = np.arange(len(self.sizes)) if positions is None else np.fromiter(positions, np.int64)
+        frames = np.searchsorted(self.first_doc, places, "right") - 1
+        lows = 4 * (self.first_id[places] - self.first_id[self.first_doc[frames]])
+        for p, k, low, size in zip(places.tolist(), frames.tolist(), lows.tolist(), (4 * self.sizes[places]).tolist(), strict=True):
             if k != at:
                 at, data = k, self.frame(k)
-            low = 4 * int(self.first_id[p] - self.first_id[self.first_doc[k]])
-            yield p, data[low : low + 4 * int(self.sizes[p])]
+            yield p, data[low : low + size]
 
 
 class LibraryEncoder:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate, chain, pairwise
 
 #: White space other than the plain space; none is beyond U+3000.
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
@@ -43,9 +44,11 @@ def without_tail(word: str) -> str:
 
 
 def learn(memo: dict, words: list[str], after_space: Callable, others: Callable) -> None:
-    """Values of words that are not in ``memo``; each is encoded once, without the marks at its end."""
+    """Values of different words that are not in ``memo``; each is encoded once, without the marks at its end."""
     core = {w: c for w in words if w[-1] in TAIL and len(c := without_tail(w)) < len(w)}
-    new = [w for w in dict.fromkeys([core.get(w, w) for w in words]) if w not in memo]
+    plain = [w for w in words if w not in core] if core else words
+    memo.update(zip(plain, after_space(plain), strict=True))
+    new = [c for c in dict.fromkeys(core.values()) if c not in memo]
     memo.update(zip(new, after_space(new), strict=True))
     tails = list({w[len(c) :] for w, c in core.items()})
     tail = dict(zip(tails, others(tails), strict=True))
@@ -58,20 +61,21 @@ def encode_pieces(texts: list[str], memo: dict, after_space: Callable, others: C
     after_space: values of words without white space at their ends, each as after a space; others: values of texts.
     """
     cut = [pieces(x) for x in texts]
-    out = [list(map(memo.get, ps)) for ps in cut]  # most are there: each is looked up once
-    open_texts = [k for k, values in enumerate(out) if None in values]
-    new = list(dict.fromkeys([p for k in open_texts for p, v in zip(cut[k], out[k], strict=True) if v is None]))
+    flat = list(chain.from_iterable(cut))
+    values = list(map(memo.get, flat))  # most are there: each is looked up once
+    missing = [i for i, v in enumerate(values) if v is None]  # the only ones that are gone through again
+    new = list(dict.fromkeys([flat[i] for i in missing]))
     if len(memo) + len(new) > limit:  # what these texts have stays: frequent pieces are among it
-        kept = {p: v for ps, values in zip(cut, out, strict=True) for p, v in zip(ps, values, strict=True) if v is not None}
+        kept = {p: v for p, v in zip(flat, values, strict=True) if v is not None}
         memo.clear()
         memo.update(kept)
     words, rest = [p for p in new if p[0] != " "], [p for p in new if p[0] == " "]
     learn(memo, words, after_space, others)
     memo.update(zip(rest, others([p[1:] for p in rest]), strict=True))
-    for k in open_texts:
-        out[k] = [memo[p] if v is None else v for p, v in zip(cut[k], out[k], strict=True)]
-    for p in new:
-        if len(p) > LONG_PIECE:
-            memo.pop(p, None)
-            memo.pop(without_tail(p), None)
-    return out
+    for i in missing:
+        values[i] = memo[flat[i]]
+    for p in [p for p in new if len(p) > LONG_PIECE]:
+        memo.pop(p, None)
+        memo.pop(without_tail(p), None)
+    ends = [0, *accumulate(map(len, cut))]
+    return [values[low:high] for low, high in pairwise(ends)]

@@ -777,3 +777,24 @@ def test_heaps_shrink_between_stages(spark, monkeypatch):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, D)
         assert len(done) == k + 1
+
+
+def test_only_missing_pieces_are_gone_through_again():
+    class Counted(dict):
+        gets, others = 0, 0
+
+        def get(self, key):
+            Counted.gets += 1
+            return super().get(key)
+
+        def __getitem__(self, key):
+            Counted.others += 1
+            return super().__getitem__(key)
+
+        def __contains__(self, key):
+            Counted.others += 1
+            return super().__contains__(key)
+
+    memo = Counted({" a": "A", "b": "B"})
+    out = tokens.encode_pieces(["a b c b", "d", "a b"], memo, lambda ws: [f"<{w}>" for w in ws], lambda ts: [f"[{t}]" for t in ts])
+    assert out == [["A", "B", "<c>", "B"], ["[d]"], ["A", "B"]] and (Counted.gets, Counted.others) == (7, 2)
