@@ -266,15 +266,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         release(sets)
         return out
 
-    links = linked_of(written(pairs.where("place = 0").select("a", "b")))
-    labels = components(links)
+    def known(labels: DataFrame) -> DataFrame:
+        """Links that say as much as all that these labels came from."""
+        return labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+    labels = components(linked_of(written(pairs.where("place = 0").select("a", "b"))))
     # of the other pairs, those that are not of one component yet
     ends = [small(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))) for c in "ab"]
     others = pairs.where("place > 0").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
     others = linked_of(written(others.select("a", "b")))
     if not others.isEmpty():
-        links = links.unionByName(others)
-        labels = components(links)
+        labels = components(known(labels).unionByName(others))
     # what is left: large blocks that still hold several components
     labelled = block.where("t is not null").select("t", "k", "n").join(labels.select(F.col("node").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     labelled = written(labelled)
@@ -283,7 +285,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     if not rest.isEmpty():
         more = linked_of(written(tree_pairs(rest.join(first.select("k", "bits", "odd"), "k"))))
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            labels = components(known(labels).unionByName(more))
     ends = labels.select(F.col("node").alias("k"), "label").unionByName(labels.select(F.col("label").alias("k"), "label")).distinct()  # a component's head has no label of its own
     placed = written(first.select("k", "m").join(small(written(ends)), "k").select("k", "m", "label"))
     heads = placed.groupBy("label").agg(F.min("m").alias("component_id"))

@@ -798,3 +798,18 @@ def test_only_missing_pieces_are_gone_through_again():
     memo = Counted({" a": "A", "b": "B"})
     out = tokens.encode_pieces(["a b c b", "d", "a b"], memo, lambda ws: [f"<{w}>" for w in ws], lambda ts: [f"[{t}]" for t in ts])
     assert out == [["A", "B", "<c>", "B"], ["[d]"], ["A", "B"]] and (Counted.gets, Counted.others) == (7, 2)
+
+
+@pytest.mark.parametrize("kind", ["stars", "chain", "random", "none"])
+def test_components_are_brute_force_and_end_with_stars(spark, monkeypatch, kind):
+    r = random.Random(5)
+    links = {"stars": [(k, k % 3) for k in range(3, 60)], "chain": [(k, k + 1) for k in range(40)], "random": [(r.randrange(90), r.randrange(90)) for _ in range(70)], "none": []}[kind]
+    head = {n: n for pair in links for n in pair}
+    for _ in head:
+        for a, b in links:
+            head[a] = head[b] = min(head[a], head[b])
+    writes, written = [], setjoin.written
+    monkeypatch.setattr(setjoin, "written", lambda df, *by: writes.append(1) or written(df, *by))
+    got = setjoin.components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((n, m) for n, m in head.items() if n != m)
+    assert len(writes) == 1 or kind in ("chain", "random")  # what is stars already takes no round
