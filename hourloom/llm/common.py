@@ -141,13 +141,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder: lineage is cut and nothing is computed twice."""
+def written(df: DataFrame, *partition_by: str, compression: str | None = None) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder: lineage is cut and nothing is computed twice. compression: a codec other than the session's."""
     global _cleaned
     spark = df.sparkSession
     bound_batches(spark)
     path = shared_dir(spark)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     if time.monotonic() - _cleaned > CLEAN_S:
         # shuffle files stay on the executors' disks until the driver's JVM finds that nothing refers to them; nothing does now
         spark.sparkContext._jvm.System.gc()

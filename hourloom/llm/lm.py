@@ -36,8 +36,8 @@ WIDTH, OWN_CLASSES, GROUPS, KINDS = 16, 128, 32, 1_024
 BUCKETS = 64  # of what stands before an id: the most frequent ids, and all others
 CLASSES, INPUTS = OWN_CLASSES + GROUPS, KINDS + GROUPS
 SHARD_IDS, BATCH, RATE, WARM_UP = 2_000_000, 32, 0.01, 50
-#: Windows scored at once: few enough that their logits stay in the processor's cache.
-SCORED_AT_ONCE = 32
+#: Windows scored at once, and windows that go through the model side by side: few enough that their logits stay in the processor's cache.
+SCORED_AT_ONCE, SIDE_BY_SIDE = 32, 8
 #: Words whose counts every worker holds.
 MAX_COMMON = 200_000
 #: Added to the count of an id, of an id's share and of a class after an id: an id, its share of the class, the class's share.
@@ -123,7 +123,7 @@ def encoded(rows: DataFrame, make) -> tuple[DataFrame, DataFrame]:
             yield sent(1, *pairs.total())
             yield sent(2, np.zeros(1, np.int64), np.array([docs]))
 
-    both = written(rows.mapInArrow(run, f"id {id_type.simpleString()}, held_out boolean, text string, ids binary, kind int, key long, c long"))
+    both = written(rows.mapInArrow(run, f"id {id_type.simpleString()}, held_out boolean, text string, ids binary, kind int, key long, c long"), compression="zstd")  # all texts and ids
     counted = both.where("kind is not null").groupBy("kind", "key").agg(F.sum("c").alias("c"))
     return both.where("kind is null").select("id", "held_out", "text", "ids"), written(counted)
 
@@ -195,27 +195,17 @@ def learned_tables(counted: DataFrame, size: int) -> dict[str, np.ndarray]:
     return tables
 
 
-def exponentials(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials along the last axis, to a common factor of each row, and their sums; the largest is taken off first only where they would not fit."""
+def exponentials(s: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Exponentials along the last axis, their sums, and the logarithm of a factor that both lack (None: none); the largest is taken off first only where they would not fit. out: where they go."""
     ones = np.ones(s.shape[-1], s.dtype)
     with np.errstate(over="ignore"):
-        e = np.exp(s)
+        e = np.exp(s, out=out)
     total = e @ ones
-    if total.size and not (total.min() > 1e-6 and total.max() < 1e30):
-        e = np.exp(s - s.max(axis=-1, keepdims=True))
-        total = e @ ones
-    return e, total
-
-
-def log_sum(s: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials along the last axis."""
-    ones = np.ones(s.shape[-1], s.dtype)
-    with np.errstate(over="ignore"):
-        total = np.exp(s) @ ones
     if total.size and not (total.min() > 1e-6 and total.max() < 1e30):
         top = s.max(axis=-1)
-        return top + np.log(np.exp(s - top[..., None]) @ ones)
-    return np.log(total)
+        e = np.exp(s - top[..., None], out=out)
+        return e, e @ ones, top
+    return e, total, None
 
 
 class Attention:
@@ -225,14 +215,16 @@ class Attention:
     SHAPES = {"E": (INPUTS + 1, WIDTH), "Q": (WIDTH, WIDTH), "K": (WIDTH, WIDTH), "R": (LENGTH,), "O": (WIDTH, CLASSES), "b": (CLASSES,)}
 
     def __init__(self, params: np.ndarray, prior: np.ndarray):
-        self.p, low, self.prior = {}, 0, prior
-        for name, shape in self.SHAPES.items():
-            n = int(np.prod(shape))
-            self.p[name] = params[low : low + n].reshape(shape).astype(np.float32)
-            low += n
+        self.p, self.prior = self.parts(params.astype(np.float32)), prior
         gap = np.arange(LENGTH)[:, None] - np.arange(LENGTH)
         self.gap, self.past = np.maximum(gap, 0), gap >= 0
 
+    @classmethod
+    def parts(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of one array of all parameters."""
+        ends = np.cumsum([0, *[int(np.prod(x)) for x in cls.SHAPES.values()]]).tolist()
+        return {n: flat[low:high].reshape(x) for (n, x), low, high in zip(cls.SHAPES.items(), ends, ends[1:], strict=False)}
+
     @classmethod
     def start(cls) -> np.ndarray:
         """Attention that adds nothing yet."""
@@ -243,49 +235,67 @@ class Attention:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
 
-    def forward(self, z: np.ndarray, last: np.ndarray, wanted: np.ndarray | None = None):
-        """What each step gives; the last two only for the ``wanted`` positions. z: inputs, last: kinds of the ids before the targets."""
-        p, length = self.p, z.shape[1]
-        x = p["E"][z]
-        q, k = x @ p["Q"], x @ p["K"]
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(WIDTH**-0.5)
-        s += np.where(self.past, p["R"][self.gap], np.float32(-1e9))[:length, :length]
-        a, total = exponentials(s)
-        a /= total[..., None]
-        y = (a @ x).reshape(-1, WIDTH)
-        last = last.ravel()
-        if wanted is not None:
-            y, last = y[wanted.ravel()], last[wanted.ravel()]
-        logits = y @ p["O"]
-        logits += p["b"]
-        logits += self.prior[last]
-        return x, q, k, a, y, logits
+    def shared(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What all windows use: queries and keys as one matrix, the weights of distances, what gives classes (its last row for a one beside the width)."""
+        p = self.p
+        distance = np.where(self.past, p["R"][self.gap], np.float32(-1e9))[:length, :length]
+        return p["Q"] @ p["K"].T * WIDTH**-0.5, distance, np.vstack([p["O"], p["b"]])
+
+    def forward(self, z: np.ndarray, last: np.ndarray, wanted: np.ndarray, shared: tuple[np.ndarray, ...]):
+        """What each step gives; the last four only for the ``wanted`` positions (flat). z: inputs, last: kinds of the ids before the targets."""
+        between, distance, given = shared
+        x = self.p["E"][z]
+        turned = np.ascontiguousarray(x.transpose(0, 2, 1))
+        s = (x.reshape(-1, WIDTH) @ between).reshape(x.shape) @ turned
+        s += distance
+        a, total, _ = exponentials(s)
+        y = a @ x
+        y /= total[..., None]
+        taken = np.ones((len(wanted), WIDTH + 1), x.dtype)
+        taken[:, :WIDTH] = y.reshape(-1, WIDTH)[wanted]
+        logits = self.prior.take(last.ravel()[wanted], axis=0)
+        room = taken @ given
+        logits += room
+        return x, turned, a, total, y, taken, logits, *exponentials(logits, room)
 
     def log_prob(self, z: np.ndarray, last: np.ndarray, target: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
         """Natural logarithm of the probability of each target class, or of those at the wanted positions, in order."""
-        logits = self.forward(z, last, wanted)[-1]
-        chosen = target.ravel() if wanted is None else target[wanted]
-        p = logits[np.arange(len(logits)), chosen] - log_sum(logits)
+        shared, out = self.shared(z.shape[1]), []
+        for i in range(0, len(z), SIDE_BY_SIDE):
+            now = slice(i, i + SIDE_BY_SIDE)
+            at = np.arange(target[now].size) if wanted is None else np.flatnonzero(wanted[now])
+            *_, logits, _, total, top = self.forward(z[now], last[now], at, shared)
+            p = logits[np.arange(len(at)), target[now].ravel()[at]] - np.log(total)
+            out.append(p if top is None else p - top)
+        p = np.concatenate(out)
         return p.reshape(target.shape) if wanted is None else p
 
     def gradients(self, z: np.ndarray, last: np.ndarray, target: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-        p, n = self.p, z.shape[1]
-        x, q, k, a, y, logits = self.forward(z, last)
-        d, total = exponentials(logits)
-        d *= (valid.ravel() / (total * max(1, valid.sum()))).astype(np.float32)[:, None]
-        d[np.arange(len(d)), target.ravel()] -= valid.ravel() / np.float32(max(1, valid.sum()))
-        dy = (d @ p["O"].T).reshape(x.shape)
-        da, dx = dy @ x.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dr = np.bincount(self.gap[:n, :n].ravel(), (ds.sum(axis=0) * self.past[:n, :n]).ravel(), LENGTH)
-        ds *= np.float32(WIDTH**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, WIDTH).T
-        dx += dq @ p["Q"].T + dk @ p["K"].T
-        rows = dx.reshape(-1, WIDTH)
-        e = np.stack([np.bincount(z.ravel(), rows[:, i], len(p["E"])) for i in range(WIDTH)], axis=1)
-        return {"E": e, "Q": flat @ dq.reshape(-1, WIDTH), "K": flat @ dk.reshape(-1, WIDTH), "R": dr, "O": y.T @ d, "b": d.sum(axis=0)}
+        """Of the mean loss of the valid targets. Windows go through a few at a time, whose arrays stay in the processor's cache."""
+        p, n, count = self.p, z.shape[1], max(1, int(valid.sum()))
+        between, distance, given = shared = self.shared(n)
+        back, db, ds_sum, dgiven, rows = np.ascontiguousarray(p["O"].T), np.zeros_like(between), np.zeros_like(distance), np.zeros_like(given), []
+        for i in range(0, len(z), SIDE_BY_SIDE):
+            now = slice(i, i + SIDE_BY_SIDE)
+            at = np.flatnonzero(valid[now])
+            x, turned, a, total, y, taken, _, d, sums, _ = self.forward(z[now], last[now], at, shared)
+            d *= (1 / (sums * count))[:, None]
+            d[np.arange(len(at)), target[now].ravel()[at]] -= 1 / count
+            dgiven += taken.T @ d
+            dy = np.zeros_like(y)
+            dy.reshape(-1, WIDTH)[at] = d @ back
+            dy /= total[..., None]
+            ds = dy @ turned
+            ds -= np.einsum("ijk,ijk->ij", dy, y)[..., None]
+            ds *= a
+            ds_sum += ds.sum(axis=0)
+            left, right = (ds @ x).reshape(-1, WIDTH), (ds.transpose(0, 2, 1) @ x).reshape(-1, WIDTH)
+            db += x.reshape(-1, WIDTH).T @ left
+            rows.append((a.transpose(0, 2, 1) @ dy).reshape(-1, WIDTH) + left @ between.T + right @ between)
+        db *= WIDTH**-0.5
+        cells = (z.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        e = np.bincount(cells, np.concatenate(rows).ravel(), p["E"].size).reshape(p["E"].shape)
+        return {"E": e, "Q": db @ p["K"], "K": db.T @ p["Q"], "R": np.bincount(self.gap[:n, :n].ravel(), ds_sum.ravel(), LENGTH), "O": dgiven[:-1], "b": dgiven[-1]}
 
 
 class Trainer:
@@ -293,16 +303,18 @@ class Trainer:
 
     def __init__(self, model: Attention, steps: int):
         self.model, self.steps, self.t = model, steps, 0
-        self.m = {n: np.zeros_like(x) for n, x in model.p.items()}
-        self.v = {n: np.zeros_like(x) for n, x in model.p.items()}
+        self.x = model.flat()
+        model.p = model.parts(self.x)
+        self.m, self.v = np.zeros_like(self.x), np.zeros_like(self.x)
 
     def step(self, z, last, target, valid) -> None:
         self.t += 1
         rate = RATE * min(1.0, self.t / WARM_UP) * max(0.1, 1 - self.t / self.steps)
-        for n, g in self.model.gradients(z, last, target, valid).items():
-            self.m[n] += 0.1 * (g - self.m[n])
-            self.v[n] += 0.01 * (g * g - self.v[n])
-            self.model.p[n] -= (rate * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.v[n] / (1 - 0.99**self.t)) + 1e-7)).astype(np.float32)
+        got = self.model.gradients(z, last, target, valid)
+        g = np.concatenate([got[n].ravel() for n in self.model.SHAPES]).astype(np.float32)
+        self.m += 0.1 * (g - self.m)
+        self.v += 0.01 * (g * g - self.v)
+        self.x -= rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-7)
 
 
 def windows(sizes: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,32 +327,35 @@ def windows(sizes: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.nda
 
 
 def batches_of(ids: np.ndarray, sizes: np.ndarray, tables: dict, batch: int, stride: int = STRIDE, order: np.ndarray | None = None):
-    """Windows in batches: text, inputs, kinds and buckets of the ids before, target ids, which targets are to be scored."""
+    """Windows in batches: place of each id, inputs, kinds of the ids before, target classes, which targets are to be scored."""
     low, text, scored = windows(sizes, stride)
     if order is not None:
         low, text, scored = low[order], text[order], scored[order]
-    first = np.cumsum(sizes) - sizes
-    end = ids[-1] if len(ids) else 0
+    first, size = (np.cumsum(sizes) - sizes)[text], sizes[text]
+    before, cls = tables["kind"].astype(np.int16)[before_each(ids)], tables["cls"].astype(np.int16)[ids]
+    inputs = before.copy()
+    inputs[first] = Attention.START
     for i in range(0, len(low), batch):
-        at = low[i : i + batch, None] + np.arange(LENGTH)
-        t = text[i : i + batch]
-        inside = at < sizes[t][:, None]
-        place = first[t][:, None] + np.where(inside, at, 0)
-        target = ids[np.where(inside, place, first[t][:, None])]
-        before = np.where(at == 0, end, ids[np.maximum(place - 1, 0)])  # a text begins after an end
-        last = tables["kind"][before]
-        yield t, np.where(at == 0, Attention.START, last), last, tables["bucket"][before], target, inside & (at >= scored[i : i + batch, None])
+        now = slice(i, i + batch)
+        at = low[now, None] + np.arange(LENGTH)
+        place = np.minimum(first[now, None] + at, len(ids) - 1)  # what is beyond the text is after all that is scored
+        yield place, inputs[place].astype(np.intp), before[place], cls[place], (at < size[now, None]) & (at >= scored[now, None])
+
+
+def before_each(ids: np.ndarray) -> np.ndarray:
+    """The id before each: a text ends with the end id, which the next begins after."""
+    return np.append(ids[-1:], ids[:-1])
 
 
 def trained(params: np.ndarray, tables: dict, texts: list[bytes], stored: str) -> tuple[np.ndarray, int]:
     """Parameters after one pass over every id of the texts, and the number of ids."""
     texts = sorted(texts, key=lambda x: (xxhash.xxh64_intdigest(x), len(x)))
-    ids, sizes = np.frombuffer(b"".join(texts), stored).astype(np.int64), np.array([len(x) // np.dtype(stored).itemsize for x in texts], np.int64)
+    ids, sizes = np.frombuffer(b"".join(texts), stored), np.array([len(x) // np.dtype(stored).itemsize for x in texts], np.int64)
     n = len(windows(sizes, LENGTH)[0])
     model = Attention(params, tables["prior"])
     trainer = Trainer(model, -(-n // BATCH))
-    for _, z, last, _, target, valid in batches_of(ids, sizes, tables, BATCH, LENGTH, np.random.default_rng(n).permutation(n)):
-        trainer.step(z, last, tables["cls"][target], valid)
+    for _, z, last, target, valid in batches_of(ids, sizes, tables, BATCH, LENGTH, np.random.default_rng(n).permutation(n)):
+        trainer.step(z, last, target, valid)
     return model.flat(), len(ids)
 
 
@@ -377,11 +392,10 @@ class Scorer:
 
     def __call__(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
-        out, cls, share = np.zeros(len(sizes)), self.tables["cls"], self.tables["share"]
-        for t, z, last, bucket, target, valid in batches_of(ids, sizes, self.tables, SCORED_AT_ONCE):
-            p = self.model.log_prob(z, last, cls[target], valid).astype(float) + share[target[valid], bucket[valid]]
-            out += np.bincount(np.repeat(t, valid.sum(axis=1)), p, len(sizes))
-        return out / np.log(10)
+        p = self.tables["share"][ids, self.tables["bucket"][before_each(ids)]].astype(float)
+        for place, z, last, target, valid in batches_of(ids, sizes, self.tables, SCORED_AT_ONCE):
+            p[place[valid]] += self.model.log_prob(z, last, target, valid)  # each id is in one window alone
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), p, len(sizes)) / np.log(10)
 
 
 def score(docs: DataFrame, path: str, pattern: str, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

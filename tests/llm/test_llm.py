@@ -667,6 +667,34 @@ def test_attention_gradients_and_causality():
     assert np.allclose(model.log_prob(z, z, y)[:, :4], model.log_prob(other, other, y)[:, :4])
 
 
+def test_gradients_do_not_follow_how_windows_are_grouped(monkeypatch):
+    """Also with positions that are not valid, and against scores that do not fit an exponential."""
+    rng = np.random.default_rng(1)
+    prior = rng.normal(0, 1, (lm.INPUTS, lm.CLASSES))
+    for far in (0, 200):
+        prior[:50] += far
+        model = lm.Attention(lm.Attention.start() + rng.normal(0, 0.1, len(lm.Attention.start())), prior)
+        model.p = {k: v.astype(float) for k, v in model.p.items()}
+        z, last, y = rng.integers(0, 60, (7, lm.LENGTH)), rng.integers(0, 60, (7, lm.LENGTH)), rng.integers(0, 20, (7, lm.LENGTH))
+        valid = np.arange(lm.LENGTH) < np.array([64, 3, 0, 64, 17, 1, 40])[:, None]
+        monkeypatch.setattr(lm, "SIDE_BY_SIDE", 100)
+        whole, p = model.gradients(z, last, y, valid), model.log_prob(z, last, y, valid)
+        assert np.isfinite(p).all() and len(p) == valid.sum()
+        for at_once in (1, 3):
+            monkeypatch.setattr(lm, "SIDE_BY_SIDE", at_once)
+            assert np.allclose(model.log_prob(z, last, y, valid), p)
+            for name, x in model.gradients(z, last, y, valid).items():
+                assert np.allclose(x, whole[name], atol=1e-12), name
+
+
+def test_texts_and_ids_of_the_model_are_stored_small(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet").selectExpr("doc_id as id", "false as held_out", "text")
+    coded, _ = lm.encoded(docs, (P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    plain, files = f"{tmp_path}/plain", coded.inputFiles()
+    spark.read.parquet(*files).write.parquet(plain, compression="snappy")
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) < 0.85 * sum(os.path.getsize(f.path) for f in os.scandir(plain))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
