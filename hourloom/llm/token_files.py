@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, shared_dir, text_runs, worker_state, written
-from .tokens import encode_pieces
+from .tokens import TAIL, encode_pieces
 
 # Fixed values of the public seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, HAS_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -41,7 +41,9 @@ FILE_ROWS = 1_000_000
 #: Words that are encoded as one text.
 JOINED = 2_000
 #: Pieces that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: Marks at the ends of words that are encoded apart, but those in a special string of the vocabulary, which would be torn.
+MARKS = TAIL + "#$%&*"
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -134,7 +136,9 @@ class LibraryEncoder:
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = {i: len(t.content.encode("utf-8")) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = {i: len(t.content.encode("utf-8")) for i, t in added.items()}
+        self.marks = "".join(m for m in MARKS if not any(m in t.content for t in added.values()))
         #: the bytes that an id stands for; in a byte-level vocabulary each character of an entry is a byte
         self.id_bytes = np.zeros(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()), np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -144,12 +148,18 @@ class LibraryEncoder:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def after_space(self, words: list[str]) -> list[bytes]:
-        """Words are encoded side by side in one text, as they may stand in one; the bytes of the ids tell where each ends."""
-        runs = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        return self.side_by_side([" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+
+    def after_line(self, words: list[str]) -> list[bytes]:
+        """Of words with a line end before each."""
+        return self.side_by_side(["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)])
+
+    def side_by_side(self, runs: list[str]) -> list[bytes]:
+        """Words are encoded side by side in one text, as they may stand in one, each after the text's first character; the bytes of the ids tell where each ends."""
         out: list[bytes] = []
         for run, ids in zip(runs, self._encode(runs), strict=True):
             raw = np.frombuffer(run.encode("utf-8"), np.uint8)
-            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            ends = np.append(np.flatnonzero(raw == raw[0])[1:], len(raw))
             cuts = 4 * (np.searchsorted(np.cumsum(self.id_bytes[ids]), ends) + 1)
             data, cuts = ids.tobytes(), [0, *cuts.tolist()]
             out += [data[low:high] for low, high in pairwise(cuts)]
@@ -159,7 +169,7 @@ class LibraryEncoder:
         return [x.tobytes() for x in self._encode(texts)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.after_space, self.others, REMEMBERED)]
+        return [b"".join(x) for x in encode_pieces(texts, self.memo, self.after_space, self.others, REMEMBERED, self.after_line, self.marks)]
 
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long"

@@ -695,6 +695,21 @@ def test_texts_and_ids_of_the_model_are_stored_small(spark, tmp_path):
     assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) < 0.85 * sum(os.path.getsize(f.path) for f in os.scandir(plain))
 
 
+def test_lines_are_encoded_by_their_words():
+    """The last word of a line and the first of the next are remembered apart, marks at ends too; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    encoder, library = token_files.LibraryEncoder(path), Tokenizer.from_file(path)
+    odd = ["one two.\nThree four$$$\nfive\n's six", "a b\n\nc d", "a\t\nb c", "a \nb c", "\na b", "a b\n", "x<|endoftext|>$$$ y\n<|endoftext|>\nz<|endoftext|>!!\n12.%% w", "a b\n$$$\n%\nc", "a\r\nb c", "é$ ü%\nß&\n\u200bq r", "a b\n\x85c\n\u3000d"]
+    texts = [*odd, *mixed(400, 5, "ab é12.,$%&*#!'s\n\n  |<>"), *mixed(400, 6, "abcde fgh\n."), *[a + " " + b for a in odd for b in odd]]
+    for _ in range(2):
+        assert encoder(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    fresh = token_files.LibraryEncoder(path)
+    fresh(["one two.\nThree four$$$\nfive"])
+    assert {"two", "\nThree", "four", "\nfive"} <= set(fresh.memo) and not any("\n" in k[1:] for k in fresh.memo)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
