@@ -42,12 +42,13 @@ PRIME_A, PRIME_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * PRIME_B
-    return h ^ (h >> np.uint64(29))
+    h = h ^ (h >> np.uint64(31))
+    h *= PRIME_B
+    h ^= h >> np.uint64(29)
+    return h
 
 
-#: Bytes of white space, and the low bytes of a lane of eight that belong to a word with so many left.
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: The low bytes of a lane of eight that belong to a word with so many left.
 LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Longer words are hashed one by one.
 LONG_WORD = 256
@@ -58,13 +59,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = [t.encode("utf-8") for t in texts]
     first = np.cumsum([0, *[len(x) + 1 for x in data]])
     raw = b" ".join(data).lower() + b" " * 8
-    gap = SPACE[np.frombuffer(raw, np.uint8)]
+    byte = np.frombuffer(raw, np.uint8)
+    gap = (byte - np.uint8(9) < 5) | (byte == 32)  # white space; differences wrap around
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     edge = edge if gap[0] else np.append(0, edge)
     start, size = edge[::2], edge[1::2] - edge[::2]
     lanes = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
-    h = size.astype(np.uint64) * PRIME_B
-    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    h = mix(((size.astype(np.uint64) * PRIME_B) ^ (lanes[start] & LANE[np.minimum(size, 8)])) * PRIME_A)  # most words end in the first lane
+    at, done = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
     while len(at):
         left = size[at] - done
         h[at] = mix((h[at] ^ (lanes[start[at] + done] & LANE[np.minimum(left, 8)])) * PRIME_A)

@@ -710,6 +710,30 @@ def test_lines_are_encoded_by_their_words():
     assert {"two", "\nThree", "four", "\nfive"} <= set(fresh.memo) and not any("\n" in k[1:] for k in fresh.memo)
 
 
+def test_word_hashes_are_those_of_single_words():
+    """Against plain whole numbers, a word at a time; lengths at the borders of lanes, every byte as white space or not."""
+    import xxhash
+
+    def mixed_up(h):
+        h = (h ^ (h >> 31)) * int(setjoin.PRIME_B) % 2**64
+        return h ^ (h >> 29)
+
+    def plain(word):
+        if len(word) > setjoin.LONG_WORD:
+            return xxhash.xxh64_intdigest(word)
+        h = len(word) * int(setjoin.PRIME_B) % 2**64
+        for i in range(0, len(word), 8):
+            h = mixed_up((h ^ int.from_bytes(word[i : i + 8], "little")) * int(setjoin.PRIME_A) % 2**64)
+        return h
+
+    texts = ["", " ", "\n\t", "a", *["x" * n + " Y" + "z" * n for n in (1, 6, 7, 8, 9, 15, 16, 17, 255, 256, 257, 600)], "".join(chr(c) + "q" for c in range(256)), "é\u3000ü \x85 \x1c\x0b\x0c", *mixed(50, 9, "aB é\t")]
+    words = [re.split(rb"[\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+    words = [[w for w in ws if w] for ws in words]
+    h, n = setjoin.word_hashes(texts)
+    assert n.tolist() == [len(ws) for ws in words] and h.tolist() == [plain(w) for ws in words for w in ws]
+    assert [x.tolist() for x in setjoin.word_hashes([])] == [[], []] and [x.tolist() for x in setjoin.word_hashes(["", " "])] == [[], [0, 0]]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
